@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from signaldeck.schema import int_div
+
 # Names shared with the wire formats.
 SPAN_KINDS = {1: "internal", 2: "server", 3: "client", 4: "producer", 5: "consumer"}
 STATUS_CODES = {1: "ok", 2: "error"}
@@ -143,15 +145,19 @@ def logical_bytes(*columns: Column | str) -> Column:
 
 
 def human_duration(nanoseconds: Column) -> Column:
-    """Duration for people: ns, us, ms with one decimal, s with two."""
+    """Duration for people: ns, us and ms with one decimal, s with two (rounded half up)."""
 
-    def scaled(divisor: int, decimals: int, unit: str) -> Column:
-        return F.format_string(f"%.{decimals}f {unit}", nanoseconds / F.lit(float(divisor)))
+    def scaled(step: int, decimals: int, unit: str) -> Column:
+        # Whole steps of the last shown digit, so that rounding is exact.
+        steps = int_div(nanoseconds + step // 2, step)
+        base = 10**decimals
+        digits = F.lpad((steps % base).cast("string"), decimals, "0")
+        return F.concat(int_div(steps, base).cast("string"), F.lit("."), digits, F.lit(f" {unit}"))
 
     return (
         F.when(nanoseconds.isNull(), F.lit("--"))
         .when(nanoseconds < 1_000, F.concat(nanoseconds.cast("string"), F.lit(" ns")))
-        .when(nanoseconds < 1_000_000, scaled(1_000, 1, "us"))
-        .when(nanoseconds < 1_000_000_000, scaled(1_000_000, 1, "ms"))
-        .otherwise(scaled(1_000_000_000, 2, "s"))
+        .when(nanoseconds < 1_000_000, scaled(100, 1, "us"))
+        .when(nanoseconds < 1_000_000_000, scaled(100_000, 1, "ms"))
+        .otherwise(scaled(10_000_000, 2, "s"))
     )

@@ -115,14 +115,23 @@ def merge(*maps: Column) -> Column:
     """Union of maps; on equal keys the earlier map wins."""
     merged = maps[0]
     for other in maps[1:]:
-        merged = _merge_two(merged, other)
+        merged = F.map_zip_with(merged, other, lambda _, first, second: F.coalesce(first, second))
     return merged
 
 
-def _merge_two(first: Column, second: Column) -> Column:
-    return F.map_concat(
-        first, F.map_filter(second, lambda key, _: ~F.array_contains(F.map_keys(first), key))
+def map_of_pairs(pairs: Column) -> Column:
+    """MAP<STRING, VARIANT> of an array of (key, value) structs; the last value of a key wins."""
+    keys = F.transform(pairs, lambda pair: pair["key"])
+    folded = F.aggregate(
+        pairs,
+        F.create_map().cast(MAP_OF_VARIANT),
+        lambda done, pair: F.map_zip_with(
+            done,
+            F.create_map(pair["key"], pair["value"]),
+            lambda _, old, new: F.coalesce(new, old),
+        ),
     )
+    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.map_from_entries(pairs)).otherwise(folded)
 
 
 def prefix_keys(values: Column, prefix: str) -> Column:

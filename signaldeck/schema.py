@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 SIGNALS = ("error", "log", "metric", "trace")
 
@@ -67,9 +66,8 @@ RECORD_COLUMNS: dict[str, str] = {
     "raw": "string",
 }
 
-RECORD_SCHEMA = T.StructType.fromDDL(
-    ", ".join(f"`{name}` {kind}" for name, kind in RECORD_COLUMNS.items())
-)
+# Schema of stored records, as DDL for readers and streams.
+RECORD_DDL = ", ".join(f"`{name}` {kind}" for name, kind in RECORD_COLUMNS.items())
 
 
 def conform(df: DataFrame) -> DataFrame:
