@@ -1,6 +1,11 @@
 """All named queries."""
 
-from signaldeck.plans import metric_queries, search_queries, state_queries  # noqa: F401
+from signaldeck.plans import (  # noqa: F401
+    metric_queries,
+    search_queries,
+    state_queries,
+    wire_queries,
+)
 from signaldeck.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
