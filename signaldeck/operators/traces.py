@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from signaldeck.session import reliable_checkpoint
+from signaldeck.session import LineageCut
 
 TRACE = ["project_id", "trace_id"]
 # Longest path kept in a row, and most spans ordered in one window.
@@ -54,7 +54,8 @@ def _climb(nodes: DataFrame, keys: list[str], max_path: int) -> tuple[DataFrame,
         F.lit(None).cast("struct<ts: bigint, id: string>").alias("best"),
         F.lit(False).alias("moved"),
     )
-    state = reliable_checkpoint(state)
+    rounds = LineageCut(nodes.sparkSession)
+    state = rounds.save(state)
     pending = None
     while True:
         counts = state.filter(F.col("up").isNotNull()).agg(
@@ -85,7 +86,7 @@ def _climb(nodes: DataFrame, keys: list[str], max_path: int) -> tuple[DataFrame,
             (~F.least("best", "_best").eqNullSafe(F.col("best"))).alias("moved"),
         )
         done = state.filter(F.col("up").isNull())
-        state = reliable_checkpoint(done.unionByName(climbed))
+        state = rounds.save(done.unionByName(climbed))
 
 
 def _cut_cycles(looping: DataFrame) -> DataFrame:
@@ -126,10 +127,10 @@ def trace_tree(spans: DataFrame, keys: list[str] = TRACE, max_path: int = MAX_PA
         F.count(F.lit(1)).alias("_spans"), F.count_if(F.col("path").isNull()).alias("_deep")
     )
     heavy = sizes.filter((F.col("_spans") > max_window_spans) | (F.col("_deep") > 0))
+    # Heavy traces are few: each holds a long path or very many spans.
+    heavy = LineageCut(spans.sparkSession).save(heavy.select(*keys, "_spans"))
     if heavy.isEmpty():
         return _by_path(forest, keys)
-    # Heavy traces are few: each holds a long path or very many spans.
-    heavy = reliable_checkpoint(heavy.select(*keys, "_spans"))
     light = _by_path(forest.join(heavy, keys, "left_anti"), keys)
     return light.unionByName(_by_tour(forest.join(heavy, keys), keys))
 
@@ -199,7 +200,8 @@ def _by_tour(forest: DataFrame, keys: list[str]) -> DataFrame:
         *keys, "_spans", "depth", "e.event", "e.next", F.col("e.weight").cast("bigint").alias("rest")
     )
     # ``rest`` becomes the number of spans entered from this event to the end.
-    tour = reliable_checkpoint(tour)
+    rounds = LineageCut(forest.sparkSession)
+    tour = rounds.save(tour)
     while not tour.filter(F.col("next").isNotNull()).isEmpty():
         target = tour.select(
             *keys, F.col("event").alias("next"), F.col("next").alias("_after"), F.col("rest").alias("_rest")
@@ -208,7 +210,7 @@ def _by_tour(forest: DataFrame, keys: list[str]) -> DataFrame:
             *keys, "_spans", "depth", "event", F.col("_after").alias("next"),
             (F.col("rest") + F.col("_rest")).alias("rest"),
         )
-        tour = reliable_checkpoint(tour.filter(F.col("next").isNull()).unionByName(jumped))
+        tour = rounds.save(tour.filter(F.col("next").isNull()).unionByName(jumped))
     return tour.filter(~F.col("event.leave")).select(
         *keys, F.col("event.id").alias("id"), "depth", (F.col("_spans") - F.col("rest")).alias("position")
     )

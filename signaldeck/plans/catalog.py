@@ -4,6 +4,8 @@ from signaldeck.plans import (  # noqa: F401
     metric_queries,
     search_queries,
     state_queries,
+    stream_queries,
+    trace_queries,
     wire_queries,
 )
 from signaldeck.plans.registry import ORACLES, QUERIES

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int = 8, memory: str = "12g") -> SparkSession:
@@ -22,14 +23,38 @@ def local_session(cpus: int = 8, memory: str = "12g") -> SparkSession:
     )
 
 
-def reliable_checkpoint(df):
-    """Cut the lineage of a DataFrame in the cluster's shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; a private one only where the session names none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="signaldeck-checkpoint-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
-    Uses ``spark.checkpoint.dir`` of the session; a private folder is set only when
-    the session names none (tests on one machine).
+
+class LineageCut:
+    """Written tables that cut the lineage of an iterative computation.
+
+    Each :meth:`save` writes the DataFrame to a new Parquet table in the shared
+    checkpoint folder and reads it back, so a lost executor costs a re-read and not a
+    recomputation, and plans (with their inferred constraints) stay small.  A table is
+    removed once its successor is complete; the last one stays for its lazy readers.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="signaldeck-checkpoint-"))
-    return df.checkpoint(eager=True)
+
+    def __init__(self, spark: SparkSession) -> None:
+        self._spark = spark
+        self._folder = f"{shared_folder(spark).rstrip('/')}/signaldeck-{uuid.uuid4().hex}"
+        self._saved = 0
+
+    def save(self, df: DataFrame) -> DataFrame:
+        path = f"{self._folder}/{self._saved}"
+        df.write.parquet(path)
+        if self._saved:
+            self._remove(f"{self._folder}/{self._saved - 1}")
+        self._saved += 1
+        return self._spark.read.schema(df.schema).parquet(path)
+
+    def _remove(self, path: str) -> None:
+        context = self._spark.sparkContext
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
