@@ -66,11 +66,50 @@ def difference_cumulative(records: DataFrame, slice_ms: int = DAY_MS) -> DataFra
         .withColumn("value", F.lit(None).cast("double"))
         .withColumn("violation", F.lit(False))
     )
-    differenced = _difference(records.filter(counter & usable), slice_ms)
+    differenced = _difference(records.filter(counter & usable), slice_ms).drop("accepted")
     return others.unionByName(loose).unionByName(differenced)
 
 
-def _difference(readings: DataFrame, slice_ms: int) -> DataFrame:
+# Last accepted reading per stream, as kept between batches.
+STATE_DDL = (
+    "project_id bigint, source string, stream_id string, last_nano bigint, start bigint, "
+    "previous double, monotonic boolean"
+)
+
+
+def difference_batch(readings: DataFrame, state: DataFrame | None = None,
+                     slice_ms: int = DAY_MS) -> tuple[DataFrame, DataFrame]:
+    """Difference one batch of readings after ``state``; returns (rows, next state).
+
+    Readings need a value and a stream id.  One not later than the state's last accepted
+    reading gets no value.  The state enters as one more slice in front of the batch, so
+    a stream that fills the whole batch is still spread over its slices.  Both results
+    must be written before the next batch; ``rows`` keeps an ``accepted`` flag.
+    """
+    rows = _difference(readings, slice_ms, state)
+    return rows, next_state(rows, state)
+
+
+def next_state(rows: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """State after a differenced batch: per stream the latest accepted reading."""
+    last = F.struct(
+        F.col("ts_nano").alias("last_nano"),
+        F.coalesce("start_nano", F.lit(0).cast("bigint")).alias("start"),
+        F.col("cumulative_value").alias("previous"),
+        F.coalesce("monotonic", F.lit(False)).alias("monotonic"),
+    )
+    known = rows.filter("accepted").select(*STREAM, last.alias("_s"))
+    if state is not None:
+        kept = F.struct("last_nano", "start", "previous", "monotonic")
+        known = known.unionByName(state.select(*STREAM, kept.alias("_s")))
+    return known.groupBy(*STREAM).agg(F.max("_s").alias("_s")).select(*STREAM, "_s.*")
+
+
+# Slice number of the stored state, before every real slice.
+STATE_SLICE = -(2**62)
+
+
+def _difference(readings: DataFrame, slice_ms: int, state: DataFrame | None = None) -> DataFrame:
     part = [*STREAM, "_slice"]
     order = W.partitionBy(*part).orderBy("ts_nano", "_start", "id")
     before = order.rowsBetween(W.unboundedPreceding, -1)
@@ -82,7 +121,12 @@ def _difference(readings: DataFrame, slice_ms: int) -> DataFrame:
             "_start": F.coalesce("start_nano", F.lit(0).cast("bigint")),
             "_mono": F.coalesce("monotonic", F.lit(False)),
         }
-    ).withColumn("_late", F.coalesce(F.lag("ts_nano").over(order) == F.col("ts_nano"), F.lit(False)))
+    )
+    late = F.coalesce(F.lag("ts_nano").over(order) == F.col("ts_nano"), F.lit(False))
+    if state is not None:
+        marked = marked.join(state.select(*STREAM, F.col("last_nano").alias("_last")), STREAM, "left")
+        late = late | F.coalesce(F.col("ts_nano") <= F.col("_last"), F.lit(False))
+    marked = marked.withColumn("_late", late)
     marked = marked.withColumn("_counted", F.when(~F.col("_late"), F.col("_start")))
     marked = marked.withColumn("_before", F.last("_counted", ignorenulls=True).over(before))
     marked = marked.withColumn(
@@ -109,6 +153,16 @@ def _difference(readings: DataFrame, slice_ms: int) -> DataFrame:
         (F.count(F.lit(1)) > 1).alias("_several"),
         F.first("_mono").alias("_mono"),
     )
+    if state is not None:
+        stored = state.select(
+            *STREAM,
+            F.lit(STATE_SLICE).cast("bigint").alias("_slice"),
+            F.col("start").alias("_first_start"),
+            F.struct(F.col("start").alias("_start"), F.col("previous").alias("_state")).alias("_end"),
+            F.lit(False).alias("_several"),
+            F.col("monotonic").alias("_mono"),
+        )
+        slices = slices.unionByName(stored)
     chain = W.partitionBy(*STREAM).orderBy("_slice")
     slices = slices.withColumn(
         "_break",
@@ -138,7 +192,7 @@ def _difference(readings: DataFrame, slice_ms: int) -> DataFrame:
         F.when(F.col("_mono"), F.max("_accepted").over(earlier)).otherwise(
             F.last("_accepted", ignorenulls=True).over(earlier)
         ),
-    ).join(carry, part)
+    ).join(carry, part, "left")
     carried = (F.col("_run") == 1) & (F.col("_start") == F.col("_carry_start"))
     previous = F.when(
         carried & F.col("_mono"), F.greatest("_previous", "_carry_state")
@@ -156,6 +210,7 @@ def _difference(readings: DataFrame, slice_ms: int) -> DataFrame:
         current.alias("cumulative_value"),
         delta.alias("value"),
         violation.alias("violation"),
+        (~F.col("_late") & ~violation).alias("accepted"),
     )
 
 

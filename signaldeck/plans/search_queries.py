@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from signaldeck.functions import ids
@@ -12,6 +14,7 @@ from signaldeck.operators import search as Q
 from signaldeck.plans import views as v
 from signaldeck.plans.registry import query, uuid5_sql
 from signaldeck.schema import event_ms
+from signaldeck.session import shared_folder
 from signaldeck.sources import archive as A
 
 DAY1, DAY5, DAY10 = 1704067200000, 1704412800000, 1704844800000
@@ -139,6 +142,14 @@ def _(spark, d):
     return both.groupBy("project_id", "signal").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("read_archive", v.EV, sql=f"""SELECT id, name, value, level FROM ev WHERE project_id = 1 AND signal = 'log'
+  AND event_ms BETWEEN {DAY5} AND {DAY10}""")
+def _(spark, d):
+    path = f"{shared_folder(spark).rstrip('/')}/signaldeck-archive-{uuid.uuid4().hex}"
+    A.write_archive(v.ev_records(spark, d), path)
+    return A.read_archive(spark, path, 1, "log", DAY5, DAY10).select("id", "name", "value", "level")
+
+
 @query("get_record", v.EV, sql="SELECT id, signal, name, value FROM ev WHERE id = '000000000042'")
 def _(spark, d):
     records = v.ev_records(spark, d)

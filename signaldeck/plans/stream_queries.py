@@ -57,6 +57,15 @@ def _(spark, d):
 
 @query("stream_difference", v.CT, sql="""SELECT project_id, id, CAST(reading AS DOUBLE) AS cumulative_value,
   CAST(delta AS DOUBLE) AS value, violation FROM df""")
+def _(spark, d):
+    base = scratch(spark)
+    readings = v.ev_counter(FileStreams(spark), d)
+    T.run_available(readings.writeStream.foreachBatch(T.difference_upsert(base)), f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/rows").select("project_id", "id", "cumulative_value", "value", "violation")
+
+
+@query("stream_difference_stateful", v.CT, sql="""SELECT project_id, id, CAST(reading AS DOUBLE) AS cumulative_value,
+  CAST(delta AS DOUBLE) AS value, violation FROM df""")
 def _(spark, d):
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     T.use_rocksdb(spark)
@@ -83,7 +92,7 @@ HOUR = 3_600_000
 @query("stream_metric_series", v.EM, sql=f"""SELECT event_ms // {HOUR} * {HOUR} AS bucket_ms, 'event.value' AS name,
     CAST(round(sum(value) * 100) AS BIGINT) AS cents, count(*) AS count, min(value) AS min, max(value) AS max,
     round(quantile_cont(value, 0.95), 6) AS p95
-  FROM em GROUP BY ALL HAVING event_ms // {HOUR} * {HOUR} + {HOUR} <= (SELECT max(event_ms) FROM em) - 600000""")
+  FROM em WHERE event_ms // {HOUR} * {HOUR} + {HOUR} <= (SELECT max(event_ms) FROM em) - 600000 GROUP BY ALL""")
 def _(spark, d):
     samples = v.ev_metrics(FileStreams(spark), d)
     rows = drained(spark, T.stream_metric_series(samples, HOUR))

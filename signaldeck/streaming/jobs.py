@@ -105,7 +105,9 @@ def stream_difference(readings: DataFrame) -> DataFrame:
 
     Input: cumulative sum records with a value and a stream id.  Needs the RocksDB state
     store.  The delta of a row depends on arrival order between batches; the batch
-    operator recomputes from history instead.
+    operator recomputes from history instead.  All readings of a stream in one micro-batch
+    meet in one task: bound the batch (maxFilesPerTrigger, maxBytesPerTrigger), or use
+    :func:`difference_upsert`, which spreads a hot stream over its time slices.
     """
     packed = readings.withColumn("fields", F.to_json("fields")).withColumn("violation", F.lit(False))
     out = packed.groupBy(*O.STREAM).transformWithStateInPandas(
@@ -149,6 +151,25 @@ def issue_upsert(path: str) -> Callable[[DataFrame, int], None]:
     return upsert
 
 
+def difference_upsert(path: str, slice_ms: int = O.DAY_MS) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function that differences counters with state under ``path``.
+
+    Batch n writes its rows to ``rows/batch=n`` and the state after it to ``state/v=n``;
+    a replayed batch writes both again from the state before it.
+    """
+
+    def upsert(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        state = _read_or_none(spark, f"{path}/state/v={batch_id - 1}") if batch_id > 0 else None
+        rows, _ = O.difference_batch(batch, state, slice_ms)
+        target = f"{path}/rows/batch={batch_id}"
+        rows.write.mode("overwrite").parquet(target)
+        written = spark.read.schema(rows.schema).parquet(target)
+        O.next_state(written, state).write.mode("overwrite").parquet(f"{path}/state/v={batch_id}")
+
+    return upsert
+
+
 def stored_issues(spark: SparkSession, path: str, batch_id: int | None = None) -> DataFrame:
     """Issue table after a batch, by default the newest one."""
     if batch_id is None:
