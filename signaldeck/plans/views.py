@@ -147,7 +147,7 @@ def doc_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("log").alias("signal"),
             F.lit("otlp").alias("source"),
             F.md5("text").alias("source_id"),
-            (n * 1_000_000_000).alias("ts_nano"),
+            ((n + 1) * 1_000_000_000).alias("ts_nano"),
             (n * 1_000 + (n * 7919) % 600_000).alias("received_at_ms"),
             F.col("text").alias("message"),
             F.col("source").alias("logger"),
@@ -159,7 +159,7 @@ def doc_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DL = """dl AS (
   SELECT doc_id % 5 AS project_id, lpad(CAST(doc_id AS VARCHAR), 12, '0') AS id, md5(text) AS source_id,
-    doc_id * 1000 AS event_ms, doc_id * 1000000000 AS ts_nano,
+    (doc_id + 1) * 1000 AS event_ms, (doc_id + 1) * 1000000000 AS ts_nano,
     doc_id * 1000 + (doc_id * 7919) % 600000 AS received_at_ms,
     text AS message, source AS logger, lang AS environment,
     CASE WHEN doc_id % 2 = 0 THEN 'info' END AS level, doc_id
