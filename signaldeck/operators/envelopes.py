@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from signaldeck.functions import ids
 from signaldeck.functions import scalars as S
 from signaldeck.functions import variants as V
+from signaldeck.functions.stage import staged
 from signaldeck.schema import PROMOTED, conform
 
 SOURCE = "sentry"
@@ -75,7 +76,7 @@ def parsed(envelopes: DataFrame) -> DataFrame:
             F.octet_length(item["payload"]).alias("size"),
         ),
     )
-    return envelopes.withColumn("items", items).withColumn("envelope", F.try_parse_json("header"))
+    return staged(envelopes, items=items, envelope=F.try_parse_json("header"))
 
 
 def item_kind(item: Column) -> Column:
@@ -147,7 +148,7 @@ def validate_envelopes(envelopes: DataFrame) -> DataFrame:
         & V.is_object(envelope)
         & F.forall("items", lambda item: valid_item(item, envelope))
     )
-    return parsed(envelopes).withColumn("valid", F.coalesce(good, F.lit(False)))
+    return staged(parsed(envelopes), valid=F.coalesce(good, F.lit(False)))
 
 
 def rejects(envelopes: DataFrame) -> DataFrame:
@@ -382,32 +383,28 @@ def _accepted(envelopes: DataFrame) -> DataFrame:
     return rows.select("project_id", "received_at_ms", "envelope", F.explode("items").alias("item"))
 
 
-def _events(items: DataFrame) -> DataFrame:
-    item = F.col("item")
-    rows = items.filter(item_kind(item) == "event")
-    event_id = F.coalesce(
-        uuid_text(V.as_string(V.get(F.col("envelope"), "event_id"))),
-        uuid_text(V.as_string(V.get(item["body"], "event_id"))),
+def _entries(envelopes: DataFrame, kinds: list[str]) -> DataFrame:
+    """One row per event and per batch entry of the wanted item kinds, in one pass."""
+    item, kind = F.col("item"), F.col("_kind")
+    items = staged(_accepted(envelopes), _kind=item_kind(item)).filter(kind.isin(kinds))
+    listed = F.when(kind == "event", F.array(item["body"])).otherwise(
+        V.array_or_empty(V.get(item["body"], "items"))
     )
-    return rows.select(
-        "project_id", "received_at_ms", "envelope",
-        event_id.alias("id"), F.lit("error").alias("signal"), item["body"].alias("raw"),
-    )
-
-
-def _entries(items: DataFrame) -> DataFrame:
-    item = F.col("item")
-    rows = items.filter(item_kind(item).isin("log", "trace_metric"))
-    entries = V.array_or_empty(V.get(item["body"], "items"))
-    rows = rows.select("*", F.posexplode(entries).alias("_position", "raw"))
+    rows = staged(items, _listed=listed)
+    rows = rows.select("*", F.posexplode("_listed").alias("_position", "raw")).drop("_listed")
     identity = F.struct(
         "envelope", item["header"].alias("header"), item["index"].alias("index"), "_position", "raw"
     )
+    event_id = F.coalesce(
+        uuid_text(V.as_string(V.get(F.col("envelope"), "event_id"))),
+        uuid_text(V.as_string(V.get(F.col("raw"), "event_id"))),
+    )
+    entry_id = ids.uuid5(ids.BATCH_NAMESPACE, F.to_json(identity))
+    signal = F.when(kind == "event", "error").when(kind == "log", "log").otherwise("metric")
     return rows.select(
-        "project_id", "received_at_ms", "envelope",
-        ids.uuid5(ids.BATCH_NAMESPACE, F.to_json(identity)).alias("id"),
-        F.when(item_kind(item) == "log", "log").otherwise("metric").alias("signal"),
-        "raw",
+        "project_id", "received_at_ms", "envelope", "raw",
+        F.when(kind == "event", event_id).otherwise(entry_id).alias("id"),
+        signal.alias("signal"),
     )
 
 
@@ -420,18 +417,14 @@ def _records(rows: DataFrame) -> DataFrame:
 
 def events_to_errors(envelopes: DataFrame) -> DataFrame:
     """Event items of valid envelopes as error records."""
-    return _records(_events(_accepted(envelopes)))
+    return _records(_entries(envelopes, ["event"]))
 
 
 def explode_items(envelopes: DataFrame, kind: str | None = None) -> DataFrame:
     """Entries of log and metric batch items as records ('log', 'trace_metric' or both)."""
-    items = _accepted(envelopes)
-    if kind is not None:
-        items = items.filter(item_kind(F.col("item")) == kind)
-    return _records(_entries(items))
+    return _records(_entries(envelopes, ["log", "trace_metric"] if kind is None else [kind]))
 
 
 def envelope_records(envelopes: DataFrame) -> DataFrame:
     """All records of valid envelopes."""
-    items = _accepted(envelopes)
-    return _records(_events(items).unionByName(_entries(items)))
+    return _records(_entries(envelopes, list(SIGNAL_OF_KIND)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from signaldeck.functions import scalars as S
 from signaldeck.functions import variants as V
+from signaldeck.functions.stage import staged
 from signaldeck.schema import PROMOTED
 
 MAX_RAW_BYTES = 65_536
@@ -123,8 +124,8 @@ def collapse_frames(df: DataFrame, frames: str, out: str = "frame_groups") -> Da
             F.slice(F.col(frames), start + 1, end - start).alias("frames"),
         ),
     )
-    return (
-        df.withColumn("_starts", starts)
-        .withColumn(out, F.when(F.size("_starts") > 0, groups).otherwise(F.slice(groups, 1, 0)))
-        .drop("_starts")
-    )
+    grouped = staged(staged(df, _starts=starts), **{out: groups})
+    # Without frames there is one end (0) but no start.
+    return grouped.withColumn(
+        out, F.filter(out, lambda group: group["frames"].isNotNull())
+    ).drop("_starts")

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from signaldeck.functions import ids
 from signaldeck.functions import scalars as S
 from signaldeck.functions import variants as V
+from signaldeck.functions.stage import staged
 from signaldeck.schema import conform
-from signaldeck.sources.otel import ANY_VALUE_DEPTH, ATTRIBUTES, items
+from signaldeck.sources.otel import ANY_VALUE_DEPTH, ATTRIBUTES, items, scopes
 
 SOURCE = "otlp"
 # Reject reasons.
@@ -85,8 +86,12 @@ def scope_raw() -> Column:
     )
 
 
-def with_context(rows: DataFrame) -> DataFrame:
-    """Add ``_context`` (resource and scope fields) and ``_service`` (service name)."""
+def with_context(scope_rows: DataFrame) -> DataFrame:
+    """Add, once per resource and scope, the fields and JSON shared by all their items.
+
+    ``_context`` holds resource and scope fields, ``_service`` the service name,
+    ``_resource`` and ``_scope`` the raw forms.
+    """
     resource = V.prefix_keys(attributes_of(F.col("resource.attributes")), "resource.")
     scope = V.prefix_keys(attributes_of(F.col("scope.attributes")), "scope.attribute.")
     fixed = V.field_map(
@@ -95,25 +100,32 @@ def with_context(rows: DataFrame) -> DataFrame:
         ("scope.version", V.of(_text(F.col("scope.version")))),
         ("scope.schema_url", V.of(_text(F.col("scope_schema_url")))),
     )
-    merged = rows.withColumn("_context", V.merge(fixed, resource, scope))
-    return merged.withColumn("_service", V.as_string(F.col("_context")["resource.service.name"]))
+    shared = staged(
+        scope_rows,
+        _all=V.merge(fixed, resource, scope),
+        _resource=resource_raw(),
+        _scope=scope_raw(),
+    )
+    service = V.as_string(F.col("_all")["resource.service.name"])
+    shared = staged(shared, _service=service)
+    own = F.map_filter(
+        "_all", lambda name, _: ~((name == "resource.service.name") & F.col("_service").isNotNull())
+    )
+    return staged(shared, _context=own).drop(
+        "_all", "resource", "scope", "resource_schema_url", "scope_schema_url"
+    )
 
 
 def _record(rows: DataFrame, columns: dict[str, Column], *rest: Column) -> DataFrame:
     """Record rows out of typed columns and maps of further fields (earlier maps win)."""
-    service = F.col("_service")
-    others = F.map_filter(
-        V.merge(*rest, F.col("_context")),
-        lambda name, _: ~((name == "resource.service.name") & service.isNotNull()),
-    )
     return conform(
         rows.select(
             "project_id",
             "received_at_ms",
             F.lit(SOURCE).alias("source"),
-            service.alias("service_name"),
+            F.col("_service").alias("service_name"),
             *[column.alias(name) for name, column in columns.items()],
-            F.to_variant_object(others).alias("fields"),
+            F.to_variant_object(V.merge(*rest, F.col("_context"))).alias("fields"),
         )
     )
 
@@ -227,16 +239,21 @@ def valid_point(point: Column) -> Column:
 
 def spans_of(batches: DataFrame) -> DataFrame:
     """One row per span with a ``valid`` flag."""
-    rows = items(batches, "traces").withColumnRenamed("item", "span")
+    return _checked_spans(scopes(batches, "traces"))
+
+
+def _checked_spans(scope_rows: DataFrame) -> DataFrame:
+    rows = items(scope_rows, "span")
     return rows.withColumn("valid", F.coalesce(valid_span(F.col("span")), F.lit(False)))
 
 
-def _span_keys(rows: DataFrame) -> DataFrame:
+def _span_keys(batches: DataFrame) -> DataFrame:
     span = F.col("span")
+    rows = _checked_spans(with_context(scopes(batches, "traces")))
     keyed = rows.filter("valid").withColumns(
         {"_trace": S.hex_bytes(span["trace_id"]), "_span": S.hex_bytes(span["span_id"])}
     )
-    return with_context(keyed.withColumn("_id", F.concat_ws("-", "_trace", "_span")))
+    return keyed.withColumn("_id", F.concat_ws("-", "_trace", "_span"))
 
 
 def event_raw(event: Column) -> Column:
@@ -292,10 +309,10 @@ def flatten_spans(batches: DataFrame) -> DataFrame:
     """Valid spans as trace records."""
     span = F.col("span")
     raw = F.struct(
-        resource_raw().alias("resource"), scope_raw().alias("scope"), span_raw(span).alias("span")
+        F.col("_resource").alias("resource"), F.col("_scope").alias("scope"), span_raw(span).alias("span")
     )
     return _record(
-        _span_keys(spans_of(batches)),
+        _span_keys(batches),
         {
             "id": F.col("_id"),
             "source_id": F.col("_id"),
@@ -367,18 +384,18 @@ def _error_fields() -> Column:
 def span_exceptions(batches: DataFrame) -> DataFrame:
     """Exception events of valid spans as error records linked to their span."""
     span = F.col("span")
-    rows = _span_keys(spans_of(batches)).select(
+    rows = _span_keys(batches).select(
         "*", F.posexplode("span.events").alias("_index", "event")
     )
-    rows = rows.withColumn("_own", attributes_of(F.col("event.attributes")))
+    rows = staged(rows, _own=attributes_of(F.col("event.attributes")))
     rows = _with_exception(rows, F.col("event.name"))
     event_time = _zero(F.col("event.time_unix_nano"))
     error_id = F.concat_ws(
         "-", "_id", F.lit("exception"), event_time.cast("string"), F.col("_index").cast("string")
     )
     raw = F.struct(
-        resource_raw().alias("resource"),
-        scope_raw().alias("scope"),
+        F.col("_resource").alias("resource"),
+        F.col("_scope").alias("scope"),
         F.col("_id").alias("source_record_id"),
         event_raw(F.col("event")).alias("event"),
     )
@@ -408,7 +425,11 @@ def otel_traces(batches: DataFrame) -> DataFrame:
 
 def logs_of(batches: DataFrame) -> DataFrame:
     """One row per log record with a ``valid`` flag."""
-    rows = items(batches, "logs").withColumnRenamed("item", "log")
+    return _checked_logs(scopes(batches, "logs"))
+
+
+def _checked_logs(scope_rows: DataFrame) -> DataFrame:
+    rows = items(scope_rows, "log")
     return rows.withColumn("valid", F.coalesce(valid_log(F.col("log")), F.lit(False)))
 
 
@@ -428,13 +449,16 @@ def log_raw(log: Column) -> Column:
     )
 
 
-def _log_keys(rows: DataFrame) -> DataFrame:
+def _log_keys(batches: DataFrame) -> DataFrame:
     log = F.col("log")
+    rows = _checked_logs(with_context(scopes(batches, "logs")))
     raw = F.struct(
-        resource_raw().alias("resource"), scope_raw().alias("scope"), log_raw(log).alias("log_record")
+        F.col("_resource").alias("resource"), F.col("_scope").alias("scope"), log_raw(log).alias("log_record")
+    )
+    keyed = staged(
+        rows.filter("valid"), _raw=F.to_json(raw, KEEP_NULLS), _own=attributes_of(log["attributes"])
     )
-    keyed = rows.filter("valid").withColumn("_raw", F.to_json(raw, KEEP_NULLS))
-    keyed = keyed.withColumns(
+    return keyed.withColumns(
         {
             "_id": ids.uuid5(ids.OTEL_NAMESPACE, F.col("_raw")),
             "_time": F.coalesce(
@@ -442,10 +466,8 @@ def _log_keys(rows: DataFrame) -> DataFrame:
                 F.nullif(log["observed_time_unix_nano"], F.lit(0)),
                 F.col("received_at_ms") * 1_000_000,
             ),
-            "_own": attributes_of(log["attributes"]),
         }
     )
-    return with_context(keyed)
 
 
 def _log_ids() -> dict[str, Column]:
@@ -465,7 +487,7 @@ def flatten_logs(batches: DataFrame) -> DataFrame:
         F.coalesce(V.as_string(body), F.to_json(body))
     )
     return _record(
-        _log_keys(logs_of(batches)),
+        _log_keys(batches),
         {
             **_log_ids(),
             "id": F.col("_id"),
@@ -484,7 +506,7 @@ def flatten_logs(batches: DataFrame) -> DataFrame:
 
 def log_exceptions(batches: DataFrame) -> DataFrame:
     """Logs that describe an exception as error records linked to the log."""
-    rows = _with_exception(_log_keys(logs_of(batches)), F.col("log.event_name"))
+    rows = _with_exception(_log_keys(batches), F.col("log.event_name"))
     error_id = F.concat(F.col("_id"), F.lit("-exception"))
     return _record(
         rows,
@@ -588,10 +610,14 @@ POINT_KINDS = ("gauge", "sum", "histogram", "exponential_histogram", "summary")
 
 def points_of(batches: DataFrame) -> DataFrame:
     """One row per data point of any kind (one pass) with a ``valid`` flag."""
-    rows = items(batches, "metrics").withColumnRenamed("item", "metric")
+    return _checked_points(scopes(batches, "metrics"))
+
+
+def _checked_points(scope_rows: DataFrame) -> DataFrame:
     metric = F.col("metric")
     chosen = F.coalesce(*[_points(metric, kind) for kind in POINT_KINDS])
-    rows = rows.withColumn("point", F.explode(chosen))
+    rows = staged(items(scope_rows, "metric"), _points=chosen)
+    rows = rows.withColumn("point", F.explode("_points")).drop("_points")
     point = F.col("point")
     named = F.struct(metric["name"].alias("name"), *[point[c].alias(c) for c in (
         "type", "time", "start", "value", "well_formed")])
@@ -599,7 +625,9 @@ def points_of(batches: DataFrame) -> DataFrame:
 
 
 def stream_id() -> Column:
-    """Identity of a metric stream over name, type, unit, resource, scope, attributes."""
+    """Identity of a metric stream over name, type, unit, resource, scope, attributes.
+
+    For rows of points with the context of :func:`with_context`."""
     metric, point = F.col("metric"), F.col("point")
     identity = F.struct(
         metric["name"].alias("name"),
@@ -607,8 +635,8 @@ def stream_id() -> Column:
         F.coalesce(metric["unit"], F.lit("")).alias("unit"),
         point["temporality"].alias("temporality"),
         point["monotonic"].alias("monotonic"),
-        resource_raw().alias("resource"),
-        scope_raw().alias("scope"),
+        F.col("_resource").alias("resource"),
+        F.col("_scope").alias("scope"),
         pairs(point["attributes"]).alias("attributes"),
     )
     return ids.uuid5(ids.OTEL_NAMESPACE, F.to_json(identity, KEEP_NULLS))
@@ -622,7 +650,8 @@ def flatten_metrics(batches: DataFrame) -> DataFrame:
     """
     metric, point = F.col("metric"), F.col("point")
     temporality = F.when(point["temporality"].isNotNull(), S.temporality_name(point["temporality"]))
-    rows = with_context(points_of(batches).filter("valid").withColumn("_stream", stream_id()))
+    rows = _checked_points(with_context(scopes(batches, "metrics"))).filter("valid")
+    rows = rows.withColumn("_stream", stream_id())
     point_id = F.concat_ws(
         "-", "_stream", point["type"], point["start"].cast("string"), point["time"].cast("string")
     )
@@ -636,8 +665,8 @@ def flatten_metrics(batches: DataFrame) -> DataFrame:
         point["monotonic"].alias("monotonic"),
     )
     raw = F.struct(
-        resource_raw().alias("resource"),
-        scope_raw().alias("scope"),
+        F.col("_resource").alias("resource"),
+        F.col("_scope").alias("scope"),
         described.alias("metric"),
         F.parse_json(point["raw"]).alias("data_point"),
     )

@@ -319,7 +319,7 @@ def _(spark, d):
         F.split("html", "<", -1),
         lambda text, i: F.struct(i.alias("pos"), (text.contains(">") & text.startswith("p")).alias("in_app")),
     )
-    rows = v.table(spark, d, "pages").select("page_id", parts.alias("frames"))
+    rows = v.spread(v.table(spark, d, "pages")).select("page_id", parts.alias("frames"))
     rows = L.collapse_frames(rows, "frames", "groups")
     return rows.select("page_id", F.posexplode("groups")).select(
         "page_id", (F.col("pos") + 1).cast("bigint").alias("group_no"), F.col("col.in_app").alias("in_app"),

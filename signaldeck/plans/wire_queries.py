@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signaldeck.functions import scalars as S
+from signaldeck.functions.stage import staged
 from signaldeck.operators import ddtrace as D
 from signaldeck.operators import envelopes as E
 from signaldeck.operators import otel as O
@@ -60,6 +61,15 @@ def request(kind: str, service: Column, item: Column) -> Column:
     return F.from_json(text, otel_ddl(kind))
 
 
+def requests(table: DataFrame, received_at_ms: int, parsed: Column) -> DataFrame:
+    """Project 1's requests, each parsed once."""
+    rows = v.spread(table).select(
+        F.lit(1).cast("bigint").alias("project_id"),
+        F.lit(received_at_ms).cast("bigint").alias("received_at_ms"), "*",
+    )
+    return staged(rows, r=parsed).select("project_id", "received_at_ms", "r.*")
+
+
 def b64(hex_text: Column) -> Column:
     return F.base64(F.unhex(hex_text))
 
@@ -97,10 +107,7 @@ def li_otel(spark, d) -> DataFrame:
         status=F.struct((c("l_suppkey") % 3).cast("int").alias("code")),
         events_json=F.when(c("l_linestatus") == "F", F.concat(F.lit("["), event, F.lit("]"))).otherwise("[]"),
     )
-    return li.select(
-        F.lit(1).cast("bigint").alias("project_id"), F.lit(9).cast("bigint").alias("received_at_ms"),
-        request("traces", c("l_returnflag"), span).alias("r"),
-    ).select("project_id", "received_at_ms", "r.*")
+    return requests(li, 9, request("traces", c("l_returnflag"), span))
 
 
 LI = """li AS (SELECT *, lpad(lower(to_hex(l_orderkey + 1)), 32, '0') AS trace_id,
@@ -162,10 +169,7 @@ def doc_otel(spark, d) -> DataFrame:
         span_id=F.when(n % 8 < 2, b64(id_hex(n + 1, 16))),
         event_name=F.when(n % 7 == 0, "exception").otherwise(""),
     )
-    return v.table(spark, d, "documents").select(
-        F.lit(1).cast("bigint").alias("project_id"), F.lit(77).cast("bigint").alias("received_at_ms"),
-        request("logs", F.col("source"), log).alias("r"),
-    ).select("project_id", "received_at_ms", "r.*")
+    return requests(v.table(spark, d, "documents"), 77, request("logs", F.col("source"), log))
 
 
 DOC = """doc AS (SELECT *, doc_id % 26 <> 25 AND doc_id % 8 <> 1 AS ok,
@@ -236,10 +240,7 @@ def ev_otel(spark, d) -> DataFrame:
                 F.struct((F.lit(0.5) + (n % 4) / 5).alias("quantile"), value.alias("value")))), F.lit("]}")))
     )
     metric = F.concat(F.lit('{"name":"m.'), kind, F.lit('","unit":"'), F.when(n % 2 == 0, "ms").otherwise(""), F.lit('",'), data, F.lit("}"))
-    return v.table(spark, d, "events").select(
-        F.lit(1).cast("bigint").alias("project_id"), F.lit(9).cast("bigint").alias("received_at_ms"),
-        request("metrics", F.lit("svc"), metric).alias("r"),
-    ).select("project_id", "received_at_ms", "r.*")
+    return requests(v.table(spark, d, "events"), 9, request("metrics", F.lit("svc"), metric))
 
 
 EO = """eo AS (SELECT *, CASE event_type WHEN 'click' THEN 'gauge' WHEN 'view' THEN 'sum' WHEN 'signup' THEN 'histogram'
@@ -307,7 +308,7 @@ def dd_payloads(spark, d) -> DataFrame:
         ).alias("metrics"),
         F.lit("web").alias("type"),
     ).cast(dd.SPAN)
-    return v.table(spark, d, "lineitem").select(
+    return v.spread(v.table(spark, d, "lineitem")).select(
         F.lit(1).cast("bigint").alias("project_id"), F.lit(9).cast("bigint").alias("received_at_ms"),
         F.array(F.array(span)).alias("traces"),
     )
@@ -360,7 +361,7 @@ def coded_payloads(spark, d) -> DataFrame:
         F.create_map(F.lit("4"), c("l_discount")).alias("metrics"), F.lit(1).alias("type"),
     ).cast(dd.CODED_SPAN)
     words = F.array(c("l_returnflag"), F.lit("op"), c("l_linestatus"), F.lit("flag"), F.concat("l_returnflag", "l_linestatus"))
-    return v.table(spark, d, "lineitem").select(
+    return v.spread(v.table(spark, d, "lineitem")).select(
         F.lit(1).cast("bigint").alias("project_id"), F.lit(9).cast("bigint").alias("received_at_ms"),
         words.alias("dictionary"), F.array(F.array(span)).alias("traces"),
     )
@@ -424,7 +425,7 @@ def doc_envelopes(spark, d) -> DataFrame:
                  F.octet_length(logs).cast("string"), F.lit("}")), logs,
         F.lit('{"type":"session"}'), F.lit("{}"),
     )
-    return frame_envelopes(v.table(spark, d, "documents").select(
+    return frame_envelopes(v.spread(v.table(spark, d, "documents")).select(
         n.cast("string").alias("envelope_id"), F.lit(1).cast("bigint").alias("project_id"),
         F.lit(9).cast("bigint").alias("received_at_ms"), F.encode(lines, "UTF-8").alias("body"),
     ))

@@ -7,15 +7,22 @@ rejected as a whole inside its row.
 from __future__ import annotations
 
 import gzip
+import json
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signaldeck.functions import variants as V
+from signaldeck.functions.stage import staged
 from signaldeck.sources.otel import with_arrival
 
+# Executors get the splitter itself and need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Fixed value: greatest size of an envelope after decompression.
 MAX_ENVELOPE_BYTES = 20 * 1024 * 1024
 
@@ -37,11 +44,12 @@ def frame_envelopes(bodies: DataFrame) -> DataFrame:
     expressions.  The rest (payloads with newlines, compressed or malformed bodies)
     goes through a byte-level splitter, the only Python in this path.
     """
-    text = F.try_validate_utf8(F.col("body").cast("string"))
+    text = F.col("_text")
+    bodies = staged(bodies, _text=F.try_validate_utf8(F.col("body").cast("string")))
     lines = F.split(text, "\n", -1)
     # One newline at the very end closes the last line and starts none.
     lines = F.when(text.endswith("\n"), F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
-    split = bodies.withColumn("_lines", lines)
+    split = staged(bodies, _lines=lines)
     count = F.floor((F.size("_lines") - 1) / 2).cast("int")
     pairs = F.transform(
         F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>")),
@@ -49,7 +57,7 @@ def frame_envelopes(bodies: DataFrame) -> DataFrame:
             F.get("_lines", i * 2 - 1).alias("header"), F.get("_lines", i * 2).alias("payload")
         ),
     )
-    split = split.withColumn("items", pairs)
+    split = staged(split, items=pairs)
 
     def consistent(item: Column) -> Column:
         header = F.try_parse_json(item["header"])
@@ -63,16 +71,15 @@ def frame_envelopes(bodies: DataFrame) -> DataFrame:
         & (F.octet_length("body") <= MAX_ENVELOPE_BYTES)
         & F.forall("items", consistent)
     )
-    split = split.withColumn("_plain", F.coalesce(plain, F.lit(False)))
-    keep = [c for c in bodies.columns if c != "body"]
+    split = staged(split, _plain=F.coalesce(plain, F.lit(False)))
+    carried = [field for field in bodies.schema if field.name not in ("body", "_text")]
+    keep = [field.name for field in carried]
     simple = split.filter("_plain").select(
         *keep, F.get("_lines", F.lit(0)).alias("header"), "items",
         F.lit(None).cast("string").alias("frame_error"),
     )
-    schema = ", ".join(
-        f"`{field.name}` {field.dataType.simpleString()}" for field in bodies.schema if field.name != "body"
-    )
-    rest = split.filter(~F.col("_plain")).select(*bodies.columns)
+    schema = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in carried)
+    rest = split.filter(~F.col("_plain")).select(*keep, "body")
     framed = rest.mapInPandas(_frame_batches, f"{schema}, {FRAMED}")
     return simple.unionByName(framed)
 
@@ -89,8 +96,6 @@ def _frame_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def split_body(body: bytes) -> tuple[str | None, list[dict], str | None]:
     """(header, items, error) of one body, by bytes."""
-    import json
-
     try:
         if body[:2] == b"\x1f\x8b":
             body = gzip.decompress(body)

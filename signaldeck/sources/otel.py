@@ -132,8 +132,8 @@ def read_otel(spark: SparkSession, path: str, kind: str, project_id: int,
     return with_arrival(rows, project_id, received_at_ms)
 
 
-def items(batches: DataFrame, kind: str) -> DataFrame:
-    """One row per span, log record or metric with its resource and scope."""
+def scopes(batches: DataFrame, kind: str) -> DataFrame:
+    """One row per (resource, scope) with its spans, log records or metrics as ``_items``."""
     top, scoped, leaf = LEVELS[kind]
     resource = batches.select("project_id", "received_at_ms", F.explode(top).alias("_r"))
     scope = resource.select(
@@ -143,5 +143,10 @@ def items(batches: DataFrame, kind: str) -> DataFrame:
     return scope.select(
         "project_id", "received_at_ms", "resource", "resource_schema_url",
         F.col("_s.scope").alias("scope"), F.col("_s.schema_url").alias("scope_schema_url"),
-        F.explode(f"_s.{leaf}").alias("item"),
+        F.col(f"_s.{leaf}").alias("_items"),
     )
+
+
+def items(scope_rows: DataFrame, name: str) -> DataFrame:
+    """One row per span, log record or metric, as column ``name``."""
+    return scope_rows.select("*", F.explode("_items").alias(name)).drop("_items")

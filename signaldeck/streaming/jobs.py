@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -18,6 +20,9 @@ from signaldeck.operators import ordered as O
 from signaldeck.schema import RECORD_DDL, event_ms
 from signaldeck.sources.archive import PARTITION, partitioned
 
+# Executors get the state handler itself and need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 DEDUPE_KEYS = ["project_id", "source", "source_id"]
 
 
