@@ -108,11 +108,14 @@ def active_only(records: DataFrame, projects: DataFrame) -> DataFrame:
 def new_only(batch: DataFrame, seen: DataFrame) -> DataFrame:
     """Records whose (project, source, source id) is not stored yet.
 
-    De-duplicate the batch first: a group of copies then meets the join as one row.
+    De-duplicate the batch first: a group of copies then meets the join as one row.  The
+    stored keys are first cut to those in the batch, so a small batch is broadcast over
+    the store instead of shuffling every stored key; a large one shares one shuffle.
     """
     keys = ["project_id", "source", "source_id"]
+    arriving = batch.filter(F.col("source_id").isNotNull()).select(*keys).distinct()
     known = seen.filter(F.col("source_id").isNotNull()).select(*keys)
-    return batch.join(known, keys, "left_anti")
+    return batch.join(known.join(arriving, keys, "left_semi"), keys, "left_anti")
 
 
 def trace_spans(records: DataFrame, project_id: int, trace_id: str, end_ms: int | None = None) -> DataFrame:

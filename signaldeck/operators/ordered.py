@@ -29,24 +29,25 @@ def is_cumulative() -> Column:
     )
 
 
-def slice_ms_for(df: DataFrame, rows_per_slice: int = 5_000_000, shortest_ms: int = 60_000) -> int:
-    """Slice width at which even one key holding every row stays at about that many
-    rows per slice (one column-pruned aggregate over the table)."""
-    found = df.agg(
-        F.min("ts_nano").alias("low"), F.max("ts_nano").alias("high"), F.count(F.lit(1)).alias("n")
-    ).first()
-    if not found["n"]:
-        return DAY_MS
-    slices = max(found["n"] // rows_per_slice, 1)
-    width = (found["high"] - found["low"]) // 1_000_000 // slices
-    return int(min(max(width, shortest_ms), DAY_MS))
+def slice_ms_for(readings: DataFrame, rows_per_slice: int = 5_000_000, shortest_ms: int = 1_000) -> int:
+    """Slice width at which the fullest stream has about ``rows_per_slice`` rows per slice.
+
+    One map-side-combined count per stream.  Without a large stream a slice is a day.
+    """
+    streams = readings.groupBy(*STREAM).agg(
+        F.count(F.lit(1)).alias("n"), (F.max("ts_nano") - F.min("ts_nano")).alias("span")
+    )
+    slices = F.ceil(F.col("n") / F.lit(rows_per_slice))
+    width = F.when(F.col("n") > rows_per_slice, int_div(int_div(F.col("span"), 1_000_000), slices))
+    found = streams.agg(F.min(width)).first()[0]
+    return DAY_MS if found is None else int(min(max(found, shortest_ms), DAY_MS))
 
 
 def _between(window: W, start: int, end: int) -> W:
     return window.rowsBetween(start, end)
 
 
-def difference_cumulative(records: DataFrame, slice_ms: int = DAY_MS) -> DataFrame:
+def difference_cumulative(records: DataFrame, slice_ms: int | None = None) -> DataFrame:
     """Turn cumulative counter readings into deltas, recomputed from full history.
 
     Per (project, source, stream) in (time, start, id) order: the first reading is a
@@ -55,6 +56,9 @@ def difference_cumulative(records: DataFrame, slice_ms: int = DAY_MS) -> DataFra
     decrease of a monotonic counter is flagged in ``violation``, gets no value and is
     not accepted.  A further reading at an already seen timestamp counts as late: no
     value, no effect.  The reading moves to ``cumulative_value``; other records pass.
+
+    A stream is processed in time slices of ``slice_ms``; by default the width is chosen
+    from the measured size of the fullest stream (:func:`slice_ms_for`).
     """
     counter = is_cumulative()
     others = records.filter(~counter).withColumn("violation", F.lit(False))
@@ -66,7 +70,9 @@ def difference_cumulative(records: DataFrame, slice_ms: int = DAY_MS) -> DataFra
         .withColumn("value", F.lit(None).cast("double"))
         .withColumn("violation", F.lit(False))
     )
-    differenced = _difference(records.filter(counter & usable), slice_ms).drop("accepted")
+    readings = records.filter(counter & usable)
+    width = slice_ms or slice_ms_for(readings)
+    differenced = _difference(readings, width).drop("accepted")
     return others.unionByName(loose).unionByName(differenced)
 
 
@@ -78,7 +84,7 @@ STATE_DDL = (
 
 
 def difference_batch(readings: DataFrame, state: DataFrame | None = None,
-                     slice_ms: int = DAY_MS) -> tuple[DataFrame, DataFrame]:
+                     slice_ms: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Difference one batch of readings after ``state``; returns (rows, next state).
 
     Readings need a value and a stream id.  One not later than the state's last accepted
@@ -86,7 +92,7 @@ def difference_batch(readings: DataFrame, state: DataFrame | None = None,
     a stream that fills the whole batch is still spread over its slices.  Both results
     must be written before the next batch; ``rows`` keeps an ``accepted`` flag.
     """
-    rows = _difference(readings, slice_ms, state)
+    rows = _difference(readings, slice_ms or slice_ms_for(readings), state)
     return rows, next_state(rows, state)
 
 

@@ -142,37 +142,34 @@ def _by_path(forest: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-SIBLING_SLICES = 1024
-
-
 def _next_sibling(forest: DataFrame, keys: list[str]) -> DataFrame:
     """Add ``sibling``, the id after this one under the same parent.
 
-    Siblings are cut into time slices; the last one of a slice continues with the first
-    one of the next slice, taken from a table with one row per (parent, slice).
+    The spans are range-partitioned in sibling order and written, which fixes the range
+    number of every row; a parent with very many children, even at one timestamp, is cut
+    at range bounds.  The last child of a range continues with the first of the next one,
+    taken from a table with one row per (parent, range).
     """
-    span = forest.groupBy(*keys).agg(F.min("ts").alias("_low"), F.max("ts").alias("_high"))
-    width = F.greatest(
-        F.call_function("div", F.col("_high") - F.col("_low"), F.lit(SIBLING_SLICES).cast("bigint")) + 1,
-        F.lit(1),
-    )
-    sliced = forest.join(span, keys).withColumn(
-        "_slice", F.call_function("div", F.col("ts") - F.col("_low"), width)
-    ).drop("_low", "_high")
     group = [*keys, "parent"]
-    part = [*group, "late", "_slice"]
-    inside = W.partitionBy(*part).orderBy("ts", "id")
-    firsts = sliced.groupBy(*part).agg(F.min(F.struct("ts", "id")).getField("id").alias("_first"))
-    chain = W.partitionBy(*group).orderBy("late", "_slice")
+    part = [*group, "_range"]
+    ranged = forest.repartitionByRange(*group, "late", "ts", "id").withColumn(
+        "_range", F.spark_partition_id()
+    )
+    ranged = LineageCut(forest.sparkSession).save(ranged)
+    inside = W.partitionBy(*part).orderBy("late", "ts", "id")
+    firsts = ranged.groupBy(*part).agg(
+        F.min(F.struct("late", "ts", "id")).getField("id").alias("_first")
+    )
+    chain = W.partitionBy(*group).orderBy("_range")
     following = firsts.withColumn("_following", F.lead("_first").over(chain)).select(
         *[F.col(c).alias(f"_f_{c}") for c in part], "_following"
     )
     same = [F.col(c).eqNullSafe(F.col(f"_f_{c}")) for c in part]
     return (
-        sliced.withColumn("_inside", F.lead("id").over(inside))
+        ranged.withColumn("_inside", F.lead("id").over(inside))
         .join(following, same)
         .withColumn("sibling", F.coalesce("_inside", "_following"))
-        .drop("_slice", "_inside", "_following", *[f"_f_{c}" for c in part])
+        .drop("_range", "_inside", "_following", *[f"_f_{c}" for c in part])
     )
 
 

@@ -10,9 +10,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from signaldeck.functions import ids
+from signaldeck.operators import metrics as M
 from signaldeck.plans import views as v
 from signaldeck.plans.registry import query, uuid5_sql
-from signaldeck.functions import ids
 from signaldeck.session import shared_folder
 from signaldeck.sources.archive import open_archive
 from signaldeck.streaming import jobs as T
@@ -90,18 +91,25 @@ HOUR = 3_600_000
 
 
 @query("stream_metric_series", v.EM, sql=f"""SELECT event_ms // {HOUR} * {HOUR} AS bucket_ms, 'event.value' AS name,
-    CAST(round(sum(value) * 100) AS BIGINT) AS cents, count(*) AS count, min(value) AS min, max(value) AS max,
-    round(quantile_cont(value, 0.95), 6) AS p95
+    CAST(round(sum(value) * 100) AS BIGINT) AS cents, count(*) AS count, min(value) AS min, max(value) AS max
   FROM em WHERE event_ms // {HOUR} * {HOUR} + {HOUR} <= (SELECT max(event_ms) FROM em) - 600000 GROUP BY ALL""")
 def _(spark, d):
     samples = v.ev_metrics(FileStreams(spark), d)
     rows = drained(spark, T.stream_metric_series(samples, HOUR))
     return rows.select(
         "bucket_ms", "name", F.round(F.col("sum") * 100).cast("bigint").alias("cents"), "count", "min", "max",
-        F.round("p95", 6).alias("p95"),
     )
 
 
+@query("stream_percentiles", v.EM, sql=f"""SELECT event_ms // {HOUR} * {HOUR} AS bucket_ms, 'event.value' AS name,
+    round(quantile_cont(value, 0.95), 6) AS value
+  FROM em WHERE event_ms // {HOUR} * {HOUR} + {HOUR} <= (SELECT max(event_ms) FROM em) - 600000 GROUP BY ALL""")
+def _(spark, d):
+    counts = drained(spark, T.stream_value_counts(v.ev_metrics(FileStreams(spark), d), HOUR))
+    rows = M.percentile_of_counts(counts, ["bucket_ms", "name"], 0.95)
+    return rows.withColumn("value", F.round("value", 6))
+
+
 @query("stream_counters", v.EV, sql="SELECT 'accepted.' || signal AS name, count(*) AS value FROM ev GROUP BY signal")
 def _(spark, d):
     base = scratch(spark)

@@ -156,7 +156,7 @@ def issue_upsert(path: str) -> Callable[[DataFrame, int], None]:
     return upsert
 
 
-def difference_upsert(path: str, slice_ms: int = O.DAY_MS) -> Callable[[DataFrame, int], None]:
+def difference_upsert(path: str, slice_ms: int | None = None) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function that differences counters with state under ``path``.
 
     Batch n writes its rows to ``rows/batch=n`` and the state after it to ``state/v=n``;
@@ -197,26 +197,45 @@ def change_log(path: str) -> Callable[[DataFrame, int], None]:
 
 # --- aggregates and sinks ---------------------------------------------------------------
 
+def _windowed(samples: DataFrame, interval_ms: int, start_ms: int, delay: str) -> tuple[DataFrame, Column]:
+    offset = f"{start_ms % interval_ms} milliseconds"
+    width = f"{interval_ms} milliseconds"
+    timed = samples.filter(F.col("value").isNotNull()).withColumn("_event_ts", event_timestamp())
+    return timed.withWatermark("_event_ts", delay), F.window("_event_ts", width, width, offset)
+
+
 def stream_metric_series(samples: DataFrame, interval_ms: int, start_ms: int = 0,
                          group: list[str] | None = None, delay: str = "10 minutes") -> DataFrame:
-    """Windowed sums, counts, extremes and p95 of metric samples; append once complete.
+    """Windowed sums, counts and extremes of metric samples; appended once complete.
 
     Windows have the query interval and are aligned to ``start_ms``.
     """
-    offset = f"{start_ms % interval_ms} milliseconds"
-    width = f"{interval_ms} milliseconds"
-    timed = samples.filter(F.col("value").isNotNull()).withColumn("_event_ts", event_timestamp())
-    window = F.window("_event_ts", width, width, offset)
-    grouped = timed.withWatermark("_event_ts", delay).groupBy(window, "name", *(group or []))
+    timed, window = _windowed(samples, interval_ms, start_ms, delay)
+    grouped = timed.groupBy(window, "name", *(group or []))
     return grouped.agg(
         F.sum("value").alias("sum"),
         F.count("value").alias("count"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
-        F.percentile("value", F.lit(0.95)).alias("p95"),
     ).select(
         F.unix_millis(F.col("window.start")).alias("bucket_ms"),
-        "name", *(group or []), "sum", "count", "min", "max", "p95",
+        "name", *(group or []), "sum", "count", "min", "max",
+    )
+
+
+def stream_value_counts(samples: DataFrame, interval_ms: int, start_ms: int = 0,
+                        group: list[str] | None = None, delay: str = "10 minutes") -> DataFrame:
+    """Number of samples per window and value, appended once complete.
+
+    The state has one small row per distinct value, so no window grows into one large
+    state entry; :func:`signaldeck.operators.metrics.percentile_of_counts` turns the
+    finished counts into exact percentiles.
+    """
+    timed, window = _windowed(samples, interval_ms, start_ms, delay)
+    grouped = timed.groupBy(window, "name", *(group or []), "value")
+    return grouped.agg(F.count(F.lit(1)).alias("samples")).select(
+        F.unix_millis(F.col("window.start")).alias("bucket_ms"),
+        "name", *(group or []), "value", "samples",
     )
 
 

@@ -26,7 +26,7 @@ FIXTURE = [
 ]
 
 
-@pytest.mark.parametrize("slice_ms", [O.DAY_MS, 1_000, 2_000])
+@pytest.mark.parametrize("slice_ms", [None, O.DAY_MS, 1_000, 2_000])
 def test_differences(spark, slice_ms):
     rows = O.difference_cumulative(records(spark, [r for r, _ in FIXTURE]), slice_ms).collect()
     assert {r.id: r.value for r in rows} == {r["id"]: want for r, want in FIXTURE}
@@ -92,7 +92,7 @@ def test_batches_with_state_match_a_replay(spark):
 def test_slice_width(spark):
     df = records(spark, [reading(f"r{i}", "s", i * 3_600_000_000_000, 0, 1) for i in range(24)])
     assert O.slice_ms_for(df, rows_per_slice=6) == 23 * 3_600_000 // 4
-    assert O.slice_ms_for(df) == 23 * 3_600_000
+    assert O.slice_ms_for(df) == O.DAY_MS
 
 
 def test_dedupe_keeps_the_earliest_and_all_without_id(spark):
