@@ -18,7 +18,7 @@ def _first_text(*columns: str) -> Column:
 
 
 def listing(records: DataFrame) -> DataFrame:
-    """One summary row per record: text, level, origin, status and duration."""
+    """One row per record: text, level, origin, status, duration and one-line summary."""
     return records.select(
         "project_id",
         "id",
@@ -29,6 +29,7 @@ def listing(records: DataFrame) -> DataFrame:
         F.coalesce(_first_text("logger", "service_name"), F.col("source")).alias("origin"),
         F.coalesce(_first_text("span_status"), F.lit("unset")).alias("status"),
         S.human_duration(F.col("duration_ns")).alias("duration"),
+        summary().alias("summary"),
     )
 
 

@@ -24,15 +24,6 @@ def get_record(records: DataFrame, project_id: int, record_id: str,
     return both.orderBy("_tier").limit(1).drop("_tier")
 
 
-def newest_per_issue(records: DataFrame) -> DataFrame:
-    """Newest stored record id of each issue (combined before the shuffle)."""
-    return (
-        records.filter(F.col("issue_id").isNotNull())
-        .groupBy(*ISSUE)
-        .agg(F.max(F.struct("ts_nano", "id")).getField("id").alias("newest_id"))
-    )
-
-
 def issue_latest(issues: DataFrame, records: DataFrame) -> DataFrame:
     """Issue -> its latest record; if evicted, its newest stored one; else NULL.
 

@@ -68,7 +68,7 @@ def validate_field(field: str) -> str:
     raise UnsupportedField(f"unsupported field {field!r}")
 
 
-def _variant_field(field: str) -> Column:
+def variant_field(field: str) -> Column:
     """VARIANT of a field: its own name, else the attribute of that name."""
     key = tag_key(field)
     own = V.get(F.col("fields"), ALIASES.get(field, field))
@@ -76,7 +76,8 @@ def _variant_field(field: str) -> Column:
     return F.coalesce(own, attribute)
 
 
-def _native(field: str) -> tuple[Column, str] | None:
+def native_column(field: str) -> tuple[Column, str] | None:
+    """Record or promoted column of a field and its type; None for other fields."""
     canonical = ALIASES.get(field, field)
     found = RECORD_FIELDS.get(canonical) or PROMOTED.get(canonical)
     return (F.col(found[0]), found[1]) if found else None
@@ -85,8 +86,8 @@ def _native(field: str) -> tuple[Column, str] | None:
 def field(name: str) -> Column:
     """All values of a field as ARRAY<VARIANT> (empty when the field is absent)."""
     validate_field(name)
-    native = _native(name)
-    rest = V.elements(_variant_field(name))
+    native = native_column(name)
+    rest = V.elements(variant_field(name))
     if native is None:
         return rest
     return F.when(native[0].isNotNull(), F.array(V.of(native[0]))).otherwise(rest)
@@ -107,9 +108,9 @@ def _test(name: str, literal_type: str, test: Callable[[Column], Column],
           prune: Callable[[Column], Column] | None = None) -> Column:
     """True when any value of the field has the literal's type and passes ``test``."""
     validate_field(name)
-    native = _native(name)
+    native = native_column(name)
     rest = F.exists(
-        V.elements(_variant_field(name)),
+        V.elements(variant_field(name)),
         lambda value: F.coalesce(test(V.typed(value, literal_type)), F.lit(False)),
     )
     if native is None:
@@ -190,8 +191,8 @@ def glob(name: str, pattern: str) -> Column:
 def has(name: str) -> Column:
     """The field has a value: JSON null counts, an empty array does not."""
     validate_field(name)
-    native = _native(name)
-    rest = F.size(V.elements(_variant_field(name))) > 0
+    native = native_column(name)
+    rest = F.size(V.elements(variant_field(name))) > 0
     return rest if native is None else native[0].isNotNull() | rest
 
 
@@ -344,3 +345,11 @@ def search_issues(issues: DataFrame, project_id: int, predicate: Column | None =
     if predicate is not None:
         rows = rows.filter(predicate)
     return page(rows, limit, cursor).select(*columns, "has_more")
+
+
+def next_issue_cursor(rows: list) -> tuple[int, str] | None:
+    """Cursor after a collected page of issues, or None on the last one."""
+    if not rows or not rows[-1]["has_more"]:
+        return None
+    last = min(rows, key=lambda row: (row["last_seen_ms"], row["issue_id"]))
+    return last["last_seen_ms"] * 1_000_000, last["issue_id"]

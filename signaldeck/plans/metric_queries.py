@@ -125,7 +125,7 @@ def _(spark, d):
 @query("metric_null_group", v.EM, sql=f"""SELECT CASE WHEN k < 50 THEN CAST(k % 3 AS VARCHAR) END AS group_0,
   {BUCKET} AS bucket_ms, CAST(count(*) AS DOUBLE) AS value FROM em WHERE {RANGE} GROUP BY ALL""")
 def _(spark, d):
-    k = Q.V.as_bigint(Q._variant_field("k"))
+    k = Q.V.as_bigint(Q.variant_field("k"))
     fields = Q.V.field_map(("attribute.shard", Q.V.of(F.when(k < 50, k % 3))))
     records = v.ev_metrics(spark, d).withColumn("fields", F.to_variant_object(fields))
     return M.metric_series(records, request("count", group_by=("shard",)))
@@ -163,7 +163,7 @@ def _(spark, d):
   ORDER BY r DESC, group_0, bucket_ms LIMIT 40""")
 def _(spark, d):
     query_ = request("count", group_by=("event_type",))
-    return M.metric_series(v.ev_metrics(spark, d), query_, max_points=40, truncate=True)
+    return M.truncated_series(v.ev_metrics(spark, d), query_, max_points=40)
 
 
 @query("metric_cards", v.EV, sql="""SELECT name, 'metric' AS type, 'value' AS unit,

@@ -30,7 +30,7 @@ def _(spark, d):
 @query("search_in_any", v.EV, sql="""SELECT id, name, k FROM ev WHERE name IN ('click', 'view') AND k IN (1, 5, 42)""")
 def _(spark, d):
     rows = v.ev_records(spark, d).filter(Q.in_("name", ["click", "view"]) & Q.in_("k", [1, 5, 42, "7"]))
-    return rows.select("id", "name", Q.V.as_bigint(Q._variant_field("k")).alias("k"))
+    return rows.select("id", "name", Q.V.as_bigint(Q.variant_field("k")).alias("k"))
 
 
 @query("search_type_strict", v.EV, sql="""SELECT count(*) FILTER (WHERE user_id = '42') AS as_text,
@@ -57,7 +57,7 @@ def _(spark, d):
   WHERE url LIKE 'https://%.example.org/en/%'""")
 def _(spark, d):
     rows = v.page_records(spark, d).filter(Q.glob("http.url", "https://*.example.org/en/*"))
-    return rows.select("id", Q.V.as_string(Q._variant_field("http.url")).alias("url"))
+    return rows.select("id", Q.V.as_string(Q.variant_field("http.url")).alias("url"))
 
 
 @query("search_has", v.DL, sql="""SELECT project_id, count(*) FILTER (WHERE level IS NOT NULL) AS with_level,

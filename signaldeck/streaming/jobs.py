@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.utils import AnalysisException
 
 from signaldeck.operators import issues as I
 from signaldeck.operators import lookup as J
@@ -131,11 +130,25 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 # --- per-batch tables ----------------------------------------------------------------
 
-def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete ``v=<n>`` tables under a folder (directory names only)."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(context._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    done = [
+        status.getPath().getName()
+        for status in files.listStatus(folder)
+        if files.exists(context._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS"))
+    ]
+    return sorted(int(name[2:]) for name in done if name.startswith("v="))
+
+
+def version_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """Table of the newest batch before this one; None for the first batch."""
+    earlier = [version for version in versions(spark, path) if version < batch_id]
+    return spark.read.parquet(f"{path}/v={earlier[-1]}") if earlier else None
 
 
 def issue_upsert(path: str) -> Callable[[DataFrame, int], None]:
@@ -147,9 +160,7 @@ def issue_upsert(path: str) -> Callable[[DataFrame, int], None]:
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         fresh = I.issue_state(I.with_issue_id(batch))
-        stored = None
-        if batch_id > 0:
-            stored = _read_or_none(batch.sparkSession, f"{path}/v={batch_id - 1}")
+        stored = version_before(batch.sparkSession, path, batch_id)
         merged = fresh if stored is None else I.merge_issue_state(stored, fresh)
         merged.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
 
@@ -165,7 +176,7 @@ def difference_upsert(path: str, slice_ms: int | None = None) -> Callable[[DataF
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        state = _read_or_none(spark, f"{path}/state/v={batch_id - 1}") if batch_id > 0 else None
+        state = version_before(spark, f"{path}/state", batch_id)
         rows, _ = O.difference_batch(batch, state, slice_ms)
         target = f"{path}/rows/batch={batch_id}"
         rows.write.mode("overwrite").parquet(target)
@@ -178,8 +189,7 @@ def difference_upsert(path: str, slice_ms: int | None = None) -> Callable[[DataF
 def stored_issues(spark: SparkSession, path: str, batch_id: int | None = None) -> DataFrame:
     """Issue table after a batch, by default the newest one."""
     if batch_id is None:
-        versions = spark.read.parquet(path).select(F.max("v")).first()[0]
-        batch_id = int(versions)
+        batch_id = versions(spark, path)[-1]
     return I.issue_rows(spark.read.parquet(f"{path}/v={batch_id}"))
 
 

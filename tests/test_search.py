@@ -148,3 +148,20 @@ def test_collapse_frames(spark):
                                "n int, frames array<struct<i: int, in_app: boolean>>")
     groups = {r.n: [(g.in_app, [f.i for f in g.frames]) for g in r.frame_groups] for r in L.collapse_frames(df, "frames").collect()}
     assert groups == {1: [(False, [0, 1]), (True, [2]), (True, [3]), (False, [4, 5, 6]), (True, [7])], 2: []}
+
+
+def test_issue_paging(spark):
+    issues = spark.createDataFrame(
+        [(1, f"i{n}", "Boom", "error", 1, n // 2, n, n, None) for n in range(5)],
+        "project_id bigint, issue_id string, title string, level string, first_seen_ms bigint, last_seen_ms bigint, "
+        "total_seen bigint, retained_events bigint, latest_record_id string")
+    seen, cursor = [], None
+    while True:
+        rows = Q.search_issues(issues, 1, Q.all_of(Q.text("boom"), Q.has("timesSeen")), limit=2, cursor=cursor).collect()
+        seen += sorted((r.issue_id for r in rows), reverse=True)
+        cursor = Q.next_issue_cursor(rows)
+        if cursor is None:
+            break
+    assert seen == ["i4", "i3", "i2", "i1", "i0"]
+    assert Q.search_issues(issues, 1, Q.ge("timesSeen", 3)).count() == 2
+    assert Q.search_issues(issues, 1, Q.eq("issue", "i2")).first().title == "Boom"
