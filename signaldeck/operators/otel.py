@@ -616,10 +616,10 @@ def points_of(batches: DataFrame) -> DataFrame:
 def _checked_points(scope_rows: DataFrame) -> DataFrame:
     metric = F.col("metric")
     chosen = F.coalesce(*[_points(metric, kind) for kind in POINT_KINDS])
-    rows = staged(items(scope_rows, "metric"), _points=chosen)
+    rows = staged(items(scope_rows, "metric"), _points=chosen, metric_name=metric["name"])
     rows = rows.withColumn("point", F.explode("_points")).drop("_points")
     point = F.col("point")
-    named = F.struct(metric["name"].alias("name"), *[point[c].alias(c) for c in (
+    named = F.struct(F.col("metric_name").alias("name"), *[point[c].alias(c) for c in (
         "type", "time", "start", "value", "well_formed")])
     return rows.withColumn("valid", F.coalesce(valid_point(named), F.lit(False)))
 
