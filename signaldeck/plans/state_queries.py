@@ -35,22 +35,22 @@ def _(spark, d):
   last_seen_ms, total_seen, latest_record_id FROM iss""")
 def _(spark, d):
     errors = errors_of(spark, d)
-    shard = F.col("id").cast("bigint") % 3
-    parts = [I.issue_state(errors.filter(shard == i)) for i in range(3)]
+    # Three arrival batches: before 1996, before 1999, later.
+    bounds = [0, 820454400000, 915148800000, 2**62]
+    arrived = F.col("received_at_ms")
+    parts = [I.issue_state(errors.filter((arrived >= a) & (arrived < b))) for a, b in zip(bounds, bounds[1:])]
     return I.issue_rows(I.merge_issue_state(*parts)).drop("retained_events")
 
 
-KEPT = "event_ms >= 946684800000"
-
-
 @query("issues_retained", v.OE, sql=f"""SELECT project_id, {ISSUE_ID} AS issue_id, total_seen,
   (SELECT count(*) FROM oe WHERE oe.project_id = iss.project_id AND oe.fingerprint = iss.fingerprint
-     AND oe.received_at_ms % 3 <> 0) AS retained_events,
-  CASE WHEN latest_record_id IN (SELECT id FROM oe WHERE oe.received_at_ms % 3 <> 0) THEN latest_record_id END AS latest_record_id
+     AND oe.received_at_ms >= 883612800000 AND oe.title NOT LIKE '%#3') AS retained_events,
+  CASE WHEN latest_record_id IN (SELECT id FROM oe WHERE oe.received_at_ms >= 883612800000 AND oe.title NOT LIKE '%#3') THEN latest_record_id END AS latest_record_id
   FROM iss""")
 def _(spark, d):
     errors = errors_of(spark, d)
-    kept = errors.filter(F.col("received_at_ms") % 3 != 0)
+    # Evicted: everything received before 1998, and one title.
+    kept = errors.filter((F.col("received_at_ms") >= 883612800000) & ~F.col("issue_title").endswith("#3"))
     return I.retained(I.issues(errors), kept).select(
         "project_id", "issue_id", "total_seen", "retained_events", "latest_record_id"
     )
