@@ -9,6 +9,8 @@ unique, so neither a huge trace nor a parent with millions of children meets one
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,7 +21,6 @@ TRACE = ["project_id", "trace_id"]
 # Longest path kept in a row, and most spans ordered in one window.
 MAX_PATH = 64
 MAX_WINDOW_SPANS = 50_000
-STEP = "struct<late: int, ts: bigint, id: string>"
 
 
 def _step(late: Column) -> Column:
@@ -54,19 +55,24 @@ def _climb(nodes: DataFrame, keys: list[str], max_path: int) -> tuple[DataFrame,
         F.lit(None).cast("struct<ts: bigint, id: string>").alias("best"),
         F.lit(False).alias("moved"),
     )
-    rounds = LineageCut(nodes.sparkSession)
-    state = rounds.save(state)
+    # Every round writes only the nodes that were still climbing; a node's state is in the
+    # last table that has it, and nodes at their root stay where they are.
+    rounds = LineageCut(nodes.sparkSession, keep_all=True)
+    latest, arrived = rounds.save(state), []
+    climbing, at_root = F.col("up").isNotNull(), F.col("up").isNull()
     pending = None
     while True:
-        counts = state.filter(F.col("up").isNotNull()).agg(
+        arrived.append(latest.filter(at_root))
+        rooted = functools.reduce(DataFrame.unionByName, arrived)
+        counts = latest.filter(climbing).agg(
             F.count(F.lit(1)).alias("open"), F.count_if("moved").alias("moved")
         ).first()
         if counts["open"] == 0:
-            return state, None
-        if pending is not None and counts["open"] == pending and counts["moved"] == 0:
-            return state.filter(F.col("up").isNull()), state.filter(F.col("up").isNotNull())
+            return rooted, None
+        if counts["open"] == pending and counts["moved"] == 0:
+            return rooted, latest.filter(climbing)
         pending = counts["open"]
-        target = state.select(
+        target = rooted.unionByName(latest.filter(climbing)).select(
             *keys,
             F.col("id").alias("up"),
             F.col("up").alias("_next"),
@@ -77,7 +83,7 @@ def _climb(nodes: DataFrame, keys: list[str], max_path: int) -> tuple[DataFrame,
         path = F.when(
             F.size("_path") + F.size("path") <= max_path, F.concat("_path", "path")
         )
-        climbed = state.filter(F.col("up").isNotNull()).join(target, [*keys, "up"]).select(
+        climbed = latest.filter(climbing).join(target, [*keys, "up"]).select(
             *keys, "id", "ts", "parent", "late",
             F.col("_next").alias("up"),
             (F.col("depth") + F.col("_depth")).alias("depth"),
@@ -85,8 +91,7 @@ def _climb(nodes: DataFrame, keys: list[str], max_path: int) -> tuple[DataFrame,
             F.least("best", "_best").alias("best"),
             (~F.least("best", "_best").eqNullSafe(F.col("best"))).alias("moved"),
         )
-        done = state.filter(F.col("up").isNull())
-        state = rounds.save(done.unionByName(climbed))
+        latest = rounds.save(climbed)
 
 
 def _cut_cycles(looping: DataFrame) -> DataFrame:

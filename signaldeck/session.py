@@ -38,18 +38,20 @@ class LineageCut:
     Each :meth:`save` writes the DataFrame to a new Parquet table in the shared
     checkpoint folder and reads it back, so a lost executor costs a re-read and not a
     recomputation, and plans (with their inferred constraints) stay small.  A table is
-    removed once its successor is complete; the last one stays for its lazy readers.
+    removed once its successor is complete, unless all are kept; the last one stays for
+    its lazy readers.
     """
 
-    def __init__(self, spark: SparkSession) -> None:
+    def __init__(self, spark: SparkSession, keep_all: bool = False) -> None:
         self._spark = spark
+        self._keep_all = keep_all
         self._folder = f"{shared_folder(spark).rstrip('/')}/signaldeck-{uuid.uuid4().hex}"
         self._saved = 0
 
     def save(self, df: DataFrame) -> DataFrame:
         path = f"{self._folder}/{self._saved}"
         df.write.parquet(path)
-        if self._saved:
+        if self._saved and not self._keep_all:
             self._remove(f"{self._folder}/{self._saved - 1}")
         self._saved += 1
         return self._spark.read.schema(df.schema).parquet(path)
