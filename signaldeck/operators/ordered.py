@@ -282,31 +282,17 @@ def _check_target(target_bytes: int) -> None:
         raise ValueError("storage target must be greater than zero")
 
 
-def _evict_oldest(df: DataFrame, time_ms: str, order: list[str], amount: str, target_bytes: int,
-                  other_bytes: int) -> DataFrame:
-    _check_target(target_bytes)
-    summed = with_prior_total(df, time_ms, order, amount)
-    over = F.col("total") + F.lit(other_bytes) - F.col("prior") > target_bytes
-    return summed.filter(over).drop("prior", "total")
-
-
 def evict_plan(manifest: DataFrame, target_bytes: int, other_bytes: int = 0) -> DataFrame:
     """Archive partitions to drop, oldest first, until the target holds.
 
     ``other_bytes`` is what lives outside the archive (hot records, issues).
     """
-    return _evict_oldest(
-        manifest, "min_received_ms", ["project_id", "signal", "receive_date"], "logical_bytes",
-        target_bytes, other_bytes,
-    )
-
-
-def evict_issues(issues: DataFrame, target_bytes: int, other_bytes: int = 0,
-                 size: str = "logical_bytes") -> DataFrame:
-    """Issues to drop, oldest first-seen first, once all records are gone."""
-    return _evict_oldest(
-        issues, "first_seen_ms", ["issue_id", "project_id"], size, target_bytes, other_bytes
+    _check_target(target_bytes)
+    summed = with_prior_total(
+        manifest, "min_received_ms", ["project_id", "signal", "receive_date"], "logical_bytes"
     )
+    over = F.col("total") + F.lit(other_bytes) - F.col("prior") > target_bytes
+    return summed.filter(over).drop("prior", "total")
 
 
 @dataclass(frozen=True)
@@ -317,8 +303,8 @@ class Cut:
     id: str
     project_id: int
 
-    def evicted(self) -> Column:
-        time, key, project = F.col("received_at_ms"), F.col("id"), F.col("project_id")
+    def evicted(self, time_ms: str = "received_at_ms", id: str = "id") -> Column:
+        time, key, project = F.col(time_ms), F.col(id), F.col("project_id")
         return (time <= self.received_at_ms) & (
             (time < self.received_at_ms)
             | (key < self.id)
@@ -384,3 +370,13 @@ def evict_hot(records: DataFrame, target_bytes: int, other_bytes: int = 0,
     """Oldest records by (arrival, id) to drop until the target holds."""
     cut = hot_cut(records, target_bytes, other_bytes, size)
     return records.filter(F.lit(False) if cut is None else cut.evicted())
+
+
+def evict_issues(issues: DataFrame, target_bytes: int, other_bytes: int = 0,
+                 size: str = "logical_bytes") -> DataFrame:
+    """Issues to drop, oldest (first seen, id) first, once all records are gone."""
+    ordered = issues.select(
+        F.col("first_seen_ms").alias("received_at_ms"), F.col("issue_id").alias("id"), "project_id", size
+    )
+    cut = hot_cut(ordered, target_bytes, other_bytes, size)
+    return issues.filter(F.lit(False) if cut is None else cut.evicted("first_seen_ms", "issue_id"))
