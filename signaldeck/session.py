@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,10 +23,14 @@ def local_session(cpus: int = 8, memory: str = "12g") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a private one only where the session names none."""
+    """The folder for written tables that the cluster names in ``spark.checkpoint.dir``.
+
+    Where the session names none, tables go next to the warehouse, which driver and
+    executors share as well.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        folder = tempfile.mkdtemp(prefix="signaldeck-checkpoint-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/signaldeck-tables"
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 

@@ -5,9 +5,10 @@ import pytest
 
 import __spark_entry__ as entry
 from check_oracle import TABLES, compare
+from signaldeck.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
-ORACLES = entry.oracle_sql()
+ORACLES = catalog.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -19,14 +20,14 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) - set(ORACLES) == set()
+    assert set(catalog.QUERIES) - set(ORACLES) == set()
 
 
 def test_entry(spark):
     assert entry.entry(spark).columns == ["group_0", "bucket_ms", "value"]
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, duck, name):
-    got = entry.queries()[name](spark, FOLDER).toPandas()
+    got = catalog.QUERIES[name](spark, FOLDER).toPandas()
     assert compare(got, duck.execute(ORACLES[name]).df()) == "ok"
