@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from signaldeck.llm import line_dedup, quality_rules
+from signaldeck.llm.decontamination import op7_decontamination
 from signaldeck.llm.packing import op1_packing
 from signaldeck.llm.token_counts import op5_token_counts
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
     "op5_token_counts": op5_token_counts,
+    "op7_decontamination": op7_decontamination,
+    "op10_quality_rules": quality_rules.op10_quality_rules,
+}
+ORACLES = {
+    "op2_line_dedup": line_dedup.ORACLE_SQL,
+    "op10_quality_rules": quality_rules.ORACLE_SQL,
 }
-ORACLES: dict[str, str] = {}
