@@ -51,15 +51,19 @@ class LineageCut:
         self._folder = f"{shared_folder(spark).rstrip('/')}/signaldeck-{uuid.uuid4().hex}"
         self._saved = 0
 
+    def new_path(self) -> str:
+        """A path below the folder that nothing was written to yet."""
+        self._saved += 1
+        return f"{self._folder}/{self._saved - 1}"
+
     def save(self, df: DataFrame) -> DataFrame:
-        path = f"{self._folder}/{self._saved}"
+        path = self.new_path()
         df.write.parquet(path)
-        if self._saved and not self._keep_all:
-            self._remove(f"{self._folder}/{self._saved - 1}")
-        self._saved += 1
+        if self._saved > 1 and not self._keep_all:
+            self.remove(f"{self._folder}/{self._saved - 2}")
         return self._spark.read.schema(df.schema).parquet(path)
 
-    def _remove(self, path: str) -> None:
+    def remove(self, path: str) -> None:
         context = self._spark.sparkContext
         target = context._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
