@@ -7,6 +7,7 @@ from signaldeck.llm.decontamination import op7_decontamination
 from signaldeck.llm.html_extraction import op9_html_extraction
 from signaldeck.llm.packing import op1_packing
 from signaldeck.llm.quality_classifier import op3_quality_classifier
+from signaldeck.llm.substring_dedup import op8_substring_dedup
 from signaldeck.llm.token_counts import op5_token_counts
 from signaldeck.llm.token_files import op6_token_files
 
@@ -17,11 +18,13 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_token_files": op6_token_files,
     "op7_decontamination": op7_decontamination,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLES = {
     "op2_line_dedup": line_dedup.ORACLE_SQL,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_quality_rules": quality_rules.ORACLE_SQL,
 }
