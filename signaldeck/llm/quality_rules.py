@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signaldeck.llm.common import narrow
+from signaldeck.llm.common import narrow, tables
 
 MAX_SHARE = 0.1
 MIN_DOCS = 20
@@ -42,14 +42,15 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, _SPACE), lambda w: w != "")
 
 
-def measures(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """The rows as struct ``doc``, with ``text`` (never null) and the counts of the base rules."""
-    df = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("text"))
+def measures(df: DataFrame, text_column: str = "text") -> DataFrame:
+    """Rows of (doc, over), with ``text`` (never null), its lines and the counts of the base rules."""
+    df = df.select("doc", "over", F.coalesce(F.col("doc")[text_column], F.lit("")).alias("text"))
     df = df.withColumn("words", _words(F.col("text"))).withColumn("lines", F.split("text", "\n"))
     n = F.size("words")
     gram = lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2))
     df = df.select(
         "doc",
+        "over",
         "text",
         "lines",
         _filled(F.col("lines")).alias("filled"),
@@ -79,6 +80,7 @@ def measures(docs: DataFrame, text_column: str = "text") -> DataFrame:
     step = lambda s, j: F.least(F.lit(3), F.coalesce(F.get("repeated", j + 1) - s, F.lit(3)))
     return df.select(
         "doc",
+        "over",
         "text",
         "lines",
         "n_words",
@@ -124,9 +126,11 @@ def quality_rules(
     frequencies.  Lines without a word are never removed.  An empty table gives no rows.
     Every column of a row stays inside ``doc``, so that no name can clash.
     """
-    limits = frequent_lines(docs, text_column, host_column, max_share, min_docs)
-    df = measures(docs, text_column)
-    df = df.join(limits, df["doc"][host_column].eqNullSafe(limits["limit_host"]), "left")
+    # Written first, so that Spark knows its size before it chooses how to join it.
+    limits = tables(docs.sparkSession).save(frequent_lines(docs, text_column, host_column, max_share, min_docs))
+    df = docs.select(F.struct("*").alias("doc"))
+    df = df.join(limits, df["doc"][host_column].eqNullSafe(limits["limit_host"]), "left").select("doc", "over")
+    df = measures(df, text_column)
     stays = lambda x: (F.length(F.btrim(x, F.lit(_SPACES))) == 0) | ~F.array_contains("over", _line_hash(x))
     df = df.withColumn("kept_lines", F.when(F.col("over").isNull(), F.col("lines")).otherwise(F.filter("lines", stays)))
     removed = F.size("lines") - F.size("kept_lines")
