@@ -5,6 +5,7 @@ from __future__ import annotations
 from signaldeck.llm import line_dedup, quality_rules
 from signaldeck.llm.decontamination import op7_decontamination
 from signaldeck.llm.html_extraction import op9_html_extraction
+from signaldeck.llm.jaccard_join import op4_jaccard_join
 from signaldeck.llm.packing import op1_packing
 from signaldeck.llm.quality_classifier import op3_quality_classifier
 from signaldeck.llm.substring_dedup import op8_substring_dedup
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_token_counts": op5_token_counts,
     "op6_token_files": op6_token_files,
     "op7_decontamination": op7_decontamination,

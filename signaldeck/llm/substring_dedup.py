@@ -54,7 +54,7 @@ class WordHashes(dict):
         return h
 
 
-_HASHES = WordHashes()
+WORD_HASHES = WordHashes()
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -101,7 +101,7 @@ def phrases(docs: DataFrame, window: int) -> DataFrame:
             for rows, texts in chunks(batch, "text"):
                 split = [t.split() for t in texts]
                 sizes = np.fromiter(map(len, split), np.int64, len(split))
-                words = np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(split)), np.uint64, int(sizes.sum()))
+                words = np.fromiter(map(WORD_HASHES.__getitem__, chain.from_iterable(split)), np.uint64, int(sizes.sum()))
                 starts, hashes = phrase_starts(words, sizes, window)
                 edges = np.concatenate([[0], np.cumsum(sizes)])
                 row = np.searchsorted(edges, starts, side="right") - 1
