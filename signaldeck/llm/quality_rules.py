@@ -138,18 +138,11 @@ def quality_rules(
     df = df.withColumn("kept_text", F.when(F.col("n_removed_lines") == 0, F.col("text")).otherwise(F.array_join("kept_lines", "\n")))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeated_percent * F.col("n_words"))
     left = F.when(F.col("n_removed_lines") == 0, F.col("word_chars")).otherwise(_chars(_words(F.col("kept_text"))))
-    return df.select(
-        "doc",
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        "n_dup_lines",
-        "n_repeat_words",
-        failed.alias("base_failed"),
-        "n_removed_lines",
-        "kept_text",
-        (~failed & (left >= F.lit(min_left) * F.col("word_chars"))).alias("kept"),
-    )
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_lines", "kept_text"]
+    verdict = ~failed & (left >= F.lit(min_left) * F.col("word_chars"))
+    # Behind a generator, so that a filter on the verdict doesn't compute everything below a second time.
+    row = F.struct(*counts, failed.alias("base_failed"), verdict.alias("kept"))
+    return df.select("doc", F.inline(F.array(row)))
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
