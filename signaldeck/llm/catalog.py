@@ -26,7 +26,5 @@ QUERIES = {
 }
 ORACLES = {
     "op2_line_dedup": line_dedup.ORACLE_SQL,
-    "op8_substring_dedup": op8_substring_dedup,
-    "op9_html_extraction": op9_html_extraction,
     "op10_quality_rules": quality_rules.ORACLE_SQL,
 }

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +21,17 @@ def tables(spark: SparkSession) -> LineageCut:
     return LineageCut(spark, keep_all=True)
 
 
+def _importable(spark: SparkSession) -> None:
+    """Let Python workers look for this package where the driver found it, if it isn't installed there."""
+    own, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if own not in known:
+        env["PYTHONPATH"] = os.pathsep.join([*known, own])
+
+
 def narrow(docs: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns; extra ones of any name are left behind at the scan."""
+    _importable(docs.sparkSession)
     return docs.select(*(F.col(f"`{c}`").alias(c) for c in columns))
 
 
