@@ -28,7 +28,7 @@ def odd_texts():
 
 def write_documents(spark, folder, texts):
     """A documents table with further columns whose names clash with those of the results."""
-    rows = [(i, t, "en", None if i % 7 == 3 else f"src{i % 2}", len(t or ""), i, "x", "y") for i, t in texts]
+    rows = [(i, t, "en", None if (i or 0) % 7 == 3 else f"src{(i or 0) % 2}", len(t or ""), i, "x", "y") for i, t in texts]
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_words bigint, doc string, kept string"
     spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{folder}/documents.parquet")
 
