@@ -103,14 +103,15 @@ def rfc3339_nano(text: Column) -> Column:
     shaped = F.when(text.rlike(RFC3339), F.upper(F.translate(text, " ", "T")))
     seconds = F.unix_seconds(F.try_to_timestamp(shaped))
     fraction = F.rpad(F.substring(F.regexp_extract(shaped, r"\.(\d+)", 1), 1, 9), 9, "0")
-    nano = seconds * 1_000_000_000 + fraction.cast("bigint")
+    # Dates beyond the range of the nanoseconds are no valid times, like malformed ones.
+    nano = F.try_add(F.try_multiply(seconds, F.lit(1_000_000_000)), fraction.cast("bigint"))
     return F.when(nano >= 0, nano)
 
 
 def seconds_to_nano(seconds: Column) -> Column:
-    return F.when(
-        is_finite(seconds) & (seconds >= 0), F.floor(seconds * 1e9).cast("bigint")
-    )
+    """Seconds since 1970 -> nanoseconds; NULL when negative, not finite or out of range."""
+    inside = is_finite(seconds) & (seconds >= 0) & (seconds * 1e9 < float(2**63))
+    return F.when(inside, F.floor(F.when(inside, seconds) * 1e9).cast("bigint"))
 
 
 def duration_ms(text: Column) -> Column:

@@ -11,12 +11,19 @@ MAP_OF_VARIANT = "map<string,variant>"
 
 def path(*keys: str) -> str:
     """JSON path of nested object keys; dots inside a key are literal."""
-    return "$" + "".join(f'["{key}"]' for key in keys)
+    return "$" + "".join(f"['{key}']" if '"' in key else f'["{key}"]' for key in keys)
 
 
 def get(value: Column, *keys: str) -> Column:
     """Sub-value at the keys; SQL NULL only when a key is missing."""
-    return F.try_variant_get(value, path(*keys), "variant")
+    for key in keys:
+        if '"' in key and "'" in key:
+            # No path can name such a key.
+            members = F.try_variant_get(value, "$", MAP_OF_VARIANT)
+            value = F.when(is_object(value), F.element_at(members, key))
+        else:
+            value = F.try_variant_get(value, path(key), "variant")
+    return value
 
 
 def kind(value: Column) -> Column:
@@ -119,12 +126,12 @@ def merge(*maps: Column) -> Column:
     return merged
 
 
-def map_of_pairs(pairs: Column) -> Column:
-    """MAP<STRING, VARIANT> of an array of (key, value) structs; the last value of a key wins."""
+def map_of_pairs(pairs: Column, kind: str = MAP_OF_VARIANT) -> Column:
+    """Map of an array of (key, value) structs; the last value of a key wins."""
     keys = F.transform(pairs, lambda pair: pair["key"])
     folded = F.aggregate(
         pairs,
-        F.create_map().cast(MAP_OF_VARIANT),
+        F.create_map().cast(kind),
         lambda done, pair: F.map_zip_with(
             done,
             F.create_map(pair["key"], pair["value"]),

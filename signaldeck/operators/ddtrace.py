@@ -50,17 +50,19 @@ def expand_dictionary(payloads: DataFrame) -> DataFrame:
             word(span["name"]).alias("name"),
             word(span["resource"]).alias("resource"),
             *[span[c].alias(c) for c in ("trace_id", "span_id", "parent_id", "start", "duration", "error")],
-            F.map_from_entries(
+            V.map_of_pairs(
                 F.transform(
                     F.map_entries(span["meta"]),
                     lambda e: F.struct(word(e["key"]).alias("key"), word(e["value"]).alias("value")),
-                )
+                ),
+                "map<string,string>",
             ).alias("meta"),
-            F.map_from_entries(
+            V.map_of_pairs(
                 F.transform(
                     F.map_entries(span["metrics"]),
                     lambda e: F.struct(word(e["key"]).alias("key"), e["value"].alias("value")),
-                )
+                ),
+                "map<string,double>",
             ).alias("metrics"),
             word(span["type"]).alias("type"),
         )

@@ -279,7 +279,7 @@ def with_prior_total(df: DataFrame, time_ms: str, order: list[str], amount: str,
 
 def _check_target(target_bytes: int) -> None:
     if target_bytes <= 0:
-        raise ValueError("storage target must be greater than zero")
+        raise ValueError("bytes to keep must be positive")
 
 
 def evict_plan(manifest: DataFrame, target_bytes: int, other_bytes: int = 0) -> DataFrame:

@@ -48,7 +48,7 @@ def _(spark, d):
         M.group_label(M.group_key("event_type")).alias("event_type"),
         M.bucket(event_ms(), START, DAY).alias("bucket_ms"), "value",
     )
-    return M.ranked_percentile(rows, ["event_type", "bucket_ms"], 0.99).withColumn("value", F.round("value", 6))
+    return M.exact_percentile(rows, ["event_type", "bucket_ms"], 0.99).withColumn("value", F.round("value", 6))
 
 
 @query("metric_sum", v.EM, sql=grouped_sql("sum(value)"))

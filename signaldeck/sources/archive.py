@@ -60,6 +60,12 @@ def read_archive(spark: SparkSession, path: str, project_id: int, signal: str, s
 
 
 def read_records(hot: DataFrame, archive: DataFrame) -> DataFrame:
-    """Logical record table: hot and archived rows, one per (project, id)."""
-    both = hot.unionByName(archive, allowMissingColumns=True)
-    return both.dropDuplicates(["project_id", "id"])
+    """Logical record table: hot and archived rows, one per (project, id); the hot row wins.
+
+    The archive is not shuffled where the hot ids fit a broadcast: they are what the join
+    needs, and Spark decides by their size.
+    """
+    key = ["project_id", "id"]
+    recent = hot.dropDuplicates(key)
+    older = archive.join(recent.select(*key), key, "left_anti").select(*archive.columns)
+    return recent.unionByName(older, allowMissingColumns=True)

@@ -100,27 +100,27 @@ def split_body(body: bytes) -> tuple[str | None, list[dict], str | None]:
         if body[:2] == b"\x1f\x8b":
             body = gzip.decompress(body)
         if len(body) > MAX_ENVELOPE_BYTES:
-            raise ValueError("envelope exceeds the 20 MiB limit")
+            raise ValueError("body too large")
         head, _, rest = body.partition(b"\n")
         items = []
         while rest:
             line, _, rest = rest.partition(b"\n")
             declared = json.loads(line)
             if not isinstance(declared, dict):
-                raise ValueError("item header must be a JSON object")
+                raise ValueError("header line of an item is no object")
             if "length" in declared:
                 size = declared["length"]
-                if not isinstance(size, int) or not 0 <= size <= len(rest):
-                    raise ValueError("item payload does not have its declared length")
+                if type(size) is not int or not 0 <= size <= len(rest):
+                    raise ValueError("fewer bytes left than an item declares")
                 payload, rest = rest[:size], rest[size:]
                 if rest and not rest.startswith(b"\n"):
-                    raise ValueError("item payload is not followed by a newline")
+                    raise ValueError("bytes behind the declared end of an item")
                 rest = rest[1:]
             elif not rest:
-                raise ValueError("missing item payload")
+                raise ValueError("body ends behind an item header")
             else:
                 payload, _, rest = rest.partition(b"\n")
-            items.append({"header": line.decode(), "payload": payload.decode(errors="replace")})
+            items.append({"header": line.decode(), "payload": payload.decode()})
         return head.decode(), items, None
     except (ValueError, OSError, EOFError) as error:
         return None, [], str(error)

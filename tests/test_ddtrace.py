@@ -19,20 +19,20 @@ def v04(spark, folder, *traces):
     return read_spans_v04(spark, str(folder), 3, 9)
 
 
-def test_ids_and_error_record(spark, tmp_path):
-    bad = span(error=1, meta={"_dd.p.tid": "0123456789ABCDEF", "error.type": "Boom", "error.msg": "failed", "env": "prod",
-                              "version": "v1", "same": "tag", "error.stack": "at x"}, metrics={"same": 2.5})
-    df = D.ddtrace_records(v04(spark, tmp_path, [bad]))
-    trace, error = sorted(df.collect(), key=lambda r: r.signal, reverse=True)
-    assert trace.trace_id == "0123456789abcdef0000000000000012" and trace.span_id == "0000000000000034"
-    assert trace.id == f"{trace.trace_id}-{trace.span_id}" and error.id == f"{trace.id}-error"
-    assert (error.title, error.source_record_id, error.environment) == ("Boom: failed", trace.id, "prod")
-    assert (trace.span_status, trace.duration_ns, trace.service_name, trace.message) == ("error", 7, "web", "GET /")
-    got = [json.loads(r[0]) for r in df.selectExpr("to_json(fields)").collect()]
-    for fields in got:
-        assert fields["attribute.same"] == 2.5 and fields["resource.service.version"] == "v1"
-        assert fields["attribute.datadog.type"] == "http" and fields["span.status_message"] == "failed"
-    assert json.loads(error.raw)["span"]["trace_id"] == "18"
+def test_failed_span_gives_a_record_and_an_error(spark, tmp_path):
+    meta = {"_dd.p.tid": "00000000000000FF", "error.type": "StockError", "error.msg": "none left", "env": "green", "version": "12",
+            "both": "text", "error.stack": "line 1"}
+    good, bad = span(span_id=3), span(span_id=255, parent_id=3, error=2, meta=meta, metrics={"both": -1.0})
+    df = D.ddtrace_records(v04(spark, tmp_path, [good], [bad]))
+    rows = {(r.signal, r.span_id): r for r in df.collect()}
+    assert set(rows) == {("trace", f"{3:016x}"), ("trace", f"{255:016x}"), ("error", f"{255:016x}")}
+    trace, error = rows["trace", f"{255:016x}"], rows["error", f"{255:016x}"]
+    assert trace.trace_id == f"{255:016x}{18:016x}" and trace.parent_span_id == f"{3:016x}"
+    assert (error.id, error.source_record_id) == (f"{trace.id}-error", trace.id)
+    assert (error.title, error.environment, trace.span_status) == ("StockError: none left", "green", "error")
+    got = [json.loads(r[0]) for r in df.where(f"span_id = '{255:016x}'").selectExpr("to_json(fields)").collect()]
+    assert [(f["attribute.both"], f["resource.service.version"], f["span.status_message"]) for f in got] == [(-1.0, "12", "none left")] * 2
+    assert json.loads(error.raw)["span"]["span_id"] == "255"
 
 
 def test_negative_bigints_are_unsigned_ids(spark, tmp_path):
@@ -53,6 +53,15 @@ def test_error_without_details(spark, tmp_path):
     assert {r.title for r in rows} == {"Error: GET /", "Error"}
 
 
+def test_words_that_repeat_in_a_dictionary(spark, tmp_path):
+    words = ["", "shop", "pay", "k", "k", "old", "new"]
+    coded = {"service": 1, "name": 2, "resource": 2, "trace_id": 1, "span_id": 2, "parent_id": 0, "start": 1, "duration": 2,
+             "error": 0, "meta": {"3": 5, "4": 6}, "metrics": {"3": 1.5, "4": 2.5}, "type": 0}
+    (tmp_path / "p.json").write_text(json.dumps({"dictionary": words, "traces": [[coded]]}))
+    row = D.expand_dictionary(read_spans_v05(spark, str(tmp_path), 3, 9)).first()
+    assert row.traces[0][0].meta == {"k": "new"} and row.traces[0][0].metrics == {"k": 2.5}
+
+
 def test_dictionary(spark, tmp_path):
     words = ["", "web", "op", "GET /", "env", "prod", "m"]
     coded = {"service": 1, "name": 2, "resource": 3, "trace_id": 18, "span_id": 52, "parent_id": 0, "start": 1, "duration": 2,

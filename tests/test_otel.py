@@ -38,32 +38,32 @@ def with_json(df):
 
 
 def test_span_and_its_exception(spark, tmp_path):
-    span = {"trace_id": b64(TRACE), "span_id": b64(SPAN), "name": "GET /", "kind": 2, "start_time_unix_nano": 100,
-            "end_time_unix_nano": 350, "status": {"code": 2, "message": "bad"},
+    span = {"trace_id": b64(TRACE), "span_id": b64(SPAN), "name": "resize image", "kind": 2, "start_time_unix_nano": 100,
+            "end_time_unix_nano": 350, "status": {"code": 2, "message": "no memory"},
             "attributes": [kv("a", "span"), kv("b", 2, "int_value"), kv("b", 3, "int_value"), kv("", "x")],
             "events": [{"name": "other", "time_unix_nano": 5},
                        {"name": "exception", "time_unix_nano": 0, "attributes": [
-                           kv("exception.type", "Boom"), kv("exception.message", "span failed"), kv("a", "event"),
+                           kv("exception.type", "ImageTooLarge"), kv("exception.message", "90 MP"), kv("a", "event"),
                            kv("exception.escaped", True, "bool_value"), kv("exception.stacktrace", "at x")]}]}
     rows = {r.signal: r for r in with_json(O.otel_traces(read(spark, tmp_path, "traces", [span])))}
     trace, error = rows["trace"], rows["error"]
     assert trace.id == f"{TRACE.hex()}-{SPAN.hex()}" and trace.duration_ns == 250 and trace.service_name == "api"
-    assert (trace.span_kind, trace.span_status, trace.message, trace.parent_span_id) == ("server", "error", "GET /", None)
+    assert (trace.span_kind, trace.span_status, trace.message, trace.parent_span_id) == ("server", "error", "resize image", None)
     assert fields(trace) == {"attribute.a": "span", "attribute.b": 3, "resource.schema_url": "rs", "scope.name": "lib",
-                             "scope.version": "1", "scope.attribute.k": "v", "span.status_message": "bad"}
+                             "scope.version": "1", "scope.attribute.k": "v", "span.status_message": "no memory"}
     raw = json.loads(trace.raw)
     assert [a["value"] for a in raw["span"]["attributes"] if a["key"] == "b"] == [2, 3]  # raw keeps duplicates
     assert error.id == f"{trace.id}-exception-0-1" and error.source_record_id == trace.id and error.ts_nano == 100
-    assert (error.title, error.error_handled, error.issue_fingerprint) == ("Boom: span failed", False, "otlp:Boom")
+    assert (error.title, error.error_handled, error.issue_fingerprint) == ("ImageTooLarge: 90 MP", False, "otlp:ImageTooLarge")
     got = fields(error)
     assert got["attribute.a"] == "event" and got["error.stacktrace"] == "at x"
-    assert got["error.exceptions"] == [{"type": "Boom", "message": "span failed", "stacktrace": "at x", "handled": False}]
+    assert got["error.exceptions"] == [{"type": "ImageTooLarge", "message": "90 MP", "stacktrace": "at x", "handled": False}]
 
 
 def test_log_exception_and_body_forms(spark, tmp_path):
     logs = [
-        {"event_name": "exception", "body": {"string_value": "oops"}, "severity_number": 17, "observed_time_unix_nano": 7,
-         "attributes": [kv("exception.message", "log failed")]},
+        {"event_name": "exception", "body": {"string_value": "cache is cold"}, "severity_number": 17, "observed_time_unix_nano": 7,
+         "attributes": [kv("exception.message", "3 keys missing")]},
         {"body": {"kvlist_value": {"values": [kv("n", 1, "int_value")]}}, "severity_text": "WARNING", "time_unix_nano": 8},
         {"trace_id": b64(TRACE), "span_id": b64(SPAN)},
         {"span_id": b64(SPAN)}, {"severity_number": 25}, {"trace_id": b64(bytes(16))},
@@ -72,9 +72,9 @@ def test_log_exception_and_body_forms(spark, tmp_path):
     rows = with_json(O.otel_logs(batches))
     error = next(r for r in rows if r.signal == "error")
     by_message = {r.message: r for r in rows if r.signal == "log"}
-    assert set(by_message) == {"oops", '[{"key":"n","value":1}]', ""}
-    log = by_message["oops"]
-    assert (error.title, error.source_record_id, error.id) == ("Exception: log failed", log.id, f"{log.id}-exception")
+    assert set(by_message) == {"cache is cold", '[{"key":"n","value":1}]', ""}
+    log = by_message["cache is cold"]
+    assert (error.title, error.source_record_id, error.id) == ("Exception: 3 keys missing", log.id, f"{log.id}-exception")
     assert (log.level, log.ts_nano, fields(log)["event.name"]) == ("error", 7, "exception")
     assert by_message[""].ts_nano == 9_000_000 and by_message[""].span_id == SPAN.hex()
     assert by_message['[{"key":"n","value":1}]'].level == "warn"
