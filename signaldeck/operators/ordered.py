@@ -1,8 +1,8 @@
 """Order-dependent operators: counter differencing, de-duplication, eviction plans.
 
 No operator here sends all rows of a key to one task.  Long sequences are cut into
-time slices; each slice is processed on its own and the few values a slice hands to
-the next one travel through a summary table with one row per (key, slice).
+ranges; each is processed on its own, and the few values that one hands to the next
+travel through a summary with one row per range.
 """
 
 from __future__ import annotations
@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from signaldeck.schema import event_ms, int_div
+from signaldeck.operators.counters import difference_in_ranges
+from signaldeck.schema import int_div
+from signaldeck.session import LineageCut
 
 HOUR_MS, DAY_MS = 3_600_000, 86_400_000
 STREAM = ["project_id", "source", "stream_id"]
@@ -29,36 +31,17 @@ def is_cumulative() -> Column:
     )
 
 
-def slice_ms_for(readings: DataFrame, rows_per_slice: int = 5_000_000, shortest_ms: int = 1_000) -> int:
-    """Slice width at which the fullest stream has about ``rows_per_slice`` rows per slice.
-
-    One map-side-combined count per stream.  Without a large stream a slice is a day.
-    """
-    streams = readings.groupBy(*STREAM).agg(
-        F.count(F.lit(1)).alias("n"), (F.max("ts_nano") - F.min("ts_nano")).alias("span")
-    )
-    slices = F.ceil(F.col("n") / F.lit(rows_per_slice))
-    width = F.when(F.col("n") > rows_per_slice, int_div(int_div(F.col("span"), 1_000_000), slices))
-    found = streams.agg(F.min(width)).first()[0]
-    return DAY_MS if found is None else int(min(max(found, shortest_ms), DAY_MS))
-
-
-def _between(window: W, start: int, end: int) -> W:
-    return window.rowsBetween(start, end)
-
-
-def difference_cumulative(records: DataFrame, slice_ms: int | None = None) -> DataFrame:
+def difference_cumulative(records: DataFrame, parts: int | None = None) -> DataFrame:
     """Turn cumulative counter readings into deltas, recomputed from full history.
 
     Per (project, source, stream) in (time, start, id) order: the first reading is a
     baseline without a value; a new start time is a reset whose value is the reading
     itself; otherwise the value is the difference to the last accepted reading.  A
     decrease of a monotonic counter is flagged in ``violation``, gets no value and is
-    not accepted.  A further reading at an already seen timestamp counts as late: no
-    value, no effect.  The reading moves to ``cumulative_value``; other records pass.
+    not accepted.  A reading at the time of the last accepted one is late: no value, no
+    effect.  The reading moves to ``cumulative_value``; other records pass.
 
-    A stream is processed in time slices of ``slice_ms``; by default the width is chosen
-    from the measured size of the fullest stream (:func:`slice_ms_for`).
+    Streams are spread over range partitions, ``parts`` of them or Spark's own number.
     """
     counter = is_cumulative()
     others = records.filter(~counter).withColumn("violation", F.lit(False))
@@ -71,8 +54,7 @@ def difference_cumulative(records: DataFrame, slice_ms: int | None = None) -> Da
         .withColumn("violation", F.lit(False))
     )
     readings = records.filter(counter & usable)
-    width = slice_ms or slice_ms_for(readings)
-    differenced = _difference(readings, width).drop("accepted")
+    differenced = _difference(readings, None, parts).drop("accepted")
     return others.unionByName(loose).unionByName(differenced)
 
 
@@ -84,15 +66,14 @@ STATE_DDL = (
 
 
 def difference_batch(readings: DataFrame, state: DataFrame | None = None,
-                     slice_ms: int | None = None) -> tuple[DataFrame, DataFrame]:
+                     parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Difference one batch of readings after ``state``; returns (rows, next state).
 
     Readings need a value and a stream id.  One not later than the state's last accepted
-    reading gets no value.  The state enters as one more slice in front of the batch, so
-    a stream that fills the whole batch is still spread over its slices.  Both results
-    must be written before the next batch; ``rows`` keeps an ``accepted`` flag.
+    reading gets no value.  The state enters as one more reading in front of the batch,
+    so a stream that fills the whole batch is still spread.  Both results must be written before the next batch; ``rows`` keeps an ``accepted`` flag.
     """
-    rows = _difference(readings, slice_ms or slice_ms_for(readings), state)
+    rows = _difference(readings, state, parts)
     return rows, next_state(rows, state)
 
 
@@ -111,112 +92,45 @@ def next_state(rows: DataFrame, state: DataFrame | None = None) -> DataFrame:
     return known.groupBy(*STREAM).agg(F.max("_s").alias("_s")).select(*STREAM, "_s.*")
 
 
-# Slice number of the stored state, before every real slice.
-STATE_SLICE = -(2**62)
+# Time of the stored state, before every real reading.
+STATE_NANO = -(2**63)
 
 
-def _difference(readings: DataFrame, slice_ms: int, state: DataFrame | None = None) -> DataFrame:
-    part = [*STREAM, "_slice"]
-    order = W.partitionBy(*part).orderBy("ts_nano", "_start", "id")
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    upto = order.rowsBetween(W.unboundedPreceding, W.currentRow)
+def _difference(readings: DataFrame, state: DataFrame | None, parts: int | None) -> DataFrame:
+    """Readings with delta, ``violation`` and ``accepted``.
 
-    marked = readings.withColumns(
-        {
-            "_slice": int_div(event_ms(), slice_ms),
-            "_start": F.coalesce("start_nano", F.lit(0).cast("bigint")),
-            "_mono": F.coalesce("monotonic", F.lit(False)),
-        }
-    )
-    late = F.coalesce(F.lag("ts_nano").over(order) == F.col("ts_nano"), F.lit(False))
+    Only keys, times and values go through the ordered scan; the rows themselves are
+    joined back once.  Rows equal in all of these are told apart by a running number.
+    """
+    key = [*STREAM, "ts_nano", "_start", "id", "value"]
+    copies = W.partitionBy(*key).orderBy(F.lit(1))
+    marked = readings.withColumns({"_start": F.coalesce("start_nano", F.lit(0).cast("bigint"))})
+    marked = marked.withColumn("_copy", F.row_number().over(copies))
+    marked = marked.withColumn("_row", F.to_json(F.struct(*key, "_copy")))
+    late = F.lit(False)
     if state is not None:
         marked = marked.join(state.select(*STREAM, F.col("last_nano").alias("_last")), STREAM, "left")
-        late = late | F.coalesce(F.col("ts_nano") <= F.col("_last"), F.lit(False))
+        late = F.coalesce(F.col("ts_nano") <= F.col("_last"), F.lit(False))
     marked = marked.withColumn("_late", late)
-    marked = marked.withColumn("_counted", F.when(~F.col("_late"), F.col("_start")))
-    marked = marked.withColumn("_before", F.last("_counted", ignorenulls=True).over(before))
-    marked = marked.withColumn(
-        "_run",
-        F.sum(
-            F.when(~F.col("_late") & ~F.col("_counted").eqNullSafe(F.col("_before")), 1).otherwise(0)
-        ).over(upto),
-    )
-    marked = marked.withColumn("_accepted", F.when(~F.col("_late"), F.col("value")))
-
-    # What each slice hands over: the start of its last run and that run's state,
-    # the maximum of a monotonic counter or the last reading of another one.
-    key = F.struct("ts_nano", "_start", "id")
-    runs = marked.filter(~F.col("_late")).groupBy(*part, "_run").agg(
-        F.max("_start").alias("_start"),
-        F.when(F.first("_mono"), F.max("value"))
-        .otherwise(F.max_by("value", key))
-        .alias("_state"),
-        F.first("_mono").alias("_mono"),
-    )
-    slices = runs.groupBy(*part).agg(
-        F.min_by("_start", "_run").alias("_first_start"),
-        F.max_by(F.struct("_start", "_state"), "_run").alias("_end"),
-        (F.count(F.lit(1)) > 1).alias("_several"),
-        F.first("_mono").alias("_mono"),
+    thin = marked.filter(~F.col("_late")).select(
+        *STREAM, "ts_nano", "_start", "value", F.coalesce("monotonic", F.lit(False)).alias("_mono"), "_row",
+        F.struct("id", "_copy").alias("_order"),
     )
     if state is not None:
-        stored = state.select(
-            *STREAM,
-            F.lit(STATE_SLICE).cast("bigint").alias("_slice"),
-            F.col("start").alias("_first_start"),
-            F.struct(F.col("start").alias("_start"), F.col("previous").alias("_state")).alias("_end"),
-            F.lit(False).alias("_several"),
-            F.col("monotonic").alias("_mono"),
+        first = state.select(
+            *STREAM, F.lit(STATE_NANO).cast("bigint").alias("ts_nano"), F.col("start").alias("_start"),
+            F.col("previous").alias("value"), F.col("monotonic").alias("_mono"), F.lit(None).cast("string").alias("_row"),
+            F.struct(F.lit(None).cast("string").alias("id"), F.lit(0).alias("_copy")).alias("_order"),
         )
-        slices = slices.unionByName(stored)
-    chain = W.partitionBy(*STREAM).orderBy("_slice")
-    slices = slices.withColumn(
-        "_break",
-        F.when(
-            F.col("_several")
-            | ~F.col("_first_start").eqNullSafe(F.lag("_end._start").over(chain)),
-            1,
-        ).otherwise(0),
-    ).withColumn("_segment", F.sum("_break").over(_between(chain, W.unboundedPreceding, 0)))
-    segment = W.partitionBy(*STREAM, "_segment").orderBy("_slice")
-    slices = slices.withColumn(
-        "_state",
-        F.when(
-            F.col("_mono"), F.max("_end._state").over(_between(segment, W.unboundedPreceding, 0))
-        ).otherwise(F.col("_end._state")),
-    )
-    carry = slices.select(
-        *part,
-        F.lag("_end._start").over(chain).alias("_carry_start"),
-        F.lag("_state").over(chain).alias("_carry_state"),
-    )
-
-    in_run = W.partitionBy(*part, "_run").orderBy("ts_nano", "_start", "id")
-    earlier = in_run.rowsBetween(W.unboundedPreceding, -1)
-    joined = marked.withColumn(
-        "_previous",
-        F.when(F.col("_mono"), F.max("_accepted").over(earlier)).otherwise(
-            F.last("_accepted", ignorenulls=True).over(earlier)
-        ),
-    ).join(carry, part, "left")
-    carried = (F.col("_run") == 1) & (F.col("_start") == F.col("_carry_start"))
-    previous = F.when(
-        carried & F.col("_mono"), F.greatest("_previous", "_carry_state")
-    ).when(carried, F.coalesce("_previous", "_carry_state")).otherwise(F.col("_previous"))
-    known = F.col("_before").isNotNull() | F.col("_carry_start").isNotNull()
-    current = F.col("value")
-    violation = F.coalesce(~F.col("_late") & F.col("_mono") & (current < previous), F.lit(False))
-    delta = (
-        F.when(F.col("_late") | ~known | violation, F.lit(None).cast("double"))
-        .when(previous.isNull(), current)  # first reading of a later run: a reset
-        .otherwise(current - previous)
-    )
+        thin = thin.unionByName(first)
+    found = difference_in_ranges(thin, STREAM, parts).filter(F.col("_row").isNotNull())
+    joined = marked.join(found.withColumnRenamed("violation", "_violation"), "_row", "left")
     return joined.select(
         *[F.col(c) for c in readings.columns if c not in ("value", "cumulative_value")],
-        current.alias("cumulative_value"),
-        delta.alias("value"),
-        violation.alias("violation"),
-        (~F.col("_late") & ~violation).alias("accepted"),
+        F.col("value").alias("cumulative_value"),
+        F.col("delta").alias("value"),
+        F.coalesce("_violation", F.lit(False)).alias("violation"),
+        F.coalesce("accepted", F.lit(False)).alias("accepted"),
     )
 
 
@@ -326,14 +240,14 @@ def _crossing(groups: DataFrame, key: str, needed: int) -> tuple[object, int] |
 
 
 def hot_cut(records: DataFrame, target_bytes: int, other_bytes: int = 0,
-            size: str = "logical_bytes", rows_in_window: int = 1_000_000) -> Cut | None:
+            size: str = "logical_bytes") -> Cut | None:
     """Where to cut the oldest records so that the rest fits the target.
 
     The cut is found by narrowing: totals per 30 days, then per day, hour, minute,
-    second and millisecond inside the crossing interval, then per growing id prefix
-    while more than ``rows_in_window`` rows share that millisecond.  Every step is a
-    map-side-combined sum over rows that the arrival-time bounds prune; no step sorts
-    the table or moves whole rows.
+    second and millisecond inside the crossing interval.  The rows of that millisecond,
+    however many, are cut into ranges by their full key, and only the crossing range is
+    put in order.  Every step is a map-side-combined sum over rows that the arrival-time
+    bounds prune; no step sorts the table or moves whole rows.
     """
     _check_target(target_bytes)
     thin = records.select("received_at_ms", "id", "project_id", F.col(size).alias("_amount"))
@@ -351,17 +265,13 @@ def hot_cut(records: DataFrame, target_bytes: int, other_bytes: int = 0,
         rows = rows.filter(
             F.col("received_at_ms").between(slot_value * width, slot_value * width + width - 1)
         )
-    prefix = 0
-    while rows.limit(rows_in_window + 1).count() > rows_in_window:
-        prefix += 1
-        head = F.substring("id", 1, prefix)
-        groups = rows.groupBy(head.alias("_head")).agg(F.sum("_amount").alias("_amount"))
-        head_value, prior = _crossing(groups, "_head", needed)
-        needed -= prior
-        rows = rows.filter(head == head_value)
-    keyed = rows.groupBy("received_at_ms", "id", "project_id").agg(F.sum("_amount").alias("_amount"))
-    keyed = keyed.withColumn("_key", F.struct("id", "project_id"))
-    (identifier, project), _ = _crossing(keyed, "_key", needed)
+    keyed = rows.groupBy("id", "project_id").agg(F.sum("_amount").alias("_amount"))
+    ranged = keyed.repartitionByRange("id", "project_id").withColumn("_range", F.spark_partition_id())
+    ranged = LineageCut(records.sparkSession, keep_all=True).save(ranged)
+    groups = ranged.groupBy("_range").agg(F.sum("_amount").alias("_amount"))
+    number, prior = _crossing(groups, "_range", needed)
+    inside = ranged.filter(F.col("_range") == number).withColumn("_key", F.struct("id", "project_id"))
+    (identifier, project), _ = _crossing(inside, "_key", needed - prior)
     return Cut(int(slot_value), identifier, project)
 
 

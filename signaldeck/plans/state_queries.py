@@ -65,7 +65,7 @@ def _(spark, d):
 
 @query("difference_cumulative_slices", v.CT, sql="""SELECT project_id, id, CAST(delta AS DOUBLE) AS value, violation FROM df""")
 def _(spark, d):
-    rows = O.difference_cumulative(v.ev_counter(spark, d), slice_ms=3 * 3_600_000)
+    rows = O.difference_cumulative(v.ev_counter(spark, d), parts=12)
     return rows.select("project_id", "id", "value", "violation")
 
 

@@ -111,7 +111,7 @@ def stream_difference(readings: DataFrame) -> DataFrame:
     store.  The delta of a row depends on arrival order between batches; the batch
     operator recomputes from history instead.  All readings of a stream in one micro-batch
     meet in one task: bound the batch (maxFilesPerTrigger, maxBytesPerTrigger), or use
-    :func:`difference_upsert`, which spreads a hot stream over its time slices.
+    :func:`difference_upsert`, which spreads a hot stream over ranges.
     """
     packed = readings.withColumn("fields", F.to_json("fields")).withColumn("violation", F.lit(False))
     out = packed.groupBy(*O.STREAM).transformWithStateInPandas(
@@ -167,7 +167,7 @@ def issue_upsert(path: str) -> Callable[[DataFrame, int], None]:
     return upsert
 
 
-def difference_upsert(path: str, slice_ms: int | None = None) -> Callable[[DataFrame, int], None]:
+def difference_upsert(path: str, parts: int | None = None) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function that differences counters with state under ``path``.
 
     Batch n writes its rows to ``rows/batch=n`` and the state after it to ``state/v=n``;
@@ -177,7 +177,7 @@ def difference_upsert(path: str, slice_ms: int | None = None) -> Callable[[DataF
     def upsert(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         state = version_before(spark, f"{path}/state", batch_id)
-        rows, _ = O.difference_batch(batch, state, slice_ms)
+        rows, _ = O.difference_batch(batch, state, parts)
         target = f"{path}/rows/batch={batch_id}"
         rows.write.mode("overwrite").parquet(target)
         written = spark.read.schema(rows.schema).parquet(target)

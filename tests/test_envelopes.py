@@ -64,7 +64,7 @@ def test_items_of_one_envelope(spark):
     envelopes = framed(spark, body({}, ({"type": "profile"}, "-"), points, two_logs, ({"type": "profile"}, "-")))
     rows = E.envelope_records(envelopes).collect()
     logs = sorted((r.message, r.level, r.logger, r.environment, r.ts_nano) for r in rows if r.signal == "log")
-    at = 1_700_000_100.50_000_000
+    at = 1_700_000_100_500_000_000
     assert logs == [("queue is filling up", "warn", "ingest", "blue", at), ("queue is full", "fatal", "ingest", "blue", at)]
     kinds = {r.name: (r.type, r.value, r.unit, r.temporality, r.monotonic) for r in rows if r.signal == "metric"}
     assert kinds["orders.counter"] == ("sum", 12.0, None, "delta", True)

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from helpers import records
+from signaldeck.operators import counters as C
 from signaldeck.operators import issues as I
 from signaldeck.operators import ordered as O
 
@@ -33,9 +34,9 @@ FIXTURE = [
 ]
 
 
-@pytest.mark.parametrize("slice_ms", [None, O.DAY_MS, 1_000, 2_000])
-def test_differences(spark, slice_ms):
-    rows = O.difference_cumulative(records(spark, [r for r, _ in FIXTURE]), slice_ms).collect()
+@pytest.mark.parametrize("parts", [None, 1, 5])
+def test_differences(spark, parts):
+    rows = O.difference_cumulative(records(spark, [r for r, _ in FIXTURE]), parts).collect()
     assert {r.id: r.value for r in rows} == {r["id"]: want for r, want in FIXTURE}
     assert sorted(r.id for r in rows if r.violation) == ["a6", "a7"]
     assert {r.id: r.cumulative_value for r in rows} == {r["id"]: r["value"] for r, _ in FIXTURE}
@@ -68,40 +69,55 @@ def replay(rows):
 
 def random_readings(seed, n=400):
     rng = random.Random(seed)
-    times = rng.sample(range(1, 50_000), n)
+    times = [rng.randrange(1, n // 2) * 100 for _ in range(n)]  # many at one instant
     rows = [reading(f"r{i}", f"s{rng.choice('aaaabc')}", t * 1_000_000, 0, rng.randrange(50)) for i, t in enumerate(times)]
     for r in rows:
         r["monotonic"] = r["stream_id"] != "sb"
         r["start_nano"] = (r["ts_nano"] // 7_000_000_000) * rng.choice([1, 1, 1, 2])
-    return sorted(rows, key=lambda r: r["ts_nano"])
+    return sorted(rows, key=lambda r: (r["ts_nano"], r["start_nano"], r["id"]))
 
 
-@pytest.mark.parametrize("slice_ms", [500, 3_000, O.DAY_MS])
-def test_slices_match_a_replay(spark, slice_ms):
-    rows = random_readings(slice_ms)
-    got = {r.id: r.value for r in O.difference_cumulative(records(spark, rows), slice_ms).collect()}
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_ranges_match_a_replay(spark, parts):
+    rows = random_readings(parts)
+    got = {r.id: r.value for r in O.difference_cumulative(records(spark, rows), parts).collect()}
     assert got == replay(rows)
 
 
+def test_a_reading_behind_a_violation_of_its_instant_counts(spark):
+    rows = [reading(str(i), "s", t, 0, v) for i, (v, t) in enumerate([(10, 1), (5, 2), (12, 2), (15, 3), (40, 3)])]
+    got = O.difference_cumulative(records(spark, rows)).collect()
+    assert {r.id: r.value for r in got} == {"0": None, "1": None, "2": 2.0, "3": 3.0, "4": None}
+    assert [r.id for r in got if r.violation] == ["1"]
+
+
+def test_handover_of_every_value():
+    rng = random.Random(4)
+    for _ in range(300):
+        instants = [[(rng.choice([1, 1, 1, 2]), float(rng.randrange(8))) for _ in range(rng.randrange(1, 4))] for _ in range(rng.randrange(1, 6))]
+        monotonic, hand = rng.random() < 0.8, C.Handover()
+        for instant in instants:
+            hand.add(instant, monotonic)
+        for before in [None, *((s, v / 2) for s in (1, 2, 3) for v in range(-1, 18))]:
+            state = before
+            for instant in instants:
+                state, _ = C.accept(state, instant, monotonic)
+            assert hand.after(before) == state
+
+
 def test_batches_with_state_match_a_replay(spark):
     rows = random_readings(11, 120)
     late = [rows.pop(i) for i in (100, 60, 30)]
     batches = [rows[:50], rows[50:90] + late[2:], rows[90:] + late[:2]]
-    batches = [sorted(b, key=lambda r: r["ts_nano"]) for b in batches]
+    batches = [sorted(b, key=lambda r: (r["ts_nano"], r["start_nano"], r["id"])) for b in batches]
     state, got = None, {}
     for batch in batches:
-        out, state = O.difference_batch(records(spark, batch), state, slice_ms=2_000)
+        out, state = O.difference_batch(records(spark, batch), state, parts=3)
         got.update({r.id: r.value for r in out.collect()})
         state = spark.createDataFrame(state.collect(), state.schema)
     assert got == replay([r for b in batches for r in b])
 
 
-def test_slice_width(spark):
-    df = records(spark, [reading(f"r{i}", "s", i * 3_600_000_000_000, 0, 1) for i in range(24)])
-    assert O.slice_ms_for(df, rows_per_slice=6) == 23 * 3_600_000 // 4
-    assert O.slice_ms_for(df) == O.DAY_MS
-
-
 def test_dedupe_keeps_the_earliest_and_all_without_id(spark):
     rows = [{"project_id": 1, "id": i, "signal": "log", "source": s, "source_id": k, "received_at_ms": t, "ts_nano": 0}
             for i, s, k, t in (("a", "x", "k", 2), ("b", "x", "k", 1), ("c", "y", "k", 3), ("d", "x", None, 1), ("e", "x", None, 1))]
@@ -129,7 +145,7 @@ def test_hot_eviction(spark, share):
             for i in range(400)]
     df = spark.createDataFrame(rows, "received_at_ms bigint, id string, project_id bigint, logical_bytes bigint").cache()
     target = max(int(sum(r[3] for r in rows) * share), 1)
-    cut = O.hot_cut(df, target, other_bytes=100, rows_in_window=10)
+    cut = O.hot_cut(df, target, other_bytes=100)
     got = {(r.id, r.project_id) for r in df.filter(cut.evicted()).collect()} if cut else set()
     assert got == oldest(rows, target, 100)
     if share == 0.5:
