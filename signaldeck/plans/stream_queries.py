@@ -1,4 +1,4 @@
-"""Streaming queries: the driver tables as file streams, drained with availableNow.
+"""Streaming queries: the driver tables as files that arrive in parts, with a restart after each.
 
 Results go through file sinks in the shared folder; nothing is gathered on the driver.
 """
@@ -19,72 +19,88 @@ from signaldeck.sources.archive import open_archive
 from signaldeck.streaming import jobs as T
 
 
-class FileStreams:
-    """Stands in for the session in the views: its ``read.parquet`` opens a file stream."""
+def scratch(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/signaldeck-stream-{uuid.uuid4().hex}"
 
-    def __init__(self, spark: SparkSession) -> None:
-        self._spark = spark
 
-    @property
-    def read(self) -> "FileStreams":
-        return self
+PARTS = 4
 
-    def parquet(self, path: str) -> DataFrame:
-        folder, name = path.rsplit("/", 1)
-        schema = self._spark.read.parquet(path).schema
-        return (
-            self._spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
-        )
 
+def parts_of(table: DataFrame, by_time: bool) -> list[DataFrame]:
+    """The table in ``PARTS`` arrivals: in time order, or mixed, so that later ones hold old records."""
+    if not by_time:
+        number = F.pmod(F.xxhash64("id"), F.lit(PARTS))
+        return [table.filter(number == i) for i in range(PARTS)]
+    cuts = table.select(F.percentile_approx("ts_nano", [i / PARTS for i in range(1, PARTS)])).first()[0]
+    bounds = [-(2**63), *cuts, 2**63 - 1]
+    return [table.filter((F.col("ts_nano") > a) & (F.col("ts_nano") <= b)) for a, b in zip(bounds, bounds[1:])]
 
-def scratch(spark: SparkSession) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/signaldeck-stream-{uuid.uuid4().hex}"
+
+def arriving(spark: SparkSession, table: DataFrame, start, by_time: bool = False) -> None:
+    """Run a stream over a table that arrives in parts; it is stopped and restarted between them.
+
+    ``start`` makes the writer from the stream.
+    """
+    base = scratch(spark)
+    for part in parts_of(table, by_time):
+        part.write.mode("append").parquet(f"{base}/in")
+        T.run_available(start(T.stream_records(spark, f"{base}/in", table.schema)), f"{base}/checkpoint")
+
+
+def each_batch(handler):
+    return lambda stream: stream.writeStream.foreachBatch(handler)
 
 
-def drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
-    """Rows a streaming DataFrame appends, through a file sink."""
+def appended(path: str, shape=lambda stream: stream):
+    return lambda stream: shape(stream).writeStream.format("parquet").option("path", path).outputMode("append")
+
+
+@query("stream_dedupe", v.DL, sql="SELECT DISTINCT project_id, source_id FROM dl")
+def _(spark, d):
     base = scratch(spark)
-    writer = stream.writeStream.format("parquet").option("path", f"{base}/out").outputMode("append")
-    T.run_available(writer, f"{base}/checkpoint")
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    arriving(spark, v.doc_logs(spark, d), each_batch(T.dedupe_upsert(base)))
+    return spark.read.parquet(f"{base}/rows").select("project_id", "source_id")
 
 
-@query("stream_dedupe", v.DL, sql="""SELECT DISTINCT project_id, source_id FROM dl""")
+@query("stream_dedupe_stateful", v.DL, sql="SELECT DISTINCT project_id, source_id FROM dl")
 def _(spark, d):
-    logs = v.doc_logs(FileStreams(spark), d)
-    rows = drained(spark, T.stream_dedupe(logs, "1000 days").select("project_id", "source_id"))
-    return rows
+    base = scratch(spark)
+    shape = lambda stream: T.stream_dedupe(stream).select("project_id", "source_id")
+    arriving(spark, v.doc_logs(spark, d), appended(base, shape))
+    return spark.read.parquet(base)
+
 
+DELTAS = """SELECT project_id, id, CAST(reading AS DOUBLE) AS cumulative_value,
+  CAST(delta AS DOUBLE) AS value, violation FROM df"""
+DELTA_COLUMNS = ["project_id", "id", "cumulative_value", "value", "violation"]
 
-@query("stream_difference", v.CT, sql="""SELECT project_id, id, CAST(reading AS DOUBLE) AS cumulative_value,
-  CAST(delta AS DOUBLE) AS value, violation FROM df""")
+
+@query("stream_difference", v.CT, sql=DELTAS)
 def _(spark, d):
     base = scratch(spark)
-    readings = v.ev_counter(FileStreams(spark), d)
-    T.run_available(readings.writeStream.foreachBatch(T.difference_upsert(base)), f"{base}/checkpoint")
-    return spark.read.parquet(f"{base}/rows").select("project_id", "id", "cumulative_value", "value", "violation")
+    arriving(spark, v.ev_counter(spark, d), each_batch(T.difference_upsert(base)), by_time=True)
+    return spark.read.parquet(f"{base}/rows").select(*DELTA_COLUMNS)
 
 
-@query("stream_difference_stateful", v.CT, sql="""SELECT project_id, id, CAST(reading AS DOUBLE) AS cumulative_value,
-  CAST(delta AS DOUBLE) AS value, violation FROM df""")
+@query("stream_difference_stateful", v.CT, sql=DELTAS)
 def _(spark, d):
+    base = scratch(spark)
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     T.use_rocksdb(spark)
     try:
-        readings = v.ev_counter(FileStreams(spark), d)
-        wanted = ["project_id", "id", "cumulative_value", "value", "violation"]
-        return drained(spark, T.stream_difference(readings).select(*wanted))
+        shape = lambda stream: T.stream_difference(stream).select(*DELTA_COLUMNS)
+        arriving(spark, v.ev_counter(spark, d), appended(base, shape), by_time=True)
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return spark.read.parquet(base)
 
 
 @query("stream_issues", v.OE, sql=f"""SELECT project_id, {uuid5_sql(ids.ISSUE_NAMESPACE, 'fingerprint')} AS issue_id,
   title, level, first_seen_ms, last_seen_ms, total_seen, latest_record_id FROM iss""")
 def _(spark, d):
     base = scratch(spark)
-    errors = v.ord_errors(FileStreams(spark), d)
-    T.run_available(errors.writeStream.foreachBatch(T.issue_upsert(f"{base}/issues")), f"{base}/checkpoint")
-    return T.stored_issues(spark, f"{base}/issues").drop("retained_events")
+    arriving(spark, v.ord_errors(spark, d), each_batch(T.issue_upsert(base)))
+    return T.stored_issues(spark, base).drop("retained_events")
 
 
 HOUR = 3_600_000
@@ -92,50 +108,50 @@ HOUR = 3_600_000
 
 @query("stream_metric_series", v.EM, sql=f"""SELECT event_ms // {HOUR} * {HOUR} AS bucket_ms, 'event.value' AS name,
     CAST(round(sum(value) * 100) AS BIGINT) AS cents, count(*) AS count, min(value) AS min, max(value) AS max
-  FROM em WHERE event_ms // {HOUR} * {HOUR} + {HOUR} <= (SELECT max(event_ms) FROM em) - 600000 GROUP BY ALL""")
+  FROM em GROUP BY ALL""")
 def _(spark, d):
-    samples = v.ev_metrics(FileStreams(spark), d)
-    rows = drained(spark, T.stream_metric_series(samples, HOUR))
-    return rows.select(
+    base = scratch(spark)
+    arriving(spark, v.ev_metrics(spark, d), each_batch(T.series_upsert(base, HOUR)))
+    return T.stored_series(spark, base).select(
         "bucket_ms", "name", F.round(F.col("sum") * 100).cast("bigint").alias("cents"), "count", "min", "max",
     )
 
 
 @query("stream_percentiles", v.EM, sql=f"""SELECT event_ms // {HOUR} * {HOUR} AS bucket_ms, 'event.value' AS name,
     round(quantile_cont(value, 0.95), 6) AS value
-  FROM em WHERE event_ms // {HOUR} * {HOUR} + {HOUR} <= (SELECT max(event_ms) FROM em) - 600000 GROUP BY ALL""")
+  FROM em GROUP BY ALL""")
 def _(spark, d):
-    counts = drained(spark, T.stream_value_counts(v.ev_metrics(FileStreams(spark), d), HOUR))
-    rows = M.percentile_of_counts(counts, ["bucket_ms", "name"], 0.95)
+    base = scratch(spark)
+    arriving(spark, v.ev_metrics(spark, d), each_batch(T.series_upsert(base, HOUR, by_value=True)))
+    rows = M.percentile_of_counts(T.stored_value_counts(spark, base), ["bucket_ms", "name"], 0.95)
     return rows.withColumn("value", F.round("value", 6))
 
 
 @query("stream_counters", v.EV, sql="SELECT 'accepted.' || signal AS name, count(*) AS value FROM ev GROUP BY signal")
 def _(spark, d):
     base = scratch(spark)
-    totals = T.stream_counters(v.ev_records(FileStreams(spark), d))
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/out")
+        batch.write.mode("overwrite").parquet(base)
 
-    T.run_available(totals.writeStream.outputMode("complete").foreachBatch(keep), f"{base}/checkpoint")
-    return spark.read.parquet(f"{base}/out")
+    start = lambda stream: T.stream_counters(stream).writeStream.outputMode("complete").foreachBatch(keep)
+    arriving(spark, v.ev_records(spark, d), start)
+    return spark.read.parquet(base)
 
 
-@query("change_feed", v.EV, sql="SELECT DISTINCT project_id, signal, CAST(0 AS BIGINT) AS sequence FROM ev")
+@query("change_feed", v.EV, sql="""SELECT project_id, signal, sequence FROM (SELECT DISTINCT project_id, signal FROM ev)
+  CROSS JOIN (SELECT CAST(unnest(range(4)) AS BIGINT) AS sequence)""")
 def _(spark, d):
     base = scratch(spark)
-    records = v.ev_records(FileStreams(spark), d)
-    T.run_available(records.writeStream.foreachBatch(T.change_log(f"{base}/log")), f"{base}/checkpoint")
-    return spark.read.parquet(f"{base}/log").select("project_id", "signal", "sequence")
+    arriving(spark, v.ev_records(spark, d), each_batch(T.change_log(base)))
+    return spark.read.parquet(base).select("project_id", "signal", "sequence")
 
 
 @query("stream_archive", v.EV, sql="""SELECT project_id, signal, CAST(make_date(CAST(received_at_ms // 86400000 AS INTEGER)) AS VARCHAR) AS date,
   count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM ev GROUP BY ALL""")
 def _(spark, d):
     base = scratch(spark)
-    records = v.ev_records(FileStreams(spark), d)
-    T.run_available(T.stream_archive(records, f"{base}/archive", f"{base}/checkpoint"))
-    return open_archive(spark, f"{base}/archive").groupBy(
+    arriving(spark, v.ev_records(spark, d), each_batch(T.archive_upsert(base)))
+    return open_archive(spark, base).groupBy(
         "project_id", "signal", F.col("date").cast("string").alias("date")
     ).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("id").cast("bigint")).alias("ids"))

@@ -17,7 +17,7 @@ from signaldeck.operators import issues as I
 from signaldeck.operators import lookup as J
 from signaldeck.operators import ordered as O
 from signaldeck.schema import RECORD_DDL, event_ms
-from signaldeck.sources.archive import PARTITION, partitioned
+from signaldeck.sources.archive import write_archive
 
 # Executors get the state handler itself and need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -37,24 +37,50 @@ def stream_records(spark: SparkSession, path: str, schema: str = RECORD_DDL, for
     return reader.options(**options).load(path)
 
 
-def event_timestamp() -> Column:
-    return F.timestamp_millis(event_ms())
+def stream_dedupe(records: DataFrame) -> DataFrame:
+    """One record per source id, whatever its age; records without a source id all pass.
 
+    The state store remembers every source id.  :func:`dedupe_upsert` keeps them in a
+    table instead and reads the parts of it that a batch touches.
+    """
+    keyed = records.filter(F.col("source_id").isNotNull()).dropDuplicates(DEDUPE_KEYS)
+    return keyed.unionByName(records.filter(F.col("source_id").isNull()))
+
+
+KEY_BUCKETS = 64
 
-def stream_dedupe(records: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """One record per source id among those whose event times lie within the delay.
 
-    Records without a source id all pass.  For an unbounded memory of source ids use
-    :func:`signaldeck.operators.lookup.new_only` per batch (:func:`new_records`).
+def dedupe_upsert(path: str, buckets: int = KEY_BUCKETS) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function: first copies to ``rows/batch=n``, their keys to ``keys``.
+
+    No record is dropped for its age.  Keys lie in folders by batch and hash bucket; a
+    batch reads the buckets that its own keys fall into, from the batches before it, so
+    that a replayed batch writes the same rows again.
     """
-    keyed = (
-        records.filter(F.col("source_id").isNotNull())
-        .withColumn("_event_ts", event_timestamp())
-        .withWatermark("_event_ts", delay)
-        .dropDuplicatesWithinWatermark(DEDUPE_KEYS)
-        .drop("_event_ts")
-    )
-    return keyed.unionByName(records.filter(F.col("source_id").isNull()))
+    bucket = F.pmod(F.xxhash64(*DEDUPE_KEYS), F.lit(buckets)).cast("int")
+
+    def upsert(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = O.dedupe(batch)
+        if folders(spark, f"{path}/keys"):
+            touched = [r[0] for r in batch.filter("source_id IS NOT NULL").select(bucket).distinct().collect()]
+            keys = spark.read.parquet(f"{path}/keys")
+            keys = keys.filter((F.col("batch") < batch_id) & F.col("bucket").isin(touched))
+            rows = J.new_only(rows, keys)
+        rows.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+        written = spark.read.schema(batch.schema).parquet(f"{path}/rows/batch={batch_id}")
+        fresh = written.filter("source_id IS NOT NULL").select(*DEDUPE_KEYS, bucket.alias("bucket"))
+        fresh.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/keys/batch={batch_id}")
+
+    return upsert
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names below a folder; none if it doesn't exist."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(context._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
 
 
 def new_records(batch: DataFrame, stored: DataFrame, projects: DataFrame | None = None) -> DataFrame:
@@ -207,46 +233,38 @@ def change_log(path: str) -> Callable[[DataFrame, int], None]:
 
 # --- aggregates and sinks ---------------------------------------------------------------
 
-def _windowed(samples: DataFrame, interval_ms: int, start_ms: int, delay: str) -> tuple[DataFrame, Column]:
-    offset = f"{start_ms % interval_ms} milliseconds"
-    width = f"{interval_ms} milliseconds"
-    timed = samples.filter(F.col("value").isNotNull()).withColumn("_event_ts", event_timestamp())
-    return timed.withWatermark("_event_ts", delay), F.window("_event_ts", width, width, offset)
+def series_upsert(path: str, interval_ms: int, start_ms: int = 0, group: list[str] | None = None,
+                  by_value: bool = False) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function: partial aggregates of a batch's samples to ``batch=n``.
 
+    Intervals are aligned to ``start_ms``.  Samples may be late by any time and intervals
+    stay open: :func:`stored_series` adds up what has come so far.  With ``by_value`` the
+    partials count samples per value (:func:`stored_value_counts`), from which
+    :func:`signaldeck.operators.metrics.percentile_of_counts` takes exact percentiles.
+    """
+    keys = ["bucket_ms", "name", *(group or []), *(["value"] if by_value else [])]
 
-def stream_metric_series(samples: DataFrame, interval_ms: int, start_ms: int = 0,
-                         group: list[str] | None = None, delay: str = "10 minutes") -> DataFrame:
-    """Windowed sums, counts and extremes of metric samples; appended once complete.
+    def append(batch: DataFrame, batch_id: int) -> None:
+        inside = F.pmod(event_ms() - F.lit(start_ms), F.lit(interval_ms).cast("bigint"))
+        samples = batch.filter(F.col("value").isNotNull()).withColumn("bucket_ms", event_ms() - inside)
+        count = F.count(F.lit(1))
+        extremes = [F.sum("value").alias("sum"), F.min("value").alias("min"), F.max("value").alias("max")]
+        parts = [count.alias("samples")] if by_value else [count.alias("count"), *extremes]
+        samples.groupBy(*keys).agg(*parts).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    Windows have the query interval and are aligned to ``start_ms``.
-    """
-    timed, window = _windowed(samples, interval_ms, start_ms, delay)
-    grouped = timed.groupBy(window, "name", *(group or []))
-    return grouped.agg(
-        F.sum("value").alias("sum"),
-        F.count("value").alias("count"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    ).select(
-        F.unix_millis(F.col("window.start")).alias("bucket_ms"),
-        "name", *(group or []), "sum", "count", "min", "max",
-    )
+    return append
 
 
-def stream_value_counts(samples: DataFrame, interval_ms: int, start_ms: int = 0,
-                        group: list[str] | None = None, delay: str = "10 minutes") -> DataFrame:
-    """Number of samples per window and value, appended once complete.
+def stored_series(spark: SparkSession, path: str, group: list[str] | None = None) -> DataFrame:
+    """Sums, counts and extremes per interval over all batches so far, open intervals included."""
+    rows = spark.read.parquet(path).groupBy("bucket_ms", "name", *(group or []))
+    return rows.agg(F.sum("sum").alias("sum"), F.sum("count").alias("count"), F.min("min").alias("min"), F.max("max").alias("max"))
 
-    The state has one small row per distinct value, so no window grows into one large
-    state entry; :func:`signaldeck.operators.metrics.percentile_of_counts` turns the
-    finished counts into exact percentiles.
-    """
-    timed, window = _windowed(samples, interval_ms, start_ms, delay)
-    grouped = timed.groupBy(window, "name", *(group or []), "value")
-    return grouped.agg(F.count(F.lit(1)).alias("samples")).select(
-        F.unix_millis(F.col("window.start")).alias("bucket_ms"),
-        "name", *(group or []), "value", "samples",
-    )
+
+def stored_value_counts(spark: SparkSession, path: str, group: list[str] | None = None) -> DataFrame:
+    """Samples per interval and value over all batches so far."""
+    rows = spark.read.parquet(path).groupBy("bucket_ms", "name", *(group or []), "value")
+    return rows.agg(F.sum("samples").alias("samples"))
 
 
 def stream_counters(records: DataFrame) -> DataFrame:
@@ -265,17 +283,17 @@ def observed(records: DataFrame, name: str = "accepted") -> DataFrame:
     return records.observe(name, *totals)
 
 
-def stream_archive(records: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Writer of records to the archive layout, exactly once; call ``start()`` on it."""
-    return (
-        partitioned(records)
-        .writeStream.format("parquet")
-        .partitionBy(*PARTITION)
-        .option("compression", "zstd")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-    )
+def archive_upsert(path: str) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function: a batch's records to the archive layout under ``batch=n``.
+
+    Rows are gathered by partition first, so that a batch writes few files; a replayed
+    batch overwrites its own.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        write_archive(batch, f"{path}/batch={batch_id}", "overwrite")
+
+    return write
 
 
 def run_available(writer: DataStreamWriter, checkpoint: str | None = None) -> None:

@@ -73,17 +73,38 @@ def test_issue_rollup_over_batches(inbox, spark):
     assert (run.title, run.level, run.first_seen_ms, run.last_seen_ms, run.latest_record_id) == ("last", "fatal", 10, 30, "b")
 
 
-def test_dedupe_changes_and_archive(inbox, spark):
+def test_dedupe_keeps_late_records(inbox, spark):
+    row = {"project_id": 1, "signal": "log", "source": "x", "received_at_ms": 0}
+    day = 86_400 * 10**9
+    first = [{**row, "id": "a", "source_id": "k", "ts_nano": 50 * day}, {**row, "id": "b", "source_id": "k", "ts_nano": 51 * day}]
+    late = [{**row, "id": "c", "source_id": "old", "ts_nano": day}, {**row, "id": "d", "source_id": "k", "ts_nano": 52 * day},
+            {**row, "id": "e", "source_id": None, "ts_nano": day}]
+    path = str(inbox.folder / "out")
+    for rows in (first, late, [{**row, "id": "f", "source_id": "old", "ts_nano": day}]):
+        inbox.arrive(rows)
+        inbox.drain(inbox.stream().writeStream.foreachBatch(T.dedupe_upsert(path, buckets=3)))
+    assert {r.id for r in spark.read.parquet(f"{path}/rows").collect()} == {"a", "c", "e"}
+    # A replay of the second batch writes the same rows.
+    T.dedupe_upsert(path, buckets=3)(records(spark, late), 1)
+    assert {r.id for r in spark.read.parquet(f"{path}/rows").collect()} == {"a", "c", "e"}
+    stateful = str(inbox.folder / "stateful")
+    T.run_available(T.stream_dedupe(inbox.stream()).select("source_id").writeStream.format("parquet").option("path", stateful), str(inbox.folder / "c"))
+    assert sorted(str(r[0]) for r in spark.read.parquet(stateful).collect()) == ["None", "k", "old"]
+
+
+def test_changes_and_archive(inbox, spark):
     row = {"project_id": 1, "id": "a", "signal": "log", "source": "otlp", "source_id": "k", "ts_nano": 5_000_000_000, "received_at_ms": 0}
-    inbox.arrive([row, {**row, "id": "b"}, {**row, "id": "n", "source_id": None}, {**row, "id": "m", "source_id": None}])
-    out = str(inbox.folder / "archive")
-    T.run_available(T.stream_archive(T.stream_dedupe(inbox.stream()), out, str(inbox.folder / "c1")))
+    out, log = str(inbox.folder / "archive"), str(inbox.folder / "log")
+
+    def both(batch, number):
+        T.archive_upsert(out)(batch, number)
+        T.change_log(log)(batch, number)
+
+    for rows in ([row, {**row, "id": "b"}], [{**row, "project_id": 2}]):
+        inbox.arrive(rows)
+        inbox.drain(inbox.stream().writeStream.foreachBatch(both))
     rows = open_archive(spark, out).collect()
-    assert len(rows) == 3 and {r.id for r in rows} >= {"n", "m"} and {str(r.date) for r in rows} == {"1970-01-01"}
-    log = str(inbox.folder / "log")
-    inbox.drain(inbox.stream().writeStream.foreachBatch(T.change_log(log)))
-    inbox.arrive([{**row, "project_id": 2}])
-    inbox.drain(inbox.stream().writeStream.foreachBatch(T.change_log(log)))
+    assert len(rows) == 3 and {str(r.date) for r in rows} == {"1970-01-01"}
     assert sorted(spark.read.parquet(log).select("project_id", "signal", "sequence").collect()) == [(1, "log", 0), (2, "log", 1)]
 
 
@@ -100,12 +121,12 @@ def test_new_records(spark):
 def test_series_and_observed_counts(inbox, spark):
     rows = [{"project_id": 1, "id": str(i), "signal": "metric", "name": "m", "value": float(i), "ts_nano": i * 1_000_000_000}
             for i in range(10)]
-    inbox.arrive(rows)
     base = inbox.folder
-    windows = T.stream_metric_series(inbox.stream(), 4_000, start_ms=1_000, delay="0 seconds")
-    T.run_available(windows.writeStream.format("parquet").option("path", str(base / "w")), str(base / "c"))
-    got = sorted((r.bucket_ms, r["sum"], r["count"]) for r in spark.read.parquet(str(base / "w")).collect())
-    assert got == [(-3_000, 0.0, 1), (1_000, 10.0, 4), (5_000, 26.0, 4)]
+    for part in (rows[5:], rows[:5]):  # the second arrival is late
+        inbox.arrive(part)
+        T.run_available(inbox.stream().writeStream.foreachBatch(T.series_upsert(str(base / "w"), 4_000, 1_000)), str(base / "c"))
+    got = sorted((r.bucket_ms, r["sum"], r["count"]) for r in T.stored_series(spark, str(base / "w")).collect())
+    assert got == [(-3_000, 0.0, 1), (1_000, 10.0, 4), (5_000, 26.0, 4), (9_000, 9.0, 1)]
     query = (T.observed(inbox.stream()).writeStream.format("noop").trigger(availableNow=True)
              .option("checkpointLocation", str(base / "o")).start())
     query.awaitTermination()
