@@ -52,7 +52,10 @@ def compact(hot: DataFrame, archive_path: str, next_hot_path: str, cutoff_ms: in
     """
     old, recent = split_by_arrival(hot, cutoff_ms)
     if archived is not None:
-        done = archived.filter(F.col("received_at_ms") < cutoff_ms).select("project_id", "id")
+        # Only what arrived in the time that is moved can be there twice.
+        first = old.agg(F.min("received_at_ms")).first()[0]
+        moved = F.col("received_at_ms").between(first if first is not None else cutoff_ms, cutoff_ms - 1)
+        done = archived.filter(moved).select("project_id", "id")
         old = old.join(done, ["project_id", "id"], "left_anti")
     write_archive(old, archive_path)
     recent.write.mode("overwrite").option("compression", "zstd").parquet(next_hot_path)

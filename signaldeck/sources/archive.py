@@ -7,10 +7,20 @@ from pyspark.sql import functions as F
 
 from signaldeck.functions import scalars as S
 from signaldeck.operators.search import LONG_MAX, time_range
+from signaldeck.schema import RECORD_COLUMNS
 
 # Partition directories: project=<id>/signal=<name>/date=<UTC arrival date>.
 PARTITION = ["project", "signal", "date"]
 
+# Columns of archived records as DDL: known beforehand, so that no file footer is read for them.
+ARCHIVE_DDL = ", ".join(
+    f"`{name}` {kind}"
+    for name, kind in {
+        **{c: k for c, k in RECORD_COLUMNS.items() if c not in ("project_id", "signal")},
+        "project": "bigint", "signal": "string", "date": "date",
+    }.items()
+)
+
 
 def partitioned(records: DataFrame) -> DataFrame:
     """Records with their partition columns, ``project_id`` renamed to ``project``."""
@@ -49,8 +59,9 @@ def read_archive(spark: SparkSession, path: str, project_id: int, signal: str, s
     """Archived records of one project and signal in an event-time range.
 
     Project and signal prune directories; time and id are pushed to the row groups.
+    Columns that a file lacks are NULL.
     """
-    table = spark.read.option("mergeSchema", "true").parquet(path)
+    table = spark.read.schema(ARCHIVE_DDL).parquet(path)
     rows = table.filter((F.col("project") == project_id) & (F.col("signal") == signal))
     rows = rows.filter(time_range(start_ms, end_ms))
     if record_id is not None:
