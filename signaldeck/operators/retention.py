@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from signaldeck.functions import scalars as S
 from signaldeck.operators import issues as I
+from signaldeck.operators import ordered as O
 from signaldeck.schema import event_ms
 from signaldeck.sources.archive import write_archive
 
@@ -77,6 +78,24 @@ def evict(records: DataFrame, issue_table: DataFrame, plan: DataFrame) -> tuple[
     return kept, I.retained(issue_table, kept)
 
 
+def enforce_target(manifest_table: DataFrame, hot: DataFrame, issue_table: DataFrame, target_bytes: int,
+                   size: str = "logical_bytes") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What to drop so that archive, hot records and issues together fit the target.
+
+    Returns the archive partitions, hot records and issues to evict: archive partitions
+    oldest first, then hot records, then issues, each for what the stage before left over.
+    Hot records and issues have their bytes in column ``size``.  Evicted records release
+    their keys; recount the issues that stay with :func:`evict`.
+    """
+    total = lambda df, column: df.agg(F.sum(column)).first()[0] or 0
+    archived, recent, issues = total(manifest_table, "logical_bytes"), total(hot, size), total(issue_table, size)
+    plan = O.evict_plan(manifest_table, target_bytes, recent + issues)
+    archived -= total(plan, "logical_bytes")
+    dropped = O.evict_hot(hot, target_bytes, archived + issues, size)
+    recent -= total(dropped, size)
+    return plan, dropped, O.evict_issues(issue_table, target_bytes, archived + recent, size)
+
+
 def delete_project(df: DataFrame, project_id: int) -> DataFrame:
     """Everything but one project's rows (works on records, issues and manifests)."""
     return df.filter(F.col("project_id") != project_id)

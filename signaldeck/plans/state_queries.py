@@ -202,3 +202,23 @@ def _(spark, d):
     return v.ev_records(spark, d).groupBy(day).agg(
         F.count(F.lit(1)).alias("n"), F.min(event_ms()).alias("first_ms")
     )
+
+
+OLD = f"old AS (SELECT * FROM evs WHERE received_at_ms < {CUTOFF})"
+HOT = f"""hot AS (SELECT *, CAST(sum(size) OVER () AS BIGINT) AS total, coalesce(sum(size) OVER (ORDER BY received_at_ms, id, project_id
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM evs WHERE received_at_ms >= {CUTOFF})"""
+
+
+@query("enforce_target", v.EV, EVS, OLD, HOT, sql="""SELECT 'archive' AS tier,
+    count(DISTINCT (project_id, signal, receive_date)) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM old
+  UNION ALL SELECT 'hot', count(*), CAST(sum(size) AS BIGINT) FROM hot WHERE total - prior > total // 2
+  UNION ALL SELECT 'issues', 0, NULL""")
+def _(spark, d):
+    """A target of half the hot records beside all issues: the whole archive goes, then the oldest hot records."""
+    old, hot = R.split_by_arrival(sized(spark, d), CUTOFF)
+    issues = I.issues(errors_of(spark, d)).withColumn("size", (F.length("title") + 100).cast("bigint"))
+    target = hot.agg(F.sum("size")).first()[0] // 2 + issues.agg(F.sum("size")).first()[0]
+    plan, dropped, gone = R.enforce_target(R.manifest(old, "size"), hot, issues, target, "size")
+    tiers = [(plan, "archive", "logical_bytes"), (dropped, "hot", "size"), (gone, "issues", "size")]
+    parts = [df.agg(F.lit(t).alias("tier"), F.count("*").alias("n"), F.sum(c).alias("bytes")) for df, t, c in tiers]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -17,6 +17,7 @@ from signaldeck.plans.registry import query, uuid5_sql
 from signaldeck.session import shared_folder
 from signaldeck.sources.archive import open_archive
 from signaldeck.streaming import jobs as T
+from signaldeck.streaming.intake import intake
 
 
 def scratch(spark: SparkSession) -> str:
@@ -155,3 +156,27 @@ def _(spark, d):
     return open_archive(spark, base).groupBy(
         "project_id", "signal", F.col("date").cast("string").alias("date")
     ).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("id").cast("bigint")).alias("ids"))
+
+
+INTAKE = f"""SELECT name, CAST(sum(value) AS BIGINT) AS value FROM (
+  SELECT unnest(['accepted', 'accepted.log']) AS name, count(DISTINCT (project_id, source_id)) AS value FROM dl WHERE project_id <> 3
+  UNION ALL SELECT unnest(['accepted', 'accepted.metric']), count(*) FROM df
+  UNION ALL SELECT unnest(['accepted', 'accepted.error']), count(*) FROM oe
+  UNION ALL SELECT unnest(['skipped', 'skipped.inactive_project']), count(*) FROM dl WHERE project_id = 3
+  UNION ALL SELECT unnest(['skipped', 'skipped.duplicate']), count(*) - count(DISTINCT (project_id, source_id)) FROM dl WHERE project_id <> 3
+  UNION ALL SELECT 'metric.cumulative_sum_monotonic_decrease', count(*) FROM df WHERE violation
+) GROUP BY name HAVING sum(value) > 0"""
+
+
+@query("intake", v.DL, v.CT, v.OE, sql=INTAKE)
+def _(spark, d):
+    """Logs with copies, counter readings and errors arrive in time order; region 3 is no active project."""
+    base = scratch(spark)
+    status = F.when(F.col("r_regionkey") == 3, "deleting").otherwise("active").alias("status")
+    projects = spark.read.parquet(f"{d}/region.parquet").select(F.col("r_regionkey").cast("bigint").alias("project_id"), status)
+    # Orders span years: arrivals by the year keep the archive to a few partitions.
+    year = F.col("received_at_ms") - F.pmod("received_at_ms", F.lit(31_536_000_000))
+    errors = v.ord_errors(spark, d).withColumn("received_at_ms", year)
+    records = v.doc_logs(spark, d).unionByName(v.ev_counter(spark, d)).unionByName(errors)
+    arriving(spark, records, each_batch(intake(base, projects)), by_time=True)
+    return spark.read.parquet(f"{base}/counts").groupBy("name").agg(F.sum("value").cast("bigint").alias("value"))
