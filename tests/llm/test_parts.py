@@ -166,3 +166,17 @@ def test_network_without_both_labels():
     network = Network(np.zeros((4, 3)), np.ones(4))
     assert np.allclose(network.score(np.zeros((2, 3))), 5 / 6)
     assert np.allclose(Network(np.zeros((0, 3)), np.zeros(0)).score(np.zeros((1, 3))), 0.5)
+
+
+def test_boilerplate_is_removed_and_depleted_documents_go(spark):
+    from signaldeck.llm.quality_rules import quality_rules
+
+    notice = "We value your privacy and so do our partners"
+    rows = [(k, f"{notice}\nown words of text number {k} that nobody else has", "a") for k in range(6)]
+    rows += [(10, f"  {notice.upper()} \n{notice}\nshort {notice[:5]}", "a"), (11, f"{notice}\nalone on its host with more words", "b")]
+    rows += [(k, "an exact copy\nof the very same text that is no notice", None) for k in range(20, 30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r.doc.doc_id: r for r in quality_rules(docs, max_share=0.3, min_docs=3, min_left=0.5, min_words=3).collect()}
+    assert all(got[k].kept and got[k].kept_text == rows[k][1].split("\n")[1] and got[k].n_removed_lines == 1 for k in range(6))
+    assert not got[10].kept and not got[10].base_failed and got[10].n_removed_lines == 2
+    assert all(got[k].kept and got[k].n_removed_lines == 0 for k in [11, *range(20, 30)])
