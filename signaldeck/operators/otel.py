@@ -143,12 +143,13 @@ def _absent(value: Column) -> Column:
 
 
 def valid_span(span: Column) -> Column:
-    """16 / 8 byte non-zero ids, a name, and an end not before the start."""
+    """16 / 8 byte non-zero ids, a name, a start not negative and an end not before it."""
     return (
         valid_id(span["trace_id"], 16)
         & valid_id(span["span_id"], 8)
         & (_absent(span["parent_span_id"]) | valid_id(span["parent_span_id"], 8))
         & (F.coalesce(span["name"], F.lit("")) != "")
+        & (_zero(span["start_time_unix_nano"]) >= 0)
         & (_zero(span["end_time_unix_nano"]) >= _zero(span["start_time_unix_nano"]))
     )
 
