@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -52,6 +53,29 @@ def chunks(batch: pa.RecordBatch, text: str) -> Iterator[tuple[slice, list[bytes
             begin, size = i + 1, 0
 
 
+#: Functions that empty the caches of a worker.
+FORGET: list[Callable[[], None]] = []
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """The batch function, with the worker's caches and spare memory given back behind it.
+
+    Workers outlive their tasks; what one keeps would lie beside the next stage's needs.
+    """
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            for forget in FORGET:
+                forget()
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return whole
+
+
 class RowSink:
     """Collects rows and hands them out as record batches of bounded size."""
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from signaldeck.llm.common import narrow, raw_texts
+from signaldeck.llm.common import narrow, raw_texts, tidied
 
 WINDOW = 10
 #: Item words compiled into one automaton at most, unless a single item has more.
@@ -220,7 +220,7 @@ def matches(
                     columns["items"] = pa.array(names, pa.list_(pa.string()))
                     yield pa.RecordBatch.from_pydict(columns)
 
-        return df.mapInArrow(run, schema)
+        return df.mapInArrow(tidied(run), schema)
 
     some = False
     for shard in item_shards(items, item_id_column, item_text_column, shard_words):
@@ -277,7 +277,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, max_share: float = 0.5, tex
             yield pa.RecordBatch.from_arrays(list(kept.values()), names=columns)
 
     stays = F.col("n_hit") <= F.lit(max_share) * F.col("n_words")
-    return found.where(stays).select("doc", "spans").mapInArrow(run, schema)
+    return found.where(stays).select("doc", "spans").mapInArrow(tidied(run), schema)
 
 
 _WORD_BYTE = bytes(0 if _FOLD[b] == 0x20 else 1 for b in range(256))
@@ -299,3 +299,34 @@ def cut_spans(text: bytes, spans: list[dict]) -> str:
     out.append(text[at:])
     return b"".join(out).decode()
 
+
+
+_SQL_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, {_SQL_WORDS} AS words FROM documents),
+items AS (SELECT item_id, {_SQL_WORDS} AS words FROM benchmark WHERE item_id IS NOT NULL),
+item_windows AS (
+    SELECT DISTINCT item_id::VARCHAR AS item_id, least(len(words), 10) AS size,
+        array_to_string(words[u.i : u.i + least(len(words), 10) - 1], ' ') AS run
+    FROM items, unnest(range(1, len(words) - least(len(words), 10) + 2)) AS u(i) WHERE len(words) > 0
+),
+hits AS (
+    SELECT DISTINCT d.doc_id, u.i AS i, s.size, w.item_id
+    FROM (SELECT DISTINCT size FROM item_windows) s, d, unnest(range(1, len(words) - s.size + 2)) AS u(i), item_windows w
+    WHERE w.size = s.size AND w.run = array_to_string(words[u.i : u.i + s.size - 1], ' ')
+),
+hit_words AS (
+    SELECT doc_id, count(DISTINCT i + o.k) AS n FROM hits, unnest(range(0, 10)) AS o(k) WHERE o.k < size GROUP BY doc_id
+),
+hit_items AS (
+    SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids
+    FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(t.n, 0)::BIGINT AS n_items,
+    sha256(coalesce(t.ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit_words h USING (doc_id) LEFT JOIN hit_items t USING (doc_id)
+"""

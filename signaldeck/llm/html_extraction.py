@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from signaldeck.llm.common import narrow, raw_texts
+from signaldeck.llm.common import narrow, raw_texts, tidied
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<data>.*?)\]\]>|<[!?][^>]*>"
@@ -205,7 +205,7 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
             columns = [batch.column("host"), pa.array([v for v, _ in votes], pa.string()), pa.array([n for _, n in votes], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["host", "path", "chars"])
 
-    votes = source.select("host", "html").mapInArrow(cast, "host string, path string, chars bigint").where("path != ''")
+    votes = source.select("host", "html").mapInArrow(tidied(cast), "host string, path string, chars bigint").where("path != ''")
     votes = votes.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
     winners = votes.groupBy(F.col("host").alias("of_host")).agg(F.max_by("path", F.struct("n", "chars", "path")).alias("path"))
     joined = source.join(winners, F.col("host") == F.col("of_host"), "left").select("page_id", "url", "html", "path")
@@ -225,7 +225,7 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
             )
 
     kinds = {"page_id": source.schema["page_id"].dataType, "url": StringType(), "text": StringType(), "path": StringType()}
-    return joined.mapInArrow(again, StructType([StructField(c, k) for c, k in kinds.items()]))
+    return joined.mapInArrow(tidied(again), StructType([StructField(c, k) for c, k in kinds.items()]))
 
 
 def op9_html_extraction(spark, sf_dir: str) -> DataFrame:

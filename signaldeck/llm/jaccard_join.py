@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from signaldeck.llm.common import chunks, narrow, tables
+from signaldeck.llm.common import chunks, narrow, tables, tidied
 from signaldeck.llm.components import components
 from signaldeck.llm.substring_dedup import WORD_HASHES, mix, sequence_hashes
 
@@ -91,7 +91,7 @@ def shingle_order(docs: DataFrame, shingle: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["part", "counts"])
 
     schema = "part bigint, counts binary"
-    counted = docs.mapInArrow(count, schema).repartition("part").mapInArrow(add, schema)
+    counted = docs.mapInArrow(tidied(count), schema).repartition("part").mapInArrow(tidied(add), schema)
     total = np.zeros(buckets, np.int64)
     for row in counted.toLocalIterator():  # buckets / _PART rows
         total[row["part"] * _PART : (row["part"] + 1) * _PART] = np.frombuffer(row["counts"], np.int64)
@@ -126,7 +126,7 @@ def sketches(docs: DataFrame, rank: np.ndarray, shingle: int, percent: int) -> D
                 yield pa.RecordBatch.from_arrays(columns, names=["doc", "n", "s1", "s2", "g1", "g2", "prefix"])
 
     kinds = [docs.schema["doc"], *(StructField(c, LongType()) for c in ("n", "s1", "s2", "g1", "g2")), StructField("prefix", BinaryType())]
-    return docs.mapInArrow(run, StructType(kinds))
+    return docs.mapInArrow(tidied(run), StructType(kinds))
 
 
 class TokenRuns:
@@ -184,7 +184,7 @@ def group_pairs(groups: DataFrame, percent: int) -> DataFrame:
                 tokens = pa.array(np.frombuffer(b"".join(prefixes), np.int64))
                 yield pa.RecordBatch.from_arrays([tokens, part.column("n").take(rows), part.column("gid").take(rows)], names=["token", "n", "gid"])
 
-    rows = groups.select("gid", "n", "prefix").mapInArrow(explode, "token bigint, n bigint, gid bigint")
+    rows = groups.select("gid", "n", "prefix").mapInArrow(tidied(explode), "token bigint, n bigint, gid bigint")
     rows = rows.repartition("token").sortWithinPartitions("token", "n", "gid")
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +204,7 @@ def group_pairs(groups: DataFrame, percent: int) -> DataFrame:
             yield from out(*runs.add(*(c.to_numpy(zero_copy_only=False) for c in batch.columns)))
         yield from out(*runs.add(*[np.zeros(0, np.int64)] * 3, last=True))
 
-    pairs = rows.mapInArrow(pair, "a bigint, b bigint, k bigint")
+    pairs = rows.mapInArrow(tidied(pair), "a bigint, b bigint, k bigint")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("k").alias("k")).where("shared >= k").select("a", "b")
 
 
@@ -293,7 +293,7 @@ def verify_units(docs: DataFrame, members: DataFrame, shingle: int, percent: int
         if ids:
             yield from out()
 
-    return written.save(texts.mapInArrow(run, "a bigint, b bigint"))
+    return written.save(texts.mapInArrow(tidied(run), "a bigint, b bigint"))
 
 
 def similar_classes(
@@ -339,3 +339,29 @@ def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Size of each document's set and the class that its links lead to."""
     classes = similar_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return classes.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents
+),
+shingles AS (
+    SELECT DISTINCT doc_id, array_to_string(words[u.i : u.i + 2], ' ') AS shingle
+    FROM d, unnest(range(1, greatest(len(words) - 1, 2))) AS u(i) WHERE len(words) > 0
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+    GROUP BY a.doc_id, b.doc_id
+),
+links AS (
+    SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared.n >= 90 * (x.n + y.n - shared.n)
+),
+sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (
+    SELECT doc_id AS id, doc_id AS other FROM documents UNION SELECT reached.id, sides.b FROM reached JOIN sides ON reached.other = sides.a
+)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, r.component_id
+FROM d LEFT JOIN sizes s USING (doc_id) JOIN (SELECT id AS doc_id, min(other) AS component_id FROM reached GROUP BY id) r USING (doc_id)
+"""

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
-from signaldeck.llm.common import narrow, tables
+from signaldeck.llm.common import narrow, tables, tidied
 
 MIN_DOCS = 3
 MIN_CHARS = 20
@@ -69,7 +69,7 @@ def line_hashes(docs: DataFrame, id_column: str, text_column: str, min_chars: in
                 )
 
     schema = StructType([StructField("line", BinaryType()), StructField("doc", kind)])
-    return narrow(docs, id_column, text_column).mapInArrow(run, schema)
+    return narrow(docs, id_column, text_column).mapInArrow(tidied(run), schema)
 
 
 class LineRuns:
@@ -190,7 +190,7 @@ def dedup_lines(
                     names=list(kinds),
                 )
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run), schema)
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signaldeck.llm.common import RowSink, chunks, narrow
+from signaldeck.llm.common import RowSink, chunks, narrow, tidied
 from signaldeck.llm.word_ids import word_ids
 
 CAPACITY = 4096
@@ -156,7 +156,7 @@ def pack(
             yield from emit(packer.close())
             yield from sink.flush()
 
-    return narrow(docs, id_column, text_column).mapInArrow(run, out)
+    return narrow(docs, id_column, text_column).mapInArrow(tidied(run), out)
 
 
 def op1_packing(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from signaldeck.llm.common import chunks, narrow
+from signaldeck.llm.common import FORGET, chunks, narrow, tidied
 
 BUCKETS = 1 << 14
 SHAPES = 1 << 10
@@ -64,6 +64,7 @@ class Codes(dict):
 
 
 _CODES = Codes()
+FORGET.append(_CODES.clear)
 
 
 def codes_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -217,7 +218,7 @@ def train(
 
     # A few tasks: each hands one matrix to the driver.
     sums = np.zeros((BUCKETS, WIDTH), np.float64)
-    for row in sample.select("text").coalesce(6).mapInArrow(contexts, "sums binary").toLocalIterator():
+    for row in sample.select("text").coalesce(6).mapInArrow(tidied(contexts), "sums binary").toLocalIterator():
         sums += np.frombuffer(row["sums"], np.float32).reshape(BUCKETS, WIDTH)
     vectors = word_vectors(sums)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
@@ -228,7 +229,7 @@ def train(
                 got = [r.tobytes() for r in pooled(texts, shared.value)]
                 yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary()), batch.column("label")[rows]], names=["features", "label"])
 
-    rows = sorted((bytes(r["features"]), r["label"]) for r in sample.mapInArrow(features, "features binary, label double").collect())
+    rows = sorted((bytes(r["features"]), r["label"]) for r in sample.mapInArrow(tidied(features), "features binary, label double").collect())
     table = np.array([np.frombuffer(f, np.float32) for f, _ in rows]).reshape(-1, FEATURES)
     return vectors, Network(table, np.array([y for _, y in rows]))
 
@@ -254,7 +255,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, Network], id_column: str = "
 
     kind = docs.schema[id_column].dataType
     schema = StructType([StructField(id_column, kind), StructField("score", DoubleType())])
-    return narrow(docs, id_column, text_column).mapInArrow(run, schema)
+    return narrow(docs, id_column, text_column).mapInArrow(tidied(run), schema)
 
 
 def op3_quality_classifier(spark, sf_dir: str) -> DataFrame:

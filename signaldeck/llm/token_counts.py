@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signaldeck.llm.common import chunks, narrow
+from signaldeck.llm.common import FORGET, chunks, narrow, tidied
 from signaldeck.llm.word_ids import WordEncoder
 
 TABLE_SIZE = 32_768
@@ -39,10 +39,15 @@ class TokenLengths(dict):
         super().__init__(self._frequent)
         self._encode, self._most = WordEncoder(path), len(self._frequent) + cache_size
 
+    def forget(self) -> None:
+        """Keep the table alone."""
+        self.clear()
+        self.update(self._frequent)
+        self._encode.forget()
+
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self._most:
-            self.clear()
-            self.update(self._frequent)
+            self.forget()
         self[word] = size = len(self._encode(word)) // 4
         return size
 
@@ -50,6 +55,14 @@ class TokenLengths(dict):
 _OPEN: dict[tuple, TokenLengths] = {}
 
 
+def _forget() -> None:
+    for held in _OPEN.values():
+        held.forget()
+
+
+FORGET.append(_forget)
+
+
 def frequent_words(docs: DataFrame, text_column: str = "text", table_size: int = TABLE_SIZE) -> list[bytes]:
     """The most frequent white-space words of all texts, at most ``table_size``, most frequent first."""
 
@@ -64,7 +77,7 @@ def frequent_words(docs: DataFrame, text_column: str = "text", table_size: int =
         top = [(w, n) for w, n in seen.most_common(TASK_TOP) if len(w) <= LONGEST_WORD]
         yield pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in top], pa.binary()), "n": pa.array([n for _, n in top], pa.int64())})
 
-    counts = narrow(docs, text_column).mapInArrow(run, "word binary, n bigint")
+    counts = narrow(docs, text_column).mapInArrow(tidied(run), "word binary, n bigint")
     top = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(table_size)
     return [bytes(row["word"]) for row in top.collect()]
 
@@ -103,7 +116,7 @@ def count_tokens(
             columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[id_column, "n_bytes", "n_tokens"])
 
-    return narrow(docs, id_column, text_column).mapInArrow(run, f"`{id_column}` {kind}, n_bytes bigint, n_tokens bigint")
+    return narrow(docs, id_column, text_column).mapInArrow(tidied(run), f"`{id_column}` {kind}, n_bytes bigint, n_tokens bigint")
 
 
 def op5_token_counts(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from signaldeck.llm.common import chunks, narrow, tables
+from signaldeck.llm.common import chunks, narrow, tables, tidied
 from signaldeck.llm.word_ids import word_ids
 
 END_ID = 1
@@ -148,7 +148,7 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int, id_column: str, te
 
     kind = docs.schema[id_column].dataType
     schema = StructType([StructField("doc", kind), StructField("n", LongType()), StructField("ids", BinaryType())])
-    return narrow(docs, id_column, text_column).mapInArrow(run, schema)
+    return narrow(docs, id_column, text_column).mapInArrow(tidied(run), schema)
 
 
 def id_counts(rows: DataFrame, width: str) -> dict[int, int]:
@@ -164,7 +164,7 @@ def id_counts(rows: DataFrame, width: str) -> dict[int, int]:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["id", "n"])
 
-    counted = rows.select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    counted = rows.select("ids").mapInArrow(tidied(run), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     return {row["id"]: row["n"] for row in counted.collect()}
 
 
@@ -219,7 +219,7 @@ def write_token_files(
 
     long, blob = LongType(), BinaryType()
     kinds = {"part": long, "doc": rows.schema["doc"].dataType, "n": long, "stream": blob, "marks": blob}
-    coded = rows.mapInArrow(encode, StructType([StructField(c, k) for c, k in kinds.items()]))
+    coded = rows.mapInArrow(tidied(encode), StructType([StructField(c, k) for c, k in kinds.items()]))
     # Only coded streams are shuffled, each part to one task, and sorted there.
     coded = coded.repartition("part").sortWithinPartitions("part", "doc", "n", F.crc32("stream"))
 
@@ -246,7 +246,7 @@ def write_token_files(
 
     doc_type = kinds["doc"].simpleString()
     block_schema = f"part bigint, block bigint, inside bigint, docs array<{doc_type}>, counts array<bigint>, sizes array<bigint>, stream binary, marks binary"
-    coded.mapInArrow(join, block_schema).write.option("compression", "none").parquet(f"{folder}/blocks")
+    coded.mapInArrow(tidied(join), block_schema).write.option("compression", "none").parquet(f"{folder}/blocks")
     work.remove(ids_path)
     parts = spark.read.parquet(f"{folder}/blocks").select("part", F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n"))
     totals = sorted((r["part"], r["n"]) for r in parts.groupBy("part").agg(F.sum("n").alias("n")).collect())
@@ -296,7 +296,7 @@ def read_token_files(spark: SparkSession, folder: str, stride: int = STRIDE) ->
     )
     # One row per part, which Spark broadcasts by its measured size.
     parts = spark.read.parquet(f"{folder}/parts")
-    return blocks.join(parts, "part").select(*BLOCK_COLUMNS, "before").mapInArrow(decode, schema)
+    return blocks.join(parts, "part").select(*BLOCK_COLUMNS, "before").mapInArrow(tidied(decode), schema)
 
 
 def decode_block(code: CanonicalCode, counts: list[int], sizes: list[int], stream: bytes, marks: bytes, stride: int) -> np.ndarray:

@@ -14,6 +14,8 @@ from itertools import chain, count
 
 import numpy as np
 
+from signaldeck.llm.common import FORGET
+
 #: Letters that no normaliser changes but by lower-casing, then marks that never join them.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|*#$%&]*)\Z")
 
@@ -40,6 +42,9 @@ class WordEncoder:
         self._capacity = capacity
         self._stems: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        self._stems.clear()
+
     def _stem(self, letters: str) -> bytes:
         known = self._stems.get(letters)
         if known is None:
@@ -78,6 +83,10 @@ class WordIds(dict):
         self._pool = np.zeros(0, "<u4")
         self._ends = np.zeros(1, np.int64)
 
+    def forget(self) -> None:
+        self._start_anew()
+        self._encode.forget()
+
     def __missing__(self, word: bytes) -> int:
         slot = len(self)
         self._fresh.append(self._encode(word))
@@ -106,8 +115,16 @@ class WordIds(dict):
 _OPEN: dict[str, WordIds] = {}
 
 
+def _forget() -> None:
+    for held in _OPEN.values():
+        held.forget()
+
+
+FORGET.append(_forget)
+
+
 def word_ids(path: str) -> WordIds:
-    """The cache of this worker process, kept from task to task."""
+    """The encoder of this worker process; its vocabulary is kept from task to task."""
     if path not in _OPEN:
         _OPEN[path] = WordIds(path)
     return _OPEN[path]
