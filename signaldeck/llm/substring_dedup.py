@@ -8,10 +8,10 @@
    regions.  A phrase sends its regions to the shard of the place where it occurs first,
    a stretch of one document, so that the copies of a text meet in few shards.
 3. *Automata.*  A shard confirms which windows recur, joins those that occur for the first
-   time to passages, and compiles an automaton of short pieces of the passages, one every
-   few words, so that each window holds a whole piece.  Its regions are streamed through
-   the automaton; every hit is extended to the longest match, and matches of a window or
-   more, other than the passage itself, are repeats.
+   time to passages, and compiles an automaton of short phrases of the passages, one every
+   few words, so that each window holds a whole phrase.  Its regions are streamed through
+   the automaton, and the windows around every phrase found are compared, word for word,
+   with the first window like them.
 
 Equal windows share a phrase and with it a shard; what one shard finds always has an
 earlier copy, so the shards' results are simply united.
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from signaldeck.llm.common import chunks, narrow, raw_texts
+from signaldeck.llm.common import FORGET, chunks, narrow, raw_texts, tidied
 
 WINDOW = 20
 PHRASE = 6
@@ -55,6 +55,7 @@ class WordHashes(dict):
 
 
 WORD_HASHES = WordHashes()
+FORGET.append(WORD_HASHES.clear)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -109,7 +110,7 @@ def phrases(docs: DataFrame, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["phrase", "doc", "pos"])
 
     schema = StructType([StructField("phrase", LongType()), docs.schema["doc"]])
-    return docs.mapInArrow(run, schema.add("pos", IntegerType()))
+    return docs.mapInArrow(tidied(run), schema.add("pos", IntegerType()))
 
 
 def joined_ranges(places: list[int], before: int, behind: int, end: int) -> list[tuple[int, int]]:
@@ -149,7 +150,7 @@ def regions(docs: DataFrame, recurring: DataFrame, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["shard", "doc", "start", "words"])
 
     schema = StructType([StructField("shard", LongType()), docs.schema["doc"], StructField("start", LongType())])
-    return joined.mapInArrow(run, schema.add("words", BinaryType()))
+    return joined.mapInArrow(tidied(run), schema.add("words", BinaryType()))
 
 
 class Shard:
@@ -167,8 +168,10 @@ class Shard:
         return self.settle() if self._size > self._limit else []
 
     def settle(self) -> list[tuple]:
-        """(doc, begin, end) of every repeat in the regions added since the last time."""
+        """(doc, begin, end) of all repeats in the regions added since the last time."""
         window, held = self._window, self._held
+        if not held:
+            return []
         numbers: dict[bytes, int] = {}
         rows = [[numbers.setdefault(w, len(numbers)) for w in words] for _, _, words, _ in held]
         sizes = np.fromiter(map(len, rows), np.int64, len(rows))
@@ -178,11 +181,26 @@ class Shard:
         hashes = sequence_hashes(mix(flat + np.uint64(1)), window)
         inside = np.flatnonzero(region[: len(hashes)] == region[window - 1 :]) if len(hashes) else np.zeros(0, np.int64)
         # Regions are in order, so the first of equal windows is the earliest.
-        _, first, counts = np.unique(hashes[inside], return_index=True, return_counts=True)
+        _, first, which, counts = np.unique(hashes[inside], return_index=True, return_inverse=True, return_counts=True)
         new = np.sort(inside[first])
-        passages = self._joined(inside[first[counts > 1]], region)
-        spans = self._locate(rows, edges, passages, flat) if passages else []
-        out = [(held[r][0], held[r][1] + a, held[r][1] + b) for r, a, b in spans if not held[r][3]]
+        home = inside[first][which]
+        found = self._locate(flat, self._joined(inside[first[counts > 1]], region), len(inside) and int(inside[-1]) + 1)
+        # A window at a phrase is a repeat if it equals, word for word, a window that starts earlier.
+        again = found[inside] & (home != inside) if len(inside) else np.zeros(0, bool)
+        starts, homes = inside[again], home[again]
+        same = np.ones(len(starts), bool)
+        for j in range(window):
+            same &= flat[starts + j] == flat[homes + j]
+        # Rows that repeat an id give the same place twice; that is no repeat.
+        doc_of, start_of = np.unique([str(h[0]) for h in held], return_inverse=True)[1], np.array([h[1] for h in held], np.int64)
+        place = lambda at: start_of[region[at]] + at - edges[region[at]]
+        same &= (doc_of[region[starts]] != doc_of[region[homes]]) | (place(starts) != place(homes))
+        out = []
+        for a, b in self._joined(starts[same], region):
+            doc, start, _, settled = held[int(region[a])]
+            if not settled:
+                shift = start - int(edges[region[a]])
+                out.append((doc, a + shift, b + shift))
         # Only windows seen for the first time are needed for what follows.
         kept = []
         for a, b in self._joined(new, region):
@@ -201,48 +219,21 @@ class Shard:
         breaks = np.flatnonzero((np.diff(starts) > 1) | (region[starts[1:]] != region[starts[:-1]])) + 1
         return [(int(run[0]), int(run[-1]) + self._window) for run in np.split(starts, breaks)]
 
-    def _locate(self, rows: list[list[int]], edges: np.ndarray, passages: list[tuple[int, int]], flat: np.ndarray) -> list[tuple]:
-        letters = "".join(map(chr, (0x10000 + (flat % np.uint64(0xF0000))).tolist()))
-        ids = flat.tolist()
-        pieces: dict[str, list[tuple[int, int]]] = {}
-        for number, (a, b) in enumerate(passages):
-            for t in range(a, b - PIECE + 1, self._window - PIECE + 1):
-                pieces.setdefault(letters[t : t + PIECE], []).append((number, t))
-        automaton = ahocorasick.Automaton()
-        for piece, places in pieces.items():
-            automaton.add_word(piece, places)
-        automaton.make_automaton()
-        found = []
-        for r in range(len(rows)):
-            begin, end = int(edges[r]), int(edges[r + 1])
-            done: dict[tuple[int, int], int] = {}
-            spans = []
-            for last, places in automaton.iter(letters[begin:end]):
-                here = begin + last - PIECE + 1
-                for number, t in places:
-                    # A passage meets the region along a diagonal; matches on it are found once.
-                    shift = here - t
-                    if shift == 0 or done.get((number, shift), -1) >= here + PIECE:
-                        continue
-                    a, b = passages[number]
-                    x, low = here, max(begin, a + shift)
-                    while x > low and ids[x - 1] == ids[x - 1 - shift]:
-                        x -= 1
-                    y, high = here, min(end, b + shift)
-                    while y < high and ids[y] == ids[y - shift]:
-                        y += 1
-                    done[number, shift] = max(y, here + PIECE)
-                    if y - x >= self._window:
-                        spans.append((x - begin, y - begin))
-            spans.sort()
-            at = None
-            for a, b in spans:
-                if at is not None and a <= at[1]:
-                    at[1] = max(at[1], b)
-                else:
-                    at = [a, b]
-                    found.append((r, at))
-        return [(r, a, b) for r, (a, b) in found]
+    def _locate(self, flat: np.ndarray, passages: list[tuple[int, int]], windows: int) -> np.ndarray:
+        """Which windows hold a phrase of a passage, by start; every window of a passage holds one."""
+        marks = np.zeros(windows + 2, np.int64)
+        if passages:
+            letters = "".join(map(chr, (0x10000 + (flat % np.uint64(0xF0000))).tolist()))
+            step = self._window - PIECE + 1
+            automaton = ahocorasick.Automaton()
+            for a, b in passages:
+                for t in range(a, b - PIECE + 1, step):
+                    automaton.add_word(letters[t : t + PIECE], True)
+            automaton.make_automaton()
+            begins = np.fromiter((last for last, _ in automaton.iter(letters)), np.int64) - PIECE + 1
+            np.add.at(marks, np.clip(begins - step + 1, 0, windows), 1)
+            np.add.at(marks, np.clip(begins + 1, 0, windows + 1), -1)
+        return np.cumsum(marks)[: max(windows, 1)] > 0
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -276,7 +267,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield rows(spans)
 
     schema = StructType([docs.schema["doc"], StructField("begin", LongType()), StructField("end", LongType())])
-    return ordered.mapInArrow(locate, schema)
+    return ordered.mapInArrow(tidied(locate), schema)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -319,10 +310,31 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_column: str = "doc_
 
     span = ArrayType(StructType([StructField("begin", LongType()), StructField("end", LongType())]))
     kinds = {"doc_id": source.schema["doc"].dataType, "kept_text": StringType(), "n_words": LongType(), "n_removed": LongType(), "spans": span}
-    return joined.mapInArrow(run, StructType([StructField(c, k) for c, k in kinds.items()]))
+    return joined.mapInArrow(tidied(run), StructType([StructField(c, k) for c, k in kinds.items()]))
 
 
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """Words, removed words and a digest of the kept ones of every document."""
     kept = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = r"""
+WITH d AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents
+),
+windows AS (
+    SELECT doc_id, u.i AS i, array_to_string(words[u.i : u.i + 19], ' ') AS run FROM d, unnest(range(1, len(words) - 18)) AS u(i)
+),
+again AS (
+    SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS n FROM windows) WHERE n > 1
+),
+gone AS (SELECT DISTINCT doc_id, i + o.k AS i FROM again, unnest(range(0, 20)) AS o(k)),
+kept AS (
+    SELECT w.doc_id, count(g.i) AS n_removed, coalesce(string_agg(w.word, ' ' ORDER BY w.i) FILTER (g.i IS NULL), '') AS text
+    FROM (SELECT doc_id, u.i AS i, words[u.i] AS word FROM d, unnest(range(1, len(words) + 1)) AS u(i)) w
+    LEFT JOIN gone g ON w.doc_id = g.doc_id AND w.i = g.i GROUP BY w.doc_id
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
