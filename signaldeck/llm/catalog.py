@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from signaldeck.llm import line_dedup, quality_rules
-from signaldeck.llm.decontamination import op7_decontamination
+from signaldeck.llm import decontamination, jaccard_join, line_dedup, quality_rules, substring_dedup
 from signaldeck.llm.html_extraction import op9_html_extraction
-from signaldeck.llm.jaccard_join import op4_jaccard_join
 from signaldeck.llm.packing import op1_packing
 from signaldeck.llm.quality_classifier import op3_quality_classifier
-from signaldeck.llm.substring_dedup import op8_substring_dedup
 from signaldeck.llm.token_counts import op5_token_counts
 from signaldeck.llm.token_files import op6_token_files
 
@@ -16,15 +13,18 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_quality_classifier": op3_quality_classifier,
-    "op4_jaccard_join": op4_jaccard_join,
+    "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op5_token_counts": op5_token_counts,
     "op6_token_files": op6_token_files,
-    "op7_decontamination": op7_decontamination,
-    "op8_substring_dedup": op8_substring_dedup,
+    "op7_decontamination": decontamination.op7_decontamination,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLES = {
     "op2_line_dedup": line_dedup.ORACLE_SQL,
+    "op4_jaccard_join": jaccard_join.ORACLE_SQL,
+    "op7_decontamination": decontamination.ORACLE_SQL,
+    "op8_substring_dedup": substring_dedup.ORACLE_SQL,
     "op10_quality_rules": quality_rules.ORACLE_SQL,
 }
