@@ -27,7 +27,12 @@ _MARKUP = re.compile(
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: One attribute; a value belongs to its name, and a quote that is left open ends with the tag.
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s\"'>][^\s>]*)))?")
+_READ = frozenset("class id role hidden aria-hidden style".split())
+#: Parts of a style that hold no declarations of their own.
+_QUOTED = re.compile(r"/\*.*?(?:\*/|\Z)|\"[^\"]*\"|'[^']*'|\([^)]*\)", re.S)
+_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([a-z-]*)[^;!]*(!\s*important)?")
 _WORD = re.compile(r"[a-z]+")
 
 CONTAINERS = frozenset(
@@ -48,32 +53,64 @@ _FURNITURE_WORDS = frozenset(
 )
 _FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _CONTENT_WORDS = frozenset("article content main post entry story text body page wrapper wrap container layout with has no".split())
+#: Elements named by these hold an article, as article and main do.
+_ARTICLE_WORDS = frozenset("article post entry story".split())
 #: Share of a page's article-like text that the container it votes for must hold.
 MOST = 0.6
 
 Block = tuple[tuple[str, ...], bool, bool, str]
 
 
-def _names(tag: str, rest: str) -> tuple[str, bool]:
-    """Generalised name of an element, and whether it is page furniture."""
-    attributes = {}
-    if rest:
-        for name, a, b, c in _ATTRIBUTE.findall(rest):
-            attributes.setdefault(name.lower(), (a or b or c).lower())
-    label = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-    words = _WORD.findall(label)
-    first = _WORD.findall(attributes.get("class", "")) or _WORD.findall(attributes.get("id", ""))
+def _attributes(rest: str) -> dict[str, str]:
+    """Values of the attributes that are read, lower case; the first of a name counts."""
+    found: dict[str, str] = {}
+    for name, a, b, c in _ATTRIBUTE.findall(rest):
+        name = name.lower()
+        if name in _READ:
+            found.setdefault(name, (a or b or c).lower())
+    return found
+
+
+def _undisplayed(style: str) -> bool:
+    """Whether the declaration that holds, the last one or the last important one, is display:none."""
+    if "display" not in style:
+        return False
+    declared = _DISPLAY.findall(_QUOTED.sub("", style))
+    held = [value for value, important in declared if important] or [value for value, _ in declared]
+    return bool(held) and held[-1] == "none"
+
+
+def _names(tag: str, rest: str) -> tuple[str, bool, bool, bool]:
+    """Generalised name of an element; whether it is page furniture, whether only its id says so, and whether it holds an article."""
+    attributes = _attributes(rest) if rest else {}
+    named, own = _WORD.findall(attributes.get("class", "")), _WORD.findall(attributes.get("id", ""))
+    words, first = named + own, named or own
+    whole = tag in ("body", "html", "main", "article")
     junk = tag in _FURNITURE_TAGS or attributes.get("role") in _FURNITURE_ROLES
     junk = junk or "hidden" in attributes or attributes.get("aria-hidden") == "true"
-    if not junk and words and tag not in ("body", "html", "main", "article"):
+    # A body without display waits for its scripts.
+    junk = junk or (tag not in ("body", "html") and _undisplayed(attributes.get("style", "")))
+    topic = False
+    if not junk and words and not whole:
         junk = not _FURNITURE_WORDS.isdisjoint(words) and _CONTENT_WORDS.isdisjoint(words)
-        junk = junk or not {"comment", "comments"}.isdisjoint(words)
-    return (f"{tag}.{'-'.join(first)}" if first else tag), junk
+        topic = junk and _FURNITURE_WORDS.isdisjoint(named) and tag in ("section", "div") and {"respond", "disqus"}.isdisjoint(own)
+        if not {"comment", "comments"}.isdisjoint(words):
+            junk, topic = True, False
+    article = tag in ("article", "main") or (not whole and not _ARTICLE_WORDS.isdisjoint(words))
+    return (f"{tag}.{'-'.join(first)}" if first else tag), junk, topic, article
 
 
 def blocks_of(page: str) -> tuple[list[Block], dict[tuple[str, ...], bool]]:
-    """(path, is furniture, is in a link, text) of each block, and the holders' paths."""
-    stack: list[tuple[str, tuple[str, ...], bool, bool]] = []
+    """(path, is furniture, is in a link, text) of each block, and the holders' paths.
+
+    A section or div within an article whose id alone sounds like furniture (discussion, search) is
+    one of its sections if most of its text is outside of links and, for a div, it begins with a heading.
+    """
+    stack: list[tuple[str, tuple[str, ...], bool, bool, tuple[int, ...], bool]] = []
+    asked: tuple[int, ...] = ()
+    doubtful: list[tuple[int, tuple[int, ...]]] = []
+    prose: list[int] = []  # of each element in doubt: text outside of links, less that in links
+    titled: list[bool | None] = []
     holders: dict[tuple[str, ...], bool] = {(): False}  # a page may do without a body
     out: list[Block] = []
     held: list[str] = []
@@ -88,6 +125,11 @@ def blocks_of(page: str) -> tuple[list[Block], dict[tuple[str, ...], bool]]:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
                 out.append((path, junk or (header and not heading), linked > plain, text))
+                if asked and not out[-1][1]:
+                    doubtful.append((len(out) - 1, asked))
+                    for i in asked:
+                        prose[i] += -len(text) if linked > plain else len(text)
+                        titled[i] = heading if titled[i] is None else titled[i]
             held.clear()
         linked = plain = 0
 
@@ -142,17 +184,27 @@ def blocks_of(page: str) -> tuple[list[Block], dict[tuple[str, ...], bool]]:
             elif tag == "body":
                 # A body ends what the head left open.
                 del stack[next((i for i, s in enumerate(stack) if s[0] == "head"), len(stack)) :]
-            name, own = _names(tag, m["rest"])
-            above = stack[-1] if stack else ("", (), False, False)
+            name, own, topic, article = _names(tag, m["rest"])
+            above = stack[-1] if stack else ("", (), False, False, (), False)
             inside = any(s[0] in ("article", "main") for s in stack)
-            furniture = above[2] or own or (tag == "header" and not inside)
+            topic = topic and above[5]
+            furniture = above[2] or (own and not topic) or (tag == "header" and not inside)
             if not (m["rest"] or "").endswith("/"):
-                stack.append((tag, (*above[1], name), furniture, above[3] or (tag == "header" and inside)))
-                if tag in HOLDERS and not furniture:
+                within = above[4]
+                if topic and not furniture:
+                    within = (*within, len(prose))
+                    prose.append(0)
+                    titled.append(True if tag == "section" else None)
+                stack.append((tag, (*above[1], name), furniture, above[3] or (tag == "header" and inside), within, above[5] or article))
+                if tag in HOLDERS and not furniture and not within:
                     holders[stack[-1][1]] = tag in ("article", "main")
-        path, junk, header = (stack[-1][1], stack[-1][2], stack[-1][3]) if stack else ((), False, False)
+        path, junk, header, asked = stack[-1][1:5] if stack else ((), False, False, ())
     add(page[at:])
     close()
+    for k, within in doubtful:
+        if any(prose[i] <= 0 or not titled[i] for i in within):
+            at_path, _, link_only, text = out[k]
+            out[k] = (at_path, True, link_only, text)
     return out, holders
 
 

@@ -162,6 +162,33 @@ def test_extraction_by_host(spark):
     assert got[8] == "\n\n".join([html.unescape("long text &#233;")] * 9000)
 
 
+OPEN = "<p>An opening paragraph of the article.</p>"
+
+
+@pytest.mark.parametrize("page, kept", [
+    ('<body style="overflow-x:hidden" data-note=\'a hidden note\'><p>text</p></body>', ["text"]),
+    ('<main data-hidden title="not hidden"><p>text</p></main>', ["text"]),
+    ('<article class="a" data-class="ad" data-role="banner" data-id="search"><p>text</p></article>', ["text"]),
+    ('<div data-role=navigation aria-label="role=banner"><p>text</p></div>', ["text"]),
+    ('<div title="it is hidden><p>text</p></div>', ["text"]),
+    ('<body style="display:none"><p>text</p></body>', ["text"]),
+    ('<div style="display:none; display:block"><p>text</p></div>', ["text"]),
+    ('<div style="background:url(display:none;display:none)"><p>text</p></div>', ["text"]),
+    ("<div hidden><p>text</p></div><p>seen</p>", ["seen"]),
+    ('<div class=a HIDDEN=""><p>text</p></div><p>seen</p>', ["seen"]),
+    ('<div aria-hidden = true><p>text</p></div><p>seen</p>', ["seen"]),
+    ('<div style="color:red; DISPLAY : none !important; display:block"><p>text</p></div><p>seen</p>', ["seen"]),
+    (f'<article>{OPEN}<section id="discussion"><p>What it <a href="x">means</a>.</p></section></article>', ["An opening paragraph of the article.", "What it means."]),
+    (f'<div class="post">{OPEN}<div class="level2" id="search"><h2>Search</h2><p>How to.</p></div></div>', ["An opening paragraph of the article.", "Search", "How to."]),
+    (f'<article>{OPEN}<section id="related"><h2>More</h2><p><a href="x">One more story</a></section></article>', ["An opening paragraph of the article."]),
+    (f'<article>{OPEN}<div id="ad-1">Buy this</div><div id="comments"><h2>Said</h2><p>I said so</div></article>', ["An opening paragraph of the article."]),
+    (f'{OPEN}<div id="search"><h2>Search</h2><p>Type here</div>', ["An opening paragraph of the article."]),
+])
+def test_attributes_are_read_name_by_name(page, kept):
+    blocks, holders = html_extraction.blocks_of(page)
+    assert html_extraction.text_on(blocks, html_extraction.vote(blocks, holders)[0]) == kept
+
+
 def test_network_without_both_labels():
     network = Network(np.zeros((4, 3)), np.ones(4))
     assert np.allclose(network.score(np.zeros((2, 3))), 5 / 6)
