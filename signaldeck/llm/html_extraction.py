@@ -1,11 +1,12 @@
 """Main text of web pages by consensus container paths of their host.
 
 Every page scores its containers: text outside of links and of known furniture counts for
-each container around it, and the page votes for the deepest one that holds most of it.
+each container around it, and the page votes for the deepest one that holds all of it, or
+for an article or main element that holds most of it.
 Votes go by generalised tag-class paths (``/html/body/div.post``, digits left out) and are
 counted per host in Spark, where a hot host is combined before it meets.  The winning path
 of each host is joined back and every page is extracted again from the containers on it;
-a page without any uses the container it voted for itself.
+a page without any, or with text that they leave out, uses the container it voted for itself.
 """
 
 from __future__ import annotations
@@ -55,7 +56,7 @@ _FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search
 _CONTENT_WORDS = frozenset("article content main post entry story text body page wrapper wrap container layout with has no".split())
 #: Elements named by these hold an article, as article and main do.
 _ARTICLE_WORDS = frozenset("article post entry story".split())
-#: Share of a page's article-like text that the container it votes for must hold.
+#: Share of a page's article-like text that an article or main element must hold to stand for the page.
 MOST = 0.6
 
 Block = tuple[tuple[str, ...], bool, bool, str]
@@ -208,24 +209,42 @@ def blocks_of(page: str) -> tuple[list[Block], dict[tuple[str, ...], bool]]:
     return out, holders
 
 
-def vote(blocks: list[Block], holders: dict[tuple[str, ...], bool]) -> tuple[str, int]:
-    """Path of the deepest holder with most of the page's article-like text, and that text's length."""
+def weights(blocks: list[Block], holders: dict[tuple[str, ...], bool]) -> dict[tuple[str, ...], int]:
+    """Length of the article-like text in each holder; text without a letter or digit does not count."""
     own: dict[tuple[str, ...], int] = {}
     for path, junk, link, text in blocks:
-        if not junk and not link:
+        if not junk and not link and any(map(str.isalnum, text)):
             for depth in range(len(path) + 1):
                 if path[:depth] in holders:
                     own[path[:depth]] = own.get(path[:depth], 0) + len(text)
+    return own
+
+
+def _enough(path: tuple[str, ...], own: dict[tuple[str, ...], int], holders: dict[tuple[str, ...], bool]) -> bool:
+    total = max(own.values(), default=0)
+    return own.get(path, 0) >= (MOST * total if holders[path] else total)
+
+
+def vote(blocks: list[Block], holders: dict[tuple[str, ...], bool]) -> tuple[str, int]:
+    """Path of the holder that stands for the page's article-like text, and the length of its text."""
+    own = weights(blocks, holders)
     if not own:
         return "", 0
-    total = max(own.values())
-    enough = [p for p, n in own.items() if n >= MOST * total]
+    enough = [p for p in own if _enough(p, own, holders)]
     # An article or main element stands for the page where it has most text; nothing below it does.
+    # Other containers must hold all of it, as what they leave out is lost.
     marked = [p for p in enough if holders[p]]
-    best = min(marked, key=len) if marked else max(enough, key=lambda p: (len(p), own[p]))
+    best = min(marked, key=len) if marked else max(enough, key=len)
     return "/" + "/".join(best), own[best]
 
 
+def container_of(blocks: list[Block], holders: dict[tuple[str, ...], bool], winner: str | None) -> str:
+    """The host's path where the page has it and it leaves nothing out, else the page's own vote."""
+    if winner is not None and steps(winner) in holders and _enough(steps(winner), weights(blocks, holders), holders):
+        return winner
+    return vote(blocks, holders)[0]
+
+
 def steps(path: str) -> tuple[str, ...]:
     return tuple(x for x in path.split("/") if x)
 
@@ -267,8 +286,7 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
             texts, used = [], []
             for page, path in zip(raw_texts(batch.column("html")), batch.column("path").to_pylist(), strict=True):
                 blocks, holders = blocks_of(page.decode())
-                if path is None or steps(path) not in holders:
-                    path = vote(blocks, holders)[0]
+                path = container_of(blocks, holders, path)
                 texts.append("\n\n".join(text_on(blocks, path)) if path else "")
                 used.append(path)
             yield pa.RecordBatch.from_arrays(

@@ -189,6 +189,24 @@ def test_attributes_are_read_name_by_name(page, kept):
     assert html_extraction.text_on(blocks, html_extraction.vote(blocks, holders)[0]) == kept
 
 
+def test_host_without_article_elements_keeps_unequal_parts(spark):
+    words = lambda n, k: " ".join(f"word{k}{i}" for i in range(n))
+    page = '<body><nav>menu</nav><div class="post"><h1>T</h1>%s<div class="body"><p>%s</p></div></div> | <ul><li><a href="x">other</a></ul></body>'
+    intro = '<div class="intro"><p>%s</p></div>'
+    pages = [(k, "http://a.example/", page % (intro % words(n, "a"), words(100 - n, "b"))) for k, n in enumerate((30, 2, 49))]
+    # Most pages of this host have one part, and a few have more around it.
+    pages += [(k, "http://b.example/", page.replace("<h1>T</h1>", "") % ("", words(90, "b"))) for k in range(10, 15)]
+    pages += [(15, "http://b.example/", page % (intro % words(40, "a"), words(60, "b")))]
+    # An article element that holds little of the page does not stand for it, though it does elsewhere on the host.
+    pages += [(k, "http://c.example/", f"<body><article><p>{words(50, 'b')}</p></article></body>") for k in range(20, 24)]
+    pages += [(24, "http://c.example/", f"<body><div><p>{words(90, 'a')}</p></div><article><p>{words(10, 'b')}</p></article></body>")]
+    table = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text.split("\n\n") for r in html_extraction.extract(table).collect()}
+    assert [got[k] for k in range(3)] == [["T", words(n, "a"), words(100 - n, "b")] for n in (30, 2, 49)]
+    assert all(got[k] == [words(90, "b")] for k in range(10, 15)) and got[15] == ["T", words(40, "a"), words(60, "b")]
+    assert all(got[k] == [words(50, "b")] for k in range(20, 24)) and got[24] == [words(90, "a"), words(10, "b")]
+
+
 def test_network_without_both_labels():
     network = Network(np.zeros((4, 3)), np.ones(4))
     assert np.allclose(network.score(np.zeros((2, 3))), 5 / 6)
