@@ -10,7 +10,7 @@ from signaldeck.functions import scalars as S
 from signaldeck.functions import variants as V
 from signaldeck.functions.stage import staged
 from signaldeck.schema import conform
-from signaldeck.sources.otel import ANY_VALUE_DEPTH, ATTRIBUTES, items, scopes
+from signaldeck.sources.otel import ATTRIBUTES, items, scopes
 
 SOURCE = "otlp"
 # Reject reasons.
@@ -20,10 +20,20 @@ INVALID_POINT = "otlp.invalid_metric_point"
 
 KEEP_NULLS = {"ignoreNullFields": "false"}
 
+# Pieces of a value's compact wire JSON with sorted keys.  Each is rewritten by itself, so no
+# depth is set: an array or list begins, ends or is empty; a scalar; an entry without a value;
+# an unset value; text; anything else.
+_PIECES = (
+    r'\{"(?:array|kvlist)_value":\{(?:"values":(?:null|\[\]))?\}\}|\{"(?:array|kvlist)_value":\{"values":\['
+    r'|\{"(?:string|bool|int|double|bytes)_value":(?:"[^"]*"|[^"{}\[\],]*)\}|\{"key":"[^"]*"\}|\{\}|\]\}\}|"[^"]*"|[^"{\]]+|[{\]]'
+)
+# Members that are null; a quote before a letter begins a name.
+_NULL_MEMBERS = r'(?<=\{)(?:"[a-z]+_value":null(?:,|(?=\})))+|,"[a-z]+_value":null(?=[,}])'
+
 
 # --- values -----------------------------------------------------------------
 
-def any_value(value: Column, depth: int = ANY_VALUE_DEPTH) -> Column:
+def any_value(value: Column) -> Column:
     """One-of value as VARIANT; an unset value is JSON null."""
     scalars = [
         value["string_value"].cast("variant"),
@@ -32,23 +42,50 @@ def any_value(value: Column, depth: int = ANY_VALUE_DEPTH) -> Column:
         S.finite_number(value["double_value"]),
         S.hex_bytes(value["bytes_value"]).cast("variant"),
     ]
-    if depth == 0:
-        nested = [F.try_parse_json(value["array_value"]), F.try_parse_json(value["kvlist_value"])]
-    else:
-        nested = [
-            F.to_variant_object(
-                F.transform(value["array_value"]["values"], lambda x: any_value(x, depth - 1))
-            ),
-            F.to_variant_object(pairs(value["kvlist_value"]["values"], depth - 1)),
-        ]
-    return F.coalesce(*scalars, *nested, V.json_null())
-
-
-def pairs(attributes: Column, depth: int = ANY_VALUE_DEPTH) -> Column:
+    wire = F.coalesce(
+        F.concat(F.lit('{"array_value":'), value["array_value"], F.lit("}")),
+        F.concat(F.lit('{"kvlist_value":'), value["kvlist_value"], F.lit("}")),
+    )
+    return F.coalesce(*scalars, _decoded(wire), V.json_null())
+
+
+def _decoded(wire: Column) -> Column:
+    """Wire JSON of a one-of value of any depth as VARIANT; JSON of another form as it is."""
+    compact = F.regexp_replace(F.to_json(F.try_parse_json(wire)), F.lit(_NULL_MEMBERS), F.lit(""))
+    # Without escaped quotes a text ends at the next quote; JSON holds no such characters itself.
+    compact = F.replace(F.replace(compact, F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02"))
+    text = F.array_join(F.transform(F.regexp_extract_all(compact, F.lit(_PIECES), F.lit(0)), _piece), "")
+    text = F.replace(F.replace(text, F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\"))
+    return F.coalesce(F.try_parse_json(text), F.try_parse_json(wire))
+
+
+def _piece(piece: Column) -> Column:
+    kind = F.regexp_extract(piece, r'^\{"([a-z]+)_value":', 1)
+    inner = F.regexp_extract(piece, r'(?s)^\{"[a-z]+_value":(.*)\}$', 1)
+    bare = F.replace(inner, F.lit('"'), F.lit(""))
+    double = bare.try_cast("double")
+    shown = double.cast("string")
+    decoded = (
+        F.when(kind.isin("array", "kvlist"), F.when(piece.endswith("}"), "[]").otherwise("["))
+        .when(kind == "string", F.concat(F.lit('"'), bare, F.lit('"')))
+        .when(kind == "bool", F.when(inner.isin("true", "false"), inner))
+        .when(kind == "int", inner.try_cast("bigint").cast("string"))
+        # With an exponent it is read as a DOUBLE again.
+        .when(kind == "double", F.when(~S.is_finite(double), F.concat(F.lit('"'), shown, F.lit('"')))
+              .otherwise(F.when(shown.contains("E"), shown).otherwise(F.concat(shown, F.lit("E0")))))
+        .when(kind == "bytes", F.concat(F.lit('"'), S.hex_bytes(F.try_to_binary(bare, F.lit("base64"))), F.lit('"')))
+        .when(piece == "]}}", "]")
+        .when(piece.startswith('{"key":'), F.concat(F.regexp_replace(piece, r"\}$", ""), F.lit(',"value":null}')))
+        .when(piece != "{}", piece)
+    )
+    return F.coalesce(decoded, F.lit("null"))
+
+
+def pairs(attributes: Column) -> Column:
     """Attributes as an array of (key, VARIANT value), order and duplicates kept."""
     return F.transform(
         attributes,
-        lambda kv: F.struct(kv["key"].alias("key"), any_value(kv["value"], depth).alias("value")),
+        lambda kv: F.struct(kv["key"].alias("key"), any_value(kv["value"]).alias("value")),
     )
 
 

@@ -1,8 +1,8 @@
 """Decoded OpenTelemetry export batches as nested rows.
 
 Input files hold one export request per row (JSON lines or Parquet).  The schema is
-explicit; attribute values are typed one-of structs, nested two levels deep, with
-anything deeper kept as JSON text.
+explicit; attribute values are typed one-of structs whose arrays and key-value lists
+are kept as JSON text, which the operators decode at any depth.
 """
 
 from __future__ import annotations
@@ -10,22 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ANY_VALUE_DEPTH = 2
+from signaldeck.functions.stage import staged
 
 
-def any_value_ddl(depth: int = ANY_VALUE_DEPTH) -> str:
-    """One-of value: exactly one member is set."""
-    if depth == 0:
-        nested = "array_value: string, kvlist_value: string"
-    else:
-        inner = any_value_ddl(depth - 1)
-        nested = (
-            f"array_value: struct<values: array<{inner}>>, "
-            f"kvlist_value: struct<values: array<struct<key: string, value: {inner}>>>"
-        )
+def any_value_ddl() -> str:
+    """One-of value: exactly one member is set; nested values are JSON text."""
     return (
         "struct<string_value: string, bool_value: boolean, int_value: bigint, "
-        f"double_value: double, bytes_value: binary, {nested}>"
+        "double_value: double, bytes_value: binary, array_value: string, kvlist_value: string>"
     )
 
 
@@ -125,10 +117,37 @@ def _column(value: int | Column) -> Column:
     return value if isinstance(value, Column) else F.lit(value).cast("bigint")
 
 
+def _inlined(text: Column) -> Column:
+    """JSON text in which nested values that are texts of JSON are that JSON."""
+    # Without escaped quotes a text ends at the next quote; JSON holds no such characters itself.
+    marked = F.replace(F.replace(text, F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02"))
+    restored = lambda part: F.replace(F.replace(part, F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\"))
+    nested = r'^"(?:array|kvlist)_value":(?=")'
+    parts = F.regexp_extract_all(marked, F.lit(r'"(?:array|kvlist)_value":"[^"]*"|"[^"]*"|[^"]+'), F.lit(0))
+    return F.array_join(
+        F.transform(
+            parts,
+            lambda part: F.when(
+                part.rlike(nested),
+                F.concat(
+                    F.regexp_extract(part, r'^"[a-z]+_value":', 0),
+                    F.coalesce(F.try_variant_get(F.try_parse_json(restored(F.regexp_replace(part, nested, ""))), "$", "string"), F.lit("null")),
+                ),
+            ).otherwise(restored(part)),
+        ),
+        "",
+    )
+
+
 def read_otel(spark: SparkSession, path: str, kind: str, project_id: int,
               received_at_ms: int | None = None, format: str = "json") -> DataFrame:
     """Export requests of one kind ('traces', 'logs' or 'metrics')."""
-    rows = spark.read.schema(otel_ddl(kind)).format(format).load(path)
+    if format == "json":
+        rows = spark.read.schema(otel_ddl(kind)).json(path)
+    else:
+        # Typed files hold nested values as structs to some depth, as text, or both.
+        whole = _inlined(F.to_json(F.struct(LEVELS[kind][0])))
+        rows = staged(spark.read.format(format).load(path), _r=F.from_json(whole, otel_ddl(kind))).select("_r.*")
     return with_arrival(rows, project_id, received_at_ms)
 
 

@@ -172,3 +172,62 @@ def test_any_value(spark, value, shown):
 
     df = spark.createDataFrame([(json.dumps(value),)], "j string").select(F.from_json("j", any_value_ddl()).alias("v"))
     assert df.select(F.to_json(O.any_value(F.col("v")))).first()[0] == shown
+
+
+def wrapped(value, *kinds):
+    """Wire and decoded form of a value within arrays ('a') and key-value lists ('k'), outermost first."""
+    wire, shown = value
+    for kind in reversed(kinds):
+        if kind == "a":
+            wire, shown = {"array_value": {"values": [wire, {"int_value": 1}]}}, [shown, 1]
+        else:
+            entry = {"value": wire, "key": "k"}
+            wire, shown = {"kvlist_value": {"values": [entry, entry]}}, [{"key": "k", "value": shown}] * 2
+    return wire, shown
+
+
+TRICKY = 'a "]}}" \\ {"int_value":7} \\" ,"x_value":null} é \u2028 \n'
+SCALARS = [
+    ({"string_value": TRICKY}, TRICKY), ({"string_value": ""}, ""), ({"int_value": 2**63 - 1}, 2**63 - 1), ({"int_value": -7}, -7),
+    ({"bool_value": False}, False), ({"double_value": 1.0}, 1.0), ({"double_value": 0.1}, 0.1), ({"double_value": -2.5e300}, -2.5e300),
+    ({"double_value": "NaN"}, "NaN"), ({"double_value": "-Infinity"}, "-Infinity"), ({"bytes_value": b64(b"\x01\xff\xfb")}, "01fffb"),
+    ({}, None), ({"string_value": None, "int_value": 4, "bool_value": None}, 4), ({"string_value": None, "bool_value": None}, None),
+    ({"array_value": {"values": []}}, []), ({"kvlist_value": {"values": []}}, []),
+    ({"kvlist_value": {"values": [{"key": TRICKY}]}}, [{"key": TRICKY, "value": None}]),
+]
+
+
+@pytest.mark.parametrize("kinds", ["a", "k", "aak", "kkk", "kaakaka", "a" * 60 + "k" * 5])
+def test_any_value_of_any_depth(spark, kinds):
+    from signaldeck.sources.otel import any_value_ddl
+
+    values = [wrapped(v, *kinds) for v in SCALARS]
+    rows = [(i, json.dumps(wire, indent=1)) for i, (wire, _) in enumerate(values)]
+    df = spark.createDataFrame(rows, "i int, j string").select("i", F.from_json("j", any_value_ddl()).alias("v"))
+    got = {r.i: r.j for r in df.select("i", F.to_json(O.any_value(F.col("v"))).alias("j")).collect()}
+    # repr tells 1 from 1.0 and True.
+    assert [repr(json.loads(got[i])) for i in got] == [repr(values[i][1]) for i in got] and len(got) == len(SCALARS)
+
+
+def test_deep_values_in_records(spark, tmp_path):
+    (wire, shown) = wrapped(({"string_value": "x"}, "x"), *"akak")
+    log = {"body": wire, "time_unix_nano": 8, "attributes": [{"key": "deep", "value": wire}]}
+    row, = with_json(O.otel_logs(read(spark, tmp_path, "logs", [log])))
+    assert json.loads(row.message) == shown and fields(row)["attribute.deep"] == shown
+    raw = next(part for part in json.loads(row.raw).values() if "body" in part)
+    assert raw["body"] == shown and raw["attributes"] == [{"key": "deep", "value": shown}]
+
+
+def test_deep_values_in_typed_files(spark, tmp_path):
+    scalar = "struct<string_value: string, int_value: bigint, bytes_value: binary"
+    inner = f"struct<values: array<{scalar}, array_value: string>>>"
+    value = f"{scalar}, array_value: {inner}>"
+    log = f"struct<time_unix_nano: bigint, body: {value}, attributes: array<struct<key: string, value: {value}>>>"
+    schema = f"resource_logs array<struct<scope_logs: array<struct<log_records: array<{log}>>>>>"
+    text = json.dumps({"values": [wrapped(({"string_value": TRICKY}, TRICKY), "a", "k")[0]]})
+    body = {"array_value": {"values": [{"array_value": text}, {"bytes_value": bytearray(b"\x01\xff")}]}}
+    requests = [([{"scope_logs": [{"log_records": [{"time_unix_nano": 8, "body": body, "attributes": [{"key": "d", "value": body}]}]}]}],)]
+    spark.createDataFrame(requests, schema).write.parquet(str(tmp_path / "p"))
+    row, = with_json(O.otel_logs(read_otel(spark, str(tmp_path / "p"), "logs", 1, 9, format="parquet")))
+    shown = [[[[{"key": "k", "value": TRICKY}] * 2, 1]], "01ff"]
+    assert json.loads(row.message) == shown and fields(row)["attribute.d"] == shown
