@@ -102,7 +102,7 @@ def test_substring_dedup(spark, odd_dir, odd):
 
 
 def test_rows_that_repeat_an_id_or_have_none(spark, tmp_path_factory):
-    from conftest import body, write_documents
+    from texts import body, write_documents
 
     folder = tmp_path_factory.mktemp("repeated")
     table = [(1, body(1)), (1, body(1)), (None, body(1)), (None, None), (2, body(2)), (2, body(3)), (3, body(3))]
