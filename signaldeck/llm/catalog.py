@@ -6,6 +6,7 @@ from signaldeck.llm import decontamination, jaccard_join, line_dedup, quality_ru
 from signaldeck.llm.html_extraction import op9_html_extraction
 from signaldeck.llm.packing import op1_packing
 from signaldeck.llm.quality_classifier import op3_quality_classifier
+from signaldeck.llm.token_alignment import op12_token_alignment
 from signaldeck.llm.token_counts import op5_token_counts
 from signaldeck.llm.token_files import op6_token_files
 
@@ -20,6 +21,7 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op12_token_alignment": op12_token_alignment,
 }
 ORACLES = {
     "op2_line_dedup": line_dedup.ORACLE_SQL,

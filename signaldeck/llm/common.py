@@ -42,13 +42,13 @@ def raw_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(kind).to_pylist()]
 
 
-def chunks(batch: pa.RecordBatch, text: str) -> Iterator[tuple[slice, list[bytes]]]:
-    """Consecutive row ranges of a batch with about ``CHUNK_BYTES`` of text each."""
+def chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[slice, list[bytes]]]:
+    """Consecutive row ranges of a batch with about ``limit`` bytes of text each."""
     texts = raw_texts(batch.column(text))
     begin = size = 0
     for i, x in enumerate(texts):
         size += len(x)
-        if size >= CHUNK_BYTES or i + 1 == len(texts):
+        if size >= limit or i + 1 == len(texts):
             yield slice(begin, i + 1), texts[begin : i + 1]
             begin, size = i + 1, 0
 
