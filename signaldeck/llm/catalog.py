@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from signaldeck.llm import decontamination, jaccard_join, line_dedup, quality_rules, substring_dedup
+from signaldeck.llm import decontamination, jaccard_join, line_dedup, quality_rules, substring_dedup, vector_codes
 from signaldeck.llm.html_extraction import op9_html_extraction
 from signaldeck.llm.packing import op1_packing
 from signaldeck.llm.quality_classifier import op3_quality_classifier
@@ -21,6 +21,7 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
     "op12_token_alignment": op12_token_alignment,
 }
 ORACLES = {
@@ -29,4 +30,5 @@ ORACLES = {
     "op7_decontamination": decontamination.ORACLE_SQL,
     "op8_substring_dedup": substring_dedup.ORACLE_SQL,
     "op10_quality_rules": quality_rules.ORACLE_SQL,
+    "op11_vector_codes": vector_codes.ORACLE_SQL,
 }

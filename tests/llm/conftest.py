@@ -27,6 +27,7 @@ def empty_dir(spark, tmp_path_factory):
     write_documents(spark, folder, [])
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
     spark.createDataFrame([], "page_id bigint, url string, html string").write.parquet(f"{folder}/pages.parquet")
     return str(folder)
 
