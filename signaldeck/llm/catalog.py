@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from signaldeck.llm import decontamination, jaccard_join, line_dedup, quality_rules, substring_dedup, vector_codes
+from signaldeck.llm import decontamination, jaccard_join, license_scan, line_dedup, quality_rules, substring_dedup, vector_codes
 from signaldeck.llm.html_extraction import op9_html_extraction
 from signaldeck.llm.packing import op1_packing
 from signaldeck.llm.quality_classifier import op3_quality_classifier
@@ -23,6 +23,7 @@ QUERIES = {
     "op10_quality_rules": quality_rules.op10_quality_rules,
     "op11_vector_codes": vector_codes.op11_vector_codes,
     "op12_token_alignment": op12_token_alignment,
+    "op13_license_scan": license_scan.op13_license_scan,
 }
 ORACLES = {
     "op2_line_dedup": line_dedup.ORACLE_SQL,
@@ -31,4 +32,5 @@ ORACLES = {
     "op8_substring_dedup": substring_dedup.ORACLE_SQL,
     "op10_quality_rules": quality_rules.ORACLE_SQL,
     "op11_vector_codes": vector_codes.ORACLE_SQL,
+    "op13_license_scan": license_scan.ORACLE_SQL,
 }
