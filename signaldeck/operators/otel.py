@@ -34,12 +34,14 @@ _NULL_MEMBERS = r'(?<=\{)(?:"[a-z]+_value":null(?:,|(?=\})))+|,"[a-z]+_value":nu
 # --- values -----------------------------------------------------------------
 
 def any_value(value: Column) -> Column:
-    """One-of value as VARIANT; an unset value is JSON null."""
+    """One-of value as VARIANT; an unset value is JSON null, a text that is no number stays text."""
+    whole, double = value["int_value"].try_cast("bigint"), value["double_value"].try_cast("double")
     scalars = [
         value["string_value"].cast("variant"),
         value["bool_value"].cast("variant"),
-        value["int_value"].cast("variant"),
-        S.finite_number(value["double_value"]),
+        whole.cast("variant"),
+        S.finite_number(double),
+        F.coalesce(value["int_value"], value["double_value"]).cast("string").cast("variant"),
         S.hex_bytes(value["bytes_value"]).cast("variant"),
     ]
     wire = F.coalesce(
@@ -69,7 +71,7 @@ def _piece(piece: Column) -> Column:
         F.when(kind.isin("array", "kvlist"), F.when(piece.endswith("}"), "[]").otherwise("["))
         .when(kind == "string", F.concat(F.lit('"'), bare, F.lit('"')))
         .when(kind == "bool", F.when(inner.isin("true", "false"), inner))
-        .when(kind == "int", inner.try_cast("bigint").cast("string"))
+        .when(kind == "int", F.coalesce(bare.try_cast("bigint").cast("string"), F.concat(F.lit('"'), bare, F.lit('"'))))
         # With an exponent it is read as a DOUBLE again.
         .when(kind == "double", F.when(~S.is_finite(double), F.concat(F.lit('"'), shown, F.lit('"')))
               .otherwise(F.when(shown.contains("E"), shown).otherwise(F.concat(shown, F.lit("E0")))))

@@ -14,10 +14,13 @@ from signaldeck.functions.stage import staged
 
 
 def any_value_ddl() -> str:
-    """One-of value: exactly one member is set; nested values are JSON text."""
+    """One-of value: exactly one member is set; nested values are JSON text.
+
+    Numbers are text, as requests may write them either way.
+    """
     return (
-        "struct<string_value: string, bool_value: boolean, int_value: bigint, "
-        "double_value: double, bytes_value: binary, array_value: string, kvlist_value: string>"
+        "struct<string_value: string, bool_value: boolean, int_value: string, "
+        "double_value: string, bytes_value: binary, array_value: string, kvlist_value: string>"
     )
 
 
@@ -139,11 +142,26 @@ def _inlined(text: Column) -> Column:
     )
 
 
+# 64-bit integers that JSON requests may write as text; a quote within a text is escaped and never ends a name.
+_QUOTED = (
+    r'"((?:start_|end_|observed_)?time_unix_nano|as_int|count|zero_count|dropped_[a-z]+_count|flags)"(\s*:\s*)"(-?[0-9]+)"'
+)
+
+
+def bare_integers(text: Column) -> Column:
+    """JSON text of a request with its decimal texts of integer members as numbers."""
+    text = F.regexp_replace(text, _QUOTED, '"$1"$2$3')
+    lists = F.array_distinct(F.regexp_extract_all(text, F.lit(r'"bucket_counts"\s*:\s*\[[-0-9\s,"]*"[-0-9\s,"]*\]'), F.lit(0)))
+    bare = lambda part: F.concat(F.lit('"bucket_counts":'), F.regexp_replace(F.regexp_extract(part, r"\[.*", 0), '"', ""))
+    return F.reduce(lists, text, lambda whole, part: F.replace(whole, part, bare(part)))
+
+
 def read_otel(spark: SparkSession, path: str, kind: str, project_id: int,
               received_at_ms: int | None = None, format: str = "json") -> DataFrame:
-    """Export requests of one kind ('traces', 'logs' or 'metrics')."""
+    """Export requests of one kind ('traces', 'logs' or 'metrics'); JSON may write 64-bit integers as text."""
     if format == "json":
-        rows = spark.read.schema(otel_ddl(kind)).json(path)
+        lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
+        rows = staged(lines, _r=F.from_json(bare_integers(F.col("value")), otel_ddl(kind))).select("_r.*")
     else:
         # Typed files hold nested values as structs to some depth, as text, or both.
         whole = _inlined(F.to_json(F.struct(LEVELS[kind][0])))

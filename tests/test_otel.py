@@ -164,7 +164,9 @@ def test_span_validation(spark, tmp_path):
 
 
 @pytest.mark.parametrize("value, shown", [
-    ({"double_value": 1.5}, "1.5"), ({"bool_value": False}, "false"), ({"bytes_value": b64(b"\x01\xff")}, '"01ff"'), ({}, "null"),
+    ({"double_value": 1.5}, "1.5"), ({"int_value": "-9007199254740993"}, "-9007199254740993"), ({"int_value": "7x"}, '"7x"'),
+    ({"double_value": "2.5"}, "2.5"), ({"array_value": {"values": [{"int_value": 5}, {"int_value": "5"}, {"double_value": "1.5"}]}}, "[5,5,1.5]"),
+    ({"bool_value": False}, "false"), ({"bytes_value": b64(b"\x01\xff")}, '"01ff"'), ({}, "null"),
     ({"array_value": {"values": [{"int_value": 1}, {"array_value": {"values": [{"int_value": 2}]}}]}}, "[1,[2]]"),
 ])
 def test_any_value(spark, value, shown):
@@ -231,3 +233,12 @@ def test_deep_values_in_typed_files(spark, tmp_path):
     row, = with_json(O.otel_logs(read_otel(spark, str(tmp_path / "p"), "logs", 1, 9, format="parquet")))
     shown = [[[[{"key": "k", "value": TRICKY}] * 2, 1]], "01ff"]
     assert json.loads(row.message) == shown and fields(row)["attribute.d"] == shown
+
+
+def test_integers_as_text(spark, tmp_path):
+    point = {"time_unix_nano": "9007199254740993", "count": "3", "sum": 6.0, "bucket_counts": ["1", "2"], "explicit_bounds": [1.0]}
+    metric = {"name": 'say "count":"5"', "histogram": {"data_points": [point], "aggregation_temporality": 1}}
+    row, = with_json(O.flatten_metrics(read(spark, tmp_path, "metrics", [metric])))
+    assert row.ts_nano == 9007199254740993 and row.name == 'say "count":"5"'
+    raw = json.loads(row.raw)
+    assert "[1, 2]" in json.dumps(raw) and '"count": 3' in json.dumps(raw)
