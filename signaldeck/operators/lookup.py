@@ -7,13 +7,19 @@ from pyspark.sql import functions as F
 
 from signaldeck.operators.search import LONG_MAX, time_range
 from signaldeck.schema import event_ms
+from signaldeck.sources.snapshots import Archive
 
 ISSUE = ["project_id", "issue_id"]
 
 
 def get_record(records: DataFrame, project_id: int, record_id: str,
-               archive: DataFrame | None = None) -> DataFrame:
-    """One record by id, from the hot table before the archive."""
+               archive: DataFrame | Archive | None = None) -> DataFrame:
+    """One record by id, from the hot table before the archive.
+
+    An :class:`Archive` is asked through its key index, which names the files to read.
+    """
+    if isinstance(archive, Archive):
+        archive = archive.lookup("id", record_id, project_id)
     key = (F.col("project_id") == project_id) & (F.col("id") == record_id)
     found = records.filter(key)
     if archive is None:
@@ -109,8 +115,10 @@ def new_only(batch: DataFrame, seen: DataFrame) -> DataFrame:
     return batch.join(known.join(arriving, keys, "left_semi"), keys, "left_anti")
 
 
-def trace_spans(records: DataFrame, project_id: int, trace_id: str, end_ms: int | None = None) -> DataFrame:
-    """All spans of one trace (pushed to the scan on ``trace_id``)."""
+def trace_spans(records: DataFrame | Archive, project_id: int, trace_id: str, end_ms: int | None = None) -> DataFrame:
+    """All spans of one trace: pushed to the scan on ``trace_id``, or by the key index of an archive."""
+    if isinstance(records, Archive):
+        records = records.lookup("trace_id", trace_id, project_id)
     keep: Column = (
         (F.col("project_id") == project_id)
         & (F.col("signal") == "trace")

@@ -1,6 +1,7 @@
 """All named queries."""
 
 from signaldeck.plans import (  # noqa: F401
+    archive_queries,
     metric_queries,
     search_queries,
     state_queries,

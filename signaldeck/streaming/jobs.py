@@ -18,6 +18,7 @@ from signaldeck.operators import lookup as J
 from signaldeck.operators import ordered as O
 from signaldeck.schema import RECORD_DDL, event_ms
 from signaldeck.sources.archive import write_archive
+from signaldeck.sources.snapshots import Archive
 
 # Executors get the state handler itself and need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -296,6 +297,20 @@ def archive_upsert(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def archive_commit(archive: Archive, name: str = "stream", merge_below: int | None = None) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function: each batch is one commit of the archive, a replayed one is none.
+
+    With ``merge_below``, files of fewer records are merged after every 16th batch.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        archive.append(batch, f"{name}/{batch_id}")
+        if merge_below is not None and batch_id % 16 == 15:
+            archive.merge_small(merge_below)
+
+    return write
+
+
 def run_available(writer: DataStreamWriter, checkpoint: str | None = None) -> None:
     """Process everything that has arrived, then stop."""
     if checkpoint is not None:
