@@ -1,16 +1,21 @@
 """Trace trees: spans in pre-order with depth, for traces of any size and shape.
 
-Parents are resolved with one join; depth and path come from pointer doubling, so a
-chain of length n takes log2(n) rounds.  Traces small enough are ordered by their paths
-in one window per trace.  The others are ordered by ranking the tour that enters and
-leaves every span (again by doubling), where every row stays small and every join key is
-unique, so neither a huge trace nor a parent with millions of children meets one task.
+Spans are numbered in (trace, time, id) order over range partitions, so that a number
+tells the partition of its span.  The tour that enters and leaves every span gives a list:
+the entries before a span's own are its position, those not left again its depth.  The
+list is ranked in two steps.  Each partition shortens the stretches that lie in it; what
+is left are the pointers between partitions, and only their targets are ranked by pointer
+doubling.  Range bounds cut through few small traces; a huge one is spread over many
+partitions like any other rows.  Spans the tour does not reach hang on cycles, which are
+opened at the span that precedes all its ancestors.
 """
 
 from __future__ import annotations
 
-import functools
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,201 +23,167 @@ from pyspark.sql import functions as F
 from signaldeck.session import LineageCut
 
 TRACE = ["project_id", "trace_id"]
-# Longest path kept in a row, and most spans ordered in one window.
-MAX_PATH = 64
-MAX_WINDOW_SPANS = 50_000
+# Rows of a partition are numbered from its own start.
+PARTITION_BITS = 33
+# Where the tour begins, and what stands for a span without an end of its list.
+START, LOOP = -1, -2
 
 
-def _step(late: Column) -> Column:
-    return F.struct(late.cast("int").alias("late"), F.col("ts").alias("ts"), F.col("id").alias("id"))
+def _numbered(spans: DataFrame, keys: list[str], ranges: int | None) -> DataFrame:
+    """One row per record: keys, id, span_id, up and ``n``, which rises in (keys, ts, id) order."""
+    thin = spans.select(*keys, "id", F.col("ts_nano").alias("ts"), "span_id", F.col("parent_span_id").alias("up"))
+    order = [*keys, "ts", "id"]
+    placed = thin.dropDuplicates([*keys, "id"]).repartitionByRange(*([ranges] if ranges else []), *order).sortWithinPartitions(*order)
+    return LineageCut(spans.sparkSession).save(placed.withColumn("n", F.monotonically_increasing_id()).drop("ts"))
 
 
-def _nodes(spans: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per span record: (keys, id, ts, parent); parent NULL for roots and orphans."""
-    thin = spans.select(
-        *keys, "id", F.col("ts_nano").alias("ts"), "span_id", F.col("parent_span_id").alias("_up")
-    ).dropDuplicates([*keys, "id"])
+def _parents(numbered: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n and the parent's number; NULL for roots and orphans."""
     # Should two records share a span id, children belong to the earlier one.
-    owners = (
-        thin.filter(F.col("span_id").isNotNull())
-        .groupBy(*keys, F.col("span_id").alias("_up"))
-        .agg(F.min(F.struct("ts", "id")).getField("id").alias("parent"))
-    )
-    return thin.select(*keys, "id", "ts", "_up").join(owners, [*keys, "_up"], "left").drop("_up")
-
-
-def _climb(nodes: DataFrame, keys: list[str], max_path: int) -> tuple[DataFrame, DataFrame | None]:
-    """Depth and path of every node that reaches a root; the other nodes hang on cycles.
-
-    Needs columns keys, id, ts, parent, late.  The second result has the cyclic nodes
-    with ``best``, the earliest (ts, id) among all their ancestors, or is None.
-    """
-    state = nodes.select(
-        *keys, "id", "ts", "parent", "late",
-        F.col("parent").alias("up"),
-        F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("depth"),
-        F.array(_step(F.col("late"))).alias("path"),
-        F.lit(None).cast("struct<ts: bigint, id: string>").alias("best"),
-        F.lit(False).alias("moved"),
-    )
-    # Every round writes only the nodes that were still climbing; a node's state is in the
-    # last table that has it, and nodes at their root stay where they are.
-    rounds = LineageCut(nodes.sparkSession, keep_all=True)
-    latest, arrived = rounds.save(state), []
-    climbing, at_root = F.col("up").isNotNull(), F.col("up").isNull()
-    pending = None
-    while True:
-        arrived.append(latest.filter(at_root))
-        rooted = functools.reduce(DataFrame.unionByName, arrived)
-        counts = latest.filter(climbing).agg(
-            F.count(F.lit(1)).alias("open"), F.count_if("moved").alias("moved")
-        ).first()
-        if counts["open"] == 0:
-            return rooted, None
-        if counts["open"] == pending and counts["moved"] == 0:
-            return rooted, latest.filter(climbing)
-        pending = counts["open"]
-        target = rooted.unionByName(latest.filter(climbing)).select(
-            *keys,
-            F.col("id").alias("up"),
-            F.col("up").alias("_next"),
-            F.col("path").alias("_path"),
-            F.col("depth").alias("_depth"),
-            F.least(F.struct("ts", "id"), "best").alias("_best"),
-        )
-        path = F.when(
-            F.size("_path") + F.size("path") <= max_path, F.concat("_path", "path")
-        )
-        climbed = latest.filter(climbing).join(target, [*keys, "up"]).select(
-            *keys, "id", "ts", "parent", "late",
-            F.col("_next").alias("up"),
-            (F.col("depth") + F.col("_depth")).alias("depth"),
-            path.alias("path"),
-            F.least("best", "_best").alias("best"),
-            (~F.least("best", "_best").eqNullSafe(F.col("best"))).alias("moved"),
-        )
-        latest = rounds.save(climbed)
+    owners = numbered.filter(F.col("span_id").isNotNull()).groupBy(*keys, F.col("span_id").alias("up")).agg(F.min("n").alias("parent"))
+    return numbered.select(*keys, "n", "up").join(owners, [*keys, "up"], "left").select(*keys, "n", "parent")
 
 
-def _cut_cycles(looping: DataFrame) -> DataFrame:
-    """Drop the parent of every cyclic node that is earlier than all its ancestors.
+def _with_elder(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """Add ``elder``, the number before this one under the same parent or among the trace's roots.
 
-    These are the nodes a walk in (ts, id) order over the leftovers starts from.
+    A parent with very many children is cut at range bounds; the first child of a range
+    goes on from the last one of the range before, from a table with a row for both.
     """
-    starts = F.struct("ts", "id") <= F.col("best")
-    return looping.withColumns(
-        {"parent": F.when(~starts, F.col("parent")), "late": F.when(starts, 1).otherwise(0)}
+    group = [*keys, "parent"]
+    part = [*group, "_range"]
+    ranged = nodes.repartitionByRange(*group, "late", "n").withColumn("_range", F.spark_partition_id())
+    ranged = LineageCut(nodes.sparkSession).save(ranged)
+    inside = F.lag("n").over(W.partitionBy(*part).orderBy("late", "n"))
+    lasts = ranged.groupBy(*part).agg(F.max(F.struct("late", "n")).getField("n").alias("_last"))
+    before = F.lag("_last").over(W.partitionBy(*group).orderBy("_range"))
+    handed = lasts.withColumn("_before", before).filter(F.col("_before").isNotNull()).select(*[F.col(c).alias(f"_h_{c}") for c in part], "_before")
+    same = [F.col(c).eqNullSafe(F.col(f"_h_{c}")) for c in part]
+    rows = ranged.withColumn("_inside", inside).join(handed, same, "left")
+    return rows.select("n", "parent", F.coalesce("_inside", "_before").alias("elder"))
+
+
+def _event(number: Column, leave: int) -> Column:
+    return number * 2 + leave
+
+
+def _tour(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """n, and the events before entering it (``enter``) and before leaving it (``leave``)."""
+    linked = _with_elder(nodes, keys)
+    youngest = nodes.filter(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("n")).agg(F.max("n").alias("child"))
+    return linked.join(youngest, "n", "left").select(
+        "n",
+        F.coalesce(_event(F.col("elder"), 1), _event(F.col("parent"), 0), F.lit(START)).alias("enter"),
+        F.coalesce(_event(F.col("child"), 1), _event(F.col("n"), 0)).alias("leave"),
     )
 
 
-def trace_forest(spans: DataFrame, keys: list[str] = TRACE, max_path: int = MAX_PATH) -> DataFrame:
-    """(keys, id, ts, parent, late, depth, path) of every span; parent after cutting cycles.
+def _shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Follow each event's list through the rows of this partition, by doubling.
 
-    ``late`` marks roots made by cutting a cycle; they come after the real roots.
-    ``path`` is NULL where it would be longer than ``max_path``.
+    Gives, for both events of a span, the entries passed, the depth gained and the event of
+    another partition that comes next (``START`` at the list's begin, ``LOOP`` for none).
     """
-    nodes = _nodes(spans, keys).withColumn("late", F.lit(0))
-    rooted, looping = _climb(nodes, keys, max_path)
-    if looping is not None:
-        cut, rest = _climb(_cut_cycles(looping), keys, max_path)
-        assert rest is None
-        rooted = rooted.unionByName(cut)
-    return rooted.select(*keys, "id", "ts", "parent", "late", "depth", "path")
+    held = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
+    if not held:
+        return
+    table = pa.concat_tables(held)
+    n, enter, leave = (table.column(c).to_numpy() for c in ("n", "enter", "leave"))
+    rank = np.argsort(n, kind="stable")
+    n, before = n[rank], np.stack([enter[rank], leave[rank]], 1).reshape(-1)
+    at = np.minimum(np.searchsorted(n, before >> 1), len(n) - 1)
+    here = (n[at] == before >> 1) & (before >= 0)
+    # The place, among the rows' events, of the event before; -1 where it lies elsewhere.
+    place = np.where(here, 2 * at + (before & 1), -1)
+    far = np.where(here, LOOP, before)
+    # What the event before adds: an entry and a level, or a level back.
+    left = before & 1
+    passed, depth = np.where(before >= 0, 1 - left, 0), np.where(before >= 0, 1 - 2 * left, 0)
+    for _ in range(len(place).bit_length()):
+        some = np.flatnonzero(place >= 0)
+        if not len(some):
+            break
+        to = place[some]
+        passed[some], depth[some] = passed[some] + passed[to], depth[some] + depth[to]
+        far[some], place[some] = far[to], place[to]
+    names = ["n", "enter", "enter_passed", "enter_depth", "leave", "leave_passed", "leave_depth"]
+    columns = [n, *(x[side::2] for side in (0, 1) for x in (far, passed, depth))]
+    for start in range(0, len(n), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c[start : start + 50_000]) for c in columns], names=names)
+
+
+SHORTENED = "n bigint, enter bigint, enter_passed bigint, enter_depth bigint, leave bigint, leave_passed bigint, leave_depth bigint"
+
+
+def _rank_targets(shortened: DataFrame) -> DataFrame:
+    """event, passed, depth of every event that another partition points to; those on loops are left out."""
+    targets = shortened.select(F.explode(F.array("enter", "leave")).alias("event")).filter(F.col("event") >= 0).distinct()
+    own = shortened.withColumn("n2", F.col("n"))
+    rows = targets.withColumn("n2", F.shiftright("event", 1)).join(own.drop("n"), "n2")
+    side = lambda c: F.when(F.col("event") % 2 == 0, F.col(f"enter{c}")).otherwise(F.col(f"leave{c}"))
+    rounds = LineageCut(shortened.sparkSession)
+    ranked = rounds.save(rows.select("event", side("").alias("next"), side("_passed").alias("passed"), side("_depth").alias("depth")))
+    still = None
+    while (open_ := ranked.filter(F.col("next") >= 0).count()) and open_ != still:
+        further = ranked.select(F.col("event").alias("next"), F.col("next").alias("_next"), F.col("passed").alias("_passed"), F.col("depth").alias("_depth"))
+        jumped = ranked.filter(F.col("next") >= 0).join(further, "next").select(
+            "event", F.col("_next").alias("next"), (F.col("passed") + F.col("_passed")).alias("passed"), (F.col("depth") + F.col("_depth")).alias("depth")
+        )
+        # Loops never end: they are what is left once a round brings no event to an end.
+        still = open_
+        ranked = rounds.save(ranked.filter(F.col("next") < 0).unionByName(jumped))
+    return ranked.filter(F.col("next") == START).select("event", "passed", "depth")
+
+
+def _positions(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """n, position and depth; both NULL for spans on cycles and below them."""
+    spark = nodes.sparkSession
+    tour = _tour(nodes, keys).withColumn("_part", F.shiftright("n", PARTITION_BITS))
+    shortened = tour.repartition("_part").select("n", "enter", "leave").mapInArrow(_shorten, SHORTENED)
+    shortened = LineageCut(spark).save(shortened)
+    targets = _rank_targets(shortened).withColumnRenamed("event", "enter")
+    targets = LineageCut(spark).save(targets)
+    begun = F.col("enter") == START
+    joined = shortened.select("n", "enter", "enter_passed", "enter_depth").join(targets, "enter", "left")
+    add = lambda own, more: F.when(begun, F.col(own)).otherwise(F.col(own) + F.col(more))
+    return joined.select("n", add("enter_passed", "passed").alias("position"), add("enter_depth", "depth").alias("depth"))
+
+
+def _open_cycles(looping: DataFrame) -> DataFrame:
+    """Numbers of the spans that precede all their ancestors; ``looping`` has n and parent of spans without a root."""
+    rounds = LineageCut(looping.sparkSession)
+    state = rounds.save(looping.select("n", F.col("parent").alias("up"), F.col("parent").alias("best"), F.lit(True).alias("moved")))
+    while not state.filter("moved").isEmpty():
+        further = state.select(F.col("n").alias("up"), F.col("up").alias("_up"), F.col("best").alias("_best"))
+        state = rounds.save(
+            state.join(further, "up").select(
+                "n", F.col("_up").alias("up"), F.least("best", "_best").alias("best"), (F.col("_best") < F.col("best")).alias("moved")
+            )
+        )
+    return state.filter("n <= best").select("n")
 
 
-def trace_tree(spans: DataFrame, keys: list[str] = TRACE, max_path: int = MAX_PATH,
-               max_window_spans: int = MAX_WINDOW_SPANS) -> DataFrame:
+def trace_tree(spans: DataFrame, keys: list[str] = TRACE, ranges: int | None = None) -> DataFrame:
     """Spans of each trace in pre-order: columns keys, id, depth, position (from 0).
 
+    ``ranges`` sets the number of range partitions; Spark chooses it by default.
+
     Records count once per id.  A span whose parent is not in the trace is a root;
     siblings are ordered by (time, id); spans on cycles follow, the earliest as a root.
     """
-    forest = trace_forest(spans, keys, max_path)
-    sizes = forest.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_spans"), F.count_if(F.col("path").isNull()).alias("_deep")
-    )
-    heavy = sizes.filter((F.col("_spans") > max_window_spans) | (F.col("_deep") > 0))
-    # Heavy traces are few: each holds a long path or very many spans.
-    heavy = LineageCut(spans.sparkSession).save(heavy.select(*keys, "_spans"))
-    if heavy.isEmpty():
-        return _by_path(forest, keys)
-    light = _by_path(forest.join(heavy, keys, "left_anti"), keys)
-    return light.unionByName(_by_tour(forest.join(heavy, keys), keys))
-
-
-def _by_path(forest: DataFrame, keys: list[str]) -> DataFrame:
-    order = W.partitionBy(*keys).orderBy("path")
-    return forest.select(
-        *keys, "id", "depth", (F.row_number().over(order) - 1).cast("bigint").alias("position")
-    )
-
-
-def _next_sibling(forest: DataFrame, keys: list[str]) -> DataFrame:
-    """Add ``sibling``, the id after this one under the same parent.
-
-    The spans are range-partitioned in sibling order and written, which fixes the range
-    number of every row; a parent with very many children, even at one timestamp, is cut
-    at range bounds.  The last child of a range continues with the first of the next one,
-    taken from a table with one row per (parent, range).
-    """
-    group = [*keys, "parent"]
-    part = [*group, "_range"]
-    ranged = forest.repartitionByRange(*group, "late", "ts", "id").withColumn(
-        "_range", F.spark_partition_id()
-    )
-    ranged = LineageCut(forest.sparkSession).save(ranged)
-    inside = W.partitionBy(*part).orderBy("late", "ts", "id")
-    firsts = ranged.groupBy(*part).agg(
-        F.min(F.struct("late", "ts", "id")).getField("id").alias("_first")
-    )
-    chain = W.partitionBy(*group).orderBy("_range")
-    following = firsts.withColumn("_following", F.lead("_first").over(chain)).select(
-        *[F.col(c).alias(f"_f_{c}") for c in part], "_following"
-    )
-    same = [F.col(c).eqNullSafe(F.col(f"_f_{c}")) for c in part]
-    return (
-        ranged.withColumn("_inside", F.lead("id").over(inside))
-        .join(following, same)
-        .withColumn("sibling", F.coalesce("_inside", "_following"))
-        .drop("_range", "_inside", "_following", *[f"_f_{c}" for c in part])
-    )
-
-
-def _by_tour(forest: DataFrame, keys: list[str]) -> DataFrame:
-    """Pre-order by ranking the tour over (enter, leave) events of every span."""
-    linked = _next_sibling(forest.drop("path"), keys)
-    eldest = (
-        forest.filter(F.col("parent").isNotNull())
-        .groupBy(*keys, F.col("parent").alias("id"))
-        .agg(F.min(F.struct("ts", "id")).getField("id").alias("eldest"))
-    )
-    linked = linked.join(eldest, [*keys, "id"], "left")
-    event = lambda key, leave: F.struct(key.alias("id"), F.lit(leave).alias("leave"))
-    enter_next = F.when(F.col("eldest").isNotNull(), event(F.col("eldest"), False)).otherwise(
-        event(F.col("id"), True)
-    )
-    leave_next = F.when(F.col("sibling").isNotNull(), event(F.col("sibling"), False)).when(
-        F.col("parent").isNotNull(), event(F.col("parent"), True)
-    )
-    both = F.array(
-        F.struct(event(F.col("id"), False).alias("event"), enter_next.alias("next"), F.lit(1).alias("weight")),
-        F.struct(event(F.col("id"), True).alias("event"), leave_next.alias("next"), F.lit(0).alias("weight")),
-    )
-    tour = linked.select(*keys, "_spans", "depth", F.explode(both).alias("e")).select(
-        *keys, "_spans", "depth", "e.event", "e.next", F.col("e.weight").cast("bigint").alias("rest")
-    )
-    # ``rest`` becomes the number of spans entered from this event to the end.
-    rounds = LineageCut(forest.sparkSession)
-    tour = rounds.save(tour)
-    while not tour.filter(F.col("next").isNotNull()).isEmpty():
-        target = tour.select(
-            *keys, F.col("event").alias("next"), F.col("next").alias("_after"), F.col("rest").alias("_rest")
-        )
-        jumped = tour.filter(F.col("next").isNotNull()).join(target, [*keys, "next"]).select(
-            *keys, "_spans", "depth", "event", F.col("_after").alias("next"),
-            (F.col("rest") + F.col("_rest")).alias("rest"),
-        )
-        tour = rounds.save(tour.filter(F.col("next").isNull()).unionByName(jumped))
-    return tour.filter(~F.col("event.leave")).select(
-        *keys, F.col("event.id").alias("id"), "depth", (F.col("_spans") - F.col("rest")).alias("position")
-    )
+    spark = spans.sparkSession
+    numbered = _numbered(spans, keys, ranges)
+    nodes = LineageCut(spark).save(_parents(numbered, keys).withColumn("late", F.lit(0)))
+    placed = LineageCut(spark).save(_positions(nodes, keys))
+    lost = placed.filter(F.col("position").isNull()).select("n")
+    if not lost.isEmpty():
+        looping = LineageCut(spark).save(nodes.join(lost, "n", "left_semi"))
+        starts = _open_cycles(looping).withColumn("_start", F.lit(True))
+        # Traces with a cycle are ordered anew, with the opened spans behind their roots.
+        again = nodes.join(looping.select(*keys).distinct(), keys, "left_semi").join(starts, "n", "left")
+        opened = F.col("_start").isNotNull()
+        again = again.withColumns({"parent": F.when(~opened, F.col("parent")), "late": F.when(opened, 1).otherwise(0)}).drop("_start")
+        again = LineageCut(spark).save(again)
+        rest = placed.join(again.select("n"), "n", "left_anti")
+        placed = rest.unionByName(LineageCut(spark).save(_positions(again, keys)))
+    return numbered.select(*keys, "id", "n").join(placed, "n").select(*keys, "id", "depth", "position")

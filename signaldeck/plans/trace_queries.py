@@ -65,5 +65,15 @@ def _(spark, d):
 @query("trace_tree_tour", LS, sql="""SELECT trace_id, id, CAST(depth AS BIGINT) AS depth,
   row_number() OVER (PARTITION BY trace_id ORDER BY path) - 1 AS position FROM tr""")
 def _(spark, d):
-    tree = trace_tree(li_spans(spark, d), max_window_spans=6)
-    return tree.select("trace_id", "id", "depth", "position")
+    """The same tree, from many ranges, whose bounds cut through traces."""
+    return trace_tree(li_spans(spark, d), ranges=61).select("trace_id", "id", "depth", "position")
+
+
+LS_ONE = LS.replace("CAST(l_orderkey AS VARCHAR) AS trace_id, concat_ws('-',", "'all' AS trace_id, concat_ws('-', l_orderkey,")
+
+
+@query("trace_tree_one", LS_ONE, sql="""SELECT id, CAST(depth AS BIGINT) AS depth, row_number() OVER (ORDER BY path) - 1 AS position FROM tr""")
+def _(spark, d):
+    """All order lines as one trace, in which a span has a large share of all rows as children."""
+    spans = li_spans(spark, d).withColumn("id", F.concat_ws("-", "trace_id", "id"))
+    return trace_tree(spans, ["project_id"]).select("id", "depth", "position")

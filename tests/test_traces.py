@@ -30,8 +30,8 @@ def walk(rows):
     return out
 
 
-def tree(spark, rows, **limits):
-    found = trace_tree(spark.createDataFrame(rows, SCHEMA), **limits).collect()
+def tree(spark, rows):
+    found = trace_tree(spark.createDataFrame(rows, SCHEMA)).collect()
     result = {}
     for r in sorted(found, key=lambda r: (r.trace_id, r.position)):
         result.setdefault(r.trace_id, []).append((r.id, r.depth))
@@ -48,9 +48,19 @@ MIXED = [
 ]
 
 
-@pytest.mark.parametrize("limits", [{}, {"max_path": 1}, {"max_window_spans": 0}])
-def test_orphans_cycles_and_repeats(spark, limits):
-    assert tree(spark, MIXED, **limits)["t"] == [
+@pytest.fixture(params=["one", "many"])
+def ranges(request, spark):
+    """With few partitions, and with many that cut through every trace."""
+    if request.param == "many":
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "13")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_orphans_cycles_and_repeats(spark, ranges):
+    assert tree(spark, MIXED)["t"] == [
         ("orphan", 0), ("root", 0), ("early", 1), ("grandchild", 2), ("late", 1), ("cycle-a", 0), ("cycle-b", 1),
     ]
 
@@ -66,11 +76,10 @@ def random_trace(rng, name, size, loops):
     return rows
 
 
-@pytest.mark.parametrize("limits", [{}, {"max_path": 3, "max_window_spans": 12}])
-def test_random_forests(spark, limits):
+def test_random_forests(spark, ranges):
     rng = random.Random(7)
     traces = {f"t{i}": random_trace(rng, f"t{i}", rng.randrange(1, 40), i % 2) for i in range(30)}
     traces["star"] = [(1, "star", "r", 0, "r", None)] + [(1, "star", f"c{i}", i % 50, f"c{i}", "r") for i in range(300)]
     traces["chain"] = [(1, "chain", f"n{i}", 500 - i, f"n{i}", f"n{i - 1}" if i else None) for i in range(200)]
-    found = tree(spark, [row for rows in traces.values() for row in rows], **limits)
+    found = tree(spark, [row for rows in traces.values() for row in rows])
     assert found == {name: walk(rows) for name, rows in traces.items()}
