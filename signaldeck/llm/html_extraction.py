@@ -1,8 +1,8 @@
 """Main text of web pages by consensus container paths of their host.
 
 Every page scores its containers: text outside of links and of known furniture counts for
-each container around it, and the page votes for the deepest one that holds all of it, or
-for an article or main element that holds most of it.
+each container around it, and the page votes for the outermost article or main element that
+holds all of it, or else for the deepest container that does.
 Votes go by generalised tag-class paths (``/html/body/div.post``, digits left out) and are
 counted per host in Spark, where a hot host is combined before it meets.  The winning path
 of each host is joined back and every page is extracted again from the containers on it;
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from signaldeck.llm.common import narrow, raw_texts, tidied
+from signaldeck.llm.common import narrow, raw_texts, tables, tidied
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<data>.*?)\]\]>|<[!?][^>]*>"
@@ -52,12 +52,15 @@ _FURNITURE_WORDS = frozenset(
     "respond disqus discussion share sharing social related recommended recommendations newsletter subscribe subscription signup login popup "
     "modal overlay widget widgets pagination pager search form tags".split()
 )
+#: Words that may as well be the topic of a section: its own text decides within an article.
+_TOPIC_WORDS = frozenset(
+    "related recommended recommendations discussion alert search menu navigation header footer banner form tags social share sharing "
+    "toolbar widget widgets overlay rail promotion subscription".split()
+)
 _FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _CONTENT_WORDS = frozenset("article content main post entry story text body page wrapper wrap container layout with has no".split())
 #: Elements named by these hold an article, as article and main do.
 _ARTICLE_WORDS = frozenset("article post entry story".split())
-#: Share of a page's article-like text that an article or main element must hold to stand for the page.
-MOST = 0.6
 
 Block = tuple[tuple[str, ...], bool, bool, str]
 
@@ -82,7 +85,7 @@ def _undisplayed(style: str) -> bool:
 
 
 def _names(tag: str, rest: str) -> tuple[str, bool, bool, bool]:
-    """Generalised name of an element; whether it is page furniture, whether only its id says so, and whether it holds an article."""
+    """Generalised name of an element; whether it is page furniture, whether its text may overrule that, and whether it holds an article."""
     attributes = _attributes(rest) if rest else {}
     named, own = _WORD.findall(attributes.get("class", "")), _WORD.findall(attributes.get("id", ""))
     words, first = named + own, named or own
@@ -94,7 +97,7 @@ def _names(tag: str, rest: str) -> tuple[str, bool, bool, bool]:
     topic = False
     if not junk and words and not whole:
         junk = not _FURNITURE_WORDS.isdisjoint(words) and _CONTENT_WORDS.isdisjoint(words)
-        topic = junk and _FURNITURE_WORDS.isdisjoint(named) and tag in ("section", "div") and {"respond", "disqus"}.isdisjoint(own)
+        topic = junk and _TOPIC_WORDS.issuperset(_FURNITURE_WORDS.intersection(named)) and tag in ("section", "div") and {"respond", "disqus"}.isdisjoint(own)
         if not {"comment", "comments"}.isdisjoint(words):
             junk, topic = True, False
     article = tag in ("article", "main") or (not whole and not _ARTICLE_WORDS.isdisjoint(words))
@@ -104,8 +107,10 @@ def _names(tag: str, rest: str) -> tuple[str, bool, bool, bool]:
 def blocks_of(page: str) -> tuple[list[Block], dict[tuple[str, ...], bool]]:
     """(path, is furniture, is in a link, text) of each block, and the holders' paths.
 
-    A section or div within an article whose id alone sounds like furniture (discussion, search) is
-    one of its sections if most of its text is outside of links and, for a div, it begins with a heading.
+    A section or div within an article whose id, or whose class by a word that may be a topic, sounds
+    like furniture (discussion, related, search) is one of its sections if most of its text is outside
+    of links and, for a div other than an alert, it begins with a heading.  Where a page has no other
+    text, it is one in any case.
     """
     stack: list[tuple[str, tuple[str, ...], bool, bool, tuple[int, ...], bool]] = []
     asked: tuple[int, ...] = ()
@@ -195,13 +200,16 @@ def blocks_of(page: str) -> tuple[list[Block], dict[tuple[str, ...], bool]]:
                 if topic and not furniture:
                     within = (*within, len(prose))
                     prose.append(0)
-                    titled.append(True if tag == "section" else None)
+                    titled.append(True if tag == "section" or ".alert" in name else None)
                 stack.append((tag, (*above[1], name), furniture, above[3] or (tag == "header" and inside), within, above[5] or article))
                 if tag in HOLDERS and not furniture and not within:
                     holders[stack[-1][1]] = tag in ("article", "main")
         path, junk, header, asked = stack[-1][1:5] if stack else ((), False, False, ())
     add(page[at:])
     close()
+    asides = {k for k, _ in doubtful}
+    if not any(not (junk or link_only) for k, (_, junk, link_only, _) in enumerate(out) if k not in asides):
+        doubtful = []
     for k, within in doubtful:
         if any(prose[i] <= 0 or not titled[i] for i in within):
             at_path, _, link_only, text = out[k]
@@ -220,9 +228,9 @@ def weights(blocks: list[Block], holders: dict[tuple[str, ...], bool]) -> dict[t
     return own
 
 
-def _enough(path: tuple[str, ...], own: dict[tuple[str, ...], int], holders: dict[tuple[str, ...], bool]) -> bool:
-    total = max(own.values(), default=0)
-    return own.get(path, 0) >= (MOST * total if holders[path] else total)
+def _enough(path: tuple[str, ...], own: dict[tuple[str, ...], int]) -> bool:
+    """Whether the holder has all of the page's article-like text."""
+    return own.get(path, 0) >= max(own.values(), default=0)
 
 
 def vote(blocks: list[Block], holders: dict[tuple[str, ...], bool]) -> tuple[str, int]:
@@ -230,9 +238,8 @@ def vote(blocks: list[Block], holders: dict[tuple[str, ...], bool]) -> tuple[str
     own = weights(blocks, holders)
     if not own:
         return "", 0
-    enough = [p for p in own if _enough(p, own, holders)]
-    # An article or main element stands for the page where it has most text; nothing below it does.
-    # Other containers must hold all of it, as what they leave out is lost.
+    enough = [p for p in own if _enough(p, own)]
+    # What a container leaves out is lost, so that it must hold all.  Nothing below an article or main element stands for it.
     marked = [p for p in enough if holders[p]]
     best = min(marked, key=len) if marked else max(enough, key=len)
     return "/" + "/".join(best), own[best]
@@ -240,7 +247,7 @@ def vote(blocks: list[Block], holders: dict[tuple[str, ...], bool]) -> tuple[str
 
 def container_of(blocks: list[Block], holders: dict[tuple[str, ...], bool], winner: str | None) -> str:
     """The host's path where the page has it and it leaves nothing out, else the page's own vote."""
-    if winner is not None and steps(winner) in holders and _enough(steps(winner), weights(blocks, holders), holders):
+    if winner is not None and steps(winner) in holders and _enough(steps(winner), weights(blocks, holders)):
         return winner
     return vote(blocks, holders)[0]
 
@@ -279,6 +286,8 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
     votes = source.select("host", "html").mapInArrow(tidied(cast), "host string, path string, chars bigint").where("path != ''")
     votes = votes.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
     winners = votes.groupBy(F.col("host").alias("of_host")).agg(F.max_by("path", F.struct("n", "chars", "path")).alias("path"))
+    # Written first, a row per host, so that Spark knows its size; where it is broadcast, pages stay where they are.
+    winners = tables(pages.sparkSession).save(winners)
     joined = source.join(winners, F.col("host") == F.col("of_host"), "left").select("page_id", "url", "html", "path")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

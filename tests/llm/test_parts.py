@@ -1,6 +1,7 @@
 """Pieces of the text operators against plain versions."""
 
 import html
+import re
 
 import numpy as np
 import pytest
@@ -181,6 +182,14 @@ OPEN = "<p>An opening paragraph of the article.</p>"
     (f'<article>{OPEN}<section id="discussion"><p>What it <a href="x">means</a>.</p></section></article>', ["An opening paragraph of the article.", "What it means."]),
     (f'<div class="post">{OPEN}<div class="level2" id="search"><h2>Search</h2><p>How to.</p></div></div>', ["An opening paragraph of the article.", "Search", "How to."]),
     (f'<article>{OPEN}<section id="related"><h2>More</h2><p><a href="x">One more story</a></section></article>', ["An opening paragraph of the article."]),
+    (f'<article>{OPEN}<div class="related-work"><h2>Related work</h2><p>Others.</p></div></article>', ["An opening paragraph of the article.", "Related work", "Others."]),
+    (f'<article>{OPEN}<section class="discussion"><h2>Discussion</h2><p>It holds.</p></section></article>', ["An opening paragraph of the article.", "Discussion", "It holds."]),
+    (f'<article>{OPEN}<div class="alert"><p>Mind the gap.</p></div></article>', ["An opening paragraph of the article.", "Mind the gap."]),
+    ('<article><div class="search"><h2>Search</h2><p>How search works.</p></div></article>', ["Search", "How search works."]),
+    ('<article><div class="search"><p>Only this.</p></div></article>', ["Only this."]),
+    (f'<article>{OPEN}<div class="related"><h2>More</h2><p><a href="x">One more story</a></p></div></article>', ["An opening paragraph of the article."]),
+    (f'<article>{OPEN}<div class="ad"><h2>Buy</h2><p>Great things.</p></div><div class="newsletter"><h2>News</h2><p>Weekly.</p></div></article>', ["An opening paragraph of the article."]),
+    (f'<div class="lead"><p>A lead with a third of it.</p></div><main>{OPEN}<p>And the rest.</p></main>', ["A lead with a third of it.", "An opening paragraph of the article.", "And the rest."]),
     (f'<article>{OPEN}<div id="ad-1">Buy this</div><div id="comments"><h2>Said</h2><p>I said so</div></article>', ["An opening paragraph of the article."]),
     (f'{OPEN}<div id="search"><h2>Search</h2><p>Type here</div>', ["An opening paragraph of the article."]),
 ])
@@ -225,3 +234,40 @@ def test_boilerplate_is_removed_and_depleted_documents_go(spark):
     assert all(got[k].kept and got[k].kept_text == rows[k][1].split("\n")[1] and got[k].n_removed_lines == 1 for k in range(6))
     assert not got[10].kept and not got[10].base_failed and got[10].n_removed_lines == 2
     assert all(got[k].kept and got[k].n_removed_lines == 0 for k in [11, *range(20, 30)])
+
+
+def test_extraction_of_odd_pages(spark):
+    """Null and empty html, no url, repeated rows and ids, clashing columns and a very long page."""
+    long = "<body><nav>menu</nav><article>" + "".join(f"<p>paragraph {i}</p>" for i in range(40_000)) + "</article></body>"
+    pages = [(1, None, long), (1, None, long), (2, "http://a/", None), (None, "http://a/", "<p>no id</p>"), (3, "", ""), (3, None, "<p>no url</p>")]
+    rows = [(*p, "x", 1) for p in pages]
+    got = html_extraction.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string, text string, path int")).collect()
+    want = "\n\n".join(f"paragraph {i}" for i in range(40_000))
+    key = lambda x: (x[0] is None, x[0] or 0, x[1] or "", x[2])
+    assert sorted(((r.page_id, r.url, r.text) for r in got), key=key) == sorted(
+        [(1, None, want), (1, None, want), (2, "http://a/", ""), (None, "http://a/", "no id"), (3, "", ""), (3, None, "no url")], key=key)
+
+
+def plain_article(page):
+    """Text of generated pages, told by the furniture they were built with."""
+    soup = re.sub(r"(?s)<(nav|footer|aside|script)>.*?</\1>", "", page)
+    soup = re.sub(r'(?s)<div class="(?:ad|cookie-notice)">.*?</div>', "", soup)
+    return [html.unescape(x.strip()) for x in re.split(r"<[^>]*>", soup) if x.strip()]
+
+
+def test_generated_sites_against_a_plain_version(spark):
+    rng = np.random.default_rng(11)
+    words = lambda n: " ".join(f"w{rng.integers(999)}" for _ in range(n))
+    pages, want = [], {}
+    for k in range(60):
+        site = k % 4
+        parts = [f"<p>{words(rng.integers(3, 40))}</p>" for _ in range(rng.integers(1, 6))]
+        junk = [f"<nav>{words(5)}</nav>", f'<div class="ad">{words(6)}</div>', f"<footer>{words(4)}</footer>", f'<div class="cookie-notice">{words(3)}</div>']
+        lead = f'<div class="lead"><p>{words(12)}</p></div>' if site == 1 else ""
+        inner = "".join(x for pair in zip(parts, [junk[1], "", "", "", ""]) for x in pair)
+        wrap = ("<article>%s</article>", "<main>%s</main>", '<div class="content-7"><div>%s</div></div>', "<div><section>%s</section></div>")[site]
+        page = f"<html><head><script>x</script></head><body>{junk[3]}{junk[0]}{lead}{wrap % inner}{junk[2]}</body></html>"
+        pages.append((k, f"http://site{site}/{k}", page))
+        want[k] = plain_article(page)
+    got = html_extraction.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()
+    assert {r.page_id: r.text.split("\n\n") for r in got} == want
