@@ -31,7 +31,7 @@ def with_issue_id(errors: DataFrame) -> DataFrame:
 
 
 def _rollup(first_key: Column, last_key: Column, level: Column, title: Column, record: Column,
-            total: Column, retained: Column, first_ms: Column, last_ms: Column) -> list[Column]:
+            total: Column, retained: Column, first_ms: Column, last_ms: Column, evicted: Column) -> list[Column]:
     return [
         F.min_by(F.struct(level.alias("level"), first_ms.alias("ms")), first_key).alias("_first"),
         F.max_by(
@@ -41,6 +41,7 @@ def _rollup(first_key: Column, last_key: Column, level: Column, title: Column, r
         F.min(first_key).alias("_first_key"),
         F.sum(total).cast("bigint").alias("total_seen"),
         F.sum(retained).cast("bigint").alias("retained_events"),
+        F.max(evicted).alias("_evicted"),
     ]
 
 
@@ -54,11 +55,22 @@ def issue_state(errors: DataFrame) -> DataFrame:
         *_rollup(
             key, key, F.coalesce(F.col("level"), F.lit("error")),
             F.coalesce(F.col("issue_title"), F.lit("Error")), F.col("id"), one, one,
-            event_ms(), event_ms(),
+            event_ms(), event_ms(), F.lit(None).cast("struct<ts_nano: bigint, id: string>"),
         )
     )
 
 
+def evicted_state(errors: DataFrame) -> DataFrame:
+    """What evicted error records take from a rollup: retained events, and the latest id if it is theirs."""
+    gone = errors.filter((F.col("signal") == "error") & F.col("issue_id").isNotNull())
+    state = issue_state(gone)
+    none = lambda c: F.lit(None).cast(state.schema[c].dataType).alias(c)
+    return state.select(
+        "project_id", "issue_id", *(none(c) for c in ("_first", "_last", "_last_key", "_first_key")),
+        F.lit(0).cast("bigint").alias("total_seen"), (-F.col("retained_events")).alias("retained_events"), F.col("_last_key").alias("_evicted"),
+    )
+
+
 def merge_issue_state(*states: DataFrame) -> DataFrame:
     """One rollup out of several (stored and new)."""
     union = states[0]
@@ -71,12 +83,13 @@ def merge_issue_state(*states: DataFrame) -> DataFrame:
         F.min("_first_key").alias("_first_key"),
         F.sum("total_seen").cast("bigint").alias("total_seen"),
         F.sum("retained_events").cast("bigint").alias("retained_events"),
+        F.max("_evicted").alias("_evicted"),
     )
 
 
 def issue_rows(state: DataFrame) -> DataFrame:
-    """Public issue columns of a rollup."""
-    return state.select(
+    """Public issue columns of a rollup; an issue whose latest record was evicted has no latest id."""
+    return state.filter(F.col("_last_key").isNotNull()).select(
         "project_id",
         "issue_id",
         F.col("_last.title").alias("title"),
@@ -84,8 +97,8 @@ def issue_rows(state: DataFrame) -> DataFrame:
         F.col("_first.ms").alias("first_seen_ms"),
         F.col("_last.ms").alias("last_seen_ms"),
         "total_seen",
-        "retained_events",
-        F.col("_last.record").alias("latest_record_id"),
+        F.greatest("retained_events", F.lit(0)).alias("retained_events"),
+        F.when(~F.col("_last_key").eqNullSafe(F.col("_evicted")), F.col("_last.record")).alias("latest_record_id"),
     )
 
 

@@ -85,11 +85,14 @@ def next_state(rows: DataFrame, state: DataFrame | None = None) -> DataFrame:
         F.col("cumulative_value").alias("previous"),
         F.coalesce("monotonic", F.lit(False)).alias("monotonic"),
     )
-    known = rows.filter("accepted").select(*STREAM, last.alias("_s"))
-    if state is not None:
-        kept = F.struct("last_nano", "start", "previous", "monotonic")
-        known = known.unionByName(state.select(*STREAM, kept.alias("_s")))
-    return known.groupBy(*STREAM).agg(F.max("_s").alias("_s")).select(*STREAM, "_s.*")
+    known = rows.filter("accepted").select(*STREAM, last.alias("_s")).select(*STREAM, "_s.*")
+    return latest_state(known if state is None else known.unionByName(state))
+
+
+def latest_state(states: DataFrame) -> DataFrame:
+    """Per stream the state of the latest accepted reading."""
+    kept = F.struct("last_nano", "start", "previous", "monotonic")
+    return states.groupBy(*STREAM).agg(F.max(kept).alias("_s")).select(*STREAM, "_s.*")
 
 
 # Time of the stored state, before every real reading.

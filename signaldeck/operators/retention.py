@@ -65,8 +65,8 @@ def compact(hot: DataFrame, archive_path: str, next_hot_path: str, cutoff_ms: in
 def apply_eviction(records: DataFrame, plan: DataFrame) -> DataFrame:
     """Records outside the evicted partitions.
 
-    De-duplication keys are read from the surviving records, so evicting a record
-    releases its key; recount issues with :func:`signaldeck.operators.issues.retained`.
+    Recount issues with :func:`signaldeck.operators.issues.retained`; a store that keeps
+    keys and issues by batch releases them with :func:`signaldeck.streaming.intake.release`.
     """
     dated = records.withColumn("receive_date", S.receive_date(F.col("received_at_ms")))
     return dated.join(plan.select(*PARTITION), PARTITION, "left_anti").select(*records.columns)

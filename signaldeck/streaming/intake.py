@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signaldeck.operators import lookup as J
@@ -52,3 +52,13 @@ def intake(path: str, projects: DataFrame, buckets: int = T.KEY_BUCKETS) -> Call
         counts.write.mode("overwrite").parquet(f"{path}/counts/batch={batch_id}")
 
     return upsert
+
+
+def release(spark: SparkSession, path: str, evicted: DataFrame) -> None:
+    """Release what an :func:`intake` under ``path`` keeps about evicted records, between two batches.
+
+    Their source ids are forgotten, so that the records are accepted when they come
+    again; their issues retain fewer events, and no latest id that is gone.
+    """
+    T.release_keys(spark, f"{path}/dedupe", evicted)
+    T.release_issues(spark, f"{path}/issues", evicted)

@@ -19,6 +19,7 @@ from signaldeck.operators import ordered as O
 from signaldeck.schema import RECORD_DDL, event_ms
 from signaldeck.sources.archive import write_archive
 from signaldeck.sources.snapshots import Archive
+from signaldeck.streaming.state import DeltaState
 
 # Executors get the state handler itself and need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -51,31 +52,48 @@ def stream_dedupe(records: DataFrame) -> DataFrame:
 KEY_BUCKETS = 64
 
 
+def _latest_keys(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*DEDUPE_KEYS).agg(F.max("at").alias("at"), F.max_by("released", "at").alias("released"))
+
+
+def key_state(spark: SparkSession, path: str, buckets: int = KEY_BUCKETS) -> DeltaState:
+    """Source ids that a :func:`dedupe_upsert` under ``path`` knows; released ones are marked."""
+    return DeltaState(spark, f"{path}/keys", DEDUPE_KEYS, _latest_keys, buckets)
+
+
 def dedupe_upsert(path: str, buckets: int = KEY_BUCKETS) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function: first copies to ``rows/batch=n``, their keys to ``keys``.
+    """``foreachBatch`` function: first copies to ``rows/batch=n``, their keys to a state under ``keys``.
 
-    No record is dropped for its age.  Keys lie in folders by batch and hash bucket; a
-    batch reads the buckets that its own keys fall into, from the batches before it, so
-    that a replayed batch writes the same rows again.
+    No record is dropped for its age.  A batch reads the hash buckets that its own keys
+    fall into; a replayed batch writes the same rows again.  The number of buckets is that
+    of the first batch.
     """
-    bucket = F.pmod(F.xxhash64(*DEDUPE_KEYS), F.lit(buckets)).cast("int")
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        state = key_state(spark, path, buckets)
         rows = O.dedupe(batch)
-        if folders(spark, f"{path}/keys"):
-            touched = [r[0] for r in batch.filter("source_id IS NOT NULL").select(bucket).distinct().collect()]
-            keys = spark.read.parquet(f"{path}/keys")
-            keys = keys.filter((F.col("batch") < batch_id) & F.col("bucket").isin(touched))
-            rows = J.new_only(rows, keys)
+        if any(v < (batch_id, 0) for v in state.versions()):
+            known = state.before(batch_id, state.touched(batch.filter("source_id IS NOT NULL")))
+            rows = J.new_only(rows, known.filter("NOT released"))
         rows.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
         written = spark.read.schema(batch.schema).parquet(f"{path}/rows/batch={batch_id}")
-        fresh = written.filter("source_id IS NOT NULL").select(*DEDUPE_KEYS, bucket.alias("bucket"))
-        fresh.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/keys/batch={batch_id}")
+        fresh = written.filter("source_id IS NOT NULL").select(*DEDUPE_KEYS, F.lit(2 * batch_id).cast("bigint").alias("at"), F.lit(False).alias("released"))
+        state.update(fresh, batch_id)
 
     return upsert
 
 
+def release_keys(spark: SparkSession, path: str, evicted: DataFrame) -> None:
+    """Forget the source ids of evicted records, between two batches: what arrives with them again is new."""
+    state = key_state(spark, path)
+    versions = state.versions()
+    if versions:
+        keys = evicted.filter("source_id IS NOT NULL").select(*DEDUPE_KEYS).distinct()
+        at = F.lit(2 * versions[-1][0] + 1).cast("bigint")
+        state.amend(keys.withColumns({"at": at, "released": F.lit(True)}))
+
+
 def folders(spark: SparkSession, path: str) -> list[str]:
     """Names below a folder; none if it doesn't exist."""
     context = spark.sparkContext
@@ -155,71 +173,54 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-# --- per-batch tables ----------------------------------------------------------------
-
-def versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the complete ``v=<n>`` tables under a folder (directory names only)."""
-    context = spark.sparkContext
-    folder = context._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(context._jsc.hadoopConfiguration())
-    if not files.exists(folder):
-        return []
-    done = [
-        status.getPath().getName()
-        for status in files.listStatus(folder)
-        if files.exists(context._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS"))
-    ]
-    return sorted(int(name[2:]) for name in done if name.startswith("v="))
-
+# --- per-batch state -----------------------------------------------------------------
 
-def version_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """Table of the newest batch before this one; None for the first batch."""
-    earlier = [version for version in versions(spark, path) if version < batch_id]
-    return spark.read.parquet(f"{path}/v={earlier[-1]}") if earlier else None
+def issue_states(spark: SparkSession, path: str) -> DeltaState:
+    return DeltaState(spark, path, ["project_id", "issue_id"], I.merge_issue_state)
 
 
 def issue_upsert(path: str) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function that keeps the issue rollup under ``path``.
 
-    Each batch writes a new version ``v=<batch id>`` out of the version before it and the
-    rollup of its own errors, so a replayed batch writes the same version again.
+    A batch writes the rollup of its own errors; :func:`stored_issues` adds them up.
     """
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        fresh = I.issue_state(I.with_issue_id(batch))
-        stored = version_before(batch.sparkSession, path, batch_id)
-        merged = fresh if stored is None else I.merge_issue_state(stored, fresh)
-        merged.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        issue_states(batch.sparkSession, path).update(I.issue_state(I.with_issue_id(batch)), batch_id)
 
     return upsert
 
 
+def release_issues(spark: SparkSession, path: str, evicted: DataFrame) -> None:
+    """Take evicted error records out of the retained counts and latest ids, between two batches."""
+    issue_states(spark, path).amend(I.evicted_state(I.with_issue_id(evicted)))
+
+
+def stored_issues(spark: SparkSession, path: str, batch_id: int | None = None) -> DataFrame:
+    """Issue table after a batch, by default the newest one."""
+    return I.issue_rows(issue_states(spark, path).read(batch_id))
+
+
 def difference_upsert(path: str, parts: int | None = None) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function that differences counters with state under ``path``.
 
-    Batch n writes its rows to ``rows/batch=n`` and the state after it to ``state/v=n``;
-    a replayed batch writes both again from the state before it.
+    Batch n writes its rows to ``rows/batch=n`` and the last accepted readings of its own
+    streams to the state; a replayed batch writes both again from the state before it.
     """
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        state = version_before(spark, f"{path}/state", batch_id)
+        states = DeltaState(spark, f"{path}/state", O.STREAM, O.latest_state)
+        state = states.before(batch_id, states.touched(batch))
         rows, _ = O.difference_batch(batch, state, parts)
         target = f"{path}/rows/batch={batch_id}"
         rows.write.mode("overwrite").parquet(target)
         written = spark.read.schema(rows.schema).parquet(target)
-        O.next_state(written, state).write.mode("overwrite").parquet(f"{path}/state/v={batch_id}")
+        states.update(O.next_state(written), batch_id)
 
     return upsert
 
 
-def stored_issues(spark: SparkSession, path: str, batch_id: int | None = None) -> DataFrame:
-    """Issue table after a batch, by default the newest one."""
-    if batch_id is None:
-        batch_id = versions(spark, path)[-1]
-    return I.issue_rows(spark.read.parquet(f"{path}/v={batch_id}"))
-
-
 def change_log(path: str) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function: one (project, signal, sequence) per batch that had rows."""
 
