@@ -10,8 +10,8 @@
 3. *Automata.*  A shard confirms which windows recur, joins those that occur for the first
    time to passages, and compiles an automaton of short phrases of the passages, one every
    few words, so that each window holds a whole phrase.  Its regions are streamed through
-   the automaton, and the windows around every phrase found are compared, word for word,
-   with the first window like them.
+   the automaton, which gives every occurrence: the words around a phrase found are compared
+   with those around it in its passage.
 
 Equal windows share a phrase and with it a shard; what one shard finds always has an
 earlier copy, so the shards' results are simply united.
@@ -181,22 +181,17 @@ class Shard:
         hashes = sequence_hashes(mix(flat + np.uint64(1)), window)
         inside = np.flatnonzero(region[: len(hashes)] == region[window - 1 :]) if len(hashes) else np.zeros(0, np.int64)
         # Regions are in order, so the first of equal windows is the earliest.
-        _, first, which, counts = np.unique(hashes[inside], return_index=True, return_inverse=True, return_counts=True)
+        _, first, counts = np.unique(hashes[inside], return_index=True, return_counts=True)
         new = np.sort(inside[first])
-        home = inside[first][which]
-        found = self._locate(flat, self._joined(inside[first[counts > 1]], region), len(inside) and int(inside[-1]) + 1)
-        # A window at a phrase is a repeat if it equals, word for word, a window that starts earlier.
-        again = found[inside] & (home != inside) if len(inside) else np.zeros(0, bool)
-        starts, homes = inside[again], home[again]
-        same = np.ones(len(starts), bool)
-        for j in range(window):
-            same &= flat[starts + j] == flat[homes + j]
+        starts, homes = self._locate(flat, self._joined(inside[first[counts > 1]], region), region)
+        earlier = homes < starts
+        starts, homes = starts[earlier], homes[earlier]
         # Rows that repeat an id give the same place twice; that is no repeat.
         doc_of, start_of = np.unique([str(h[0]) for h in held], return_inverse=True)[1], np.array([h[1] for h in held], np.int64)
         place = lambda at: start_of[region[at]] + at - edges[region[at]]
-        same &= (doc_of[region[starts]] != doc_of[region[homes]]) | (place(starts) != place(homes))
+        other = (doc_of[region[starts]] != doc_of[region[homes]]) | (place(starts) != place(homes))
         out = []
-        for a, b in self._joined(starts[same], region):
+        for a, b in self._joined(np.unique(starts[other]), region):
             doc, start, _, settled = held[int(region[a])]
             if not settled:
                 shift = start - int(edges[region[a]])
@@ -219,21 +214,73 @@ class Shard:
         breaks = np.flatnonzero((np.diff(starts) > 1) | (region[starts[1:]] != region[starts[:-1]])) + 1
         return [(int(run[0]), int(run[-1]) + self._window) for run in np.split(starts, breaks)]
 
-    def _locate(self, flat: np.ndarray, passages: list[tuple[int, int]], windows: int) -> np.ndarray:
-        """Which windows hold a phrase of a passage, by start; every window of a passage holds one."""
-        marks = np.zeros(windows + 2, np.int64)
-        if passages:
-            letters = "".join(map(chr, (0x10000 + (flat % np.uint64(0xF0000))).tolist()))
-            step = self._window - PIECE + 1
-            automaton = ahocorasick.Automaton()
-            for a, b in passages:
-                for t in range(a, b - PIECE + 1, step):
-                    automaton.add_word(letters[t : t + PIECE], True)
-            automaton.make_automaton()
-            begins = np.fromiter((last for last, _ in automaton.iter(letters)), np.int64) - PIECE + 1
-            np.add.at(marks, np.clip(begins - step + 1, 0, windows), 1)
-            np.add.at(marks, np.clip(begins + 1, 0, windows + 1), -1)
-        return np.cumsum(marks)[: max(windows, 1)] > 0
+    def _locate(self, flat: np.ndarray, passages: list[tuple[int, int]], region: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, start in a passage) of every window that equals one of a passage, word for word.
+
+        The patterns are phrases of the passages, one every few words, so that each window
+        holds one whole; it is found with the words around it compared.  Around a phrase that
+        passages share, their windows are patterns themselves, so that a place in the text is
+        compared with one place of the passages only.
+        """
+        window, reach = self._window, self._window - PIECE
+        none = np.zeros(0, np.int64)
+        if not passages:
+            return none, none
+        letters = "".join(map(chr, (0x10000 + (flat % np.uint64(0xF0000))).tolist()))
+        phrases: dict[str, list[tuple[int, int, int]]] = {}
+        for a, b in passages:
+            for t in range(a, b - PIECE + 1, reach + 1):
+                phrases.setdefault(letters[t : t + PIECE], []).append((t, a, b))
+        patterns: dict[str, list[int]] = {}
+        for phrase, places in phrases.items():
+            if len(places) == 1:
+                patterns[phrase] = [places[0][0]]
+                continue
+            for t, a, b in places:
+                for p in range(max(a, t - reach), min(t, b - window) + 1):
+                    patterns.setdefault(letters[p : p + window], []).append(p)
+        automaton = ahocorasick.Automaton()
+        for number, pattern in enumerate(patterns):
+            automaton.add_word(pattern, number)
+        automaton.make_automaton()
+        hits = np.array(list(automaton.iter(letters)), np.int64).reshape(-1, 2)
+        length = np.fromiter(map(len, patterns), np.int64, len(patterns))
+        held = np.fromiter(map(len, patterns.values()), np.int64, len(patterns))
+        first = np.cumsum(held) - held
+        home_of = np.fromiter(chain.from_iterable(patterns.values()), np.int64, int(held.sum()))
+        # One row for each place that a pattern found stands for: nearly always one.
+        n = held[hits[:, 1]]
+        row = np.repeat(np.arange(len(hits)), n)
+        number = hits[row, 1]
+        home = home_of[first[number] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)]
+        size = length[number]
+        at = hits[row, 0] - size + 1
+        inside = region[at] == region[at + size - 1]
+        at, home, size = at[inside], home[inside], size[inside]
+        equal = np.ones(len(at), bool)
+        for j in range(window):
+            k = np.minimum(j, size - 1)
+            equal &= flat[at + k] == flat[home + k]
+        whole = equal & (size == window)
+        starts, homes = [at[whole]], [home[whole]]
+        at, home = at[equal & (size != window)], home[equal & (size != window)]
+        before, behind = (self._agreeing(flat, region, at + far, home + far, way) for far, way in ((0, -1), (PIECE - 1, 1)))
+        for offset in range(reach + 1):
+            fits = (before >= offset) & (behind >= reach - offset)
+            starts.append(at[fits] - offset)
+            homes.append(home[fits] - offset)
+        return np.concatenate(starts), np.concatenate(homes)
+
+    def _agreeing(self, flat: np.ndarray, region: np.ndarray, at: np.ndarray, home: np.ndarray, way: int) -> np.ndarray:
+        """How many words next to both places agree, up to what a window needs, within the regions."""
+        agreed, still = np.zeros(len(at), np.int64), np.ones(len(at), bool)
+        for j in range(1, self._window - PIECE + 1):
+            x, y = at + way * j, home + way * j
+            valid = (x >= 0) & (y >= 0) & (x < len(flat)) & (y < len(flat))
+            x, y = np.where(valid, x, at), np.where(valid, y, home)
+            still &= valid & (region[x] == region[at]) & (region[y] == region[home]) & (flat[x] == flat[y])
+            agreed += still
+        return agreed
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -3,6 +3,7 @@
 import html
 import re
 
+import brute
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -143,6 +144,34 @@ def test_shard_in_generations():
     assert spans(1) == spans(150) == spans(10**6) and spans(1)
 
 
+def test_automata_give_the_occurrences(monkeypatch):
+    rng = np.random.default_rng(4)
+    common = [f"c{i}".encode() for i in range(9)]
+    texts = []
+    for k in range(40):  # passages share phrases: the same nine words lie between different ones
+        own = [f"w{rng.integers(40)}".encode() for _ in range(30)]
+        texts.append(own[:10] + common + own[10:] + (texts[int(rng.integers(k))][3:36] if k % 3 == 2 else []))
+    docs = {k: b" ".join(t).decode() for k, t in enumerate(texts)}
+
+    def removed():
+        shard, out = substring_dedup.Shard(20), {}
+        for doc, text in enumerate(texts):
+            shard.add(doc, 0, text)
+        for doc, a, b in shard.settle():
+            out.setdefault(doc, set()).update(range(a, b))
+        return {doc: len(words) for doc, words in out.items()}
+
+    want = {doc: n for doc, (_, n, _) in brute.repeated_words(docs).items() if n}
+    assert removed() == want and len(want) > 5
+
+    class Blind:
+        add_word = make_automaton = lambda self, *_: None
+        iter = lambda self, *_: iter(())
+
+    monkeypatch.setattr(substring_dedup.ahocorasick, "Automaton", Blind)
+    assert removed() == {}
+
+
 PAGE = """<html><head><title>T</title><script>var a = "<p>no</p>";</script></head><body class="home">
 <div id="cookie-notice">We use cookies</div><header><h1>Site</h1></header><nav><a href="/">Home</a></nav>
 <div class="post post-%d"><h1>Title %d &amp; more</h1><p>First  paragraph with <b>bold</b>&nbsp;text<br>and a break.
