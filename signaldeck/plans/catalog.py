@@ -4,6 +4,7 @@ from signaldeck.plans import (  # noqa: F401
     archive_queries,
     metric_queries,
     search_queries,
+    source_queries,
     state_queries,
     stream_queries,
     trace_queries,

@@ -17,7 +17,7 @@ from signaldeck.plans.registry import query, uuid5_sql
 from signaldeck.session import shared_folder
 from signaldeck.sources.archive import open_archive
 from signaldeck.streaming import jobs as T
-from signaldeck.streaming.intake import intake
+from signaldeck.streaming.intake import intake, release
 
 
 def scratch(spark: SparkSession) -> str:
@@ -180,3 +180,22 @@ def _(spark, d):
     records = v.doc_logs(spark, d).unionByName(v.ev_counter(spark, d)).unionByName(errors)
     arriving(spark, records, each_batch(intake(base, projects)), by_time=True)
     return spark.read.parquet(f"{base}/counts").groupBy("name").agg(F.sum("value").cast("bigint").alias("value"))
+
+
+CUT, OLD = 1705276800000, 1704585600000
+RETURNED = f"""SELECT 0 AS batch, 'accepted' AS name, count(*) AS value FROM ev WHERE signal = 'error' AND received_at_ms < {CUT}
+  UNION ALL SELECT 1, 'accepted', count(*) FROM ev WHERE signal = 'error' AND (received_at_ms >= {CUT} OR received_at_ms < {OLD})
+  UNION ALL SELECT 1, 'skipped.duplicate', count(*) FROM ev WHERE signal = 'error' AND received_at_ms >= {OLD} AND received_at_ms < {CUT}"""
+
+
+@query("evict_and_return", v.EV, sql=RETURNED)
+def _(spark, d):
+    """Errors are taken in, the oldest evicted, and all errors sent again: what was evicted is accepted a second time."""
+    base, errors = scratch(spark), v.ev_records(spark, d).filter("signal = 'error'")
+    projects = spark.range(3).select(F.col("id").alias("project_id"), F.lit("active").alias("status"))
+    take = intake(base, projects)
+    take(errors.filter(F.col("received_at_ms") < CUT), 0)
+    release(spark, base, errors.filter(F.col("received_at_ms") < OLD))
+    take(errors, 1)
+    counts = spark.read.parquet(f"{base}/counts").filter("name IN ('accepted', 'skipped.duplicate')")
+    return counts.select(F.col("batch").cast("int").alias("batch"), "name", "value")

@@ -17,9 +17,11 @@ from signaldeck.operators import otel as O
 from signaldeck.plans import views as v
 from signaldeck.plans.registry import query
 from signaldeck.plans.search_queries import duration_sql
+from signaldeck.session import LineageCut
 from signaldeck.sources import ddtrace as dd
-from signaldeck.sources.envelopes import frame_envelopes
+from signaldeck.sources.envelopes import frame_envelopes, read_envelopes, stream_envelopes
 from signaldeck.sources.otel import otel_ddl
+from signaldeck.streaming.jobs import run_available
 
 
 def kv(key: str, **value: Column) -> Column:
@@ -185,7 +187,10 @@ DOC = """doc AS (SELECT *, doc_id % 26 <> 25 AND doc_id % 8 <> 1 AS ok,
   CASE WHEN doc_id % 4 = 0 THEN lpad(lower(to_hex(doc_id + 1)), 32, '0') END AS trace_id,
   CASE WHEN doc_id % 8 < 2 THEN lpad(lower(to_hex(doc_id + 1)), 16, '0') END AS span_id FROM doc WHERE ok""")
 def _(spark, d):
-    rows = O.flatten_logs(doc_otel(spark, d))
+    return shown_logs(O.flatten_logs(doc_otel(spark, d)))
+
+
+def shown_logs(rows: DataFrame) -> DataFrame:
     return rows.select(
         F.md5("message").alias("message_md5"), "level", "ts_nano", "service_name",
         F.try_variant_get("fields", '$["attribute.lang"]', "string").alias("lang"), "trace_id", "span_id",
@@ -328,8 +333,12 @@ DDS = """dds AS (SELECT *, CASE WHEN l_linenumber = 2 THEN '' ELSE '0123456789ab
   CAST(l_quantity AS BIGINT) * 1000000 AS duration_ns, l_discount AS same, CAST(NULL AS DOUBLE) AS bad, 'web' AS kind
   FROM dds WHERE ok""")
 def _(spark, d):
+    return shown_spans(D.flatten_ddtrace(dd_payloads(spark, d)))
+
+
+def shown_spans(rows: DataFrame) -> DataFrame:
     get = lambda key, kind: F.try_variant_get("fields", f'$["attribute.{key}"]', kind)
-    return D.flatten_ddtrace(dd_payloads(spark, d)).select(
+    return rows.select(
         "id", "trace_id", "span_id", "parent_span_id", "message", "service_name", "span_status", "environment",
         "duration_ns", get("same", "double").alias("same"), get("bad", "double").alias("bad"),
         get("datadog.type", "string").alias("kind"),
@@ -371,7 +380,11 @@ def coded_payloads(spark, d) -> DataFrame:
   l_returnflag || l_linestatus AS flag, l_discount AS discount, CAST(l_quantity AS BIGINT) AS duration_ns
   FROM lineitem WHERE l_linenumber <> 5""")
 def _(spark, d):
-    rows = D.flatten_ddtrace(D.expand_dictionary(coded_payloads(spark, d)))
+    return shown_coded(coded_payloads(spark, d))
+
+
+def shown_coded(payloads: DataFrame) -> DataFrame:
+    rows = D.flatten_ddtrace(D.expand_dictionary(payloads))
     fields = F.try_variant_get("fields", "$", "map<string,variant>")
     return rows.withColumn("f", fields).select(
         "service_name", "name", "message",
@@ -400,8 +413,8 @@ def _(spark, d):
 
 # --- envelopes ------------------------------------------------------------------
 
-def doc_envelopes(spark, d) -> DataFrame:
-    """documents as envelopes: an error event and a log batch of two entries each; every
+def doc_bodies(spark, d) -> DataFrame:
+    """documents as envelope texts: an error event and a log batch of two entries each; every
     tenth has a wrong item count."""
     n = F.col("doc_id")
     log = F.to_json(F.struct(
@@ -425,12 +438,66 @@ def doc_envelopes(spark, d) -> DataFrame:
                  F.octet_length(logs).cast("string"), F.lit("}")), logs,
         F.lit('{"type":"session"}'), F.lit("{}"),
     )
-    return frame_envelopes(v.spread(v.table(spark, d, "documents")).select(
-        n.cast("string").alias("envelope_id"), F.lit(1).cast("bigint").alias("project_id"),
-        F.lit(9).cast("bigint").alias("received_at_ms"), F.encode(lines, "UTF-8").alias("body"),
+    return v.spread(v.table(spark, d, "documents")).select("doc_id", "source", lines.alias("body"))
+
+
+def doc_envelopes(spark, d) -> DataFrame:
+    return frame_envelopes(doc_bodies(spark, d).select(
+        F.col("doc_id").cast("string").alias("envelope_id"), F.lit(1).cast("bigint").alias("project_id"),
+        F.lit(9).cast("bigint").alias("received_at_ms"), F.encode("body", "UTF-8").alias("body"),
     ))
 
 
+def item_envelopes(spark, d) -> DataFrame:
+    """benchmark items as envelope texts: an event, or a line break in its payload, or a length that is wrong."""
+    n, broken = F.col("item_id"), F.col("item_id") % 5 == 0
+    event = F.to_json(F.struct(n.alias("timestamp"), F.struct(F.col("text").alias("formatted")).alias("logentry")))
+    event = F.when(n % 2 == 0, F.concat(F.lit("{\n"), F.substring(event, 2, 1 << 30))).otherwise(event)
+    length = F.octet_length(event) + F.when(broken, 99).otherwise(0)
+    head = F.concat(F.lit('{"event_id":"'), F.md5(n.cast("string")), F.lit('"}'))
+    return v.table(spark, d, "benchmark").select(
+        F.concat_ws("\n", head, F.concat(F.lit('{"type":"event","length":'), length.cast("string"), F.lit("}")), event).alias("value")
+    )
+
+
+FILED = """SELECT md5(CAST(item_id AS VARCHAR)) AS id, item_id * 1000000000 AS ts_nano, md5(text) AS message_md5 FROM benchmark WHERE item_id % 5 <> 0"""
+
+
+def filed(framed: DataFrame) -> DataFrame:
+    return E.events_to_errors(framed).select("id", "ts_nano", F.md5("message").alias("message_md5"))
+
+
+@query("read_envelopes", sql=FILED)
+def _(spark, d):
+    """Envelope files, every one of its own, gzip among them."""
+    base, bodies = LineageCut(spark).new_path(), item_envelopes(spark, d)
+    for part, codec in enumerate(("none", "gzip")):
+        rows = bodies.where(F.pmod(F.hash("value"), F.lit(2)) == part)
+        rows.write.mode("append").option("maxRecordsPerFile", 1).option("compression", codec).text(base)
+    return filed(read_envelopes(spark, base, 1, 9))
+
+
+@query("stream_envelopes", sql=FILED)
+def _(spark, d):
+    """The same files in two arrivals, a few in each batch, with a restart between them."""
+    base, bodies = LineageCut(spark).new_path(), item_envelopes(spark, d)
+    for part, codec in enumerate(("none", "gzip")):
+        rows = bodies.where(F.pmod(F.hash("value"), F.lit(2)) == part)
+        rows.write.mode("append").option("maxRecordsPerFile", 1).option("compression", codec).text(f"{base}/in")
+        stream = filed(stream_envelopes(spark, f"{base}/in", 1, 9, files_per_batch=60))
+        run_available(stream.writeStream.format("parquet").option("path", f"{base}/out"), f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/out")
+
+
+@query("reject_reasons", sql="""SELECT 'malformed' AS reason, count(*) AS rejected FROM benchmark WHERE item_id % 5 = 0""")
+def _(spark, d):
+    bodies = item_envelopes(spark, d).select(
+        F.md5("value").alias("envelope_id"), F.lit(1).cast("bigint").alias("project_id"), F.lit(9).cast("bigint").alias("received_at_ms"),
+        F.encode("value", "UTF-8").alias("body"),
+    )
+    return O.reject_counts(E.rejects(frame_envelopes(bodies)))
+
+
 @query("events_to_errors", sql="""SELECT md5(CAST(doc_id AS VARCHAR)) AS id, doc_id * 1000000000 AS ts_nano, 'error' AS level,
   'DocError: ' || source AS title, source AS message, 'DocError' AS error_type,
   replace('DocError~~run~' || lang, '~', chr(0)) AS fingerprint, CAST(doc_id AS VARCHAR) AS user_id

@@ -6,10 +6,11 @@ rejected as a whole inside its row.
 
 from __future__ import annotations
 
-import gzip
 import json
 import sys
+import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -23,23 +24,42 @@ from signaldeck.sources.otel import with_arrival
 # Executors get the splitter itself and need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Fixed value: greatest size of an envelope after decompression.
+# Greatest size of an envelope after decompression, unless the caller sets another.
 MAX_ENVELOPE_BYTES = 20 * 1024 * 1024
 
 FRAMED = "header string, items array<struct<header: string, payload: string>>, frame_error string"
 
 
+BINARY_FILES = "path string, modificationTime timestamp, length bigint, content binary"
+
+
 def read_envelopes(spark: SparkSession, path: str, project_id: int,
-                   received_at_ms: int | None = None) -> DataFrame:
+                   received_at_ms: int | None = None, max_bytes: int = MAX_ENVELOPE_BYTES) -> DataFrame:
     """Envelope files (plain or .gz), one envelope per file, as framed envelopes."""
     files = spark.read.format("binaryFile").load(path)
+    return _framed_files(files, project_id, received_at_ms, max_bytes)
+
+
+def stream_envelopes(spark: SparkSession, path: str, project_id: int, received_at_ms: int | None = None,
+                     max_bytes: int = MAX_ENVELOPE_BYTES, files_per_batch: int = 1000) -> DataFrame:
+    """Framed envelopes of files as they arrive; the checkpoint remembers the files that were read.
+
+    Spark's own file source lists and opens the files, so that any store it reaches will do.
+    """
+    files = spark.readStream.format("binaryFile").schema(BINARY_FILES).option("maxFilesPerTrigger", files_per_batch).load(path)
+    return _framed_files(files, project_id, received_at_ms, max_bytes)
+
+
+def _framed_files(files: DataFrame, project_id: int, received_at_ms: int | None, max_bytes: int) -> DataFrame:
     rows = files.select(F.col("path").alias("envelope_id"), F.col("content").alias("body"))
-    return frame_envelopes(with_arrival(rows, project_id, received_at_ms))
+    return frame_envelopes(with_arrival(rows, project_id, received_at_ms), max_bytes)
 
 
-def frame_envelopes(bodies: DataFrame) -> DataFrame:
+def frame_envelopes(bodies: DataFrame, max_bytes: int = MAX_ENVELOPE_BYTES) -> DataFrame:
     """Split envelope bodies (BINARY ``body``) into header and items.
 
+    A body of more than ``max_bytes`` after decompression is a framing error.
+
     Bodies whose lines agree with the declared payload lengths are split by built-in
     expressions.  The rest (payloads with newlines, compressed or malformed bodies)
     goes through a byte-level splitter, the only Python in this path.
@@ -68,7 +88,7 @@ def frame_envelopes(bodies: DataFrame) -> DataFrame:
     plain = (
         F.col("_lines").isNotNull()
         & (F.size("_lines") % 2 == 1)
-        & (F.octet_length("body") <= MAX_ENVELOPE_BYTES)
+        & (F.octet_length("body") <= max_bytes)
         & F.forall("items", consistent)
     )
     split = staged(split, _plain=F.coalesce(plain, F.lit(False)))
@@ -80,13 +100,13 @@ def frame_envelopes(bodies: DataFrame) -> DataFrame:
     )
     schema = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in carried)
     rest = split.filter(~F.col("_plain")).select(*keep, "body")
-    framed = rest.mapInPandas(_frame_batches, f"{schema}, {FRAMED}")
+    framed = rest.mapInPandas(partial(_frame_batches, max_bytes), f"{schema}, {FRAMED}")
     return simple.unionByName(framed)
 
 
-def _frame_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _frame_batches(max_bytes: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        framed = [split_body(bytes(body)) for body in batch["body"]]
+        framed = [split_body(bytes(body), max_bytes) for body in batch["body"]]
         out = batch.drop(columns="body")
         out["header"] = [header for header, _, _ in framed]
         out["items"] = [items for _, items, _ in framed]
@@ -94,33 +114,56 @@ def _frame_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out
 
 
-def split_body(body: bytes) -> tuple[str | None, list[dict], str | None]:
-    """(header, items, error) of one body, by bytes."""
+def unpacked(body: bytes, max_bytes: int) -> bytes:
+    """The body, decompressed if it is gzip; never more than ``max_bytes`` and one are unpacked."""
+    if body[:2] != b"\x1f\x8b":
+        return body
+    parts, size = [], 0
+    while body:
+        member = zlib.decompressobj(31)
+        parts.append(member.decompress(body, max_bytes + 1 - size))
+        size += len(parts[-1])
+        if size > max_bytes:
+            break
+        if not member.eof:
+            raise ValueError("compressed body is cut off")
+        body = member.unused_data.lstrip(b"\0")
+    return b"".join(parts)
+
+
+def split_body(body: bytes, max_bytes: int = MAX_ENVELOPE_BYTES) -> tuple[str | None, list[dict], str | None]:
+    """(header, items, error) of one body, by byte positions."""
     try:
-        if body[:2] == b"\x1f\x8b":
-            body = gzip.decompress(body)
-        if len(body) > MAX_ENVELOPE_BYTES:
+        body = unpacked(body, max_bytes)
+        if len(body) > max_bytes:
             raise ValueError("body too large")
-        head, _, rest = body.partition(b"\n")
-        items = []
-        while rest:
-            line, _, rest = rest.partition(b"\n")
+
+        def line_end(start: int) -> int:
+            found = body.find(b"\n", start)
+            return len(body) if found < 0 else found
+
+        end = line_end(0)
+        head, at, items = body[:end], end + 1, []
+        while at < len(body):
+            end = line_end(at)
+            line = body[at:end]
             declared = json.loads(line)
             if not isinstance(declared, dict):
                 raise ValueError("header line of an item is no object")
+            at = end + 1
             if "length" in declared:
                 size = declared["length"]
-                if type(size) is not int or not 0 <= size <= len(rest):
+                if type(size) is not int or not 0 <= size <= max(len(body) - at, 0):
                     raise ValueError("fewer bytes left than an item declares")
-                payload, rest = rest[:size], rest[size:]
-                if rest and not rest.startswith(b"\n"):
+                end = at + size
+                if end < len(body) and body[end] != 0x0A:
                     raise ValueError("bytes behind the declared end of an item")
-                rest = rest[1:]
-            elif not rest:
+            elif at >= len(body):
                 raise ValueError("body ends behind an item header")
             else:
-                payload, _, rest = rest.partition(b"\n")
-            items.append({"header": line.decode(), "payload": payload.decode()})
+                end = line_end(at)
+            items.append({"header": line.decode(), "payload": body[at:end].decode()})
+            at = end + 1
         return head.decode(), items, None
-    except (ValueError, OSError, EOFError) as error:
+    except (ValueError, zlib.error) as error:
         return None, [], str(error)

@@ -126,6 +126,20 @@ def test_read_envelopes_from_files(spark, tmp_path):
     assert len(rows) == 3 and {r.project_id for r in rows} == {7}
 
 
+def test_size_limits_and_cut_off_bodies(spark):
+    plain = body({}, *[batch("log", LOG)] * 3)
+    packed = gzip.compress(plain)
+    assert split_body(plain, len(plain))[2] is None and split_body(packed, len(plain))[2] is None
+    assert split_body(plain, len(plain) - 1)[2] == split_body(packed, len(plain) - 1)[2] == "body too large"
+    assert split_body(gzip.compress(bytes(50_000_000)), 1000)[2] == "body too large"
+    assert split_body(packed[:-9])[2] == "compressed body is cut off"
+    assert split_body(gzip.compress(plain[:40]) + gzip.compress(plain[40:])) == split_body(plain)
+    whole = framed(spark, plain)
+    assert whole.first().frame_error is None
+    df = spark.createDataFrame([("e", 1, 2, bytearray(plain))], "envelope_id string, project_id bigint, received_at_ms bigint, body binary")
+    assert frame_envelopes(df, 10).first().frame_error == "body too large"
+
+
 def test_ids_are_stable_and_distinct(spark):
     one = body({}, batch("log", LOG, LOG))
     ids = [r.id for r in E.explode_items(framed(spark, one, one), "log").collect()]
