@@ -18,6 +18,7 @@ from signaldeck.session import shared_folder
 from signaldeck.sources.archive import open_archive
 from signaldeck.streaming import jobs as T
 from signaldeck.streaming.intake import intake, release
+from signaldeck.streaming.outcomes import OutcomeCounts, observe_outcomes, stored_outcomes
 
 
 def scratch(spark: SparkSession) -> str:
@@ -199,3 +200,30 @@ def _(spark, d):
     take(errors, 1)
     counts = spark.read.parquet(f"{base}/counts").filter("name IN ('accepted', 'skipped.duplicate')")
     return counts.select(F.col("batch").cast("int").alias("batch"), "name", "value")
+
+
+KINDS = ("click", "error", "purchase", "signup", "view")
+OUTCOMES = """SELECT 'accepted' AS name, count(*) AS value FROM ev WHERE value >= 5
+  UNION ALL SELECT 'accepted.' || signal, count(*) FROM ev WHERE value >= 5 GROUP BY signal
+  UNION ALL SELECT 'skipped', count(*) FROM ev WHERE value < 5
+  UNION ALL SELECT 'skipped.otlp.invalid_' || name, count(*) FROM ev WHERE value < 5 GROUP BY name
+  UNION ALL SELECT 'record.odd_id', count(*) FROM ev WHERE event_id % 7 = 3"""
+
+
+@query("stream_outcomes", v.EV, sql=OUTCOMES)
+def _(spark, d):
+    """Accepted, skipped and diagnostic totals of a stream with restarts, from its progress events."""
+    base, reasons = scratch(spark), [f"otlp.invalid_{k}" for k in KINDS]
+    rows = v.ev_records(spark, d).withColumns({
+        "reject_reason": F.when(F.col("value") < 5, F.concat(F.lit("otlp.invalid_"), "name")),
+        "diagnostic": F.when(F.col("id").cast("bigint") % 7 == 3, "record.odd_id"),
+    })
+    listener = OutcomeCounts(spark, f"{base}/totals", reasons, ["record.odd_id"])
+    spark.streams.addListener(listener)
+    try:
+        taken = lambda stream: observe_outcomes(stream, reasons, ["record.odd_id"]).select("project_id", "id")
+        arriving(spark, rows, appended(f"{base}/rows", taken))
+        listener.settle()
+    finally:
+        spark.streams.removeListener(listener)
+    return stored_outcomes(spark, f"{base}/totals")

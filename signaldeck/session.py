@@ -42,7 +42,7 @@ class LineageCut:
     checkpoint folder and reads it back, so a lost executor costs a re-read and not a
     recomputation, and plans (with their inferred constraints) stay small.  A table is
     removed once its successor is complete, unless all are kept; the last one stays for
-    its lazy readers.
+    its lazy readers until the application ends.
     """
 
     def __init__(self, spark: SparkSession, keep_all: bool = False) -> None:
@@ -53,6 +53,10 @@ class LineageCut:
 
     def new_path(self) -> str:
         """A path below the folder that nothing was written to yet."""
+        folder, files = self._hadoop(self._folder)
+        if not self._saved:
+            files.mkdirs(folder)
+            files.deleteOnExit(folder)
         self._saved += 1
         return f"{self._folder}/{self._saved - 1}"
 
@@ -64,6 +68,10 @@ class LineageCut:
         return self._spark.read.schema(df.schema).parquet(path)
 
     def remove(self, path: str) -> None:
+        target, files = self._hadoop(path)
+        files.delete(target, True)
+
+    def _hadoop(self, path: str):
         context = self._spark.sparkContext
         target = context._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+        return target, target.getFileSystem(context._jsc.hadoopConfiguration())
