@@ -19,6 +19,7 @@ from signaldeck.sources.archive import open_archive
 from signaldeck.streaming import jobs as T
 from signaldeck.streaming.intake import intake, release
 from signaldeck.streaming.outcomes import OutcomeCounts, observe_outcomes, stored_outcomes
+from signaldeck.streaming.rollups import MetricRollups
 
 
 def scratch(spark: SparkSession) -> str:
@@ -227,3 +228,31 @@ def _(spark, d):
     finally:
         spark.streams.removeListener(listener)
     return stored_outcomes(spark, f"{base}/totals")
+
+
+DAY, FIRST, LAST = 24 * HOUR, 1704067200000, 1706659200000 + 5_000_000
+
+
+def rolled_up(spark, d, aggregate: str, first: int, step: int):
+    """Samples arrive mixed; the series is read from rollups by day and hour, and from records at the edges."""
+    records = v.ev_metrics(spark, d)
+    rollups = MetricRollups(spark, scratch(spark), ("event_type", "k"), by_value=aggregate in M.PERCENTILES)
+    arriving(spark, records, each_batch(rollups.upsert()))
+    request = M.MetricQuery(0, "event.value", aggregate, first, LAST, group_by=("event_type",), interval_ms=step)
+    return rollups.series(records, request).withColumn("value", F.round("value", 6))
+
+
+def rolled_up_sql(value: str, first: int, step: int) -> str:
+    return f"""SELECT event_type AS group_0, {first} + (event_ms - {first}) // {step} * {step} AS bucket_ms, round({value}, 6) AS value
+  FROM em WHERE event_ms BETWEEN {first} AND {LAST} GROUP BY ALL"""
+
+
+@query("rollup_percentiles", v.EM, sql=rolled_up_sql("quantile_cont(value, 0.95)", FIRST, DAY))
+def _(spark, d):
+    return rolled_up(spark, d, "p95", FIRST, DAY)
+
+
+@query("rollup_average", v.EM, sql=rolled_up_sql("sum(value) / count(*)", FIRST + 90_000, 7 * DAY))
+def _(spark, d):
+    """Intervals that begin within hours."""
+    return rolled_up(spark, d, "avg", FIRST + 90_000, 7 * DAY)

@@ -26,12 +26,14 @@ Version = tuple[int, int]
 class DeltaState:
     """State under a folder; ``merge`` makes one row per key out of several, in any order.
 
-    The number of buckets is fixed by the first batch.
+    The number of buckets is fixed by the first batch.  Keys are hashed to them, unless
+    ``place`` gives the bucket of a row, for example its day: a column of keys only.
     """
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str], merge: Callable[[DataFrame], DataFrame],
-                 buckets: int = 16, fanout: int = 4) -> None:
+                 buckets: int = 16, fanout: int = 4, place: Column | None = None) -> None:
         self._spark, self._path, self._keys, self._merge, self._fanout = spark, path, keys, merge, fanout
+        self._place = place
         context = spark.sparkContext
         self._hadoop = context._jvm.org.apache.hadoop.fs.Path
         self._files = self._hadoop(path).getFileSystem(context._jsc.hadoopConfiguration())
@@ -57,13 +59,15 @@ class DeltaState:
         return self._entry(earlier[-1])["runs"] if earlier else []
 
     def bucket(self) -> Column:
+        if self._place is not None:
+            return self._place.cast("int")
         return F.pmod(F.xxhash64(*self._keys), F.lit(self._buckets)).cast("int")
 
     def touched(self, rows: DataFrame) -> list[int]:
         """Buckets that the rows' keys fall into."""
         return [r[0] for r in rows.select(self.bucket()).distinct().collect()]
 
-    def _rows(self, runs: list[list], touched: list[int] | None = None) -> DataFrame | None:
+    def _rows(self, runs: list[list], within: Column | None = None) -> DataFrame | None:
         if not runs:
             return None
         schema = StructType.fromJson(json.loads(self._schema)).add("bucket", IntegerType()).add("run", StringType())
@@ -72,18 +76,23 @@ class DeltaState:
         rows = held[0]
         for more in held[1:]:
             rows = rows.unionByName(more)
-        if touched is not None:
-            rows = rows.filter(F.col("bucket").isin(touched))
+        if within is not None:
+            rows = rows.filter(within)
         rows = rows.drop("run", "bucket")
         return rows if len(runs) == 1 else self._merge(rows)
 
     def before(self, batch_id: int, touched: list[int] | None = None) -> DataFrame | None:
         """State before a batch, of some buckets or all; None if there is none yet."""
-        return self._rows(self._before((batch_id, 0)), touched)
+        within = None if touched is None else F.col("bucket").isin(touched)
+        return self._rows(self._before((batch_id, 0)), within)
 
-    def read(self, batch_id: int | None = None) -> DataFrame | None:
-        """State after a batch, by default the newest."""
-        return self._rows(self._before(None if batch_id is None else (batch_id + 1, 0)))
+    def read(self, batch_id: int | None = None, within: Column | None = None) -> DataFrame | None:
+        """State after a batch, by default the newest; ``within`` chooses by ``bucket`` what is read."""
+        return self._rows(self._before(None if batch_id is None else (batch_id + 1, 0)), within)
+
+    def run(self, batch_id: int) -> DataFrame:
+        """The rows that a batch itself added."""
+        return self._rows([[0, f"{batch_id}-0-0", [batch_id, 0]]])
 
     def _write(self, rows: DataFrame, name: str) -> None:
         bucketed = rows.withColumn("bucket", self.bucket()).hint("rebalance", "bucket")
