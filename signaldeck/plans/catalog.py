@@ -2,6 +2,7 @@
 
 from signaldeck.plans import (  # noqa: F401
     archive_queries,
+    envelope_queries,
     metric_queries,
     search_queries,
     source_queries,
