@@ -3,7 +3,8 @@
 A range starts without knowing what came before it.  Its first pass therefore reduces the
 stream it begins with to a *handover*: what the last accepted reading will be, for every
 value that the one before could have.  Handovers, one small row per range, are chained on
-the driver; the second pass starts each range with what it was handed.
+the driver; the second pass starts each range with what it was handed.  A range may begin
+within an instant: the time of the last accepted reading tells whether the instant is done.
 """
 
 from __future__ import annotations
@@ -17,148 +18,182 @@ from pyspark.sql import functions as F
 
 from signaldeck.session import LineageCut
 
-# Last accepted reading: (start, value).
-State = tuple[int, float]
-# Readings of one instant, in order: (start, value).
-Instant = list[tuple[int, float]]
+# Last accepted reading: (start, value, time).
+State = tuple[int, float, int]
 
 
-def accept(state: State | None, instant: Instant, monotonic: bool) -> tuple[State | None, list[tuple]]:
-    """State after the readings of one instant, and (delta, violation, accepted) of each.
+def accept(state: State | None, time: int, start: int, value: float, monotonic: bool) -> tuple[State | None, tuple]:
+    """State after a reading, and its (delta, violation, accepted).
 
-    The first reading that is no violation is accepted; those behind it are late.
+    Of one instant the first reading that is no violation is accepted; those behind it are late.
     """
-    out, done = [], False
-    for start, value in instant:
-        if done:
-            out.append((None, False, False))
-            continue
-        done = state is None or start != state[0] or not (monotonic and value < state[1])
-        if state is None:
-            out.append((None, False, True))
-        elif start != state[0]:
-            out.append((value, False, True))
-        elif done:
-            out.append((value - state[1], False, True))
-        else:
-            out.append((None, True, False))
-        if done:
-            state = (start, value)
-    return state, out
+    if state is None:
+        return (start, value, time), (None, False, True)
+    if time == state[2]:
+        return state, (None, False, False)
+    if start != state[0]:
+        return (start, value, time), (value, False, True)
+    if monotonic and value < state[1]:
+        return state, (None, True, False)
+    return (start, value, time), (value - state[1], False, True)
 
 
 class Handover:
-    """Outcome of a run of instants for any state before it.
+    """Outcome of a run of readings for any state accepted before their first instant.
 
     ``other`` is the outcome without a state, or for one with another start than
     ``start``.  For that start it depends on the value before: ``pieces`` are (highest
-    value, outcome), in order; above them it is ``rest``, or the value unchanged.
+    value, outcome), in order; above them it is ``rest``, or the state unchanged.
     """
 
     def __init__(self, start: int | None = None, other: State | None = None,
                  pieces: Iterable[tuple[float, State]] = (), rest: State | None = None) -> None:
         self.start, self.other, self.pieces, self.rest = start, other, list(pieces), rest
+        # Pieces of the instant at hand: whatever follows in it is late for them.
+        self._fresh: list[tuple[float, State]] = []
+        self._time: int | None = None
 
-    def add(self, instant: Instant, monotonic: bool) -> None:
+    def add(self, time: int, start: int, value: float, monotonic: bool) -> None:
         if self.start is None:
-            self.start = instant[0][0]
-        self.other, _ = accept(self.other, instant, monotonic)
-        pieces = [(most, accept(state, instant, monotonic)[0]) for most, state in self.pieces]
+            self.start = start
+        if time != self._time:
+            self.close()
+            self._time = time
+        self.other, _ = accept(self.other, time, start, value, monotonic)
+        self.pieces = [(most, accept(state, time, start, value, monotonic)[0]) for most, state in self.pieces]
         if self.rest is not None:
-            self.rest, _ = accept(self.rest, instant, monotonic)
+            self.rest, _ = accept(self.rest, time, start, value, monotonic)
+        elif start != self.start or not monotonic:
+            self.rest = (start, value, time)
         else:
-            most = pieces[-1][0] if pieces else float("-inf")
-            for start, value in instant:
-                if start != self.start or not monotonic:
-                    self.rest = (start, value)
-                    break
-                if value > most:
-                    most = value
-                    pieces.append((value, (start, value)))
-        # Neighbours with one outcome are one piece.
-        self.pieces = []
-        for most, state in pieces:
-            if self.pieces and self.pieces[-1][1] == state:
-                self.pieces[-1] = (most, state)
+            below = self._fresh or self.pieces
+            if value > (below[-1][0] if below else float("-inf")):
+                self._fresh.append((value, (start, value, time)))
+
+    def close(self) -> None:
+        """Neighbours with one outcome are one piece."""
+        merged: list[tuple[float, State]] = []
+        for most, state in [*self.pieces, *self._fresh]:
+            if merged and merged[-1][1] == state:
+                merged[-1] = (most, state)
             else:
-                self.pieces.append((most, state))
+                merged.append((most, state))
+        self.pieces, self._fresh = merged, []
 
     def after(self, state: State | None) -> State | None:
-        if self.start is None or state is None or state[0] != self.start:
+        if self.start is None:
+            return state
+        if state is None or state[0] != self.start:
             return self.other
-        return next((out for most, out in self.pieces if state[1] <= most), self.rest or state)
+        return next((out for most, out in [*self.pieces, *self._fresh] if state[1] <= most), self.rest or state)
+
+
+class RangeStart:
+    """What the first stream of a range makes of the state handed to it."""
+
+    def __init__(self, first: int, whole: Handover, beyond: Handover) -> None:
+        # A state of the first instant itself meets only the readings beyond it.
+        self.first, self.whole, self.beyond = first, whole, beyond
+
+    @classmethod
+    def of(cls, readings: Iterable[tuple[int, int, float, bool]]) -> RangeStart:
+        made = None
+        for reading in readings:
+            made = made or cls(reading[0], Handover(), Handover())
+            made.whole.add(*reading)
+            if reading[0] != made.first:
+                made.beyond.add(*reading)
+        made.whole.close()
+        made.beyond.close()
+        return made
+
+    def after(self, state: State | None) -> State | None:
+        at_first = state is not None and state[2] == self.first
+        return (self.beyond if at_first else self.whole).after(state)
 
 
-HANDOVER = (
-    "part bigint, first string, last string, start bigint, other struct<s: bigint, v: double>, "
-    "pieces array<struct<most: double, s: bigint, v: double>>, rest struct<s: bigint, v: double>, "
-    "end struct<s: bigint, v: double>"
+_STATE = pa.struct([("s", pa.int64()), ("v", pa.float64()), ("t", pa.int64())])
+_PIECE = pa.struct([("most", pa.float64()), ("state", _STATE)])
+_HANDOVER = pa.struct([("start", pa.int64()), ("other", _STATE), ("pieces", pa.list_(_PIECE)), ("rest", _STATE)])
+_SUMMARY = pa.schema(
+    [("part", pa.int64()), ("first", pa.string()), ("last", pa.string()), ("time", pa.int64()), ("whole", _HANDOVER),
+     ("beyond", _HANDOVER), ("end", _STATE)]
 )
+STATE_SQL = "struct<s: bigint, v: double, t: bigint>"
+HANDOVER_SQL = f"struct<start: bigint, other: {STATE_SQL}, pieces: array<struct<most: double, state: {STATE_SQL}>>, rest: {STATE_SQL}>"
+SUMMARY_SQL = (
+    f"part bigint, first string, last string, time bigint, whole {HANDOVER_SQL}, beyond {HANDOVER_SQL}, end {STATE_SQL}"
+)
+
+
+def _packed(state: State | None) -> dict | None:
+    return None if state is None else dict(zip("svt", state))
+
 
+def _packed_handover(hand: Handover) -> dict:
+    pieces = [{"most": most, "state": _packed(state)} for most, state in hand.pieces]
+    return {"start": hand.start, "other": _packed(hand.other), "pieces": pieces, "rest": _packed(hand.rest)}
 
-def _instants(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple]:
-    """((part, stream), instant, monotonic, rows) in order; rows are the remaining columns."""
-    def rows() -> Iterator[tuple]:
-        for batch in batches:
-            yield from zip(*(batch.column(n).to_pylist() for n in names), strict=True)
 
-    for (part, stream, _), same in groupby(rows(), key=lambda r: r[:3]):
-        held = list(same)
-        yield (part, stream), [(r[3], r[4]) for r in held], held[0][5], [r[6:] for r in held]
+def _state(packed) -> State | None:
+    return None if packed is None else (packed["s"], packed["v"], packed["t"])
+
+
+def _handover(packed) -> Handover:
+    pieces = [(p["most"], _state(p["state"])) for p in packed["pieces"]]
+    return Handover(packed["start"], _state(packed["other"]), pieces, _state(packed["rest"]))
 
 
 SCAN = ["_part", "_stream", "ts_nano", "_start", "value", "_mono"]
 
 
+def _readings(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(batch.column(n).to_pylist() for n in names), strict=True)
+
+
 def difference_in_ranges(thin: DataFrame, stream: list[str], parts: int | None = None) -> DataFrame:
-    """Deltas of readings (stream columns, ts_nano, _start, value, _mono, _row).
+    """Deltas of readings (stream columns, ts_nano, _start, value, _mono, _row, _order).
 
-    Returns _row, delta, violation and accepted.  Ranges are cut between instants, at
-    bounds that Spark samples from the data, so that a stream of any size is spread.
+    Returns _row, delta, violation and accepted.  Ranges are cut at bounds that Spark
+    samples from the data, also within an instant, so that a stream of any size and a
+    burst at one time are spread.
     """
     spark = thin.sparkSession
     width = [parts] if parts else []
+    order = ["_stream", "ts_nano", "_start", "_order"]
     named = thin.withColumn("_stream", F.to_json(F.struct(*stream)))
-    ranged = named.repartitionByRange(*width, "_stream", "ts_nano").withColumn("_part", F.spark_partition_id().cast("bigint"))
+    ranged = named.repartitionByRange(*width, *order).withColumn("_part", F.spark_partition_id().cast("bigint"))
     ranged = LineageCut(spark, keep_all=True).save(ranged.select(*SCAN, "_row", "_order"))
-    ordered = ranged.repartition("_part").sortWithinPartitions("_part", "_stream", "ts_nano", "_start", "_order")
+    ordered = ranged.repartition("_part").sortWithinPartitions("_part", *order)
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        struct = lambda s: None if s is None else {"s": s[0], "v": s[1]}
-        for part, of_part in groupby(_instants(batches, SCAN), key=lambda x: x[0][0]):
+        for part, of_part in groupby(_readings(batches, SCAN), key=lambda r: r[0]):
             row, last, end = {}, None, None
-            for (_, name), own in groupby(of_part, key=lambda x: x[0]):
+            for name, own in groupby(of_part, key=lambda r: r[1]):
                 if not row:
-                    hand = Handover()
-                    for _, instant, monotonic, _ in own:
-                        hand.add(instant, monotonic)
-                    pieces = [{"most": m, "s": s[0], "v": s[1]} for m, s in hand.pieces]
-                    row = {"part": part, "first": name, "start": hand.start, "other": struct(hand.other), "pieces": pieces}
-                    row["rest"] = struct(hand.rest)
+                    hand = RangeStart.of(r[2:] for r in own)
+                    row = {"part": part, "first": name, "time": hand.first}
+                    row |= {"whole": _packed_handover(hand.whole), "beyond": _packed_handover(hand.beyond)}
                 else:
                     end = None
-                    for _, instant, monotonic, _ in own:
-                        end, _ = accept(end, instant, monotonic)
+                    for r in own:
+                        end, _ = accept(end, *r[2:])
                 last = name
-            row |= {"last": last, "end": struct(end)}
-            yield pa.RecordBatch.from_pylist([row], schema=summary)
+            row |= {"last": last, "end": _packed(end)}
+            yield pa.RecordBatch.from_pylist([row], schema=_SUMMARY)
 
-    pair = pa.struct([("s", pa.int64()), ("v", pa.float64())])
-    summary = pa.schema(
-        [("part", pa.int64()), ("first", pa.string()), ("last", pa.string()), ("start", pa.int64()), ("other", pair),
-         ("pieces", pa.list_(pa.struct([("most", pa.float64()), ("s", pa.int64()), ("v", pa.float64())]))), ("rest", pair), ("end", pair)]
-    )
-    given = chained(ordered.mapInArrow(summarise, HANDOVER).collect())  # one row per range
+    given = chained(ordered.mapInArrow(summarise, SUMMARY_SQL).collect())  # one row per range
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, state, held = None, None, []
-        for key, instant, monotonic, rows in _instants(batches, [*SCAN, "_row"]):
-            if key != seen:
-                name, before = given.get(key[0], (None, None))
-                state = before if name == key[1] else None
-                seen = key
-            state, out = accept(state, instant, monotonic)
-            held += [(r[0], *o) for r, o in zip(rows, out, strict=True)]
+        for part, stream, time, start, value, monotonic, row in _readings(batches, [*SCAN, "_row"]):
+            if (part, stream) != seen:
+                name, before = given.get(part, (None, None))
+                state = before if name == stream else None
+                seen = (part, stream)
+            state, out = accept(state, time, start, value, monotonic)
+            held.append((row, *out))
             if len(held) > 20_000:
                 yield _batch(held)
                 held = []
@@ -183,10 +218,8 @@ def chained(summaries: list) -> dict[int, tuple[str, State]]:
             given[s["part"]] = (name, state)
         before = state if name == s["first"] else None
         if s["first"] == s["last"]:
-            pair = lambda p: None if p is None else (p["s"], p["v"])
-            pieces = [(p["most"], (p["s"], p["v"])) for p in s["pieces"]]
-            state = Handover(s["start"], pair(s["other"]), pieces, pair(s["rest"])).after(before)
+            state = RangeStart(s["time"], _handover(s["whole"]), _handover(s["beyond"])).after(before)
         else:
-            state = (s["end"]["s"], s["end"]["v"])
+            state = _state(s["end"])
         name = s["last"]
     return given

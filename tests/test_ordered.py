@@ -91,18 +91,39 @@ def test_a_reading_behind_a_violation_of_its_instant_counts(spark):
     assert [r.id for r in got if r.violation] == ["1"]
 
 
+def after_all(state, run):
+    for r in run:
+        state, _ = C.accept(state, *r)
+    return state
+
+
 def test_handover_of_every_value():
     rng = random.Random(4)
-    for _ in range(300):
-        instants = [[(rng.choice([1, 1, 1, 2]), float(rng.randrange(8))) for _ in range(rng.randrange(1, 4))] for _ in range(rng.randrange(1, 6))]
-        monotonic, hand = rng.random() < 0.8, C.Handover()
-        for instant in instants:
-            hand.add(instant, monotonic)
-        for before in [None, *((s, v / 2) for s in (1, 2, 3) for v in range(-1, 18))]:
-            state = before
-            for instant in instants:
-                state, _ = C.accept(state, instant, monotonic)
-            assert hand.after(before) == state
+    for _ in range(400):
+        monotonic = rng.random() < 0.8
+        run = sorted((rng.randrange(4), rng.choice([1, 1, 1, 2]), float(rng.randrange(8)), monotonic) for _ in range(rng.randrange(1, 12)))
+        run = [(t, s, rng.choice([v, v + 3]), m) for t, s, v, m in run]
+        for cut in {0, len(run) // 2, len(run) - 1}:  # ranges begin within instants too
+            hand = C.RangeStart.of(run[cut:])
+            before = [after_all(None, run[:cut]), None]
+            before += [(s, v / 2, t) for s in (1, 2, 3) for v in range(-1, 24) for t in (-1, run[cut][0])]
+            for state in before:
+                assert hand.after(state) == after_all(state, run[cut:])
+
+
+def test_one_instant_is_spread_over_ranges(spark):
+    """10,000 readings of one stream at one time: most fall below the value before, one is accepted."""
+    order = random.Random(8).sample(range(10_000), 10_000)
+    rows = [reading("first", "s", 1, 0, 9_990)] + [reading(f"r{i:05}", "s", 2, 0, v) for i, v in enumerate(order)] + [reading("z", "s", 3, 0, 20_000)]
+    made = O.difference_cumulative(records(spark, rows), 8).cache()
+    taken = next(i for i, v in enumerate(order) if v >= 9_990)
+    got = {r.id: (r.value, r.violation) for r in made.select("id", "value", "violation").collect()}
+    assert got["z"] == (20_000.0 - order[taken], False) and got[f"r{taken:05}"] == (order[taken] - 9_990.0, False)
+    assert all(got[f"r{i:05}"] == (None, i < taken) for i in range(10_000) if i != taken)
+    bounds = made.sparkSession.createDataFrame([(f"r{i:05}",) for i in range(10_000)], "id string")
+    keys = bounds.selectExpr("'s' AS _stream", "2 AS ts_nano", "0 AS _start", "struct(id) AS _order")
+    spread = keys.repartitionByRange(8, "_stream", "ts_nano", "_start", "_order").selectExpr("spark_partition_id() AS p").groupBy("p").count()
+    assert max(r["count"] for r in spread.collect()) < 3_000
 
 
 def test_batches_with_state_match_a_replay(spark):
