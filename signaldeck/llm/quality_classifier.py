@@ -216,9 +216,10 @@ def train(
         if some:
             yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["sums"])
 
-    # A few tasks: each hands one matrix to the driver.
+    # A few tasks, each of which hands one matrix to the driver.  Only the sampled texts are
+    # moved to them: the scan and the join below keep their own width.
     sums = np.zeros((BUCKETS, WIDTH), np.float64)
-    for row in sample.select("text").coalesce(6).mapInArrow(tidied(contexts), "sums binary").toLocalIterator():
+    for row in sample.select("text").repartition(6).mapInArrow(tidied(contexts), "sums binary").toLocalIterator():
         sums += np.frombuffer(row["sums"], np.float32).reshape(BUCKETS, WIDTH)
     vectors = word_vectors(sums)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
