@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,3 +19,11 @@ def staged(df: DataFrame, **columns: Column) -> DataFrame:
     row = F.struct(*[column.alias(name) for name, column in columns.items()])
     kept = [F.col(f"`{name}`") for name in df.columns if name not in columns]
     return df.select(*kept, F.inline(F.array(row)))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that it names several times; the value is computed once.
+
+    Inside lambda functions nothing else keeps Spark from computing it at each mention.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))

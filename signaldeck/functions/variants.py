@@ -16,11 +16,13 @@ def path(*keys: str) -> str:
 
 def get(value: Column, *keys: str) -> Column:
     """Sub-value at the keys; SQL NULL only when a key is missing."""
+    if not any('"' in key and "'" in key for key in keys):
+        # One path copies only what it ends at.
+        return F.try_variant_get(value, path(*keys), "variant") if keys else value
     for key in keys:
         if '"' in key and "'" in key:
             # No path can name such a key.
-            members = F.try_variant_get(value, "$", MAP_OF_VARIANT)
-            value = F.when(is_object(value), F.element_at(members, key))
+            value = F.element_at(F.try_variant_get(value, "$", MAP_OF_VARIANT), key)
         else:
             value = F.try_variant_get(value, path(key), "variant")
     return value
@@ -48,7 +50,8 @@ def is_array(value: Column) -> Column:
 
 
 def is_object(value: Column) -> Column:
-    return kind(value).startswith("OBJECT")
+    # The type alone: naming the schema of a document reads all of it.
+    return F.when(value.isNotNull(), F.try_variant_get(value, "$", "struct<>").isNotNull())
 
 
 def as_string(value: Column) -> Column:
@@ -67,6 +70,16 @@ def as_bool(value: Column) -> Column:
     return F.when(is_bool(value), F.try_variant_get(value, "$", "boolean"))
 
 
+def has_type(value: Column, sql_type: str) -> Column:
+    """Whether the value has exactly the JSON type behind ``sql_type``."""
+    return {
+        "string": is_string,
+        "double": is_number,
+        "bigint": lambda v: kind(v) == "BIGINT",
+        "boolean": is_bool,
+    }[sql_type](value)
+
+
 def typed(value: Column, sql_type: str) -> Column:
     """Value when it has exactly the JSON type behind ``sql_type``, else NULL."""
     return {
@@ -78,7 +91,8 @@ def typed(value: Column, sql_type: str) -> Column:
 
 
 def array_or_none(value: Column) -> Column:
-    return F.when(is_array(value), F.try_variant_get(value, "$", ARRAY_OF_VARIANT))
+    # Only an array can be read as one.
+    return F.try_variant_get(value, "$", ARRAY_OF_VARIANT)
 
 
 def array_or_empty(value: Column) -> Column:
@@ -87,7 +101,7 @@ def array_or_empty(value: Column) -> Column:
 
 def object_or_empty(value: Column) -> Column:
     return F.coalesce(
-        F.when(is_object(value), F.try_variant_get(value, "$", MAP_OF_VARIANT)),
+        F.try_variant_get(value, "$", MAP_OF_VARIANT),
         F.create_map().cast(MAP_OF_VARIANT),
     )
 

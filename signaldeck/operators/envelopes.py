@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from signaldeck.functions import ids
 from signaldeck.functions import scalars as S
 from signaldeck.functions import variants as V
-from signaldeck.functions.stage import staged
+from signaldeck.functions.stage import once, staged
 from signaldeck.schema import PROMOTED, conform
 
 SOURCE = "sentry"
@@ -85,8 +85,7 @@ def item_kind(item: Column) -> Column:
 
 def uuid_text(value: Column) -> Column:
     """UUID in any usual spelling -> 32 lowercase digits; NULL when it is none."""
-    digits = F.regexp_replace(F.regexp_extract(value, UUID, 3), "-", "")
-    return F.lower(F.nullif(digits, F.lit("")))
+    return F.when(value.rlike(UUID), F.translate(F.regexp_replace(value, "^urn:uuid:|[^0-9a-fA-F]", ""), "ABCDEF", "abcdef"))
 
 
 def event_time(value: Column, received_at_ms: Column) -> Column:
@@ -96,18 +95,14 @@ def event_time(value: Column, received_at_ms: Column) -> Column:
 
 
 def valid_time(value: Column) -> Column:
-    return value.isNull() | event_time(value, F.lit(0)).isNotNull()
+    return once(value, lambda given: given.isNull() | event_time(given, F.lit(0)).isNotNull())
 
 
 def valid_event(item: Column, envelope: Column) -> Column:
     """JSON object with one event id (UUID) in envelope and payload, and a valid time."""
-    outer = V.as_string(V.get(envelope, "event_id"))
-    inner = V.as_string(V.get(item["body"], "event_id"))
-    same = (
-        (outer.isNull() | uuid_text(outer).isNotNull())
-        & (inner.isNull() | uuid_text(inner).isNotNull())
-        & (F.coalesce(uuid_text(outer), uuid_text(inner)) == F.coalesce(uuid_text(inner), uuid_text(outer)))
-    )
+    texts = F.array(*[V.as_string(V.get(owner, "event_id")) for owner in (envelope, item["body"])])
+    given = F.transform(F.filter(texts, lambda text: text.isNotNull()), uuid_text)
+    same = once(given, lambda found: (F.size(found) > 0) & F.forall(found, lambda one: one == F.get(found, F.lit(0))))
     return V.is_object(item["body"]) & same & valid_time(V.get(item["body"], "timestamp"))
 
 
@@ -127,9 +122,9 @@ def valid_telemetry(entry: Column, kind: Column) -> Column:
 def valid_batch(item: Column) -> Column:
     """``items`` is an array of valid entries, as many as ``item_count`` says."""
     kind = item_kind(item)
-    entries = V.array_or_none(V.get(item["body"], "items"))
+    listed = V.array_or_none(V.get(item["body"], "items"))
     declared = V.as_bigint(V.get(item["header"], "item_count"))
-    return (declared == F.size(entries)) & F.forall(entries, lambda e: valid_telemetry(e, kind))
+    return once(listed, lambda entries: (declared == F.size(entries)) & F.forall(entries, lambda e: valid_telemetry(e, kind)))
 
 
 def valid_item(item: Column, envelope: Column) -> Column:
@@ -173,10 +168,14 @@ def last_exception(raw: Column) -> Column:
     return F.try_element_at(_exceptions(raw), F.lit(-1))
 
 
-def normalize_exceptions(raw: Column) -> Column:
+def frames_of(owner: Column) -> Column:
+    return V.array_or_empty(V.get(owner, "stacktrace", "frames"))
+
+
+def normalize_exceptions(raw: Column, chain: Column | None = None) -> Column:
     """Exception chain, primary first, in short names; else the top-level stack trace.
 
-    VARIANT array, NULL when there is neither.
+    VARIANT array, NULL when there is neither.  ``chain`` is the chain if it is at hand.
     """
 
     def frames(owner: Column) -> Column:
@@ -197,8 +196,7 @@ def normalize_exceptions(raw: Column) -> Column:
             ("frames", frames(value)),
         )
 
-    chain = _exceptions(raw)
-    top = V.array_or_empty(V.get(raw, "stacktrace", "frames"))
+    chain, top = _exceptions(raw) if chain is None else chain, frames_of(raw)
     top_level = V.field_map(("type", V.of(F.lit("Stacktrace"))), ("frames", frames(raw)))
     listed = F.when(F.size(chain) > 0, F.transform(F.reverse(chain), exception)).when(
         F.size(top) > 0, F.array(top_level)
@@ -206,53 +204,53 @@ def normalize_exceptions(raw: Column) -> Column:
     return F.to_variant_object(listed)
 
 
-def stack_values(raw: Column, name: str) -> Column:
-    """One frame field over all exceptions and the top-level stack; NULL when empty."""
+def all_frames(raw: Column, chain: Column | None = None) -> Column:
+    """Frames of all exceptions, then of the top-level stack."""
+    chain = _exceptions(raw) if chain is None else chain
+    return F.concat(F.flatten(F.transform(chain, frames_of)), frames_of(raw))
 
-    def of_frames(owner: Column) -> Column:
-        frames = V.array_or_empty(V.get(owner, "stacktrace", "frames"))
-        return F.transform(frames, lambda frame: V.get(frame, name))
 
-    values = F.concat(F.flatten(F.transform(_exceptions(raw), of_frames)), of_frames(raw))
+def stack_values(raw: Column, name: str, frames: Column | None = None) -> Column:
+    """One frame field over all exceptions and the top-level stack; NULL when empty."""
+    values = F.transform(all_frames(raw) if frames is None else frames, lambda frame: V.get(frame, name))
     present = F.filter(values, lambda value: value.isNotNull())
-    return F.to_variant_object(F.when(F.size(present) > 0, present))
+    return F.to_variant_object(once(present, lambda found: F.when(F.size(found) > 0, found)))
 
 
-def message_of(raw: Column) -> Column:
+def message_of(raw: Column, exception: Column | None = None) -> Column:
     """Message precedence: message, its formatted form, log entry, exception value."""
+    exception = last_exception(raw) if exception is None else exception
     return F.coalesce(
         V.as_string(V.get(raw, "message")),
         V.as_string(V.get(raw, "message", "formatted")),
         V.as_string(V.get(raw, "logentry", "formatted")),
         V.as_string(V.get(raw, "logentry", "message")),
-        V.as_string(V.get(last_exception(raw), "value")),
+        V.as_string(V.get(exception, "value")),
     )
 
 
-def title_of(raw: Column) -> Column:
-    kind = V.as_string(V.get(last_exception(raw), "type"))
-    value = V.as_string(V.get(last_exception(raw), "value"))
+def title_of(raw: Column, exception: Column | None = None) -> Column:
+    exception = last_exception(raw) if exception is None else exception
+    kind = V.as_string(V.get(exception, "type"))
+    value = V.as_string(V.get(exception, "value"))
     with_value = F.concat(kind, F.lit(": "), value)
-    return F.coalesce(with_value, kind, message_of(raw), F.lit("Error"))
+    return F.coalesce(with_value, kind, message_of(raw, exception), F.lit("Error"))
 
 
-def fingerprint_of(raw: Column, title: Column) -> Column:
+def fingerprint_of(raw: Column, title: Column, exception: Column | None = None) -> Column:
     """Issue fingerprint: the explicit parts; else type and last in-app frame; else the
     unformatted message; else the title."""
     parts = F.transform(
         F.filter(V.array_or_empty(V.get(raw, "fingerprint")), V.is_string), V.as_string
     )
     explicit = F.nullif(F.concat_ws("\0", parts), F.lit(""))
-    exception = last_exception(raw)
-    frames = V.array_or_empty(V.get(exception, "stacktrace", "frames"))
-    in_app = F.filter(frames, lambda f: F.coalesce(V.as_bool(V.get(f, "in_app")), F.lit(False)))
-    frame = F.coalesce(F.try_element_at(in_app, F.lit(-1)), F.try_element_at(frames, F.lit(-1)))
-    place = [
-        F.coalesce(V.as_string(V.get(frame, name)), F.lit(""))
-        for name in ("module", "function", "filename")
-    ]
+    exception = last_exception(raw) if exception is None else exception
+    in_app = lambda f: F.coalesce(V.as_bool(V.get(f, "in_app")), F.lit(False))
+    last = lambda listed: F.try_element_at(listed, F.lit(-1))
+    frame = once(frames_of(exception), lambda frames: F.coalesce(last(F.filter(frames, in_app)), last(frames)))
+    place = lambda f: [F.coalesce(V.as_string(V.get(f, name)), F.lit("")) for name in ("module", "function", "filename")]
     kind = V.as_string(V.get(exception, "type"))
-    by_frame = F.when(kind.isNotNull() & frame.isNotNull(), F.concat_ws("\0", kind, *place))
+    by_frame = once(frame, lambda f: F.when(kind.isNotNull() & f.isNotNull(), F.concat_ws("\0", kind, *place(f))))
     plain = V.as_string(F.coalesce(V.get(raw, "logentry", "message"), V.get(raw, "message")))
     return F.coalesce(explicit, by_frame, plain, title)
 
@@ -284,9 +282,17 @@ def _attributes(raw: Column) -> Column:
 def with_canonical_fields(rows: DataFrame) -> DataFrame:
     """Add ``_fields`` (MAP<STRING, VARIANT>) to rows of (signal, raw VARIANT, envelope)."""
     raw, envelope = F.col("raw"), F.col("envelope")
-    staged = rows.withColumns({"_tags": _tags(raw), "_attributes": _attributes(raw)})
-    staged = staged.withColumn("_own", V.merge(F.col("_tags"), F.col("_attributes")))
-    own = F.col("_own")
+    signal = F.col("signal")
+    error = signal == "error"
+    # What several fields are taken from is computed once per row.
+    rows = staged(rows, _tags=_tags(raw), _attributes=_attributes(raw), _chain=F.when(error, _exceptions(raw)))
+    chain, exception = F.col("_chain"), F.col("_exception")
+    rows = staged(
+        rows, _own=V.merge(F.col("_tags"), F.col("_attributes")), _frames=F.when(error, all_frames(raw, chain)),
+        _exception=F.try_element_at("_chain", F.lit(-1)),
+    )
+    rows = staged(rows, _message=F.when(error, message_of(raw, exception)), _title=F.when(error, title_of(raw, exception)))
+    own, title = F.col("_own"), F.col("_title")
 
     sources: dict[str, list[Column]] = {name: [V.get(raw, name)] for name in TOP_LEVEL}
     sources["server"] = [V.get(raw, "server_name")]
@@ -304,26 +310,22 @@ def with_canonical_fields(rows: DataFrame) -> DataFrame:
         ]
     fixed = {name: F.coalesce(*values) for name, values in sources.items()}
 
-    signal = F.col("signal")
-    title = F.col("_title")
-    staged = staged.withColumn("_title", F.when(signal == "error", title_of(raw)))
-    exception = last_exception(raw)
     counter = V.as_string(V.get(raw, "type")) == "counter"
     body = V.get(raw, "body")
     by_signal = {
         "error": {
-            "message": V.of(message_of(raw)),
+            "message": V.of(F.col("_message")),
             "title": V.of(title),
             "issue.title": V.of(title),
-            "issue.fingerprint": V.of(fingerprint_of(raw, title)),
+            "issue.fingerprint": V.of(fingerprint_of(raw, title, exception)),
             "name": V.get(raw, "transaction"),
             "error.type": V.get(exception, "type"),
             "error.value": V.get(exception, "value"),
             "error.handled": V.of(V.as_bool(V.get(exception, "mechanism", "handled"))),
             "level": F.coalesce(fixed["level"], V.of(F.lit("error"))),
-            "error.exceptions": normalize_exceptions(raw),
+            "error.exceptions": normalize_exceptions(raw, chain),
             "breadcrumbs": V.get(raw, "breadcrumbs", "values"),
-            **{f"stack.{name}": stack_values(raw, name) for name in STACK_FIELDS},
+            **{f"stack.{name}": stack_values(raw, name, F.col("_frames")) for name in STACK_FIELDS},
         },
         "log": {"message": body, "title": body},
         "metric": {
@@ -331,7 +333,7 @@ def with_canonical_fields(rows: DataFrame) -> DataFrame:
             **counter_to_sum(counter, V.get(raw, "type")),
         },
     }
-    special = F.when(signal == "error", V.field_map(*by_signal["error"].items())).when(
+    special = F.when(error, V.field_map(*by_signal["error"].items())).when(
         signal == "log", V.field_map(*by_signal["log"].items())
     ).otherwise(V.field_map(*by_signal["metric"].items()))
 
@@ -348,7 +350,8 @@ def with_canonical_fields(rows: DataFrame) -> DataFrame:
         V.prefix_keys(own, "attribute."),
     ]
     fields = V.merge(special, V.field_map(*fixed.items()), *families)
-    return staged.withColumn("_fields", fields).drop("_tags", "_attributes", "_own", "_title")
+    parts = ["_tags", "_attributes", "_own", "_chain", "_frames", "_exception", "_message", "_title"]
+    return staged(rows, _fields=fields).drop(*parts)
 
 
 def counter_to_sum(is_counter: Column, kind: Column) -> dict[str, Column]:
@@ -367,13 +370,15 @@ def promote(rows: DataFrame) -> DataFrame:
     typed = rows.withColumns(
         {column: V.typed(fields[name], kind) for name, (column, kind) in PROMOTED.items()}
     )
-    moved = F.filter(
-        F.array(*[F.when(F.col(column).isNotNull(), F.lit(name)) for name, (column, _) in PROMOTED.items()]),
-        lambda name: name.isNotNull(),
-    )
-    rest = typed.withColumn("_moved", moved)
-    kept = F.map_filter("_fields", lambda name, _: ~F.array_contains(F.col("_moved"), name))
-    return conform(rest.withColumn("fields", F.to_variant_object(kept)))
+    # Each field is asked for itself: a list of the moved ones would be made anew for every field.
+    kinds = F.create_map(*[F.lit(text) for name, (_, kind) in PROMOTED.items() for text in (name, kind)])
+
+    def moved(name: Column, value: Column) -> Column:
+        fits = [F.when(kinds[name] == kind, V.has_type(value, kind)) for kind in sorted({k for _, k in PROMOTED.values()})]
+        return F.coalesce(*fits, F.lit(False))
+
+    kept = F.map_filter("_fields", lambda name, value: ~moved(name, value))
+    return conform(typed.withColumn("fields", F.to_variant_object(kept)))
 
 
 # --- records -----------------------------------------------------------------------

@@ -46,7 +46,7 @@ EVENT_HEAD = '{"type":"event"}'
   FROM customer""")
 def _(spark, d):
     """Where a field may come from several places, the first that holds it wins."""
-    rows = v.table(spark, d, "customer").withColumn("n", F.col("c_custkey"))
+    rows = v.spread(v.table(spark, d, "customer")).withColumn("n", F.col("c_custkey"))
     n = F.col("n")
     text, segment = n.cast("string"), F.col("c_mktsegment")
     head = obj(
@@ -77,7 +77,7 @@ def _(spark, d):
 
 def part_errors(spark, d) -> DataFrame:
     """parts as events: two exceptions, or for every third only a stack of its own."""
-    rows = v.table(spark, d, "part").withColumn("n", F.col("p_partkey"))
+    rows = v.spread(v.table(spark, d, "part")).withColumn("n", F.col("p_partkey"))
     n = F.col("n")
 
     def stack(tag: str) -> Column:
@@ -125,7 +125,7 @@ def _(spark, d):
 @query("validate_telemetry", sql="""SELECT event_id AS n, event_id % 2 AS metric, event_id % 18 IN (0, 1, 16, 17) AS valid FROM events""")
 def _(spark, d):
     """Batch items of one log or metric with a defect of each kind; the last entry of a cycle has a time as text."""
-    rows = v.table(spark, d, "events").withColumn("n", F.col("event_id"))
+    rows = v.spread(v.table(spark, d, "events")).withColumn("n", F.col("event_id"))
     n = F.col("n")
     log, cause = n % 2 == 0, F.floor(F.pmod(n, F.lit(18)) / 2)
     time = some(cause == 1, F.lit('"soon"')).when(cause == 8, F.lit('"2024-01-05T00:00:00Z"')).otherwise((n * 1.5).cast("string"))
@@ -145,7 +145,7 @@ def _(spark, d):
 @query("validate_event", sql="""SELECT c_custkey AS n, c_custkey % 10 IN (0, 1, 2, 3) AS valid FROM customer""")
 def _(spark, d):
     """Events with ids in several spellings, and with each cause of a reject."""
-    rows = v.table(spark, d, "customer").withColumn("n", F.col("c_custkey"))
+    rows = v.spread(v.table(spark, d, "customer")).withColumn("n", F.col("c_custkey"))
     n = F.col("n")
     cause, own = n % 10, F.md5(n.cast("string"))
     dashed = F.upper(F.regexp_replace(own, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"))

@@ -17,14 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# A file may hold all its rows in one row group of this size, however many splits are planned.
+ROW_GROUP = 128 * 1024 * 1024
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a table of fewer file splits than cores.
+    """Use all cores on a table of fewer row groups than cores: row groups, not splits, are dealt to tasks.
 
-    A table large enough for the cluster has more splits than cores and stays as it is.
+    A table large enough for the cluster stays as it is; others are dealt out in up to four tasks a core.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores) if splits < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(min(4 * cores, max(cores, size >> 16))) if size < cores * ROW_GROUP else df
 
 
 def epoch_micros(ts: Column) -> Column:

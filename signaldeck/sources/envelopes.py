@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signaldeck.functions import variants as V
-from signaldeck.functions.stage import staged
+from signaldeck.functions.stage import once, staged
 from signaldeck.sources.otel import with_arrival
 
 # Executors get the splitter itself and need no installed package.
@@ -80,10 +80,9 @@ def frame_envelopes(bodies: DataFrame, max_bytes: int = MAX_ENVELOPE_BYTES) -> D
     split = staged(split, items=pairs)
 
     def consistent(item: Column) -> Column:
-        header = F.try_parse_json(item["header"])
-        declared = V.get(header, "length")
-        fits = declared.isNull() | (V.as_bigint(declared) == F.octet_length(item["payload"]))
-        return F.coalesce(V.is_object(header) & fits, F.lit(False))
+        fits = lambda declared: declared.isNull() | (V.as_bigint(declared) == F.octet_length(item["payload"]))
+        good = lambda header: V.is_object(header) & once(V.get(header, "length"), fits)
+        return F.coalesce(once(F.try_parse_json(item["header"]), good), F.lit(False))
 
     plain = (
         F.col("_lines").isNotNull()
