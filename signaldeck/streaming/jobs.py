@@ -110,23 +110,29 @@ def new_records(batch: DataFrame, stored: DataFrame, projects: DataFrame | None
 
 # --- counter differencing ----------------------------------------------------------
 
-STATE_SCHEMA = "last_ts bigint, start bigint, previous double"
+STREAM_SCHEMA, STATE_SCHEMA = "stream string", "last_ts bigint, start bigint, previous double"
+READING_BUCKETS = 1024
+# Readings without a start come last at an instant.
+NO_START = 2**63 - 1
 
 
 class CounterDifference(StatefulProcessor):
-    """Last accepted reading of one counter stream, kept across batches and restarts."""
+    """Last accepted readings of the counter streams of a bucket, kept across batches and restarts."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("reading", STATE_SCHEMA)
+        self._state = handle.getMapState("readings", STREAM_SCHEMA, STATE_SCHEMA)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:
-        # The readings of one stream within one micro-batch.
-        batch = pd.concat(list(rows)).sort_values(["ts_nano", "start_nano", "id"], kind="stable")
-        state = self._state.get() if self._state.exists() else None
+        # The readings of one bucket within one micro-batch, stream by stream.
+        batch = pd.concat(list(rows)).sort_values(["stream_key", "ts_nano", "stream_start", "id"], kind="stable")
         deltas, flags = [], []
-        for now, start, reading, monotonic in zip(
-            batch["ts_nano"], batch["start_nano"].fillna(0), batch["value"], batch["monotonic"]
+        stream = state = None
+        for of, now, start, reading, monotonic in zip(
+            batch["stream_key"], batch["ts_nano"], batch["stream_start"].replace(NO_START, 0), batch["value"], batch["monotonic"]
         ):
+            if of != stream:
+                self._keep(stream, state)
+                stream, state = of, self._state.getValue((of,))
             start, now, reading = int(start), int(now), float(reading)
             delta, violation = None, False
             if state is None or now > state[0]:
@@ -139,30 +145,43 @@ class CounterDifference(StatefulProcessor):
                     state = (now, start, reading)
             deltas.append(delta)
             flags.append(violation)
-        self._state.update(state)
+        self._keep(stream, state)
         yield batch.assign(
             cumulative_value=batch["value"], value=pd.Series(deltas, batch.index, dtype="float64"),
             violation=pd.Series(flags, batch.index, dtype="bool"),
         )
 
+    def _keep(self, stream: str | None, state: tuple | None) -> None:
+        if stream is not None:
+            self._state.updateValue((stream,), state)
+
     def close(self) -> None:
         pass
 
 
-def stream_difference(readings: DataFrame) -> DataFrame:
+def stream_difference(readings: DataFrame, buckets: int = READING_BUCKETS) -> DataFrame:
     """Incremental counter differencing; a reading not later than the last gets no value.
 
     Input: cumulative sum records with a value and a stream id.  Needs the RocksDB state
     store.  The delta of a row depends on arrival order between batches; the batch
-    operator recomputes from history instead.  All readings of a stream in one micro-batch
-    meet in one task: bound the batch (maxFilesPerTrigger, maxBytesPerTrigger), or use
-    :func:`difference_upsert`, which spreads a hot stream over ranges.
+    operator recomputes from history instead.  Streams are handled by hash bucket, so that
+    the cost of a call is shared by many; a checkpoint keeps to its number of ``buckets``.
+    All readings of a bucket in one micro-batch meet in one task: bound the batch
+    (maxFilesPerTrigger, maxBytesPerTrigger), or use :func:`difference_upsert`, which
+    spreads a hot stream over ranges.
     """
-    packed = readings.withColumn("fields", F.to_json("fields")).withColumn("violation", F.lit(False))
-    out = packed.groupBy(*O.STREAM).transformWithStateInPandas(
+    # pandas reads BIGINT with nulls as DOUBLE: such columns travel as text.
+    whole = [name for name, kind in readings.dtypes if kind == "bigint" and name != "ts_nano"]
+    packed = readings.withColumns({name: F.col(name).cast("string") for name in whole}).withColumns({
+        "fields": F.to_json("fields"), "violation": F.lit(False), "stream_key": F.to_json(F.struct(*O.STREAM), {"ignoreNullFields": "false"}),
+        "stream_start": F.coalesce(F.col("start_nano").cast("bigint"), F.lit(NO_START)),
+    })
+    packed = packed.withColumn("stream_bucket", F.pmod(F.xxhash64("stream_key"), F.lit(buckets).cast("bigint")))
+    out = packed.groupBy("stream_bucket").transformWithStateInPandas(
         CounterDifference(), packed.schema, "Append", "None"
     )
-    return out.withColumn("fields", F.parse_json("fields"))
+    out = out.withColumns({name: F.col(name).cast("bigint") for name in whole})
+    return out.withColumn("fields", F.parse_json("fields")).drop("stream_key", "stream_start", "stream_bucket")
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
