@@ -3,8 +3,8 @@
 Spans are numbered in (trace, time, id) order over range partitions, so that a number
 tells the partition of its span.  The tour that enters and leaves every span gives a list:
 the entries before a span's own are its position, those not left again its depth.  The
-list is ranked in two steps.  Each partition shortens the stretches that lie in it; what
-is left are the pointers between partitions, and only their targets are ranked by pointer
+list is ranked in two steps.  Each partition shortens the stretches that lie in it, a
+chunk of spans at a time; what is left are the pointers between chunks, and only their targets are ranked by pointer
 doubling.  Range bounds cut through few small traces; a huge one is spread over many
 partitions like any other rows.  Spans the tour does not reach hang on cycles, which are
 opened at the span that precedes all its ancestors.
@@ -27,6 +27,8 @@ TRACE = ["project_id", "trace_id"]
 PARTITION_BITS = 33
 # Where the tour begins, and what stands for a span without an end of its list.
 START, LOOP = -1, -2
+# Spans whose lists are shortened at once: what a task holds doesn't grow with its rows.
+CHUNK = 1 << 18
 
 
 def _numbered(spans: DataFrame, keys: list[str], ranges: int | None) -> DataFrame:
@@ -78,16 +80,25 @@ def _tour(nodes: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Follow each event's list through the rows of this partition, by doubling.
+def _shorten(batches: Iterator[pa.RecordBatch], chunk: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """Follow each event's list through about ``chunk`` rows at a time, by doubling.
 
     Gives, for both events of a span, the entries passed, the depth gained and the event of
-    another partition that comes next (``START`` at the list's begin, ``LOOP`` for none).
+    another chunk that comes next (``START`` at the list's begin, ``LOOP`` for none).
     """
-    held = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
-    if not held:
-        return
-    table = pa.concat_tables(held)
+    held, rows = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            rows += batch.num_rows
+        if rows >= chunk:
+            yield from _shorten_rows(pa.Table.from_batches(held))
+            held, rows = [], 0
+    if held:
+        yield from _shorten_rows(pa.Table.from_batches(held))
+
+
+def _shorten_rows(table: pa.Table) -> Iterator[pa.RecordBatch]:
     n, enter, leave = (table.column(c).to_numpy() for c in ("n", "enter", "leave"))
     rank = np.argsort(n, kind="stable")
     n, before = n[rank], np.stack([enter[rank], leave[rank]], 1).reshape(-1)
@@ -116,7 +127,7 @@ SHORTENED = "n bigint, enter bigint, enter_passed bigint, enter_depth bigint, le
 
 
 def _rank_targets(shortened: DataFrame) -> DataFrame:
-    """event, passed, depth of every event that another partition points to; those on loops are left out."""
+    """event, passed, depth of every event that another chunk points to; those on loops are left out."""
     targets = shortened.select(F.explode(F.array("enter", "leave")).alias("event")).filter(F.col("event") >= 0).distinct()
     own = shortened.withColumn("n2", F.col("n"))
     rows = targets.withColumn("n2", F.shiftright("event", 1)).join(own.drop("n"), "n2")
@@ -139,7 +150,9 @@ def _positions(nodes: DataFrame, keys: list[str]) -> DataFrame:
     """n, position and depth; both NULL for spans on cycles and below them."""
     spark = nodes.sparkSession
     tour = _tour(nodes, keys).withColumn("_part", F.shiftright("n", PARTITION_BITS))
-    shortened = tour.repartition("_part").select("n", "enter", "leave").mapInArrow(_shorten, SHORTENED)
+    # Neighbours in number are mostly neighbours in the list.
+    dealt = tour.repartition("_part").sortWithinPartitions("n")
+    shortened = dealt.select("n", "enter", "leave").mapInArrow(_shorten, SHORTENED)
     shortened = LineageCut(spark).save(shortened)
     targets = _rank_targets(shortened).withColumnRenamed("event", "enter")
     targets = LineageCut(spark).save(targets)
