@@ -18,7 +18,7 @@ from signaldeck.sources.otel import read_otel
 
 def as_json(spark, payloads, *columns: str) -> str:
     path = LineageCut(spark).new_path()
-    payloads.select(*columns).write.json(path)
+    payloads.select(*columns).write.json(path, compression="gzip")
     return path
 
 
