@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from signaldeck.functions.stage import once
+
 ARRAY_OF_VARIANT = "array<variant>"
 MAP_OF_VARIANT = "map<string,variant>"
 
@@ -134,25 +138,32 @@ def field_map(*entries: tuple[str, Column]) -> Column:
 
 def merge(*maps: Column) -> Column:
     """Union of maps; on equal keys the earlier map wins."""
-    merged = maps[0]
-    for other in maps[1:]:
-        merged = F.map_zip_with(merged, other, lambda _, first, second: F.coalesce(first, second))
-    return merged
+    if len(maps) == 1:
+        return maps[0]
+    entries = F.flatten(F.array(*map(F.map_entries, maps)))
+    return _map_of(entries, MAP_OF_VARIANT, lambda old, new: F.coalesce(old, new))
 
 
 def map_of_pairs(pairs: Column, kind: str = MAP_OF_VARIANT) -> Column:
     """Map of an array of (key, value) structs; the last value of a key wins."""
-    keys = F.transform(pairs, lambda pair: pair["key"])
-    folded = F.aggregate(
-        pairs,
-        F.create_map().cast(kind),
-        lambda done, pair: F.map_zip_with(
-            done,
-            F.create_map(pair["key"], pair["value"]),
-            lambda _, old, new: F.coalesce(new, old),
-        ),
-    )
-    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.map_from_entries(pairs)).otherwise(folded)
+    return _map_of(pairs, kind, lambda old, new: F.coalesce(new, old))
+
+
+def _map_of(pairs: Column, kind: str, chosen: Callable[[Column, Column], Column]) -> Column:
+    """Map of (key, value) structs; only where a key repeats, its values meet one by one."""
+
+    def built(pairs: Column) -> Column:
+        keys = pairs.getField("key")
+        folded = F.aggregate(
+            pairs,
+            F.create_map().cast(kind),
+            lambda done, pair: F.map_zip_with(
+                done, F.create_map(pair["key"], pair["value"]), lambda _, old, new: chosen(old, new)
+            ),
+        )
+        return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.map_from_entries(pairs)).otherwise(folded)
+
+    return once(pairs, built)
 
 
 def prefix_keys(values: Column, prefix: str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from signaldeck.functions import ids
 from signaldeck.functions import scalars as S
 from signaldeck.functions import variants as V
-from signaldeck.functions.stage import staged
+from signaldeck.functions.stage import once, staged
 from signaldeck.schema import conform
 from signaldeck.sources.otel import ATTRIBUTES, items, scopes
 
@@ -83,20 +83,21 @@ def _piece(piece: Column) -> Column:
     return F.coalesce(decoded, F.lit("null"))
 
 
-def pairs(attributes: Column) -> Column:
+def pairs(attributes: Column, prefix: str = "") -> Column:
     """Attributes as an array of (key, VARIANT value), order and duplicates kept."""
+    named = lambda key: F.concat(F.lit(prefix), key) if prefix else key
     return F.transform(
         attributes,
-        lambda kv: F.struct(kv["key"].alias("key"), any_value(kv["value"]).alias("value")),
+        lambda kv: F.struct(named(kv["key"]).alias("key"), any_value(kv["value"]).alias("value")),
     )
 
 
-def attributes_of(attributes: Column) -> Column:
-    """Attributes as a map; empty keys dropped, the last value of a key wins."""
+def attributes_of(attributes: Column, prefix: str = "") -> Column:
+    """Attributes as a map, ``prefix`` before each key; empty keys dropped, the last value of a key wins."""
     named = F.filter(
         F.coalesce(attributes, F.array().cast(ATTRIBUTES)), lambda kv: F.coalesce(kv["key"], F.lit("")) != ""
     )
-    return V.map_of_pairs(pairs(named))
+    return V.map_of_pairs(pairs(named, prefix))
 
 
 def _text(column: Column) -> Column:
@@ -131,28 +132,30 @@ def with_context(scope_rows: DataFrame) -> DataFrame:
     ``_context`` holds resource and scope fields, ``_service`` the service name,
     ``_resource`` and ``_scope`` the raw forms.
     """
-    resource = V.prefix_keys(attributes_of(F.col("resource.attributes")), "resource.")
-    scope = V.prefix_keys(attributes_of(F.col("scope.attributes")), "scope.attribute.")
+    resource = attributes_of(F.col("resource.attributes"), "resource.")
+    scope = attributes_of(F.col("scope.attributes"), "scope.attribute.")
     fixed = V.field_map(
         ("resource.schema_url", V.of(_text(F.col("resource_schema_url")))),
         ("scope.name", V.of(_text(F.col("scope.name")))),
         ("scope.version", V.of(_text(F.col("scope.version")))),
         ("scope.schema_url", V.of(_text(F.col("scope_schema_url")))),
     )
-    shared = staged(
-        scope_rows,
-        _all=V.merge(fixed, resource, scope),
-        _resource=resource_raw(),
-        _scope=scope_raw(),
-    )
-    service = V.as_string(F.col("_all")["resource.service.name"])
-    shared = staged(shared, _service=service)
-    own = F.map_filter(
-        "_all", lambda name, _: ~((name == "resource.service.name") & F.col("_service").isNotNull())
-    )
-    return staged(shared, _context=own).drop(
-        "_all", "resource", "scope", "resource_schema_url", "scope_schema_url"
+    service = lambda every: V.as_string(every["resource.service.name"])
+    own = lambda every, service: F.when(
+        service.isNotNull(), F.map_filter(every, lambda name, _: name != "resource.service.name")
+    ).otherwise(every)
+    shared = once(
+        V.merge(fixed, resource, scope),
+        lambda every: once(
+            service(every), lambda name: F.struct(name.alias("service"), own(every, name).alias("context"))
+        ),
     )
+    # The raw forms are left to the planner, which drops them where no raw text is asked for.
+    rows = staged(scope_rows, _shared=shared).withColumns({
+        "_service": F.col("_shared.service"), "_context": F.col("_shared.context"),
+        "_resource": resource_raw(), "_scope": scope_raw(),
+    })
+    return rows.drop("_shared", "resource", "scope", "resource_schema_url", "scope_schema_url")
 
 
 def _record(rows: DataFrame, columns: dict[str, Column], *rest: Column) -> DataFrame:
@@ -287,9 +290,9 @@ def _checked_spans(scope_rows: DataFrame) -> DataFrame:
     return rows.withColumn("valid", F.coalesce(valid_span(F.col("span")), F.lit(False)))
 
 
-def _span_keys(batches: DataFrame) -> DataFrame:
+def _span_keys(scope_rows: DataFrame) -> DataFrame:
     span = F.col("span")
-    rows = _checked_spans(with_context(scopes(batches, "traces")))
+    rows = _checked_spans(with_context(scope_rows))
     keyed = rows.filter("valid").withColumns(
         {"_trace": S.hex_bytes(span["trace_id"]), "_span": S.hex_bytes(span["span_id"])}
     )
@@ -352,7 +355,7 @@ def flatten_spans(batches: DataFrame) -> DataFrame:
         F.col("_resource").alias("resource"), F.col("_scope").alias("scope"), span_raw(span).alias("span")
     )
     return _record(
-        _span_keys(batches),
+        _span_keys(scopes(batches, "traces")),
         {
             "id": F.col("_id"),
             "source_id": F.col("_id"),
@@ -369,7 +372,7 @@ def flatten_spans(batches: DataFrame) -> DataFrame:
             "raw": F.to_json(raw, KEEP_NULLS),
         },
         V.field_map(("span.status_message", V.of(_text(span["status"]["message"])))),
-        V.prefix_keys(attributes_of(span["attributes"]), "attribute."),
+        attributes_of(span["attributes"], "attribute."),
     )
 
 
@@ -424,7 +427,9 @@ def _error_fields() -> Column:
 def span_exceptions(batches: DataFrame) -> DataFrame:
     """Exception events of valid spans as error records linked to their span."""
     span = F.col("span")
-    rows = _span_keys(batches).select(
+    # Scopes without events need no context.
+    scope_rows = scopes(batches, "traces").filter(F.exists("_items", lambda item: F.size(item["events"]) > 0))
+    rows = _span_keys(scope_rows).select(
         "*", F.posexplode("span.events").alias("_index", "event")
     )
     rows = staged(rows, _own=attributes_of(F.col("event.attributes")))
@@ -452,7 +457,7 @@ def span_exceptions(batches: DataFrame) -> DataFrame:
         },
         _error_fields(),
         V.prefix_keys(F.col("_own"), "attribute."),
-        V.prefix_keys(attributes_of(span["attributes"]), "attribute."),
+        attributes_of(span["attributes"], "attribute."),
     )
 
 
@@ -728,7 +733,7 @@ def flatten_metrics(batches: DataFrame) -> DataFrame:
             "raw": F.to_json(raw, KEEP_NULLS),
         },
         V.field_map(("description", V.of(_text(metric["description"])))),
-        V.prefix_keys(attributes_of(point["attributes"]), "attribute."),
+        attributes_of(point["attributes"], "attribute."),
     )
 
 

@@ -24,52 +24,54 @@ from signaldeck.sources.otel import otel_ddl
 from signaldeck.streaming.jobs import run_available
 
 
+MEMBERS = {"string_value": "string", "bool_value": "boolean", "int_value": "bigint", "double_value": "double"}
+
+
 def kv(key: str, **value: Column) -> Column:
     (kind, column), = value.items()
-    return F.struct(F.lit(key).alias("key"), F.struct(column.alias(kind)).alias("value"))
+    members = [(column if name == kind else F.lit(None)).cast(type_).alias(name) for name, type_ in MEMBERS.items()]
+    return F.struct(F.lit(key).alias("key"), F.struct(*members).alias("value"))
 
 
 def attributes(*entries: Column) -> Column:
-    """Attribute list of entries with different value members."""
-    texts = [F.to_json(entry) for entry in entries]
-    return F.concat(F.lit("["), F.concat_ws(",", *texts), F.lit("]"))
+    """JSON text of an attribute list; JSON leaves out the value members that are not set."""
+    return F.to_json(F.array(*entries))
 
 
 def document(**parts: Column | str) -> Column:
     """JSON object text; parts ending in ``_json`` are JSON already."""
-    pieces = []
-    for name, part in parts.items():
-        if name.endswith("_json"):
-            pieces.append(F.concat(F.lit(f'"{name[:-5]}":'), part))
-        else:
-            member = F.to_json(F.struct(part.alias(name)))
-            pieces.append(F.substring(member, F.lit(2), F.length(member) - 2))
+    pieces = [F.concat(F.lit(f'"{name[:-5]}":'), part) for name, part in parts.items() if name.endswith("_json")]
+    plain = [part.alias(name) for name, part in parts.items() if not name.endswith("_json")]
+    if plain:
+        # The members are written at once.
+        members = F.to_json(F.struct(*plain))
+        pieces.append(F.substring(members, F.lit(2), F.length(members) - 2))
     return F.concat(F.lit("{"), F.concat_ws(",", *[F.nullif(p, F.lit("")) for p in pieces]), F.lit("}"))
 
 
-def request(kind: str, service: Column, item: Column) -> Column:
-    """Export request of one item as a parsed struct."""
+def request(kind: str, service: Column, item: Column) -> tuple[str, Column]:
+    """Kind and text of an export request of one item."""
     top, scoped, leaf = {
         "traces": ("resource_spans", "scope_spans", "spans"),
         "logs": ("resource_logs", "scope_logs", "log_records"),
         "metrics": ("resource_metrics", "scope_metrics", "metrics"),
     }[kind]
     resource = document(attributes_json=attributes(kv("service.name", string_value=service)))
-    text = F.concat(
+    return kind, F.concat(
         F.lit(f'{{"{top}":[{{"resource":'), resource,
         F.lit(f',"schema_url":"s1","{scoped}":[{{"scope":{{"name":"lib","version":""}},"{leaf}":['),
         item, F.lit("]}]}]}"),
     )
-    return F.from_json(text, otel_ddl(kind))
 
 
-def requests(table: DataFrame, received_at_ms: int, parsed: Column) -> DataFrame:
-    """Project 1's requests, each parsed once."""
+def requests(table: DataFrame, received_at_ms: int, written: tuple[str, Column]) -> DataFrame:
+    """Project 1's requests, each written and parsed once."""
+    kind, text = written
     rows = v.spread(table).select(
         F.lit(1).cast("bigint").alias("project_id"),
-        F.lit(received_at_ms).cast("bigint").alias("received_at_ms"), "*",
+        F.lit(received_at_ms).cast("bigint").alias("received_at_ms"), text.alias("_text"),
     )
-    return staged(rows, r=parsed).select("project_id", "received_at_ms", "r.*")
+    return staged(rows, r=F.from_json("_text", otel_ddl(kind))).select("project_id", "received_at_ms", "r.*")
 
 
 def b64(hex_text: Column) -> Column:
@@ -88,16 +90,17 @@ def li_otel(spark, d) -> DataFrame:
     end = start + F.when(c("l_tax") == 0.08, F.lit(-1)).otherwise(c("l_quantity").cast("bigint") * 1_000_000)
     span_id = F.when(c("l_suppkey") % 10 == 0, F.lit(0)).otherwise(c("l_partkey") * 8 + c("l_linenumber"))
     escaped = c("l_linenumber") % 2 == 0
-    event = document(
-        time_unix_nano=F.when(c("l_linenumber") == 1, F.lit(0)).otherwise(start + 5),
-        name=F.lit("exception"),
-        attributes_json=attributes(
+    # JSON leaves out what is null.
+    event = F.struct(
+        F.when(c("l_linenumber") == 1, F.lit(0)).otherwise(start + 5).alias("time_unix_nano"),
+        F.lit("exception").alias("name"),
+        F.array(
             kv("exception.type", string_value=F.concat(F.lit("Err"), c("l_returnflag"))),
             kv("exception.message", string_value=F.when(c("l_linenumber") > 3, "failed").otherwise("")),
             kv("exception.escaped", bool_value=escaped),
-        ),
+        ).alias("attributes"),
     )
-    span = document(
+    members = dict(
         trace_id=b64(id_hex(c("l_orderkey") + 1, 32)),
         span_id=b64(id_hex(span_id, 16)),
         parent_span_id=F.when(c("l_linenumber") > 1, b64(id_hex(c("l_partkey") * 8 + 1, 16))),
@@ -105,10 +108,11 @@ def li_otel(spark, d) -> DataFrame:
         kind=c("l_linenumber"),
         start_time_unix_nano=start,
         end_time_unix_nano=end,
-        attributes_json=attributes(kv("part", int_value=c("l_partkey")), kv("price", double_value=c("l_extendedprice"))),
+        attributes=F.array(kv("part", int_value=c("l_partkey")), kv("price", double_value=c("l_extendedprice"))),
         status=F.struct((c("l_suppkey") % 3).cast("int").alias("code")),
-        events_json=F.when(c("l_linestatus") == "F", F.concat(F.lit("["), event, F.lit("]"))).otherwise("[]"),
+        events=F.when(c("l_linestatus") == "F", F.array(event)).otherwise(F.array()),
     )
+    span = F.to_json(F.struct(*[member.alias(name) for name, member in members.items()]))
     return requests(li, 9, request("traces", c("l_returnflag"), span))
 
 

@@ -6,8 +6,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from signaldeck.functions import variants as V
 from signaldeck.operators import otel as O
-from signaldeck.sources.otel import read_otel
+from signaldeck.sources.otel import otel_ddl, read_otel
 
 TRACE, SPAN = bytes(range(16)), bytes(range(1, 9))
 
@@ -242,3 +243,23 @@ def test_integers_as_text(spark, tmp_path):
     assert row.ts_nano == 9007199254740993 and row.name == 'say "count":"5"'
     raw = json.loads(row.raw)
     assert "[1, 2]" in json.dumps(raw) and '"count": 3' in json.dumps(raw)
+
+
+def test_merged_maps_and_pairs_keep_their_order_of_precedence(spark):
+    rows = spark.range(1).select(
+        V.merge(F.expr("map('a', null, 'b', parse_json('1'))"), F.expr("map('a', parse_json('2'), 'b', parse_json('3'))"),
+                F.expr("map('c', parse_json('4'))")).cast("map<string,string>").alias("first"),
+        V.merge(F.expr("map('a', parse_json('1'))"), F.expr("cast(null as map<string,variant>)")).isNull().alias("none"),
+        V.map_of_pairs(F.expr("array(struct('a' as key, parse_json('1') as value), struct('a' as key, parse_json('2') as value))"))
+        .cast("map<string,string>").alias("last"),
+    ).first()
+    assert rows.first == {"a": "2", "b": "1", "c": "4"} and rows.none and rows.last == {"a": "2"}
+
+
+def test_raw_forms_are_left_out_where_no_raw_text_is_asked_for(spark, tmp_path):
+    """Each is computed once per scope, below the explode of the spans, and pruned with ``raw``."""
+    rows = O.span_exceptions(spark.createDataFrame([], f"project_id bigint, received_at_ms bigint, {otel_ddl('traces')}"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "_resource" in plan(rows.select("id", "raw"))
+    assert "_resource" not in plan(rows.select("id", "fields"))
+    assert plan(rows.select("id", "raw")).count("Generate") == plan(rows.select("id", "fields")).count("Generate")
