@@ -149,23 +149,33 @@ SCAN = ["_part", "_stream", "ts_nano", "_start", "value", "_mono"]
 
 def _readings(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple]:
     for batch in batches:
-        yield from zip(*(batch.column(n).to_pylist() for n in names), strict=True)
+        yield from zip(*(_values(batch.column(n)) for n in names), strict=True)
 
 
-def difference_in_ranges(thin: DataFrame, stream: list[str], parts: int | None = None) -> DataFrame:
+def _values(column: pa.Array) -> list:
+    """Plain values; by numpy, which is faster, where nulls don't turn whole numbers into others."""
+    return column.to_pylist() if column.null_count else column.to_numpy(zero_copy_only=False).tolist()
+
+
+def difference_in_ranges(thin: DataFrame, stream: list[str], parts: int | None = None, cut: LineageCut | None = None) -> DataFrame:
     """Deltas of readings (stream columns, ts_nano, _start, value, _mono, _row, _order).
 
-    Returns _row, delta, violation and accepted.  Ranges are cut at bounds that Spark
+    Returns _row, delta, violation and accepted of those with a _row, a number from 0.  Ranges are cut at bounds that Spark
     samples from the data, also within an instant, so that a stream of any size and a
-    burst at one time are spread.
+    burst at one time are spread.  Streams are in order of a hash, which is cheap to
+    compare, and named once they are in order; ``cut`` saves the ranges.
     """
-    spark = thin.sparkSession
+    cut = cut or LineageCut(thin.sparkSession, keep_all=True)
     width = [parts] if parts else []
-    order = ["_stream", "ts_nano", "_start", "_order"]
-    named = thin.withColumn("_stream", F.to_json(F.struct(*stream)))
-    ranged = named.repartitionByRange(*width, *order).withColumn("_part", F.spark_partition_id().cast("bigint"))
-    ranged = LineageCut(spark, keep_all=True).save(ranged.select(*SCAN, "_row", "_order"))
-    ordered = ranged.repartition("_part").sortWithinPartitions("_part", *order)
+    within = [*stream, "ts_nano", "_start", "_order"]
+    hashed = thin.withColumn("_hash", F.xxhash64(*stream))
+    ranged = cut.save(hashed.repartitionByRange(*width, "_hash", *within).withColumn("_part", F.spark_partition_id().cast("bigint")))
+
+    def in_order(rows: DataFrame) -> DataFrame:
+        ordered = rows.repartition("_part").sortWithinPartitions("_hash", "_part", *within)
+        # No null, so that no column of the scan holds any: the state's own readings have no row.
+        row = F.coalesce("_row", F.lit(-1).cast("bigint")).alias("_row")
+        return ordered.withColumn("_stream", F.to_json(F.struct(*stream))).select(*SCAN, row)
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, of_part in groupby(_readings(batches, SCAN), key=lambda r: r[0]):
@@ -183,7 +193,10 @@ def difference_in_ranges(thin: DataFrame, stream: list[str], parts: int | None =
             row |= {"last": last, "end": _packed(end)}
             yield pa.RecordBatch.from_pylist([row], schema=_SUMMARY)
 
-    given = chained(ordered.mapInArrow(summarise, SUMMARY_SQL).collect())  # one row per range
+    # A range takes over from others at its first stream and hands over at its last: those between don't count.
+    ends = ranged.groupBy("_part").agg(F.min("_hash"), F.max("_hash")).collect()
+    outer = ranged.filter(F.col("_hash").isin(sorted({h for _, *both in ends for h in both})))
+    given = chained(in_order(outer).mapInArrow(summarise, SUMMARY_SQL).collect())  # one row per range
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, state, held = None, None, []
@@ -193,18 +206,19 @@ def difference_in_ranges(thin: DataFrame, stream: list[str], parts: int | None =
                 state = before if name == stream else None
                 seen = (part, stream)
             state, out = accept(state, time, start, value, monotonic)
-            held.append((row, *out))
+            if row >= 0:
+                held.append((row, *out))
             if len(held) > 20_000:
                 yield _batch(held)
                 held = []
         if held:
             yield _batch(held)
 
-    return ordered.mapInArrow(scan, "_row string, delta double, violation boolean, accepted boolean")
+    return in_order(ranged).mapInArrow(scan, "_row bigint, delta double, violation boolean, accepted boolean")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.string(), pa.float64(), pa.bool_(), pa.bool_())
+    types = (pa.int64(), pa.float64(), pa.bool_(), pa.bool_())
     columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
     return pa.RecordBatch.from_arrays(columns, names=["_row", "delta", "violation", "accepted"])
 

@@ -7,7 +7,7 @@ rollups of different batches merge into one another.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signaldeck.functions import ids
@@ -30,33 +30,23 @@ def with_issue_id(errors: DataFrame) -> DataFrame:
     )
 
 
-def _rollup(first_key: Column, last_key: Column, level: Column, title: Column, record: Column,
-            total: Column, retained: Column, first_ms: Column, last_ms: Column, evicted: Column) -> list[Column]:
-    return [
-        F.min_by(F.struct(level.alias("level"), first_ms.alias("ms")), first_key).alias("_first"),
-        F.max_by(
-            F.struct(title.alias("title"), record.alias("record"), last_ms.alias("ms")), last_key
-        ).alias("_last"),
-        F.max(last_key).alias("_last_key"),
-        F.min(first_key).alias("_first_key"),
-        F.sum(total).cast("bigint").alias("total_seen"),
-        F.sum(retained).cast("bigint").alias("retained_events"),
-        F.max(evicted).alias("_evicted"),
-    ]
-
-
 def issue_state(errors: DataFrame) -> DataFrame:
     """Rollup with its merge keys; :func:`merge_issue_state` combines such tables."""
-    key = F.struct(F.col("ts_nano"), F.col("id"))
-    one = F.lit(1)
-    return errors.filter(
+    key, ms = F.struct(F.col("ts_nano"), F.col("id")).alias("key"), event_ms().alias("ms")
+    first = F.struct(F.coalesce(F.col("level"), F.lit("error")).alias("level"), ms)
+    last = F.struct(F.coalesce(F.col("issue_title"), F.lit("Error")).alias("title"), F.col("id").alias("record"), ms)
+    # Every structure is compared and kept row by row: one for each end.
+    ends = errors.filter(
         (F.col("signal") == "error") & F.col("issue_id").isNotNull()
     ).groupBy("project_id", "issue_id").agg(
-        *_rollup(
-            key, key, F.coalesce(F.col("level"), F.lit("error")),
-            F.coalesce(F.col("issue_title"), F.lit("Error")), F.col("id"), one, one,
-            event_ms(), event_ms(), F.lit(None).cast("struct<ts_nano: bigint, id: string>"),
-        )
+        F.min(F.struct(key, first.alias("of"))).alias("first"), F.max(F.struct(key, last.alias("of"))).alias("last"),
+        F.count(F.lit(1)).alias("n"),
+    )
+    return ends.select(
+        "project_id", "issue_id", F.col("first.of").alias("_first"), F.col("last.of").alias("_last"),
+        F.col("last.key").alias("_last_key"), F.col("first.key").alias("_first_key"),
+        F.col("n").alias("total_seen"), F.col("n").alias("retained_events"),
+        F.lit(None).cast("struct<ts_nano: bigint, id: string>").alias("_evicted"),
     )
 
 

@@ -31,6 +31,25 @@ def is_cumulative() -> Column:
     )
 
 
+READING = {"signal": "metric", "type": "sum", "temporality": "cumulative"}
+
+
+def is_reading() -> Column:
+    """Filter for cumulative readings with a value and a stream, in terms that reach a Parquet scan."""
+    usable = F.col("value").isNotNull() & F.col("stream_id").isNotNull()
+    for name, wanted in READING.items():
+        usable = (F.col(name) == wanted) & usable
+    return usable
+
+
+def is_no_reading() -> Column:
+    """Filter for all other records, in such terms too."""
+    other = F.col("value").isNull() | F.col("stream_id").isNull()
+    for name, wanted in READING.items():
+        other = F.col(name).isNull() | (F.col(name) != wanted) | other
+    return other
+
+
 def difference_cumulative(records: DataFrame, parts: int | None = None) -> DataFrame:
     """Turn cumulative counter readings into deltas, recomputed from full history.
 
@@ -65,15 +84,16 @@ STATE_DDL = (
 )
 
 
-def difference_batch(readings: DataFrame, state: DataFrame | None = None,
-                     parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+def difference_batch(readings: DataFrame, state: DataFrame | None = None, parts: int | None = None,
+                     cut: LineageCut | None = None) -> tuple[DataFrame, DataFrame]:
     """Difference one batch of readings after ``state``; returns (rows, next state).
 
     Readings need a value and a stream id.  One not later than the state's last accepted
     reading gets no value.  The state enters as one more reading in front of the batch,
     so a stream that fills the whole batch is still spread.  Both results must be written before the next batch; ``rows`` keeps an ``accepted`` flag.
+    Tables that the results are read from are saved by ``cut``, by default until the application ends.
     """
-    rows = _difference(readings, state, parts)
+    rows = _difference(readings, state, parts, cut)
     return rows, next_state(rows, state)
 
 
@@ -99,35 +119,27 @@ def latest_state(states: DataFrame) -> DataFrame:
 STATE_NANO = -(2**63)
 
 
-def _difference(readings: DataFrame, state: DataFrame | None, parts: int | None) -> DataFrame:
+def _difference(readings: DataFrame, state: DataFrame | None, parts: int | None, cut: LineageCut | None = None) -> DataFrame:
     """Readings with delta, ``violation`` and ``accepted``.
 
-    Only keys, times and values go through the ordered scan; the rows themselves are
-    joined back once.  Rows equal in all of these are told apart by a running number.
+    Only keys, times and values go through the ordered scan.  The rows themselves are
+    written once with a number, which tells copies apart and joins the outcome to them.
     """
-    key = [*STREAM, "ts_nano", "_start", "id", "value"]
-    copies = W.partitionBy(*key).orderBy(F.lit(1))
-    marked = readings.withColumns({"_start": F.coalesce("start_nano", F.lit(0).cast("bigint"))})
-    marked = marked.withColumn("_copy", F.row_number().over(copies))
-    marked = marked.withColumn("_row", F.to_json(F.struct(*key, "_copy")))
-    late = F.lit(False)
-    if state is not None:
-        marked = marked.join(state.select(*STREAM, F.col("last_nano").alias("_last")), STREAM, "left")
-        late = F.coalesce(F.col("ts_nano") <= F.col("_last"), F.lit(False))
-    marked = marked.withColumn("_late", late)
-    thin = marked.filter(~F.col("_late")).select(
-        *STREAM, "ts_nano", "_start", "value", F.coalesce("monotonic", F.lit(False)).alias("_mono"), "_row",
-        F.struct("id", "_copy").alias("_order"),
+    cut = cut or LineageCut(readings.sparkSession, keep_all=True)
+    numbered = cut.save(readings.withColumn("_row", F.monotonically_increasing_id()))
+    thin = numbered.select(
+        *STREAM, "ts_nano", F.coalesce("start_nano", F.lit(0).cast("bigint")).alias("_start"), "value",
+        F.coalesce("monotonic", F.lit(False)).alias("_mono"), "_row", F.struct("id", "value", "_row").alias("_order"),
     )
     if state is not None:
         first = state.select(
             *STREAM, F.lit(STATE_NANO).cast("bigint").alias("ts_nano"), F.col("start").alias("_start"),
-            F.col("previous").alias("value"), F.col("monotonic").alias("_mono"), F.lit(None).cast("string").alias("_row"),
-            F.struct(F.lit(None).cast("string").alias("id"), F.lit(0).alias("_copy")).alias("_order"),
+            F.col("previous").alias("value"), F.col("monotonic").alias("_mono"), F.lit(None).cast("bigint").alias("_row"),
+            F.lit(None).cast(thin.schema["_order"].dataType).alias("_order"),
         )
-        thin = thin.unionByName(first)
-    found = difference_in_ranges(thin, STREAM, parts).filter(F.col("_row").isNotNull())
-    joined = marked.join(found.withColumnRenamed("violation", "_violation"), "_row", "left")
+        thin = _in_time(thin, state).unionByName(first)
+    found = difference_in_ranges(thin, STREAM, parts, cut)
+    joined = numbered.join(found.withColumnRenamed("violation", "_violation"), "_row", "left")
     return joined.select(
         *[F.col(c) for c in readings.columns if c not in ("value", "cumulative_value")],
         F.col("value").alias("cumulative_value"),
@@ -137,6 +149,21 @@ def _difference(readings: DataFrame, state: DataFrame | None, parts: int | None)
     )
 
 
+def _in_time(thin: DataFrame, state: DataFrame) -> DataFrame:
+    """Readings later than the last accepted one of their stream.
+
+    Only those not later than the newest of all streams are joined with the state.
+    """
+    newest = state.agg(F.max("last_nano")).first()[0]
+    if newest is None:
+        return thin
+    old = F.coalesce(F.col("ts_nano") <= newest, F.lit(False))
+    last = state.select(*STREAM, F.col("last_nano").alias("_last"))
+    late = F.coalesce(F.col("ts_nano") <= F.col("_last"), F.lit(False))
+    checked = thin.filter(old).join(last, STREAM, "left").filter(~late).select(*thin.columns)
+    return thin.filter(~old).unionByName(checked)
+
+
 def monotonic_violations(differenced: DataFrame) -> DataFrame:
     """Rejected decreases per project."""
     return differenced.filter("violation").groupBy("project_id").agg(

@@ -67,6 +67,12 @@ class LineageCut:
             self.remove(f"{self._folder}/{self._saved - 2}")
         return self._spark.read.schema(df.schema).parquet(path)
 
+    def clear(self) -> None:
+        """Remove all tables, once nothing reads them any more."""
+        if self._saved:
+            self.remove(self._folder)
+            self._saved = 0
+
     def remove(self, path: str) -> None:
         target, files = self._hadoop(path)
         files.delete(target, True)

@@ -11,6 +11,7 @@ from signaldeck.operators import lookup as J
 from signaldeck.operators import ordered as O
 from signaldeck.operators import retention as R
 from signaldeck.schema import conform
+from signaldeck.session import LineageCut
 from signaldeck.streaming import jobs as T
 
 INACTIVE, DUPLICATE = "inactive_project", "duplicate"
@@ -32,24 +33,27 @@ def intake(path: str, projects: DataFrame, buckets: int = T.KEY_BUCKETS) -> Call
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        active = J.active_only(batch, projects)
-        first_copies(active, batch_id)
+        # A batch is read whole for each use: what only needs the keys reads them from a table.
+        cut = LineageCut(spark)
+        keys = cut.save(batch.select(*T.DEDUPE_KEYS))
+        first_copies(J.active_only(batch, projects), batch_id, J.active_only(keys, projects))
         fresh = spark.read.schema(batch.schema).parquet(f"{path}/dedupe/rows/batch={batch_id}")
-        reading = F.coalesce(O.is_cumulative() & F.col("value").isNotNull() & F.col("stream_id").isNotNull(), F.lit(False))
-        difference(fresh.filter(reading), batch_id)
+        difference(fresh.filter(O.is_reading()), batch_id)
         readings = spark.read.parquet(f"{path}/counters/rows/batch={batch_id}")
-        accepted = conform(fresh.filter(~reading)).unionByName(conform(readings))
+        accepted = conform(fresh.filter(O.is_no_reading())).unionByName(conform(readings))
         for step, rows in zip(steps, (accepted.filter("signal = 'error'"), accepted, accepted), strict=True):
             step(rows, batch_id)
-        tally = lambda df, reason, sign=1: df.agg(F.count("*").alias("n")).select(F.lit(reason).alias("reason"), (sign * F.col("n")).alias("n"))
-        skipped = tally(batch, INACTIVE).unionByName(tally(active, INACTIVE, -1))
-        skipped = skipped.unionByName(tally(active, DUPLICATE)).unionByName(tally(fresh, DUPLICATE, -1))
-        skipped = skipped.groupBy("reason").agg(F.sum("n").alias("value")).filter("value > 0")
+        # Rows per project are counted once, and then split by the project's state.
+        active = projects.filter("status = 'active'").select("project_id", F.lit(True).alias("active")).distinct()
+        arrived = keys.groupBy("project_id").agg(F.count("*").alias("n")).join(active, "project_id", "left")
+        arrived = arrived.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("active"), F.col("n"))).alias("active"))
+        arrived = arrived.select(*(F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "active"))).crossJoin(fresh.agg(F.count("*").alias("fresh")))
+        skips = {f"skipped.{INACTIVE}": F.col("n") - F.col("active"), f"skipped.{DUPLICATE}": F.col("active") - F.col("fresh"), "skipped": F.col("n") - F.col("fresh")}
+        skipped = F.inline(F.array(*(F.struct(F.lit(name).alias("name"), n.alias("value")) for name, n in skips.items())))
         counts = R.counters(accepted, diagnostics=readings.filter("violation").select(F.lit(DECREASE).alias("name")))
-        counts = counts.unionByName(skipped.select(F.concat(F.lit("skipped."), "reason").alias("name"), "value"))
-        whole = skipped.agg(F.sum("value").alias("value")).filter("value > 0")
-        counts = counts.unionByName(whole.select(F.lit("skipped").alias("name"), "value"))
+        counts = counts.unionByName(arrived.select(skipped).filter("value > 0"))
         counts.write.mode("overwrite").parquet(f"{path}/counts/batch={batch_id}")
+        cut.clear()
 
     return upsert
 

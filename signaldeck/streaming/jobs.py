@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from signaldeck.functions import ids
+from signaldeck.functions.stage import staged
 from signaldeck.operators import issues as I
 from signaldeck.operators import lookup as J
 from signaldeck.operators import ordered as O
 from signaldeck.schema import RECORD_DDL, event_ms
+from signaldeck.session import LineageCut
 from signaldeck.sources.archive import write_archive
 from signaldeck.sources.snapshots import Archive
 from signaldeck.streaming.state import DeltaState
@@ -61,22 +64,31 @@ def key_state(spark: SparkSession, path: str, buckets: int = KEY_BUCKETS) -> Del
     return DeltaState(spark, f"{path}/keys", DEDUPE_KEYS, _latest_keys, buckets)
 
 
-def dedupe_upsert(path: str, buckets: int = KEY_BUCKETS) -> Callable[[DataFrame, int], None]:
+def dedupe_upsert(path: str, buckets: int = KEY_BUCKETS) -> Callable[..., None]:
     """``foreachBatch`` function: first copies to ``rows/batch=n``, their keys to a state under ``keys``.
 
     No record is dropped for its age.  A batch reads the hash buckets that its own keys
     fall into; a replayed batch writes the same rows again.  The number of buckets is that
-    of the first batch.
+    of the first batch.  ``keys`` may give the key columns of the batch from a table that
+    is cheaper to read.
     """
 
-    def upsert(batch: DataFrame, batch_id: int) -> None:
+    def upsert(batch: DataFrame, batch_id: int, keys: DataFrame | None = None) -> None:
         spark = batch.sparkSession
         state = key_state(spark, path, buckets)
-        rows = O.dedupe(batch)
+        keyed = batch.filter("source_id IS NOT NULL")
+        rows, cut = O.dedupe(keyed), None
         if any(v < (batch_id, 0) for v in state.versions()):
-            known = state.before(batch_id, state.touched(batch.filter("source_id IS NOT NULL")))
-            rows = J.new_only(rows, known.filter("NOT released"))
+            # The batch's keys are written once: the batch itself would be read whole for each use.
+            cut = LineageCut(spark)
+            keys = cut.save((keyed if keys is None else keys.filter("source_id IS NOT NULL")).select(*DEDUPE_KEYS).distinct())
+            known = state.before(batch_id, state.touched(keys)).filter("NOT released").join(keys, DEDUPE_KEYS, "left_semi")
+            rows = rows.join(known, DEDUPE_KEYS, "left_anti").select(*batch.columns)
+        # Records without a source id meet no join: there they would all have one key.
+        rows = rows.unionByName(batch.filter("source_id IS NULL"))
         rows.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+        if cut is not None:
+            cut.clear()
         written = spark.read.schema(batch.schema).parquet(f"{path}/rows/batch={batch_id}")
         fresh = written.filter("source_id IS NOT NULL").select(*DEDUPE_KEYS, F.lit(2 * batch_id).cast("bigint").alias("at"), F.lit(False).alias("released"))
         state.update(fresh, batch_id)
@@ -205,7 +217,10 @@ def issue_upsert(path: str) -> Callable[[DataFrame, int], None]:
     """
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        issue_states(batch.sparkSession, path).update(I.issue_state(I.with_issue_id(batch)), batch_id)
+        errors = batch.filter("signal = 'error'")
+        # Staged: the filter on the id would compute it a second time.
+        errors = staged(errors, issue_id=ids.issue_id(F.col("issue_title"), F.col("issue_fingerprint")))
+        issue_states(batch.sparkSession, path).update(I.issue_state(errors), batch_id)
 
     return upsert
 
@@ -231,9 +246,11 @@ def difference_upsert(path: str, parts: int | None = None) -> Callable[[DataFram
         spark = batch.sparkSession
         states = DeltaState(spark, f"{path}/state", O.STREAM, O.latest_state)
         state = states.before(batch_id, states.touched(batch))
-        rows, _ = O.difference_batch(batch, state, parts)
+        cut = LineageCut(spark, keep_all=True)
+        rows, _ = O.difference_batch(batch, state, parts, cut)
         target = f"{path}/rows/batch={batch_id}"
         rows.write.mode("overwrite").parquet(target)
+        cut.clear()
         written = spark.read.schema(rows.schema).parquet(target)
         states.update(O.next_state(written), batch_id)
 
