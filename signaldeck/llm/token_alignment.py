@@ -4,7 +4,8 @@ Both token sequences tile the bytes of a text.  They are aligned by divide and c
 in an interval of tokens, the common end nearest to the middle is located by bisecting the
 other tokenizer's ends, and both halves are taken on; an interval without a common end is
 a leaf, a group.  All intervals of a chunk of texts advance together, level by level, as
-numpy arrays.
+numpy arrays.  A text's first intervals are its stretches, whose edges are common ends;
+a worker aligns a stretch once, and texts take the groups and links of theirs.
 
 How often an id pair is linked is counted over all documents.  A document looks its pairs
 up in two tiers: pairs that many documents hold are broadcast, at most ``TABLE_PAIRS`` of
@@ -18,6 +19,7 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 import public_tokenizers
@@ -29,8 +31,10 @@ from signaldeck.llm.common import FORGET, chunks, narrow, tables, tidied
 
 #: Pairs of the broadcast tier at most (12 bytes each).
 TABLE_PAIRS = 1 << 20
-#: Distinct stretches of text whose tokens a worker keeps.
+#: Distinct stretches of text whose tokens, groups and links a worker keeps.
 CACHE_SIZE = 300_000
+#: Stretches that are encoded as one text.
+JOINED = 16
 #: Bytes of text aligned at once; arrays of that size stay near the processor.
 CHUNK = 1 << 20
 #: Distinct pairs a task counts at once before it hands their counts on.
@@ -39,13 +43,14 @@ COUNTED_PAIRS = 4_000_000
 # Neither tokenizer has a token that goes on from a character that is no space into a
 # space, tab or newline: texts are tokenized stretch by stretch.
 _STRETCH = re.compile(r"[ \t\n]*[^ \t\n]+|[ \t\n]+")
-_ODD = re.compile(r"[^\S \t\n]|[\x1c-\x1f᠎​﻿]")
-_CAREFUL = re.compile(r"(?<=[^\s\x1c-\x1f᠎​﻿])(?=[ \t\n])")
+_CAREFUL = re.compile(r"(?<=[^\s\x1c-\x1f\u180e\u200b\ufeff])(?=[ \t\n])")
+_SPACES = frozenset(c for c in map(chr, range(0x10000)) if re.fullmatch(r"[\s\x1c-\x1f\u180e\u200b\ufeff]", c))
+_ODD = sorted(_SPACES - set(" \t\n"))
 
 
 def stretches(text: str) -> list[str]:
     """The text, cut before white space that follows other characters."""
-    return _CAREFUL.split(text) if _ODD.search(text) else _STRETCH.findall(text)
+    return _CAREFUL.split(text) if any(c in text for c in _ODD) else _STRETCH.findall(text)
 
 
 def ragged(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -54,7 +59,48 @@ def ragged(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(begins - before[:-1], sizes) + np.arange(before[-1])
 
 
-class ByteTokens:
+class _Tokens:
+    """Ids of texts; ``bytes_of`` each id and the ``sizes`` of these."""
+
+    bytes_of: list[bytes]
+    sizes: np.ndarray
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        raise NotImplementedError
+
+    def _tiled(self, ids: list[int], texts: list[str]) -> np.ndarray | None:
+        """How many of the ids each text has, if they reproduce the texts in a row and no id goes over an edge."""
+        own = [t.encode() for t in texts]
+        if b"".join(map(self.bytes_of.__getitem__, ids)) != b"".join(own):
+            return None
+        ends, edges = np.cumsum(self.sizes[ids]), np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))
+        last = np.searchsorted(ends, edges)
+        return np.diff(last, prepend=-1) if (ends[last] == edges).all() else None
+
+    def encode_stretches(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all stretches in a row, and how many each has: none if they don't reproduce it."""
+        # Stretches begin with white space: behind another character they have the same ids as on their own.
+        closing = np.fromiter((t[-1] in _SPACES for t in texts), bool, len(texts))
+        closing[JOINED - 1 :: JOINED] = closing[-1] = True
+        to = (np.flatnonzero(closing) + 1).tolist()
+        spans = list(zip([0, *to[:-1]], to, strict=True))
+        lists = self.encode(["".join(texts[x:y]) for x, y in spans])
+        ids = list(chain.from_iterable(lists))
+        counts = self._tiled(ids, texts)
+        if counts is None:
+            ids, counts = [], np.zeros(len(texts), np.int64)
+            for own, (x, y) in zip(lists, spans, strict=True):
+                n = self._tiled(own, texts[x:y])
+                if n is None:
+                    parts = zip(self.encode(texts[x:y]), texts[x:y], strict=True)
+                    kept = [part if b"".join(self.bytes_of[i] for i in part) == t.encode() else [] for part, t in parts]
+                    own, n = list(chain.from_iterable(kept)), list(map(len, kept))
+                ids += own
+                counts[x:y] = n
+        return np.array(ids, np.int32), counts
+
+
+class ByteTokens(_Tokens):
     """Ids of a byte-level vocabulary file, and the bytes of each id."""
 
     def __init__(self, path: str) -> None:
@@ -72,12 +118,13 @@ class ByteTokens:
         self.bytes_of = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.bytes_of[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
+        self.sizes = np.array([len(x) for x in self.bytes_of], np.int64)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self._library.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-class PieceTokens:
+class PieceTokens(_Tokens):
     """Ids of a sentencepiece model, and the bytes of each id; the model writes the leading space."""
 
     def __init__(self, path: str) -> None:
@@ -89,6 +136,7 @@ class PieceTokens:
             bytes([int(lib.id_to_piece(i)[3:-1], 16)]) if lib.is_byte(i) else lib.id_to_piece(i).replace("▁", " ").encode()
             for i in range(lib.get_piece_size())
         ]
+        self.sizes = np.array([len(x) for x in self.bytes_of], np.int64)
         self._anchor = len(lib.encode("x"))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
@@ -96,28 +144,39 @@ class PieceTokens:
         return [ids[self._anchor :] for ids in self._library.encode(["x" + t for t in texts], num_threads=1)]
 
 
+class _Numbers(dict):
+    """Numbers from 0, in the order in which keys are first asked for."""
+
+    def __missing__(self, key) -> int:
+        self[key] = number = len(self)
+        return number
+
+
 class _Pool:
-    """Token ids of all kept stretches in a row."""
+    """Values of all kept stretches in a row."""
 
-    def __init__(self) -> None:
-        self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+    def __init__(self, kind: type) -> None:
+        self._values, self._ends = np.zeros(0, kind), np.zeros(1, np.int64)
+
+    def add(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        self._values = np.concatenate([self._values, values.astype(self._values.dtype)])
+        self._ends = np.concatenate([self._ends, self._ends[-1] + np.cumsum(sizes)])
 
-    def add(self, lists: list[list[int]]) -> None:
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for ids in lists for i in ids), np.int32, int(sizes.sum()))
-        self.ids = np.concatenate([self.ids, flat])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+    def sizes(self, slots: np.ndarray) -> np.ndarray:
+        return self._ends[slots + 1] - self._ends[slots]
 
-    def take(self, slots: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the slots in a row, and how many each text has."""
-        sizes = self.ends[slots + 1] - self.ends[slots]
-        before = np.concatenate([[0], np.cumsum(sizes)])
-        return self.ids[ragged(self.ends[slots], sizes)], np.diff(before[edges])
+    def take(self, slots: np.ndarray) -> np.ndarray:
+        """Values of the slots in a row."""
+        return self._values[ragged(self._ends[slots], self.sizes(slots))]
+
+    def keep(self, slots: np.ndarray) -> None:
+        values, sizes = self.take(slots), self.sizes(slots)
+        self._values, self._ends = values, np.concatenate([[0], np.cumsum(sizes)])
 
 
 @dataclass
 class Aligned:
-    """Aligned texts: ids in a row, tokens and groups by text, and where groups end (token numbers, exclusive)."""
+    """Aligned stretches: ids in a row, tokens and groups by stretch, and where groups end (token numbers, exclusive)."""
 
     a: np.ndarray
     b: np.ndarray
@@ -130,7 +189,7 @@ class Aligned:
     b_ends: np.ndarray
 
     def links(self) -> tuple[np.ndarray, np.ndarray]:
-        """Token numbers of all overlapping pairs, text by text: each stretch between neighbouring ends is one."""
+        """Token numbers of all overlapping pairs, in turn: the bytes between neighbouring ends are one."""
         inner = np.ones(len(self.b), bool)
         inner[self.b_cuts - 1] = False
         ends = np.sort(np.concatenate([self.a_ends, self.b_ends[inner]]), kind="stable")
@@ -177,64 +236,134 @@ def shared_cuts(a_ends: np.ndarray, b_ends: np.ndarray, a_spans: np.ndarray, b_s
     return np.sort(np.concatenate(a_cuts)), np.sort(np.concatenate(b_cuts))
 
 
+class GroupText:
+    """Groups written as ``a1,a2|b1;a3|b2,b3``."""
+
+    def __init__(self) -> None:
+        self._shown, self._lengths = np.zeros((0, 1), np.uint8), np.zeros(0, np.int64)
+
+    def __call__(self, got: Aligned) -> list[bytes]:
+        """The groups of each stretch."""
+        most = int(max(got.a.max(initial=-1), got.b.max(initial=-1))) + 1
+        if most > len(self._lengths):
+            digits = np.arange(most).astype(f"S{len(str(most))}")
+            self._lengths = np.char.str_len(digits).astype(np.int64)
+            # One more byte, for the mark behind the digits.
+            self._shown = np.pad(digits.view(np.uint8).reshape(most, -1), ((0, 0), (0, 1)))
+        n = len(got.a) + len(got.b)
+        last_a, last_b = np.zeros(len(got.a), bool), np.zeros(len(got.b), bool)
+        last_a[got.a_cuts - 1], last_b[got.b_cuts - 1] = True, True
+        place_a = np.arange(len(got.a)) + np.repeat(got.b_cuts - np.diff(got.b_cuts, prepend=0), np.diff(got.a_cuts, prepend=0))
+        place_b = np.arange(len(got.b)) + np.repeat(got.a_cuts, np.diff(got.b_cuts, prepend=0))
+        ids, mark = np.empty(n, np.int32), np.empty(n, np.uint8)
+        ids[place_a], ids[place_b] = got.a, got.b
+        mark[place_a], mark[place_b] = np.where(last_a, ord("|"), ord(",")), np.where(last_b, ord(";"), ord(","))
+        shown, size = self._shown[ids], self._lengths[ids]
+        shown.reshape(-1)[np.arange(n) * shown.shape[1] + size] = mark
+        flat = shown[shown != 0].tobytes()
+        edges = np.concatenate([[0], np.cumsum(size + 1)])[np.concatenate([[0], np.cumsum(got.n_a + got.n_b)])].tolist()
+        return [flat[x : y - 1] if y > x else b"" for x, y in zip(edges[:-1], edges[1:], strict=True)]
+
+
+@dataclass
+class Texts:
+    """The stretches of texts, as numbers in an aligner, and where each text's begin and end."""
+
+    slots: np.ndarray
+    edges: np.ndarray
+
+    def sums(self, sizes: np.ndarray) -> np.ndarray:
+        """Sizes of the stretches added up by text."""
+        return np.diff(np.concatenate([[0], np.cumsum(sizes)])[self.edges])
+
+
 class Aligner:
-    """Both tokenizers of a worker, with the tokens of stretches seen before."""
+    """Both tokenizers of a worker, with the alignment of stretches seen before."""
 
     def __init__(self, path_a: str, path_b: str, capacity: int = CACHE_SIZE) -> None:
         self._sides = (ByteTokens(path_a), PieceTokens(path_b))
-        self._sizes = [np.array([len(x) for x in s.bytes_of], np.int64) for s in self._sides]
-        self.width_b = len(self._sides[1].bytes_of)
+        self.width_a, self.width_b = (len(s.bytes_of) for s in self._sides)
         self._capacity = capacity
+        self._write = GroupText()
         self.forget()
 
     def forget(self) -> None:
-        self._slots: dict[str, int] = {}
-        self._pools = (_Pool(), _Pool())
-        self._same = np.zeros(0, bool)
+        self._slots = _Numbers()
+        self.a, self.b, self.a_ends, self.b_ends = (_Pool(np.int32) for _ in range(4))
+        self.pairs = _Pool(np.int64)
+        self._shown: list[bytes] = []
+        self._same, self._seen = np.zeros(0, bool), np.zeros(0, np.int64)
+
+    def _thin(self) -> None:
+        """Keep stretches that several chunks have held since the last time, half of the capacity at most."""
+        kept = np.flatnonzero(self._seen > 1)
+        kept = np.sort(kept[np.argsort(-self._seen[kept], kind="stable")[: self._capacity // 2]])
+        keys, own = list(self._slots), kept.tolist()
+        self._slots = _Numbers(zip(map(keys.__getitem__, own), range(len(own)), strict=True))
+        for pool in (self.a, self.b, self.a_ends, self.b_ends, self.pairs):
+            pool.keep(kept)
+        self._shown = [self._shown[i] for i in own]
+        self._same, self._seen = self._same[kept], np.zeros(len(own), np.int64)
 
     def _learn(self, fresh: list[str]) -> None:
-        lists = [side.encode(fresh) for side in self._sides]
-        same = np.ones(len(fresh), bool)
-        for side, pool, own in zip(self._sides, self._pools, lists, strict=True):
-            pool.add(own)
-            of = side.bytes_of
-            same &= [b"".join([of[i] for i in ids]) == t.encode() for ids, t in zip(own, fresh, strict=True)]
-        self._same = np.concatenate([self._same, same])
-
-    def _joined(self, stretches_of: list[str], side: int) -> bytes:
-        own = self._sides[side]
-        return b"".join(own.bytes_of[i] for ids in own.encode(stretches_of) for i in ids)
-
-    def align(self, texts: list[bytes]) -> Aligned:
+        (a, n_a), (b, n_b) = (side.encode_stretches(fresh) for side in self._sides)
+        same = (n_a > 0) & (n_b > 0)
+        self._add(a[np.repeat(same, n_a)], np.where(same, n_a, 0), b[np.repeat(same, n_b)], np.where(same, n_b, 0))
+
+    def _add(self, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> None:
+        """Align stretches, by the ids in a row and how many each has."""
+        a_ends, b_ends = (np.cumsum(side.sizes[ids]) for side, ids in zip(self._sides, (a, b), strict=True))
+        a_to, b_to = np.cumsum(n_a), np.cumsum(n_b)
+        some = n_a > 0
+        a_cuts, b_cuts = shared_cuts(a_ends, b_ends, *(np.stack([to - n, to])[:, some] for to, n in ((a_to, n_a), (b_to, n_b))))
+        n_groups = np.diff(np.searchsorted(a_cuts, np.concatenate([[0], a_to]), side="right"))
+        got = Aligned(a, b, n_a, n_b, n_groups, a_cuts, b_cuts, a_ends, b_ends)
+        at_a, at_b = got.links()
+        self.a.add(a, n_a)
+        self.b.add(b, n_b)
+        self.a_ends.add(a_cuts - np.repeat(a_to - n_a, n_groups), n_groups)
+        self.b_ends.add(b_cuts - np.repeat(b_to - n_b, n_groups), n_groups)
+        self.pairs.add(a[at_a].astype(np.int64) * self.width_b + b[at_b], n_a + n_b - n_groups)
+        self._shown += self._write(got)
+        self._same = np.concatenate([self._same, some])
+        self._seen = np.concatenate([self._seen, np.zeros(len(n_a), np.int64)])
+
+    def _whole(self, parts: list[str]) -> list[int]:
+        """The slot of a text whose stretches are not all reproduced; none if the text isn't, either."""
+        sides = [np.array(list(chain.from_iterable(side.encode(parts))), np.int32) for side in self._sides]
+        text = "".join(parts).encode()
+        if any(b"".join(side.bytes_of[i] for i in ids) != text for side, ids in zip(self._sides, sides, strict=True)):
+            return []
+        # A key that no stretch has.
+        number = self._slots[len(self._slots),]
+        self._add(*(x for ids in sides for x in (ids, np.array([len(ids)]))))
+        return [number]
+
+    def align(self, texts: list[bytes]) -> Texts:
         """Texts that are empty or that either side does not reproduce have no tokens."""
         if len(self._slots) > self._capacity:
-            self.forget()
+            self._thin()
         parts = [stretches(" " + t.decode()) if t else [] for t in texts]
-        fresh = list({s: None for own in parts for s in own if s not in self._slots})
-        if fresh:
-            first = len(self._slots)
-            self._slots.update(zip(fresh, range(first, first + len(fresh)), strict=True))
+        known = len(self._slots)
+        slots = np.array(list(map(self._slots.__getitem__, chain.from_iterable(parts))), np.int64)
+        if fresh := list(islice(reversed(self._slots), len(self._slots) - known))[::-1]:
             self._learn(fresh)
-        counts = np.fromiter(map(len, parts), np.int64, len(parts))
-        slot_of = self._slots.__getitem__
-        slots = np.fromiter((slot_of(s) for own in parts for s in own), np.int64, int(counts.sum()))
-        edges = np.concatenate([[0], np.cumsum(counts)])
-        wrong = ~self._same[slots]
-        if wrong.any():
-            for i in np.unique(np.searchsorted(edges, np.flatnonzero(wrong), side="right") - 1).tolist():
-                whole = b" " + texts[i]
-                if any(self._joined(parts[i], side) != whole for side in (0, 1)):
-                    counts[i] = 0
-            slots = slots[np.repeat(counts > 0, np.diff(edges))]
-            edges = np.concatenate([[0], np.cumsum(counts)])
-        (a, n_a), (b, n_b) = (pool.take(slots, edges) for pool in self._pools)
-        a_ends, b_ends = np.cumsum(self._sizes[0][a]), np.cumsum(self._sizes[1][b])
-        a_to, b_to = np.cumsum(n_a), np.cumsum(n_b)
-        some = n_a > 0
-        spans = [np.stack([to - n, to])[:, some] for to, n in ((a_to, n_a), (b_to, n_b))]
-        a_cuts, b_cuts = shared_cuts(a_ends, b_ends, *spans)
-        n_groups = np.diff(np.searchsorted(a_cuts, np.concatenate([[0], a_to]), side="right"))
-        return Aligned(a, b, n_a, n_b, n_groups, a_cuts, b_cuts, a_ends, b_ends)
+        edges = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
+        wrong = np.flatnonzero(~self._same[slots])
+        if len(wrong):
+            held = [slots[x:y].tolist() for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+            for i in np.unique(np.searchsorted(edges, wrong, side="right") - 1).tolist():
+                held[i] = self._whole(parts[i])
+            slots = np.array(list(chain.from_iterable(held)), np.int64)
+            edges = np.concatenate([[0], np.cumsum(np.fromiter(map(len, held), np.int64, len(held)))])
+        self._seen[slots] += 1
+        return Texts(slots, edges)
+
+    def groups(self, got: Texts) -> list[bytes]:
+        """The groups of each text, as :class:`GroupText` writes them."""
+        shown = list(map(self._shown.__getitem__, got.slots.tolist()))
+        edges = got.edges.tolist()
+        return [b";".join(shown[x:y]) for x, y in zip(edges[:-1], edges[1:], strict=True)]
 
 
 _OPEN: dict[tuple[str, str], Aligner] = {}
@@ -274,47 +403,23 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_column: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, texts in chunks(batch, text_column, CHUNK):
-                got = aligner(path_a, path_b).align(texts)
-                first_a, first_b = (np.cumsum(n) - n for n in (got.n_a, got.n_b))
-                ends_a, ends_b = got.a_cuts - np.repeat(first_a, got.n_groups), got.b_cuts - np.repeat(first_b, got.n_groups)
-                columns = [(got.a, got.n_a), (got.b, got.n_b), (ends_a, got.n_groups), (ends_b, got.n_groups)]
+                own = aligner(path_a, path_b)
+                got = own.align(texts)
+                ids, ends = [], []
+                for side, cuts in ((own.a, own.a_ends), (own.b, own.b_ends)):
+                    sizes, n_cuts = side.sizes(got.slots), cuts.sizes(got.slots)
+                    n, before = got.sums(sizes), np.cumsum(sizes) - sizes
+                    before -= np.repeat(np.cumsum(n) - n, np.diff(got.edges))
+                    ids.append((side.take(got.slots), n))
+                    ends.append((cuts.take(got.slots) + np.repeat(before, n_cuts), got.sums(n_cuts)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[rows], *(_cut(x, n, "<u4") for x, n in columns)], names=[id_column, "a_ids", "b_ids", "a_ends", "b_ends"]
+                    [batch.column(0)[rows], *(_cut(x, n, "<u4") for x, n in ids + ends)], names=[id_column, "a_ids", "b_ids", "a_ends", "b_ends"]
                 )
 
     out = f"`{id_column}` {kind}, a_ids binary, b_ids binary, a_ends binary, b_ends binary"
     return narrow(docs, id_column, text_column).mapInArrow(tidied(run), out)
 
 
-class GroupText:
-    """Groups written as ``a1,a2|b1;a3|b2,b3``."""
-
-    def __init__(self) -> None:
-        self._shown, self._lengths = np.zeros((0, 1), np.uint8), np.zeros(0, np.int64)
-
-    def __call__(self, got: Aligned) -> list[bytes]:
-        """The groups of each text."""
-        most = int(max(got.a.max(initial=-1), got.b.max(initial=-1))) + 1
-        if most > len(self._lengths):
-            digits = np.arange(most).astype(f"S{len(str(most))}")
-            self._lengths = np.char.str_len(digits).astype(np.int64)
-            # One more byte, for the mark behind the digits.
-            self._shown = np.pad(digits.view(np.uint8).reshape(most, -1), ((0, 0), (0, 1)))
-        n = len(got.a) + len(got.b)
-        last_a, last_b = np.zeros(len(got.a), bool), np.zeros(len(got.b), bool)
-        last_a[got.a_cuts - 1], last_b[got.b_cuts - 1] = True, True
-        place_a = np.arange(len(got.a)) + np.repeat(got.b_cuts - np.diff(got.b_cuts, prepend=0), np.diff(got.a_cuts, prepend=0))
-        place_b = np.arange(len(got.b)) + np.repeat(got.a_cuts, np.diff(got.b_cuts, prepend=0))
-        ids, mark = np.empty(n, np.int32), np.empty(n, np.uint8)
-        ids[place_a], ids[place_b] = got.a, got.b
-        mark[place_a], mark[place_b] = np.where(last_a, ord("|"), ord(",")), np.where(last_b, ord(";"), ord(","))
-        shown, size = self._shown[ids], self._lengths[ids]
-        shown.reshape(-1)[np.arange(n) * shown.shape[1] + size] = mark
-        flat = shown[shown != 0].tobytes()
-        edges = np.concatenate([[0], np.cumsum(size + 1)])[np.concatenate([[0], np.cumsum(got.n_a + got.n_b)])].tolist()
-        return [flat[x : y - 1] if y > x else b"" for x, y in zip(edges[:-1], edges[1:], strict=True)]
-
-
 def linked_pairs(docs: DataFrame, path_a: str, path_b: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Id, n_a, n_b, n_groups, n_links, groups_sha256, and the distinct id pairs linked in the row: pairs, times.
 
@@ -325,17 +430,15 @@ def linked_pairs(docs: DataFrame, path_a: str, path_b: str, id_column: str = "do
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shown = GroupText()
         for batch in batches:
             for rows, texts in chunks(batch, text_column, CHUNK):
                 own = aligner(path_a, path_b)
                 got = own.align(texts)
-                n_links = got.n_a + got.n_b - got.n_groups
-                at_a, at_b = got.links()
-                pair = got.a[at_a].astype(np.int64) * own.width_b + got.b[at_b]
+                n_a, n_b, n_groups, n_links = (got.sums(pool.sizes(got.slots)) for pool in (own.a, own.b, own.a_ends, own.pairs))
+                pair = own.pairs.take(got.slots)
                 # Sorted within each text: texts in turn, by a stable sort of sorted runs' keys.
                 text = np.repeat(np.arange(len(texts)), n_links)
-                rank = np.lexsort((pair, text)) if own.width_b * len(own._sizes[0]) >> 40 else None
+                rank = np.lexsort((pair, text)) if own.width_a * own.width_b >> 40 else None
                 if rank is None:
                     both = np.sort(text << 40 | pair)
                     text, pair = both >> 40, both & ((1 << 40) - 1)
@@ -350,8 +453,8 @@ def linked_pairs(docs: DataFrame, path_a: str, path_b: str, id_column: str = "do
                 steps = np.diff(pair, prepend=0)
                 first = np.flatnonzero(np.diff(text, prepend=-1))
                 steps[first] = pair[first]
-                sha = [hashlib.sha256(g).hexdigest() if g else "" for g in shown(got)]
-                columns = [batch.column(0)[rows], *(pa.array(x, pa.int64()) for x in (got.n_a, got.n_b, got.n_groups, n_links))]
+                sha = [hashlib.sha256(g).hexdigest() if g else "" for g in own.groups(got)]
+                columns = [batch.column(0)[rows], *(pa.array(x, pa.int64()) for x in (n_a, n_b, n_groups, n_links))]
                 columns += [pa.array(sha), _cut(steps, n_pairs, "<u8"), _cut(times, n_pairs, "<u4")]
                 yield pa.RecordBatch.from_arrays(columns, names=[id_column, "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"])
 

@@ -105,3 +105,74 @@ def test_shared_cuts_find_every_common_end():
             a_cuts, b_cuts = ta.shared_cuts(a, b, np.array([[0], [len(a)]]), np.array([[0], [len(b)]]))
             common = np.intersect1d(a, b)
             assert (a[a_cuts - 1] == common).all() and (b[b_cuts - 1] == common).all()
+
+
+def held(own, texts):
+    got = own.align([t.encode() for t in texts])
+    return [g.decode() for g in own.groups(got)], [got.sums(p.sizes(got.slots)).tolist() for p in (own.a, own.b, own.a_ends, own.pairs)]
+
+
+def wanted(texts):
+    n_a, n_b, groups, links = zip(*plain(texts), strict=True)
+    return list(groups), [list(n_a), list(n_b), [g.count(";") + bool(g) for g in groups], list(map(len, links))]
+
+
+def test_a_stretch_is_encoded_and_aligned_once(monkeypatch):
+    own, spans, calls, whole = ta.Aligner(*PATHS), [], [], ta.shared_cuts
+    monkeypatch.setattr(ta, "shared_cuts", lambda a, b, x, y: spans.append(x.shape[1]) or whole(a, b, x, y))
+    encode = own._sides[0].encode
+    monkeypatch.setattr(own._sides[0], "encode", lambda texts: calls.append(len(texts)) or encode(texts))
+    texts = ["one two three four five six seven"] * 3 + ["seven two one\neight"] * 2
+    for _ in range(2):
+        assert held(own, texts) == wanted(texts)
+    # one ... seven and "\neight", at most JOINED of them in a call's text.
+    assert spans == [8] and calls == [1]
+
+
+def test_stretches_of_several_chunks_are_kept(monkeypatch):
+    own, learned = ta.Aligner(*PATHS, capacity=60), []
+    learn = own._learn
+    monkeypatch.setattr(own, "_learn", lambda fresh: learned.extend(fresh) or learn(fresh))
+    for i in range(60):
+        texts = [f"often used w{i} v{i}", *ODD[4:6]]
+        assert held(own, texts) == wanted(texts)
+    assert len(own._slots) < 70 and learned.count(" often") == 1
+
+
+def test_a_stretch_that_is_not_reproduced_spoils_its_texts_alone(monkeypatch):
+    own = ta.Aligner(*PATHS)
+    side = own._sides[1]
+    encode, other = side.encode, side.encode(["?"])[0]
+    monkeypatch.setattr(side, "encode", lambda texts: [other if "bad" in t else ids for t, ids in zip(texts, encode(texts), strict=True)])
+    texts = ["some good words", "some bad words", "", "some good\nwords, more \n", *ODD[4:12]]
+    groups, sizes = wanted(texts)
+    groups[1] = ""
+    for column in sizes:
+        column[1] = 0
+    for _ in range(2):
+        assert held(own, texts) == (groups, sizes)
+
+
+def test_a_text_may_be_reproduced_though_its_stretches_are_not(monkeypatch):
+    own = ta.Aligner(*PATHS)
+    side = own._sides[1]
+    encode = side.encode
+    # The edge between two stretches of this side lies a byte further.
+    moved = {" left": " left ", " right": "right"}
+    monkeypatch.setattr(side, "encode", lambda texts: encode([moved.get(t, t + "!" * (t in (" left right",))) for t in texts]))
+    got = own.align([b"left right", b"up"])
+    whole = own.groups(got)
+    assert whole[1].decode() == plain(["up"])[0][2] and whole[0].count(b";") < 2 and b"|" in whole[0]
+    a, b = own.a.take(got.slots), own.b.take(got.slots)
+    joined = [b"".join(s.bytes_of[i] for i in ids) for s, ids in zip(own._sides, (a, b), strict=True)]
+    assert joined == [b" left right up"] * 2
+
+
+def test_align_numbers_ends_from_each_text(spark):
+    texts = [t for t in ODD if t] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    rows = {r.doc_id: r for r in ta.align(docs, *PATHS).collect()}
+    for i, (_, _, groups, _) in enumerate(plain(texts)):
+        a, b, a_ends, b_ends = (np.frombuffer(rows[i][c], "<u4").tolist() for c in ("a_ids", "b_ids", "a_ends", "b_ends"))
+        spans = zip([0, *a_ends][:-1], a_ends, [0, *b_ends][:-1], b_ends, strict=True)
+        assert ";".join(",".join(map(str, a[p:q])) + "|" + ",".join(map(str, b[r:s])) for p, q, r, s in spans) == groups
