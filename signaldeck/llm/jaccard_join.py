@@ -1,13 +1,14 @@
 """Jaccard self-join on word shingles by grouped prefixes.
 
-1. Shingles are ordered by how often their bucket of hashes occurs in the whole corpus, a
-   table of fixed size, rarest first.  Texts as similar as asked share several of their
-   first shingles in this order: a text's *prefix*.
+1. Shingles are ordered by how often their bucket of hashes occurs in the whole corpus,
+   rarest first; the more text, the more buckets.  Texts as similar as asked share several
+   of their first shingles in this order: a text's *prefix*.
 2. Documents with the same prefix and size are one *group*; exact copies vanish in it.
 3. Group pairs come from the prefix shingles they share.  A shingle of few groups gives
-   their pairs of fitting sizes, and pairs that share too few shingles are dropped.  The
-   groups of a frequent shingle are chained by size, each to the next, so that no list of
-   pairs is written for it.
+   their pairs of fitting sizes, and pairs that share too few shingles are dropped.  A
+   frequent shingle may be one of the shared ones, but only where a group has enough of them
+   to be similar by these alone are its groups chained by size, each to the next, so that no
+   list of pairs is written for it.
 4. The groups that hang together by these pairs are expanded into their distinct members
    and verified exactly, unit by unit.  A unit that is too large for a task is cut into
    blocks, and every pair of blocks is verified.
@@ -31,14 +32,19 @@ from signaldeck.llm.substring_dedup import WORD_HASHES, mix, sequence_hashes
 
 SHINGLE = 3
 PERCENT = 90
-#: Buckets of shingle hashes whose counts give the order, as a power of two.
-ORDER_BITS = 20
+#: Buckets of shingle hashes whose counts give the order, as powers of two, and bytes of text for one.
+ORDER_BITS = range(20, 25)
+BUCKET_TEXT = 800
 #: Groups of a shingle up to which pairs are listed.
 LISTED = 16
 #: Shingles and documents of a unit, or of one block of it, that a task verifies at once.
 UNIT_SHINGLES = 2_000_000
 UNIT_DOCS = 2_000
-_PART = 1 << 12
+#: Bits of the table of likely ids for each of them, and the most in all and in one of its parts as powers of two.
+ID_BITS = 16
+TABLE_BITS = 28
+ID_PART = 12
+_PART = 1 << 14
 
 
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -68,45 +74,57 @@ def needed(size: int, percent: int) -> tuple[int, int]:
     return min(size, plain + common - 1), common
 
 
+def order_bits(docs: DataFrame) -> int:
+    """Bits of a shingle's bucket: the more text, the more buckets, so that rare shingles still stand out."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(max((size // BUCKET_TEXT).bit_length(), ORDER_BITS[0]), ORDER_BITS[-1])
+
+
 def shingle_order(docs: DataFrame, shingle: int) -> np.ndarray:
-    """Rank of each bucket of shingle hashes, rarest first, by its count over all documents (doc, text)."""
-    buckets = 1 << ORDER_BITS
+    """Count of each bucket of shingle hashes over all documents (doc, text), as far as 16 bits hold it.
+
+    A task counts to 255 at most.  Any counts give an order that all documents share.
+    """
+    bits = order_bits(docs)
+    buckets = 1 << bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(buckets, np.int64)
+        total = np.zeros(buckets, np.uint8)
         for batch in batches:
             for _, texts in chunks(batch, "text"):
                 sets = shingle_sets(texts, shingle)
                 if sets:
-                    total += np.bincount((np.concatenate(sets) >> np.uint64(64 - ORDER_BITS)).astype(np.int64), minlength=buckets)
+                    at, own = np.unique((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.uint32), return_counts=True)
+                    total[at] = np.minimum(total[at] + own, 255)
         if total.any():
-            parts = [total[i : i + _PART].tobytes() for i in range(0, buckets, _PART)]
+            parts = [pa.compress(total[i : i + _PART], "zstd", asbytes=True) for i in range(0, buckets, _PART)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.binary())], names=["part", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                sums[part] = sums.get(part, 0) + np.frombuffer(counts, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["part", "counts"])
+                own = np.frombuffer(pa.decompress(counts, _PART, "zstd", asbytes=True), np.uint8)
+                sums[part] = sums.get(part, 0) + own.astype(np.int64)
+        held = [np.minimum(x, 0xFFFF).astype(np.uint16).tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(held, pa.binary())], names=["part", "counts"])
 
     schema = "part bigint, counts binary"
     counted = docs.mapInArrow(tidied(count), schema).repartition("part").mapInArrow(tidied(add), schema)
-    total = np.zeros(buckets, np.int64)
+    total = np.zeros(buckets, np.uint16)
     for row in counted.toLocalIterator():  # buckets / _PART rows
-        total[row["part"] * _PART : (row["part"] + 1) * _PART] = np.frombuffer(row["counts"], np.int64)
-    rank = np.empty(buckets, np.uint32)
-    rank[np.argsort(total, kind="stable")] = np.arange(buckets, dtype=np.uint32)
-    return rank
+        total[row["part"] * _PART : (row["part"] + 1) * _PART] = np.frombuffer(row["counts"], np.uint16)
+    return total
 
 
-def sketches(docs: DataFrame, rank: np.ndarray, shingle: int, percent: int) -> DataFrame:
+def sketches(docs: DataFrame, order: np.ndarray, shingle: int, percent: int) -> DataFrame:
     """(doc, n, s1, s2, g1, g2, prefix): size, 128-bit hashes of the set and of (prefix, size), and the prefix."""
-    shared = docs.sparkSession.sparkContext.broadcast(rank)
-    low = np.uint64((1 << (64 - ORDER_BITS)) - 1)
+    shared = docs.sparkSession.sparkContext.broadcast(order)
+    drop = np.uint64(64 - (len(order).bit_length() - 1))
+    low = np.uint64((1 << 48) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = shared.value.astype(np.uint64)
+        counts = shared.value
         for batch in batches:
             for rows, texts in chunks(batch, "text"):
                 sizes, hashes, prefixes = [], [], []
@@ -115,8 +133,8 @@ def sketches(docs: DataFrame, rank: np.ndarray, shingle: int, percent: int) -> D
                     prefix = b""
                     if n:
                         take, _ = needed(n, percent)
-                        # The bucket's rank in place of its number: shingles in order.
-                        keys = (order[s >> np.uint64(64 - ORDER_BITS)] << np.uint64(64 - ORDER_BITS)) | (s & low)
+                        # The bucket's count before the hash: shingles in order.
+                        keys = (counts[s >> drop].astype(np.uint64) << np.uint64(48)) | (s & low)
                         prefix = np.sort(np.partition(keys, take - 1)[:take]).tobytes()
                     sizes.append(n)
                     prefixes.append(prefix)
@@ -136,16 +154,22 @@ class TokenRuns:
         self._percent = percent
         self._rows = [np.zeros(0, np.int64) for _ in range(3)]
         self._hot = False  # the first row continues a frequent shingle
+        #: Rows of frequent shingles among those added last.
+        self.frequent = tuple(self._rows)
 
     def add(self, tokens: np.ndarray, sizes: np.ndarray, groups: np.ndarray, last: bool = False) -> tuple[np.ndarray, ...]:
         """(a, b, k): pairs and the shingles they must share, 0 for the links of a chain."""
         t, n, g = (np.concatenate(x) for x in zip(self._rows, (tokens, sizes, groups), strict=True))
         if not len(t):
+            self.frequent = (t, n, g)
             return t, n, g
         starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
         lengths = np.diff(np.concatenate([starts, [len(t)]]))
         hot = lengths > LISTED
         hot[0] |= self._hot
+        new = np.repeat(hot, lengths)
+        new[0] &= not self._hot
+        self.frequent = (t[new], n[new], g[new])
         # The last shingle may go on: it waits, and of a frequent one only the end does.
         waits = 0 if last else int(lengths[-1])
         carry_hot = not last and bool(hot[-1])
@@ -171,8 +195,45 @@ class TokenRuns:
         return np.concatenate(a), np.concatenate(b), np.concatenate(ks)
 
 
+def token_pairs(rows: DataFrame, percent: int, chained: bool) -> DataFrame:
+    """(a, b, k) of the groups that share a shingle, from rows (token, n, gid).
+
+    The groups of a frequent shingle are chained (k is 0), or else come back as (group, shingle, -size).
+    """
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = TokenRuns(percent)
+
+        def out(a: np.ndarray, b: np.ndarray, k: np.ndarray) -> Iterator[pa.RecordBatch]:
+            links = k == 0
+            low, high = np.minimum(a, b), np.maximum(a, b)
+            if chained and links.any():  # the same links come with every shingle of a cluster
+                ends = np.unique(np.stack([low[links], high[links]]), axis=1)
+            else:
+                tokens, sizes, groups = runs.frequent
+                ends = np.zeros((2, 0), np.int64) if chained else np.stack([groups, tokens])
+            of_ends = np.zeros(ends.shape[1], np.int64) if chained else -sizes
+            low, high = np.concatenate([low[~links], ends[0]]), np.concatenate([high[~links], ends[1]])
+            k = np.concatenate([k[~links], of_ends])
+            if len(k):
+                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(k)], names=["a", "b", "k"])
+
+        for batch in batches:
+            yield from out(*runs.add(*(c.to_numpy(zero_copy_only=False) for c in batch.columns)))
+        yield from out(*runs.add(*[np.zeros(0, np.int64)] * 3, last=True))
+
+    rows = rows.select("token", "n", "gid").repartition("token").sortWithinPartitions("token", "n", "gid")
+    return rows.mapInArrow(tidied(pair), "a bigint, b bigint, k bigint")
+
+
 def group_pairs(groups: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) between the groups (gid, n, prefix) that may have similar members."""
+    """Edges (a, b) between the groups (gid, n, prefix) that may have similar members.
+
+    Of the k shingles that two prefixes must share, no more are frequent than either has of
+    them; the others are counted in their pairs.  Only *open* groups, with as many frequent
+    shingles as the least k of any partner, can be similar by these alone: their pairs and
+    chains come from the frequent shingles.
+    """
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,28 +245,20 @@ def group_pairs(groups: DataFrame, percent: int) -> DataFrame:
                 tokens = pa.array(np.frombuffer(b"".join(prefixes), np.int64))
                 yield pa.RecordBatch.from_arrays([tokens, part.column("n").take(rows), part.column("gid").take(rows)], names=["token", "n", "gid"])
 
+    written = tables(groups.sparkSession)
     rows = groups.select("gid", "n", "prefix").mapInArrow(tidied(explode), "token bigint, n bigint, gid bigint")
-    rows = rows.repartition("token").sortWithinPartitions("token", "n", "gid")
-
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = TokenRuns(percent)
-
-        def out(a: np.ndarray, b: np.ndarray, k: np.ndarray) -> Iterator[pa.RecordBatch]:
-            chained = k == 0
-            if chained.any():  # the same links come with every shingle of a cluster
-                ends = np.unique(np.stack([a[chained], b[chained]]), axis=1)
-                a, b = np.concatenate([a[~chained], ends[0]]), np.concatenate([b[~chained], ends[1]])
-                k = np.concatenate([k[~chained], np.zeros(ends.shape[1], np.int64)])
-            if len(a):
-                low, high = np.minimum(a, b), np.maximum(a, b)
-                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(k)], names=["a", "b", "k"])
-
-        for batch in batches:
-            yield from out(*runs.add(*(c.to_numpy(zero_copy_only=False) for c in batch.columns)))
-        yield from out(*runs.add(*[np.zeros(0, np.int64)] * 3, last=True))
-
-    pairs = rows.mapInArrow(tidied(pair), "a bigint, b bigint, k bigint")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("k").alias("k")).where("shared >= k").select("a", "b")
+    found = written.save(token_pairs(rows, percent, chained=False))
+    frequent = found.where("k < 0").select(F.col("b").alias("token"), (-F.col("k")).alias("n"), F.col("a").alias("gid"))
+    # needed() of the smallest partner.
+    least = F.expr(f"least_n - (({percent} * least_n + 99) div 100) + 1") / 4
+    held = frequent.groupBy(F.col("gid").alias("of")).agg(F.count("*").alias("held"), F.min("n").alias("n")).selectExpr("of", "held", f"({percent} * n + 99) div 100 AS least_n")
+    held = written.save(held.select("of", "held", (F.col("held") >= F.greatest(F.lit(1), F.floor(least))).alias("open")))
+    again = token_pairs(frequent.join(held.where("open"), F.col("gid") == F.col("of")), percent, chained=True)
+    pairs = found.where("k > 0").union(again).groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("k").alias("k"))
+    side = lambda c: held.select(F.col("of").alias(f"{c}_of"), F.col("held").alias(f"{c}_held"), F.col("open").alias(f"{c}_open"))
+    pairs = pairs.join(side("a"), F.col("a") == F.col("a_of"), "left").join(side("b"), F.col("b") == F.col("b_of"), "left")
+    uncounted = F.when(F.col("a_open") & F.col("b_open"), 0).otherwise(F.least(F.coalesce("a_held", F.lit(0)), F.coalesce("b_held", F.lit(0))))
+    return written.save(pairs.where(F.col("shared") >= F.col("k") - uncounted).select("a", "b"))
 
 
 def verified(sets: list[np.ndarray], percent: int, across: list[int] | None = None) -> list[tuple[int, int]]:
@@ -257,6 +310,35 @@ def verified(sets: list[np.ndarray], percent: int, across: list[int] | None = No
     return links
 
 
+def likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows (doc, text) whose doc is among the ids (id), and few others: a table of bits tells."""
+    bits = min(max((ids.count() * ID_BITS).bit_length(), ID_PART + 5), TABLE_BITS)
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = batch.column("place").to_numpy()
+            for part in np.unique(at >> ID_PART).tolist():
+                parts.setdefault(part, np.zeros(1 << ID_PART, bool))[at[at >> ID_PART == part] & ((1 << ID_PART) - 1)] = True
+        held = [np.packbits(x).tobytes() for x in parts.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array(held, pa.binary())], names=["part", "bits"])
+
+    places = ids.select(place("id").alias("place")).withColumn("part", F.shiftright("place", ID_PART)).repartition("part").select("place")
+    table, width = np.zeros(1 << (bits - 3), np.uint8), 1 << (ID_PART - 3)
+    for row in places.mapInArrow(tidied(fill), "part bigint, bits binary").toLocalIterator():
+        table[row["part"] * width : (row["part"] + 1) * width] = np.frombuffer(row["bits"], np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("place").to_numpy()
+            held = (shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
+            yield batch.select(["doc", "text"]).filter(pa.array(held.astype(bool)))
+
+    return docs.select("doc", "text", place("doc").alias("place")).mapInArrow(tidied(run), docs.select("doc", "text").schema)
+
+
 def verify_units(docs: DataFrame, members: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links (a, b) between the similar documents of each unit; members are (id, n, unit)."""
     written = tables(docs.sparkSession)
@@ -266,8 +348,8 @@ def verify_units(docs: DataFrame, members: DataFrame, shingle: int, percent: int
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     # Every pair of blocks, and every block with itself, is verified once.
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
-    placed = placed.withColumn("own", own).withColumn("places", pairs)
-    texts = docs.join(placed, F.col("doc") == F.col("id")).select("unit", "own", "id", "text", F.explode("places").alias("place"))
+    placed = written.save(placed.withColumn("own", own).withColumn("places", pairs).select("unit", "own", "id", "places"))
+    texts = likely(docs, placed.select("id")).join(placed, F.col("doc") == F.col("id")).select("unit", "own", "id", "text", F.explode("places").alias("place"))
     texts = texts.select("unit", "place.i", "place.j", "own", "id", "text").repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,18 +391,20 @@ def similar_classes(
     """
     written = tables(docs.sparkSession)
     source = narrow(docs, id_column, text_column).toDF("doc", "text")
-    rank = shingle_order(source, shingle)
-    rows = written.save(sketches(source, rank, shingle, percent))
+    prefixes = tables(docs.sparkSession)
+    marked = prefixes.save(sketches(source, shingle_order(source, shingle), shingle, percent))
+    rows = written.save(marked.drop("prefix"))
     filled = rows.where("n > 0 AND doc IS NOT NULL")
     groups = filled.groupBy("g1", "g2").agg(
         F.min("doc").alias("gid"),
-        F.first("n").alias("n"),
-        F.first("prefix").alias("prefix"),
         ((F.min("s1") != F.max("s1")) | (F.min("s2") != F.max("s2"))).alias("several"),
     )
     groups = written.save(groups)
+    heads = marked.where("n > 0 AND doc IS NOT NULL").groupBy("g1", "g2").agg(F.min("doc").alias("gid"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    pairs = group_pairs(heads, percent)
+    prefixes.clear()
     # A group with different members is a unit of its own at least.
-    edges = group_pairs(groups, percent).union(groups.where("several").select(F.col("gid").alias("a"), F.col("gid").alias("b")))
+    edges = pairs.union(groups.where("several").select(F.col("gid").alias("a"), F.col("gid").alias("b")))
     units = components(edges)
     of_group = groups.join(units, F.col("gid") == F.col("id")).select(F.col("g1").alias("h1"), F.col("g2").alias("h2"), F.col("root").alias("unit"))
     copies = filled.groupBy("s1", "s2").agg(F.min("doc").alias("id"), F.first("n").alias("n"), F.first("g1").alias("g1"), F.first("g2").alias("g2"))
